@@ -67,7 +67,7 @@ def search_leaves(trees: list[ProjectionTree], unit: np.ndarray, most: int) -> l
         while node.bit_length() - 1 < trees[t].depth:
             normal, cut = trees[t].plane(node)
             margin = float(unit @ normal) - cut
-            near = 2 * node + (margin > 0)
+            near = 2 * node + int(margin > 0)
             heapq.heappush(queue, (max(strayed, abs(margin)), t, near ^ 1))
             node = near
         out.append((t, node))

@@ -214,7 +214,8 @@ def store_texts(docs: DataFrame) -> DataFrame:
 def packet_table(files: DataFrame, ident: str = "doc_id", media: str = "media") -> DataFrame:
     """One row per packet: id, error, track, timestamp (ms), key, cluster, start, length.
 
-    A null or broken file gives one row with null packet columns and the reason in ``error``.
+    A null or broken file gives one row with null packet columns and the reason in ``error``; a file
+    without packets gives none.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

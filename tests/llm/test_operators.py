@@ -386,9 +386,9 @@ def test_matroska_packets(spark):
     body = matroska.element(matroska.TIMESTAMP, 7) + matroska.element(matroska.BLOCK_GROUP, block + matroska.element(0x9B, 3)) + matroska.element(0xEC, b"xx")
     data = matroska.element(matroska.EBML, matroska.element(matroska.DOC_TYPE, "webm")) + bytes.fromhex("18538067ff1f43b675ff") + body + bytes.fromhex("1f43b675ff") + body
     assert [(p[0], p[1], data[p[4] : p[4] + p[5]]) for p in matroska.parse_matroska(data).packets] == [(2, 12, b"abc")] * 2
-    files = spark.createDataFrame([(1, data), (2, data[:-4]), (3, None), (4, b"")], "doc_id long, media binary")
+    files = spark.createDataFrame([(1, data), (2, data[:-6]), (3, None), (4, b"")], "doc_id long, media binary")
     found = rows_of(matroska.packet_table(files))
-    assert [(r["doc_id"], r["error"] is None, r["length"]) for r in found] == [(1, True, 3), (1, True, 3), (2, False, None), (3, False, None)] or [r["doc_id"] for r in found].count(2) == 1
+    assert [(r["doc_id"], r["error"] is None, r["length"]) for r in found] == [(1, True, 3), (1, True, 3), (2, False, None), (3, False, None)]
 
 
 def test_every_query_is_registered():
