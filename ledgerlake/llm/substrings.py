@@ -122,10 +122,12 @@ def _merge_hashes(blocks: pa.Table) -> list[tuple]:
     return out
 
 
-def repeated_spans(docs: DataFrame, window: int, make, schema, text: str = "text", ident: str = "doc_id", chunk_bytes: int = 16_000_000, depth: int = 2, cells_per_window: int = 4) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int, make, schema, text: str = "text", ident: str = "doc_id", chunk_bytes: int = 8_000_000, depth: int = 2, cells_per_window: int = 4) -> DataFrame:
     """Run both passes and hand every chunk's rows, in order, with a covered mask per row, to ``make``.
 
-    ``make(rows, words, covered)`` returns the output table of a chunk in ``schema``.
+    ``make(rows, covered)`` returns the output table of a chunk in ``schema``; a mask has a place for
+    each word of its row. Words are split again where they are needed, so that a chunk never holds
+    them all at once.
     """
     dealt, chunk, total = text_chunks(docs, text, ident, chunk_bytes)
     windows = max(1, total // 5)
@@ -136,87 +138,73 @@ def repeated_spans(docs: DataFrame, window: int, make, schema, text: str = "text
         buckets *= 2
     sketch = _Sketch(depth, bits, buckets)
 
-    def parsed(t: pa.Table) -> tuple[pa.Table, list[list[bytes]], list[np.ndarray], np.ndarray]:
+    def parsed(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        """Rows in order, the words of each, and all windows' hashes, row after row."""
         t = _ordered(t, text, ident)
-        words = [words_of(x) for x in t.column(text).to_pylist()]
-        hashes = [window_hashes(w, window) for w in words]
-        return t, words, hashes, np.concatenate([np.zeros(0, _PAIR), *hashes])
+        counts, hashes = [], [np.zeros(0, _PAIR)]
+        for x in t.column(text):
+            w = words_of(x.as_py())
+            counts.append(len(w))
+            hashes.append(window_hashes(w, window))
+        return t, np.array(counts, np.int64), np.concatenate(hashes)
 
     def first(t: pa.Table, at: int) -> list[tuple]:
         out = []
-        for bucket, cells, twice in sketch.blocks(parsed(t)[3]):
+        for bucket, cells, twice in sketch.blocks(parsed(t)[2]):
             steps = np.diff(cells, prepend=cells[:1]).astype(np.uint32)
             out.append((bucket, at, len(cells), packed(steps), np.uint64(cells[0]).tobytes() + mask_bytes(twice)))
         return out
 
     def suspects(hashes: np.ndarray, answers: pa.Table) -> np.ndarray:
-        """Windows that every row of the merged sketch estimates repeated."""
+        """Positions of the windows that every row of the merged sketch estimates repeated."""
         masks, keep = masks_of(answers), np.ones(len(hashes), bool)
         for row in range(depth):
-            flagged = [np.zeros(0, np.uint64)]
-            cells = sketch.cells(hashes, row)
-            distinct = np.unique(cells)
+            distinct, inverse = np.unique(sketch.cells(hashes, row), return_inverse=True)
+            flagged = np.zeros(len(distinct), bool)
             cuts = np.searchsorted(distinct, sketch.spans(row))
             for k in range(buckets):
                 if cuts[k] < cuts[k + 1]:
-                    part = distinct[cuts[k] : cuts[k + 1]]
-                    flagged.append(part[masks[row * buckets + k][: len(part)]])
-            hit = np.concatenate(flagged)
-            at = np.minimum(np.searchsorted(hit, cells), max(0, len(hit) - 1))
-            keep &= hit[at] == cells if len(hit) else False
-        return keep
-
-    def exact_blocks(hashes: np.ndarray):
-        """(bucket, sorted distinct hashes, whether the chunk holds each twice)."""
+                    flagged[cuts[k] : cuts[k + 1]] = masks[row * buckets + k][: cuts[k + 1] - cuts[k]]
+            keep &= flagged[inverse]
+        return np.flatnonzero(keep)
+
+    def grouped(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Order of the hashes, where a new one begins in it, and the bounds of the buckets among the distinct ones."""
         order = np.lexsort((hashes["b"], hashes["a"]))
-        s = hashes[order]
-        new = np.concatenate([np.ones(min(1, len(s)), bool), (s["a"][1:] != s["a"][:-1]) | (s["b"][1:] != s["b"][:-1])])
-        firsts = np.flatnonzero(new)
-        counts = np.diff(np.append(firsts, len(s)))
-        d = s[firsts]
-        cuts = np.searchsorted(d["a"], (np.arange(1, buckets) * (2.0**64 / buckets)).astype(np.uint64))
-        cuts = np.concatenate([[0], cuts, [len(d)]])
-        for k in range(buckets):
-            if cuts[k] < cuts[k + 1]:
-                part = slice(cuts[k], cuts[k + 1])
-                yield k, d[part], counts[part] > 1
+        a, b = hashes["a"][order], hashes["b"][order]
+        firsts = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        cuts = np.searchsorted(a[firsts], (np.arange(1, buckets) * (2.0**64 / buckets)).astype(np.uint64))
+        return order, firsts, np.concatenate([[0], cuts, [len(firsts)]])
 
     def second(t: pa.Table, at: int, answers: pa.Table) -> list[tuple]:
-        hashes = parsed(t)[3]
+        hashes = parsed(t)[2]
         left = hashes[suspects(hashes, answers)]
-        # suspects that the chunk sends depend on its first masks, so those travel along: see final()
-        return [(k, at, len(d), packed(np.concatenate([d["a"], d["b"]])), mask_bytes(twice)) for k, d, twice in exact_blocks(left)]
+        order, firsts, cuts = grouped(left)
+        distinct, twice = left[order[firsts]], np.diff(np.append(firsts, len(left))) > 1
+        return [(k, at, int(n - m), packed(np.concatenate([distinct["a"][m:n], distinct["b"][m:n]])), mask_bytes(twice[m:n])) for k, (m, n) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if m < n]
 
     def final(t: pa.Table, answers: pa.Table) -> pa.Table:
         if not t.num_rows:
-            return make(t, [], [])
-        t, words, hashes, flat = parsed(t)
-        buckets_of = answers.column("bucket").to_numpy()
-        left = flat[suspects(flat, answers.filter(pa.array(buckets_of >= 0)))]
-        masks = masks_of(answers.filter(pa.array(buckets_of < 0)))
-        found = [np.zeros(0, _PAIR)]
-        for k, d, _ in exact_blocks(left):
-            found.append(d[masks[-1 - k][: len(d)]])
-        hit = np.concatenate(found)  # sorted by a, then b
-        covered = []
-        for w, h in zip(words, hashes, strict=True):
-            edge = np.zeros(len(w) + 1, np.int32)
-            if len(h) and len(hit):
-                at = np.searchsorted(hit["a"], h["a"])
-                is_hit = np.zeros(len(h), bool)
-                ok = at < len(hit)
-                # equal first halves of different windows are all but impossible; walk past them
-                while ok.any():
-                    same = ok & (hit["a"][np.minimum(at, len(hit) - 1)] == h["a"])
-                    is_hit |= same & (hit["b"][np.minimum(at, len(hit) - 1)] == h["b"])
-                    ok = same & ~is_hit
-                    at = at + 1
-                    ok &= at < len(hit)
-                starts = np.flatnonzero(is_hit)
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, starts + window, -1)
+            return make(t, [])
+        t, counts, hashes = parsed(t)
+        bucket = answers.column("bucket").to_numpy()
+        left = suspects(hashes, answers.filter(pa.array(bucket >= 0)))
+        order, firsts, cuts = grouped(hashes[left])
+        masks, repeated = masks_of(answers.filter(pa.array(bucket < 0))), np.zeros(len(firsts), bool)
+        for k, (m, n) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if m < n:
+                repeated[m:n] = masks[-1 - k][: n - m]
+        hit = np.zeros(len(hashes), bool)
+        hit[left[order]] = np.repeat(repeated, np.diff(np.append(firsts, len(left))))
+        covered, at = [], 0
+        for n in counts.tolist():
+            starts = np.flatnonzero(hit[at : at + max(0, n - window + 1)])
+            at += max(0, n - window + 1)
+            edge = np.zeros(n + 1, np.int32)
+            edge[starts] += 1
+            edge[starts + window] -= 1
             covered.append(np.cumsum(edge[:-1]) > 0)
-        return make(t, words, covered)
+        return make(t, covered)
 
     cells = answer(ask(dealt, chunk, first), _merge_cells)
     exact = answer(ask_again(dealt, chunk, cells, second), _merge_hashes)
@@ -233,9 +221,12 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def make(t: pa.Table, words: list, covered: list) -> pa.Table:
-        kept = [b" ".join([x for x, c in zip(w, m.tolist(), strict=True) if not c]) if m.any() else b" ".join(w) for w, m in zip(words, covered, strict=True)]
-        return pa.table({"doc_id": t.column("doc_id"), "n_words": pa.array([len(w) for w in words], pa.int64()), "n_removed": pa.array([int(m.sum()) for m in covered], pa.int64()), "kept": pa.array([k.decode("utf-8", "replace") for k in kept], pa.string())})
+    def make(t: pa.Table, covered: list) -> pa.Table:
+        kept = []
+        for x, m in zip(t.column("text"), covered, strict=True):
+            w = words_of(x.as_py())
+            kept.append(b" ".join([x for x, c in zip(w, m.tolist(), strict=True) if not c] if m.any() else w).decode("utf-8", "replace"))
+        return pa.table({"doc_id": t.column("doc_id"), "n_words": pa.array([len(m) for m in covered], pa.int64()), "n_removed": pa.array([int(m.sum()) for m in covered], pa.int64()), "kept": pa.array(kept, pa.string())})
 
     return repeated_spans(docs.select("doc_id", "text"), window, make, f"doc_id {kind}, n_words long, n_removed long, kept string")
 
@@ -247,10 +238,10 @@ def drop_repeats_from_texts(docs: DataFrame, window: int = 35) -> DataFrame:
     """
     names, at = docs.columns, docs.columns.index("text")
 
-    def make(t: pa.Table, words: list, covered: list) -> pa.Table:
+    def make(t: pa.Table, covered: list) -> pa.Table:
         t = t.select(names)
         texts = t.column("text").to_pylist()
-        out = [x if x is None or not m.any() else _cut(x, w, m) for x, w, m in zip(texts, words, covered, strict=True)]
+        out = [x if x is None or not m.any() else _cut(x, words_of(x), m) for x, m in zip(texts, covered, strict=True)]
         t = t.set_column(at, t.schema.field(at), pa.array(out, t.schema.field(at).type))
         if "n_chars" in names and covered:
             k = names.index("n_chars")

@@ -254,9 +254,9 @@ def test_substrings_in_many_chunks(docs, monkeypatch):
     kind = "doc_id long, n_words long, n_removed long, kept string"
     import pyarrow as pa
 
-    def make(t, ws, covered):
-        kept = [b" ".join([x for x, c in zip(w, m.tolist(), strict=True) if not c]).decode() for w, m in zip(ws, covered, strict=True)]
-        return pa.table({"doc_id": t.column("doc_id"), "n_words": pa.array([len(w) for w in ws], pa.int64()), "n_removed": pa.array([int(m.sum()) for m in covered], pa.int64()), "kept": kept})
+    def make(t, covered):
+        kept = [b" ".join(w for w, c in zip((x or "").encode().split(), m.tolist(), strict=True) if not c).decode() for x, m in zip(t.column("text").to_pylist(), covered, strict=True)]
+        return pa.table({"doc_id": t.column("doc_id"), "n_words": pa.array([len(m) for m in covered], pa.int64()), "n_removed": pa.array([int(m.sum()) for m in covered], pa.int64()), "kept": pa.array(kept, pa.string())})
 
     for depth, cells in ((1, 1), (2, 4)):
         assert rows_of(substrings.repeated_spans(docs.select("doc_id", "text"), 35, make, kind, chunk_bytes=20_000, depth=depth, cells_per_window=cells)) == whole
