@@ -28,28 +28,53 @@ MERGED = 1 << 62
 
 
 class WordEncoder:
-    """Ids of a text by a tokenizer whose pre-tokens never span white space, through a cache of words."""
+    """Ids of a text by a tokenizer whose pre-tokens never span white space, through a cache of words.
 
-    def __init__(self, path: str, most_words: int = 600_000):
+    The cache stops growing at ``most_words``; frequent words come early, rare ones are encoded again.
+    """
+
+    #: A word of its own between others; it is one pre-token with one id.
+    MARK = "\x01"
+
+    def __init__(self, path: str, most_words: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.cache = Tokenizer.from_file(path), most_words, {}
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        (self.mark,) = self._ids(self.MARK)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Encode words a few thousand at a time, as one text with marks between them."""
+        odd = [w for w in words if self.MARK in w]
+        words = [w for w in words if self.MARK not in w] if odd else words
+        out = {w: np.array(self._ids(w), "<u4").tobytes() for w in odd}
+        blocks = [words[at : at + 2000] for at in range(0, len(words), 2000)]
+        between = f" {self.MARK} "
+        for block, e in zip(blocks, self.tokenizer.encode_batch_fast([between.join(b) for b in blocks], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(block, ends, strict=True):
+                out[w] = raw[4 * at : 4 * end]
+                at = end + 1
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         plain = [unicodedata.is_normalized("NFC", t) and not _SEPARATORS.search(t) for t in texts]
         words = [t.split() if ok else [] for t, ok in zip(texts, plain, strict=True)]
-        new = set().union(*words) - self.cache.keys()
-        if len(self.cache) + len(new) > self.most:
-            self.cache.clear()
-            new = set().union(*words)
-        listed = list(new)
-        for w, e in zip(listed, self.tokenizer.encode_batch_fast(listed, add_special_tokens=False), strict=True):
-            self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.cache.__getitem__
-        return [b"".join(map(get, ws)) if ok else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, ws, ok in zip(texts, words, plain, strict=True)]
+        known = self.cache
+        learnt = self._learn(list(set().union(*words) - known.keys()))
+        if len(known) + len(learnt) <= self.most:
+            known.update(learnt)
+            get = known.__getitem__
+        else:
+            get = lambda w: known.get(w) or learnt[w]
+        return [b"".join(map(get, ws)) if ok else np.array(self._ids(t), "<u4").tobytes() for t, ws, ok in zip(texts, words, plain, strict=True)]
 
 
 @lru_cache(maxsize=1)
