@@ -8,6 +8,7 @@ partitions is merged: groups of partitions fill their leftovers into full sequen
 
 from __future__ import annotations
 
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -27,40 +28,95 @@ _SEPARATORS = regex.compile("[\x1c-\x1f]")
 MERGED = 1 << 62
 
 
+class PieceTable:
+    """A word-end BPE vocabulary as byte ranks, for a fast merge loop.
+
+    A pre-token is its bytes and an end byte 0xFF (never part of UTF-8), which the first ranks merge
+    into the last byte; then the merges follow in their order. Merging by the joined bytes equals
+    merging by listed pairs as long as every token encodes to itself: whatever stands in a token's
+    span has merged as it would alone, so its last two parts are the listed pair. Tokens that do not
+    encode to themselves can never arise, and are left out.
+    """
+
+    def __init__(self, path: str):
+        import json
+
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab = model["vocab"]
+        letters = {c: bytes([b]) for b, c in _byte_letters().items()}
+        spell = lambda token: b"".join(letters[c] for c in token.removesuffix("</w>")) + b"\xff" * token.endswith("</w>")
+        self.by_bytes = {spell(t): i for t, i in vocab.items() if set(t.removesuffix("</w>")) <= letters.keys()}
+        ranks = {bytes([b]) + b"\xff": b for b in range(256)} | {bytes([b]): 256 + b for b in range(256)}
+        pairs = {}
+        for k, merge in enumerate(model["merges"]):
+            left, right = map(spell, merge.split(" ") if isinstance(merge, str) else merge)
+            pairs.setdefault((left, right), k)
+        for (left, right), k in sorted(pairs.items(), key=lambda x: x[1]):
+            if self._alone(left + right, pairs) == 1:
+                ranks.setdefault(left + right, 512 + k)
+        self.encoding = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}, explicit_n_vocab=None)
+        self.ids = {r: self.by_bytes[t] for t, r in ranks.items() if t in self.by_bytes}
+
+    @staticmethod
+    def _alone(token: bytes, pairs: dict) -> int:
+        """How many parts a token's bytes merge into by the listed pairs."""
+        body = token.removesuffix(b"\xff")
+        parts = [bytes([b]) for b in body]
+        if token != body:
+            parts[-1] += b"\xff"
+        while len(parts) > 1:
+            k, at = min((pairs.get(p, len(pairs)), at) for at, p in enumerate(zip(parts, parts[1:], strict=False)))
+            if k == len(pairs):
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return len(parts)
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-ins for bytes that byte-level vocabularies are written with."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class WordEncoder:
     """Ids of a text by a tokenizer whose pre-tokens never span white space, through a cache of words.
 
     The cache stops growing at ``most_words``; frequent words come early, rare ones are encoded again.
+    Words in Latin letters go through the piece table, all others through the tokenizer itself.
     """
 
-    #: A word of its own between others; it is one pre-token with one id.
-    MARK = "\x01"
-
     def __init__(self, path: str, most_words: int = 800_000):
+        import json
+
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.cache = Tokenizer.from_file(path), most_words, {}
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        (self.mark,) = self._ids(self.MARK)
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Encode words a few thousand at a time, as one text with marks between them."""
-        odd = [w for w in words if self.MARK in w]
-        words = [w for w in words if self.MARK not in w] if odd else words
-        out = {w: np.array(self._ids(w), "<u4").tobytes() for w in odd}
-        blocks = [words[at : at + 2000] for at in range(0, len(words), 2000)]
-        between = f" {self.MARK} "
-        for block, e in zip(blocks, self.tokenizer.encode_batch_fast([between.join(b) for b in blocks], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(block, ends, strict=True):
-                out[w] = raw[4 * at : 4 * end]
-                at = end + 1
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        steps = told["pre_tokenizer"]["pretokenizers"]
+        self.specials = [x["content"] for x in told["added_tokens"]]
+        self.find = regex.compile(steps[0]["pattern"]["Regex"]).findall
+        self.pieces = PieceTable(path)
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        out, find, merge, ids = {}, self.find, self.pieces.encoding._encode_single_piece, self.pieces.ids
+        for w in words:
+            if max(w) >= "\u0250" or "<|" in w:
+                out[w] = self._ids(w)
+            else:
+                found: list[int] = []
+                for piece in find(w.lower()):
+                    found += [ids[r] for r in merge(piece.encode() + b"\xff")]
+                out[w] = struct.pack(f"<{len(found)}I", *found)
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -68,13 +124,13 @@ class WordEncoder:
         plain = [unicodedata.is_normalized("NFC", t) and not _SEPARATORS.search(t) for t in texts]
         words = [t.split() if ok else [] for t, ok in zip(texts, plain, strict=True)]
         known = self.cache
-        learnt = self._learn(list(set().union(*words) - known.keys()))
+        learnt = self._learn(set().union(*words) - known.keys())
         if len(known) + len(learnt) <= self.most:
             known.update(learnt)
             get = known.__getitem__
         else:
             get = lambda w: known.get(w) or learnt[w]
-        return [b"".join(map(get, ws)) if ok else np.array(self._ids(t), "<u4").tobytes() for t, ws, ok in zip(texts, words, plain, strict=True)]
+        return [b"".join(map(get, ws)) if ok else self._ids(t) for t, ws, ok in zip(texts, words, plain, strict=True)]
 
 
 @lru_cache(maxsize=1)
