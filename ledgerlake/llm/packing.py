@@ -184,7 +184,7 @@ class Packer:
             yield from self._close(best[1])
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 4096, windows: int = 32, least_cut: int = 48, merge_partitions: int = 64, keep_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 4096, windows: int = 32, least_cut: int = 48, merge_partitions: int = 16, keep_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
     A document is the ids of its text (null: empty) and ``end_id``; every id lies in one piece, and
