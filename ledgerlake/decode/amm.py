@@ -95,7 +95,7 @@ def initializations(logs: DataFrame) -> DataFrame:
 
 def liquidity_changes(logs: DataFrame) -> DataFrame:
     """Singleton-pool liquidity: a positive delta is a mint, a negative one a burn."""
-    return where_event(logs, t.MODIFY_LIQUIDITY, 3).select(swap_id().alias("id"), topic(1).alias("pool"), address(2).alias("sender"), small_int(0).alias("tickLower"), small_int(1).alias("tickUpper"), sint(2).alias("liquidityDelta"), F.concat(F.lit("0x"), word(3)).alias("salt"), "block_number", "log_order")
+    return where_event(logs, t.MODIFY_LIQUIDITY, 3).select(swap_id().alias("id"), topic(1).alias("pool"), address(2).alias("sender"), small_int(0).alias("tickLower"), small_int(1).alias("tickUpper"), sint(2).alias("liquidityDelta"), F.concat(F.lit("0x"), F.col(word(3))).alias("salt"), "block_number", "log_order")
 
 
 def subscriptions(logs: DataFrame) -> DataFrame:

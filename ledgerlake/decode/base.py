@@ -19,16 +19,27 @@ def address(i: int) -> Column:
     return hx.topic_address(topic(i))
 
 
-def topic_uint(i: int) -> Column:
-    return hx.uint256(hx.topic_word(topic(i)))
+#: The most data words and topics that an event has.
+WORDS, TOPICS = 7, 4
 
 
-def topic_int(i: int) -> Column:
-    return hx.int_small(hx.topic_word(topic(i)))
+def with_words(logs: DataFrame) -> DataFrame:
+    """Data words and topics as columns of 64 hex digits, cut once for all that reads them; unread ones are pruned."""
+    words = {f"_w{i}": hx.word(F.col("data"), i) for i in range(WORDS)}
+    return logs.withColumns(words | {f"_t{i}": hx.topic_word(topic(i)) for i in range(1, TOPICS)})
+
+
+def word(i: int) -> str:
+    """The name of data word i of logs that have passed ``with_words``."""
+    return f"_w{i}"
 
 
-def word(i: int) -> Column:
-    return hx.word(F.col("data"), i)
+def topic_uint(i: int) -> Column:
+    return hx.uint256(f"_t{i}")
+
+
+def topic_int(i: int) -> Column:
+    return hx.int_small(f"_t{i}")
 
 
 def uint(i: int) -> Column:
@@ -50,7 +61,7 @@ def word_address(i: int, on_short: str = hx.ZERO_ADDRESS, whole: bool = True) ->
 def where_event(logs: DataFrame, signatures: str | tuple[str, ...], topics: int = 1) -> DataFrame:
     """Logs of the signatures that have at least ``topics`` topics."""
     wanted = (signatures,) if isinstance(signatures, str) else signatures
-    return logs.where(F.col("topic0").isin(*wanted) & (F.size("topics") >= topics))
+    return with_words(logs.where(F.col("topic0").isin(*wanted) & (F.size("topics") >= topics)))
 
 
 def by_kind(kinds: Mapping[str, str]) -> Column:

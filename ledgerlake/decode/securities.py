@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake import topics as t
-from ledgerlake.decode.base import address, by_kind, enough, entity_id, only, topic, topic_uint, uint, where_event, word_address
+from ledgerlake.decode.base import address, by_kind, enough, entity_id, only, topic, topic_uint, uint, where_event, with_words, word_address
 from ledgerlake.functions import hexwords as hx
 
 FREEZES = {t.TOKENS_FROZEN: "TokensFrozen", t.TOKENS_UNFROZEN: "TokensUnfrozen"}
@@ -30,7 +30,7 @@ def transfer_agent_actions(logs: DataFrame) -> DataFrame:
     kinds = {t.ADDRESS_FROZEN: "AddressFrozen"} | FREEZES | PAUSES | {t.RECOVERY_SUCCESS: "RecoverySuccess"}
     user = F.coalesce(only((t.ADDRESS_FROZEN, *FREEZES), address(1)), only(tuple(PAUSES), word_address(0)))
     return _rows(
-        logs.where(enough(least)),
+        with_words(logs.where(enough(least))),
         "token",
         kind=by_kind(kinds),
         user=user,

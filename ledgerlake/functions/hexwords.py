@@ -3,6 +3,9 @@
 The canonical form of a 256-bit integer is its decimal digits as a string. Values under 2^124 take a
 path of plain decimal arithmetic that stays in generated code; larger ones are split into eight
 32-bit chunks and summed into five limbs of base 10^18.
+
+Functions of words take SQL text (a column's name as a rule) and build one SQL expression: such
+expressions are large, and parsing text is much faster than building them call by call.
 """
 
 from __future__ import annotations
@@ -39,95 +42,79 @@ def topic_word(topic: Column) -> Column:
     return F.when(h.rlike("^[0-9a-f]{1,64}$"), F.lpad(h, 64, "0")).otherwise(_ZERO_WORD)
 
 
-def _small(w: Column) -> Column:
+def _small(w: str) -> str:
     """Whether the value is under 2^124, so that it fits DECIMAL(38, 0)."""
-    return F.substring(w, 1, 33) == "0" * 33
+    return f"(substring({w}, 1, 33) = '{'0' * 33}')"
 
 
-def _decimal(w: Column) -> Column:
+def _decimal(w: str) -> str:
     """DECIMAL(38, 0) of a word under 2^124."""
-    high = F.conv(F.substring(w, 34, 15), 16, 10).cast("decimal(18,0)")
-    low = F.conv(F.substring(w, 49, 16), 16, 10).cast("decimal(20,0)")
-    return (high * F.lit(str(2**64)).cast("decimal(20,0)") + low).cast("decimal(38,0)")
+    return f"CAST(CAST(conv(substring({w}, 34, 15), 16, 10) AS DECIMAL(18,0)) * {2**64}BD + CAST(conv(substring({w}, 49, 16), 16, 10) AS DECIMAL(20,0)) AS DECIMAL(38,0))"
 
 
-def limbs(w: Column) -> Column:
+def limbs(w: str) -> str:
     """Five sums, least significant first: value = sum(limb_j * 10^(18 j)); not carried."""
-    chunks = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substr(w, i * 8 + 1, F.lit(8)), 16, 10).cast("decimal(10,0)"))
-    zero = F.lit(0).cast("decimal(38,0)")
+    chunks = f"transform(sequence(0, 7), i -> CAST(conv(substring({w}, i * 8 + 1, 8), 16, 10) AS DECIMAL(10,0)))"
 
-    def total(weights: list[int]) -> Column:
-        terms = F.zip_with(chunks, F.array(*[F.lit(str(x)).cast("decimal(18,0)") for x in weights]), lambda a, b: (a * b).cast("decimal(38,0)"))
-        return F.aggregate(terms, zero, lambda s, x: (s + x).cast("decimal(38,0)"))
+    def total(weights: list[int]) -> str:
+        listed = ", ".join(f"CAST({x}BD AS DECIMAL(18,0))" for x in weights)
+        return f"aggregate(zip_with({chunks}, array({listed}), (a, b) -> CAST(a * b AS DECIMAL(38,0))), CAST(0 AS DECIMAL(38,0)), (s, x) -> CAST(s + x AS DECIMAL(38,0)))"
 
-    return F.array(*[total(x) for x in _WEIGHTS])
+    return f"array({', '.join(map(total, _WEIGHTS))})"
 
 
-def text_limbs(digits: Column) -> Column:
+def text_limbs(digits: str) -> list[str]:
     """Five limbs, least significant first, of unsigned decimal digits (up to 90)."""
-    wide = F.lpad(digits, 90, "0")
-    return F.array(*[F.substring(wide, 73 - 18 * j, 18).cast("decimal(38,0)") for j in range(5)])
+    return [f"CAST(substring(lpad({digits}, 90, '0'), {73 - 18 * j}, 18) AS DECIMAL(38,0))" for j in range(5)]
 
 
-def render(totals: Column) -> Column:
-    """Decimal digits of a non-negative number given as uncarried limbs."""
-    base = F.lit(str(_BASE)).cast("decimal(20,0)")
-    start = F.struct(F.lit(0).cast("decimal(38,0)").alias("carry"), F.lit("").alias("text"))
+def render(totals: str) -> str:
+    """Decimal digits of a non-negative number given as an array of uncarried limbs."""
+    full = "CAST(limb + acc.carry AS DECIMAL(38,0))"
+    rest = f"pmod({full}, {_BASE}BD)"
+    carry = f"CAST(({full} - {rest}) div {_BASE}BD AS DECIMAL(38,0))"
+    step = f"named_struct('carry', {carry}, 'text', concat(lpad(CAST({rest} AS STRING), 18, '0'), acc.text))"
+    return f"aggregate({totals}, named_struct('carry', CAST(0 AS DECIMAL(38,0)), 'text', ''), (acc, limb) -> {step}, acc -> regexp_replace(concat(CAST(acc.carry AS STRING), acc.text), '^0+(?=.)', ''))"
 
-    def step(acc: Column, limb: Column) -> Column:
-        full = (limb + acc["carry"]).cast("decimal(38,0)")
-        carry = F.floor(full / base).cast("decimal(38,0)")
-        # division rounds at the last of its places: bring the rest back into its range
-        rest = (full - carry * base).cast("decimal(38,0)")
-        carry = F.when(rest < 0, carry - 1).when(rest >= base, carry + 1).otherwise(carry).cast("decimal(38,0)")
-        rest = F.when(rest < 0, rest + base).when(rest >= base, rest - base).otherwise(rest).cast("decimal(18,0)")
-        return F.struct(carry.alias("carry"), F.concat(F.lpad(rest.cast("string"), 18, "0"), acc["text"]).alias("text"))
 
-    return F.aggregate(totals, start, step, lambda acc: F.regexp_replace(F.concat(acc["carry"].cast("string"), acc["text"]), "^0+(?=.)", ""))
+def _unsigned(w: str) -> str:
+    return f"CASE WHEN {_small(w)} THEN CAST({_decimal(w)} AS STRING) ELSE {render(limbs(w))} END"
 
 
-def uint256(w: Column) -> Column:
+def uint256(w: str) -> Column:
     """Decimal digits of an unsigned word."""
-    return F.when(_small(w), _decimal(w).cast("string")).otherwise(render(limbs(w)))
-
-
-def _inverted(w: Column) -> Column:
-    return F.translate(w, "0123456789abcdef", "fedcba9876543210")
+    return F.expr(_unsigned(w))
 
 
-def _plus_one(totals: Column) -> Column:
-    return F.transform(totals, lambda x, i: (x + F.when(i == 0, F.lit(1)).otherwise(F.lit(0)).cast("decimal(1,0)")).cast("decimal(38,0)"))
+def _signed(w: str) -> str:
+    v = f"translate({w}, '0123456789abcdef', 'fedcba9876543210')"
+    one = f"transform({limbs(v)}, (x, i) -> CAST(x + IF(i = 0, 1, 0) AS DECIMAL(38,0)))"
+    below = f"CASE WHEN {_small(v)} THEN CAST(CAST({_decimal(v)} + 1BD AS DECIMAL(38,0)) AS STRING) ELSE {render(one)} END"
+    return f"CASE WHEN substring({w}, 1, 1) >= '8' THEN concat('-', {below}) ELSE {_unsigned(w)} END"
 
 
-def int256(w: Column) -> Column:
+def int256(w: str) -> Column:
     """Decimal digits of a two's-complement word, with a minus sign where negative."""
-    v = _inverted(w)
-    below = F.when(_small(v), (_decimal(v) + F.lit(1).cast("decimal(1,0)")).cast("decimal(38,0)").cast("string")).otherwise(render(_plus_one(limbs(v))))
-    return F.when(F.substring(w, 1, 1) >= "8", F.concat(F.lit("-"), below)).otherwise(uint256(w))
+    return F.expr(_signed(w))
 
 
-def int_small(w: Column) -> Column:
+def int_small(w: str) -> Column:
     """A signed word as BIGINT (ticks and the like); null where it does not fit."""
-    return int256(w).try_cast("bigint")
+    low = f"CAST(conv(substring({w}, 50, 15), 16, 10) AS BIGINT)"
+    # up to 60 bits the low digits say it all; the sign fills what is above
+    return F.expr(f"CASE WHEN substring({w}, 1, 49) = '{'0' * 49}' THEN {low} WHEN substring({w}, 1, 49) = '{'f' * 49}' THEN {low} - {1 << 60} ELSE try_cast({_signed(w)} AS BIGINT) END")
 
 
-def net_uint256(a: Column, b: Column) -> Column:
+def net_uint256(a: str, b: str) -> Column:
     """Decimal digits of a - b for unsigned words, exact over the full range."""
-    plain = (_decimal(a) - _decimal(b)).cast("decimal(38,0)").cast("string")
-    larger, smaller = F.greatest(a, b), F.least(a, b)
-    wide = render(F.zip_with(limbs(larger), limbs(smaller), lambda x, y: (x - y).cast("decimal(38,0)")))
-    signed = F.when(a < b, F.concat(F.lit("-"), wide)).otherwise(wide)
-    return F.when(_small(a) & _small(b), plain).otherwise(signed)
-
-
-def sum_limbs(digits: Column) -> list[Column]:
-    """Aggregates that sum unsigned decimal text limb by limb; put them into ``render(array(...))``."""
-    return [F.sum(F.get(text_limbs(digits), j)).cast("decimal(38,0)") for j in range(5)]
+    plain = f"CAST(CAST({_decimal(a)} - {_decimal(b)} AS DECIMAL(38,0)) AS STRING)"
+    wide = render(f"zip_with({limbs(f'greatest({a}, {b})')}, {limbs(f'least({a}, {b})')}, (x, y) -> CAST(x - y AS DECIMAL(38,0)))")
+    return F.expr(f"CASE WHEN {_small(a)} AND {_small(b)} THEN {plain} WHEN {a} < {b} THEN concat('-', {wide}) ELSE {wide} END")
 
 
-def sum_uint256(digits: Column) -> Column:
-    """Exact sum of unsigned decimal text as decimal text, as one aggregate expression."""
-    return render(F.array(*[F.coalesce(x, F.lit(0).cast("decimal(38,0)")) for x in sum_limbs(digits)]))
+def sum_uint256(digits: str) -> Column:
+    """Exact sum of unsigned decimal text as decimal text, as one aggregate expression; 0 for no rows."""
+    return F.expr(render(f"array({', '.join(f'coalesce(CAST(sum({x}) AS DECIMAL(38,0)), CAST(0 AS DECIMAL(38,0)))' for x in text_limbs(digits))})"))
 
 
 def topic_address(t: Column) -> Column:
@@ -146,18 +133,18 @@ def topic_bool(t: Column) -> Column:
     return strip0x(t).rlike("[^0]")
 
 
-def word_bool(w: Column) -> Column:
-    return w != _ZERO_WORD
+def word_bool(w: str) -> Column:
+    return F.col(w) != _ZERO_WORD
 
 
-def uint_k(w: Column, bits: int) -> Column:
+def uint_k(w: str, bits: int) -> Column:
     """value mod 2^bits where the value fits 64 bits, else 0."""
-    low = F.conv(F.substring(w, 65 - bits // 4, bits // 4), 16, 10).cast("bigint")
-    return F.when(F.substring(w, 1, 48) == "0" * 48, low).otherwise(F.lit(0).cast("bigint"))
+    low = f"CAST(conv(substring({w}, {65 - bits // 4}, {bits // 4}), 16, 10) AS BIGINT)"
+    return F.expr(f"IF(substring({w}, 1, 48) = '{'0' * 48}', {low}, 0L)")
 
 
-def word_hex(w: Column) -> Column:
-    return F.concat(F.lit("0x"), F.regexp_replace(w, "^0+(?=.)", ""))
+def word_hex(w: str) -> Column:
+    return F.expr(f"concat('0x', regexp_replace({w}, '^0+(?=.)', ''))")
 
 
 def number(c: Column) -> Column:

@@ -15,8 +15,8 @@ from ledgerlake.functions.hexwords import sum_uint256
 DAY, HOUR = 86_400, 3_600
 
 
-def _magnitude(amount: str) -> Column:
-    return F.regexp_replace(F.col(amount), "^-", "")
+def _magnitude(amount: str) -> str:
+    return f"regexp_replace({amount}, '^-', '')"
 
 
 def _usd(c: str) -> Column:
@@ -110,7 +110,7 @@ def tick_liquidity(mints: DataFrame, burns: DataFrame) -> DataFrame:
 
 def pool_extras(collects: DataFrame, mints: DataFrame) -> DataFrame:
     """Collected fees and the number of liquidity providers of every pool (exact, in two steps)."""
-    fees = collects.groupBy("pool").agg(sum_uint256(F.col("amount0")).alias("collectedFees0"), sum_uint256(F.col("amount1")).alias("collectedFees1"))
+    fees = collects.groupBy("pool").agg(sum_uint256("amount0").alias("collectedFees0"), sum_uint256("amount1").alias("collectedFees1"))
     providers = mints.select("pool", F.coalesce("owner", "sender").alias("lp")).distinct().groupBy("pool").agg(F.count("*").alias("liquidityProviderCount"))
     return providers.join(fees, "pool", "full")
 
@@ -118,7 +118,7 @@ def pool_extras(collects: DataFrame, mints: DataFrame) -> DataFrame:
 def proposal_tally(votes: DataFrame, proposals: DataFrame | None = None) -> DataFrame:
     """Per (contract, proposal): againstVotes, forVotes, abstainVotes, voters, and the latest status."""
     def weight(k: int) -> Column:
-        return sum_uint256(F.when(F.col("support") == k, F.col("weight")).otherwise("0"))
+        return sum_uint256(f"IF(support = {k}, weight, '0')")
 
     tally = votes.groupBy("contract", "proposal").agg(weight(0).alias("againstVotes"), weight(1).alias("forVotes"), weight(2).alias("abstainVotes"), F.count("*").alias("votes"))
     if proposals is None:
@@ -194,7 +194,7 @@ def market_days(fills: DataFrame, orders: DataFrame) -> DataFrame:
 def utxo_balances(utxos: DataFrame, spent: DataFrame) -> DataFrame:
     """Per address: the sum of amounts of outputs that ``spent`` does not name."""
     left = utxos.join(spent.select("id").distinct(), "id", "left_anti")
-    return left.groupBy("address").agg(sum_uint256(F.col("amount")).alias("balance"), F.count("*").alias("outputs"))
+    return left.groupBy("address").agg(sum_uint256("amount").alias("balance"), F.count("*").alias("outputs"))
 
 
 def event_counts(events: DataFrame, *by: str) -> DataFrame:

@@ -383,5 +383,5 @@ def utxo_balances(spark: SparkSession, sf: str) -> DataFrame:
 @_query(f"SELECT CAST({_CENTS('o_totalprice')}::HUGEINT * 18446744073709551616::HUGEINT + o_orderkey AS VARCHAR) AS value, CAST(o_orderkey AS BIGINT) AS order_key FROM orders")
 def uint256_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Words over 64 bits through the path for values of any size."""
-    w = synth.wide_word(synth.cents(F.col("o_totalprice")), F.col("o_orderkey"))
-    return synth.table(spark, sf, "orders").select(hx.render(hx.limbs(w)).alias("value"), F.col("o_orderkey").cast("bigint").alias("order_key"))
+    rows = synth.table(spark, sf, "orders").withColumn("w", synth.wide_word(synth.cents(F.col("o_totalprice")), F.col("o_orderkey")))
+    return rows.select(F.expr(hx.render(hx.limbs("w"))).alias("value"), F.col("o_orderkey").cast("bigint").alias("order_key"))
