@@ -1,15 +1,18 @@
 """Byte-level BPE encoding and decoding by a global distinct-word shuffle.
 
-Each task cuts its documents into pre-tokens and notes, for a chunk of documents, the distinct words
-and at which positions they stand (as an index array). The words are exploded and shuffled; each
-distinct word of the whole corpus is encoded once; its ids join the token-byte table for decoding;
-ids and bytes are joined back to the chunks, and every document is reassembled by position. What is
-shuffled is a chunk's distinct words, not its text.
+Each task explodes its documents into pre-tokens and notes, for a chunk of documents, the distinct
+words and at which positions they stand (as an array). The words are shuffled by hash, so that each
+distinct word of the whole corpus meets itself and is encoded once; its ids are joined back to the
+chunks, and every document is reassembled by position. For decoding, the ids join the token-byte
+table. What is shuffled is a chunk's distinct words, in compressed blocks, not its text.
 """
 
 from __future__ import annotations
 
 import base64
+import itertools
+import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,12 +39,30 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def pretoken_chunks(docs: DataFrame, pattern: str, chunk_bytes: int) -> DataFrame:
-    """Chunks of documents: chunk, doc_ids, lengths (pre-tokens of each), places, words.
+def _bucket(word: bytes, buckets: int) -> int:
+    return zlib.crc32(word) * buckets >> 32
 
-    ``places`` holds, for every pre-token in order, the index of its word in ``words``.
+
+def _packed_words(words: list[bytes]) -> bytes:
+    sizes = np.fromiter(map(len, words), np.uint32, len(words))
+    return zstandard.ZstdCompressor(3).compress(sizes.tobytes() + b"".join(words))
+
+
+def _unpacked_words(raw: bytes, n: int) -> list[bytes]:
+    flat = zstandard.ZstdDecompressor().decompress(raw)
+    ends = (np.cumsum(np.frombuffer(flat, np.uint32, n)) + 4 * n).tolist()
+    return [flat[a:b] for a, b in zip([4 * n, *ends], ends, strict=False)]
+
+
+def pretoken_chunks(docs: DataFrame, pattern: str, chunk_bytes: int, buckets: int) -> DataFrame:
+    """Chunks of documents and, for each, its distinct words by bucket of the hash space.
+
+    A row without a bucket is a chunk: doc_ids, lengths (pre-tokens of each document), and ``places``,
+    for every pre-token in order the position of its word. A row with a bucket holds ``n`` distinct
+    words; a chunk's words are numbered bucket by bucket, in the order in which they stand there.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    names = ["chunk", "bucket", "doc_ids", "lengths", "places", "n", "words"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, pack, made = regex.compile(pattern).findall, zstandard.ZstdCompressor(3), 0
@@ -50,15 +71,22 @@ def pretoken_chunks(docs: DataFrame, pattern: str, chunk_bytes: int) -> DataFram
         lengths: list[int] = []
         places: list[np.ndarray] = []
         words: dict[str, int] = {}
-        size = 0
-        schema = None
-
-        def flush() -> pa.RecordBatch:
-            raw = pack.compress(np.concatenate([np.zeros(0, np.uint32), *places]).tobytes())
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made], pa.int64()), pa.array([ids], pa.list_(schema)), pa.array([lengths], pa.list_(pa.int64())), pa.array([raw], pa.binary()), pa.array([list(words)], pa.list_(pa.string()))], ["chunk", "doc_ids", "lengths", "places", "words"])
+        size, kind = 0, None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            chunk = (part << 32) + made
+            listed = sorted((_bucket(raw := w.encode("utf-8", "surrogatepass"), buckets), raw, k) for w, k in words.items())
+            number = np.empty(len(listed), np.uint32)
+            number[np.fromiter((k for *_, k in listed), np.int64, len(listed))] = np.arange(len(listed), dtype=np.uint32)
+            flat = number[np.concatenate([np.zeros(0, np.uint32), *places])]
+            groups = [(b, [w for _, w, _ in own]) for b, own in itertools.groupby(listed, key=lambda x: x[0])]
+            rows = [(chunk, None, ids, lengths, pack.compress(flat.tobytes()), None, None)]
+            rows += [(chunk, b, None, None, None, len(own), _packed_words(own)) for b, own in groups]
+            kinds = (pa.int64(), pa.int64(), pa.list_(kind), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         for batch in batches:
-            schema = batch.column("doc_id").type
+            kind = batch.column("doc_id").type
             for ident, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 text = text.as_py() or ""
                 found = find(text)
@@ -67,28 +95,47 @@ def pretoken_chunks(docs: DataFrame, pattern: str, chunk_bytes: int) -> DataFram
                 places.append(np.fromiter((words.setdefault(w, len(words)) for w in found), np.uint32, len(found)))
                 size += len(text)
                 if size >= chunk_bytes:
-                    yield flush()
+                    yield from flush()
                     ids, lengths, places, words, size, made = [], [], [], {}, 0, made + 1
         if ids:
-            yield flush()
+            yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(cut, f"chunk long, doc_ids array<{id_type}>, lengths array<long>, places binary, words array<string>")
+    return docs.select("doc_id", "text").mapInArrow(cut, f"chunk long, bucket long, doc_ids array<{id_type}>, lengths array<long>, places binary, n long, words binary")
 
 
 def encode_words(words: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """word -> ids array<int>: every row is one pre-token, encoded as one piece."""
+    """Each distinct word of a bucket is encoded once, as one piece; every chunk gets the ids of its own.
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = _encoding(ranks_path, pattern)._encode_single_piece
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array([piece(w) for w in batch.column("word").to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
+    Returns of_chunk, bucket, n, sizes (ids of each word) and ids. A word costs a bucket one entry
+    per chunk that holds it, however often it stands there.
+    """
 
-    return words.mapInArrow(encode, "word string, ids array<int>")
+    def encode(blocks: pa.Table) -> pa.Table:
+        piece, known, out = _encoding(ranks_path, pattern)._encode_single_piece, {}, []
+        pack = zstandard.ZstdCompressor(3)
+        for chunk, bucket, n, raw in zip(*(blocks.column(c).to_pylist() for c in ("chunk", "bucket", "n", "words")), strict=True):
+            got = []
+            for w in _unpacked_words(raw, n):
+                ids = known.get(w)
+                if ids is None:
+                    known[w] = ids = array("I", piece(w))
+                got.append(ids)
+            sizes = np.fromiter(map(len, got), np.uint32, n)
+            out.append((chunk, bucket, n, pack.compress(sizes.tobytes()), pack.compress(b"".join(got))))
+        columns = list(zip(*out, strict=True)) if out else [()] * 5
+        return pa.table({k: pa.array(c, t) for k, c, t in zip(("of_chunk", "bucket", "n", "sizes", "ids"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
 
+    return words.groupBy("bucket").applyInArrow(encode, "of_chunk long, bucket long, n long, sizes binary, ids binary")
 
-def token_table(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """The token-byte table (id, bytes): as many rows as the tokenizer has ranks, whatever the corpus."""
-    return docs.sparkSession.createDataFrame(pa.table({"id": pa.array(list((r := read_ranks(ranks_path)).values()), pa.int32()), "bytes": pa.array(list(r), pa.binary())}))
+
+@lru_cache(maxsize=2)
+def token_table(ranks_path: str) -> list[bytes]:
+    """The token-byte table by id: as many rows as the tokenizer has ranks, whatever the corpus."""
+    ranks = read_ranks(ranks_path)
+    table = [b""] * (max(ranks.values()) + 1)
+    for token, k in ranks.items():
+        table[k] = token
+    return table
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, chunk_bytes: int = 24_000_000) -> DataFrame:
@@ -96,43 +143,38 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, chunk_bytes: i
 
     Null and empty texts have no ids and decode to nothing. Repeated rows give repeated results.
     """
-    chunks = staged(pretoken_chunks(docs, pattern, chunk_bytes))
-    spread = chunks.select("chunk", F.posexplode("words").alias("at", "word"))
-    distinct = encode_words(spread.select("word").distinct(), ranks_path, pattern)
-    pieces = distinct.select("word", F.posexplode("ids").alias("k", "id"))
-    # broadcast: the vocabulary bounds the token table (some 50,000 short rows)
-    spelled = pieces.join(F.broadcast(token_table(docs, ranks_path)), "id")
-    known = spelled.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("k", "id", "bytes"))).alias("p"))
-    known = known.select("word", F.col("p.id").alias("ids"), F.expr("aggregate(p.bytes, cast('' as binary), (a, b) -> concat(a, b))").alias("bytes"))
-    back = spread.join(known, "word").select(F.col("chunk").alias("of_chunk"), "at", "ids", "bytes")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = staged(pretoken_chunks(docs, pattern, chunk_bytes, buckets))
+    back = encode_words(rows.where("bucket IS NOT NULL").select("chunk", "bucket", "n", "words"), ranks_path, pattern)
+    chunks = rows.where("bucket IS NULL").select("chunk", "doc_ids", "lengths", "places")
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def reassemble(chunk: pa.Table, words: pa.Table) -> pa.Table:
-        if not chunk.num_rows:
-            return pa.table({"doc_id": pa.array([], chunk.schema.field("doc_ids").type.value_type), "n_tokens": pa.array([], pa.int64()), "ids": pa.array([], pa.binary()), "decoded": pa.array([], pa.binary())})
-        order = np.argsort(words.column("at").to_numpy())
-        ids = words.column("ids").combine_chunks().take(pa.array(order)) if len(order) else pa.array([], pa.list_(pa.int32()))
-        text = words.column("bytes").combine_chunks().take(pa.array(order)) if len(order) else pa.array([], pa.binary())
-        starts, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
-        spelling = text.to_pylist()
-        sizes = np.diff(starts)
-        out_ids, out_text, counts = [], [], []
-        docs_ = chunk.column("doc_ids")[0].as_py()
-        place = np.frombuffer(zstandard.ZstdDecompressor().decompress(chunk.column("places")[0].as_py()), np.uint32)
-        at = 0
-        for n in chunk.column("lengths")[0].as_py():
-            own = place[at : at + n]
-            at += n
-            size = sizes[own]
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if n else 0
-            got = flat[np.arange(total) + np.repeat(starts[own] - (ends - size), size)]
-            out_ids.append(got.tobytes())
-            out_text.append(b"".join([spelling[k] for k in own.tolist()]))
-            counts.append(total)
-        return pa.table({"doc_id": pa.array(docs_, chunk.schema.field("doc_ids").type.value_type), "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array(out_ids, pa.binary()), "decoded": pa.array(out_text, pa.binary())})
-
-    return chunks.select("chunk", "doc_ids", "lengths", "places").groupBy("chunk").cogroup(back.groupBy("of_chunk")).applyInArrow(reassemble, f"doc_id {id_type}, n_tokens long, ids binary, decoded binary")
+        kind = chunk.schema.field("doc_ids").type.value_type
+        out_ids, out_text, counts, held = [], [], [], []
+        if chunk.num_rows:
+            unpack, table = zstandard.ZstdDecompressor().decompress, token_table(ranks_path)
+            words = words.sort_by("bucket")
+            sizes = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(unpack(x), np.uint32) for x in words.column("sizes").to_pylist())]).astype(np.int64)
+            flat = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(unpack(x), "<u4") for x in words.column("ids").to_pylist())])
+            starts = np.cumsum(sizes) - sizes
+            # the token-byte table joins the ids of each distinct word of the chunk, once
+            tokens = [table[k] for k in flat.tolist()]
+            spelling = [b"".join(tokens[a : a + n]) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+            place = np.frombuffer(unpack(chunk.column("places")[0].as_py()), np.uint32)
+            held, at = chunk.column("doc_ids")[0].as_py(), 0
+            for n in chunk.column("lengths")[0].as_py():
+                own = place[at : at + n]
+                at += n
+                size = sizes[own]
+                ends = np.cumsum(size)
+                total = int(ends[-1]) if n else 0
+                out_ids.append(flat[np.arange(total) + np.repeat(starts[own] - (ends - size), size)].tobytes())
+                out_text.append(b"".join([spelling[k] for k in own.tolist()]))
+                counts.append(total)
+        return pa.table({"doc_id": pa.array(held, kind), "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array(out_ids, pa.binary()), "decoded": pa.array(out_text, pa.binary())})
+
+    return chunks.groupBy("chunk").cogroup(back.groupBy("of_chunk")).applyInArrow(reassemble, f"doc_id {id_type}, n_tokens long, ids binary, decoded binary")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
