@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import lines, packing, quality, simhash, substrings
-from ledgerlake.llm.common import fresh, read_table, staged
+from ledgerlake.llm.common import bounded_batches, fresh, read_table, staged
 
 ACCEPT = 0.7
 
@@ -27,23 +27,27 @@ def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks of lines go but for their first occurrence; documents left without text go too."""
+    bounded_batches(spark)
     kept = lines.dedup_lines(docs)
     return kept.where(F.col("text").isNull() | (F.col("text") != ""))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near-duplicates (five-word shingles, similarity 0.8)."""
+    bounded_batches(spark)
     return simhash.keep_one_of_each_group(docs, shingle=5, similarity=0.8)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that start anywhere else are cut out; documents left without text go."""
+    bounded_batches(spark)
     kept = substrings.drop_repeats_from_texts(docs, window=50)
     return kept.where(F.col("text").isNull() | (F.col("text") != ""))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences of 4096; every document's tokens and an end token."""
+    bounded_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=False).drop("ids")
 
 

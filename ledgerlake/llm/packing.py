@@ -89,7 +89,7 @@ class WordEncoder:
     Words in Latin letters go through the piece table, all others through the tokenizer itself.
     """
 
-    def __init__(self, path: str, most_words: int = 800_000):
+    def __init__(self, path: str, most_words: int = 400_000):
         import json
 
         from tokenizers import Tokenizer

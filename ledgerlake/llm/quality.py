@@ -48,7 +48,7 @@ class _Buckets(dict):
         self.mask = (1 << bits) - 1
 
     def __missing__(self, token: str) -> tuple[int, int]:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         case = "U" if token.isupper() else "l" if token.islower() else "T" if token.istitle() else "m"
         kind = case if token[0].isalpha() else "9" if token[0].isdigit() else "n" if token == "\n" else "p"
