@@ -43,9 +43,21 @@ def _bucket(word: bytes, buckets: int) -> int:
     return zlib.crc32(word) * buckets >> 32
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, byte planes apart, with matches over the whole length (copies of documents)."""
+    wide = zstandard.ZstdCompressionParameters.from_level(6, enable_ldm=True, window_log=25)
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(compression_params=wide).compress(planes.tobytes())
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor(max_window_size=1 << 27).decompress(raw), np.uint8)
+    return np.ascontiguousarray(flat.reshape(4, -1).T).view("<u4").reshape(-1)
+
+
 def _packed_words(words: list[bytes]) -> bytes:
     sizes = np.fromiter(map(len, words), np.uint32, len(words))
-    return zstandard.ZstdCompressor(3).compress(sizes.tobytes() + b"".join(words))
+    return zstandard.ZstdCompressor(6).compress(sizes.tobytes() + b"".join(words))
 
 
 def _unpacked_words(raw: bytes, n: int) -> list[bytes]:
@@ -57,15 +69,15 @@ def _unpacked_words(raw: bytes, n: int) -> list[bytes]:
 def pretoken_chunks(docs: DataFrame, pattern: str, chunk_bytes: int, buckets: int) -> DataFrame:
     """Chunks of documents and, for each, its distinct words by bucket of the hash space.
 
-    A row without a bucket is a chunk: doc_ids, lengths (pre-tokens of each document), and ``places``,
-    for every pre-token in order the position of its word. A row with a bucket holds ``n`` distinct
-    words; a chunk's words are numbered bucket by bucket, in the order in which they stand there.
+    A row without a bucket is a chunk: doc_ids, lengths (pre-tokens of each document), ``places``, for
+    every pre-token in order the number of its word, and in ``words`` the bucket of each number. A row
+    with a bucket holds its ``n`` distinct words, in the order of their numbers.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     names = ["chunk", "bucket", "doc_ids", "lengths", "places", "n", "words"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, pack, made = regex.compile(pattern).findall, zstandard.ZstdCompressor(3), 0
+        find, made = regex.compile(pattern).findall, 0
         part = TaskContext.get().partitionId()
         ids: list = []
         lengths: list[int] = []
@@ -75,12 +87,15 @@ def pretoken_chunks(docs: DataFrame, pattern: str, chunk_bytes: int, buckets: in
 
         def flush() -> Iterator[pa.RecordBatch]:
             chunk = (part << 32) + made
-            listed = sorted((_bucket(raw := w.encode("utf-8", "surrogatepass"), buckets), raw, k) for w, k in words.items())
-            number = np.empty(len(listed), np.uint32)
-            number[np.fromiter((k for *_, k in listed), np.int64, len(listed))] = np.arange(len(listed), dtype=np.uint32)
-            flat = number[np.concatenate([np.zeros(0, np.uint32), *places])]
-            groups = [(b, [w for _, w, _ in own]) for b, own in itertools.groupby(listed, key=lambda x: x[0])]
-            rows = [(chunk, None, ids, lengths, pack.compress(flat.tobytes()), None, None)]
+            flat = np.concatenate([np.zeros(0, np.uint32), *places])
+            listed = [w.encode("utf-8", "surrogatepass") for w in words]
+            # words are numbered by how often they stand in the chunk, which packs the places best
+            order = np.argsort(-np.bincount(flat, minlength=len(listed)), kind="stable")
+            rank = np.empty(len(listed), np.uint32)
+            rank[order] = np.arange(len(listed), dtype=np.uint32)
+            of = np.fromiter((_bucket(listed[k], buckets) for k in order.tolist()), np.uint32, len(listed))
+            groups = [(b, [listed[order[k]] for k in np.flatnonzero(of == b).tolist()]) for b in np.unique(of).tolist()]
+            rows = [(chunk, None, ids, lengths, _packed(rank[flat]), len(listed), _packed(of))]
             rows += [(chunk, b, None, None, None, len(own), _packed_words(own)) for b, own in groups]
             kinds = (pa.int64(), pa.int64(), pa.list_(kind), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -112,7 +127,6 @@ def encode_words(words: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def encode(blocks: pa.Table) -> pa.Table:
         piece, known, out = _encoding(ranks_path, pattern)._encode_single_piece, {}, []
-        pack = zstandard.ZstdCompressor(3)
         for chunk, bucket, n, raw in zip(*(blocks.column(c).to_pylist() for c in ("chunk", "bucket", "n", "words")), strict=True):
             got = []
             for w in _unpacked_words(raw, n):
@@ -121,7 +135,7 @@ def encode_words(words: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                     known[w] = ids = array("I", piece(w))
                 got.append(ids)
             sizes = np.fromiter(map(len, got), np.uint32, n)
-            out.append((chunk, bucket, n, pack.compress(sizes.tobytes()), pack.compress(b"".join(got))))
+            out.append((chunk, bucket, n, _packed(sizes), _packed(np.frombuffer(b"".join(got), "<u4"))))
         columns = list(zip(*out, strict=True)) if out else [()] * 5
         return pa.table({k: pa.array(c, t) for k, c, t in zip(("of_chunk", "bucket", "n", "sizes", "ids"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
 
@@ -138,7 +152,7 @@ def token_table(ranks_path: str) -> list[bytes]:
     return table
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, chunk_bytes: int = 24_000_000) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, chunk_bytes: int = 32_000_000) -> DataFrame:
     """doc_id, n_tokens, ids (uint32 little-endian binary), decoded (binary), one row per document.
 
     Null and empty texts have no ids and decode to nothing. Repeated rows give repeated results.
@@ -146,22 +160,25 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, chunk_bytes: i
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = staged(pretoken_chunks(docs, pattern, chunk_bytes, buckets))
     back = encode_words(rows.where("bucket IS NOT NULL").select("chunk", "bucket", "n", "words"), ranks_path, pattern)
-    chunks = rows.where("bucket IS NULL").select("chunk", "doc_ids", "lengths", "places")
+    chunks = rows.where("bucket IS NULL").select("chunk", "doc_ids", "lengths", "places", "words")
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def reassemble(chunk: pa.Table, words: pa.Table) -> pa.Table:
         kind = chunk.schema.field("doc_ids").type.value_type
         out_ids, out_text, counts, held = [], [], [], []
         if chunk.num_rows:
-            unpack, table = zstandard.ZstdDecompressor().decompress, token_table(ranks_path)
+            table = token_table(ranks_path)
             words = words.sort_by("bucket")
-            sizes = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(unpack(x), np.uint32) for x in words.column("sizes").to_pylist())]).astype(np.int64)
-            flat = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(unpack(x), "<u4") for x in words.column("ids").to_pylist())])
+            sizes = np.concatenate([np.zeros(0, np.uint32), *(_unpacked(x) for x in words.column("sizes").to_pylist())]).astype(np.int64)
+            flat = np.concatenate([np.zeros(0, "<u4"), *(_unpacked(x) for x in words.column("ids").to_pylist())])
             starts = np.cumsum(sizes) - sizes
+            listed = np.argsort(_unpacked(chunk.column("words")[0].as_py()), kind="stable")  # numbers, bucket by bucket
+            number = np.empty(len(listed), np.int64)
+            number[listed] = np.arange(len(listed))
             # the token-byte table joins the ids of each distinct word of the chunk, once
             tokens = [table[k] for k in flat.tolist()]
             spelling = [b"".join(tokens[a : a + n]) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-            place = np.frombuffer(unpack(chunk.column("places")[0].as_py()), np.uint32)
+            place = number[_unpacked(chunk.column("places")[0].as_py())]
             held, at = chunk.column("doc_ids")[0].as_py(), 0
             for n in chunk.column("lengths")[0].as_py():
                 own = place[at : at + n]
