@@ -49,7 +49,7 @@ def _small(w: str) -> str:
 
 def _decimal(w: str) -> str:
     """DECIMAL(38, 0) of a word under 2^124."""
-    return f"CAST(CAST(conv(substring({w}, 34, 15), 16, 10) AS DECIMAL(18,0)) * {2**64}BD + CAST(conv(substring({w}, 49, 16), 16, 10) AS DECIMAL(20,0)) AS DECIMAL(38,0))"
+    return f"CAST(CAST(conv(substring({w}, 34, 15), 16, 10) AS DECIMAL(19,0)) * {2**64}BD + CAST(conv(substring({w}, 49, 16), 16, 10) AS DECIMAL(20,0)) AS DECIMAL(38,0))"
 
 
 def limbs(w: str) -> str:

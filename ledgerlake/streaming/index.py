@@ -61,13 +61,17 @@ def index_stream(raw: DataFrame, decoders: Mapping[str, Callable[[DataFrame], Da
     return writer.trigger(processingTime=f"{seconds} seconds").start() if seconds else writer.trigger(availableNow=True).start()
 
 
-def hourly_rollup(swaps: DataFrame, late: str = "2 hours", seconds: int = HOUR) -> DataFrame:
-    """Streaming volume and count per pool and window; ``swaps`` has ``timestamp`` in unix seconds."""
-    timed = swaps.withColumn("at", F.timestamp_seconds("timestamp")).withWatermark("at", late)
-    rows = timed.groupBy(F.window("at", f"{seconds} seconds"), "pool").agg(F.count("*").alias("txCount"), F.sum(F.abs(F.col("amountUSD").try_cast("decimal(28,6)"))).alias("volumeUSD"))
-    return rows.select("pool", F.unix_timestamp("window.start").alias("periodStartUnix"), "txCount", "volumeUSD")
+def watermarked(swaps: DataFrame, late: str = "2 hours") -> DataFrame:
+    """``at`` from ``timestamp`` (unix seconds), with a watermark; the two functions below take such a stream."""
+    return swaps.withColumn("at", F.timestamp_seconds("timestamp")).withWatermark("at", late)
 
 
-def drop_replays(swaps: DataFrame, late: str = "2 hours") -> DataFrame:
+def drop_replays(swaps: DataFrame) -> DataFrame:
     """Rows of an append-only stream once per id, within the watermark."""
-    return swaps.withColumn("at", F.timestamp_seconds("timestamp")).withWatermark("at", late).dropDuplicatesWithinWatermark(["id"])
+    return swaps.dropDuplicatesWithinWatermark(["id"])
+
+
+def hourly_rollup(swaps: DataFrame, seconds: int = HOUR) -> DataFrame:
+    """Streaming volume and count per pool and window."""
+    rows = swaps.groupBy(F.window("at", f"{seconds} seconds"), "pool").agg(F.count("*").alias("txCount"), F.sum(F.abs(F.col("amountUSD").try_cast("decimal(28,6)"))).alias("volumeUSD"))
+    return rows.select("pool", F.unix_timestamp("window.start").alias("periodStartUnix"), "txCount", "volumeUSD")
