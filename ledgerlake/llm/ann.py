@@ -105,13 +105,14 @@ def distinct_vectors(table: DataFrame, ident: str, vector: str, keep: int) -> Da
     return parts.groupBy("vec").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep).alias("ids"))
 
 
-def nearest(table: DataFrame, ident: str = "vec_id", vector: str = "embedding", every: int = 50, k: int = 5, trees: int = 8, leaf_rows: int = 512, leaves: int = 48, sample_rows: int = 16_000, seed: int = 5) -> DataFrame:
+def nearest(table: DataFrame, ident: str = "vec_id", vector: str = "embedding", every: int = 50, k: int = 5, trees: int = 8, leaf_rows: int = 512, leaves: int | None = None, sample_rows: int = 16_000, seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` rows of largest cosine for each row whose id is divisible by ``every``.
 
     Candidates are all rows but the query's own (a copy under another id counts). Nearest first, ties
     to the smaller id. Vectors that are null, empty, zero, or hold null or non-finite components take
     no part; vectors of another length than most are left out too. A repeated id counts once.
-    The sample of ``sample_rows`` shapes the trees only; every vector is indexed.
+    The sample of ``sample_rows`` shapes the trees only; every vector is indexed. ``leaves`` are taken
+    for each query, by default 16 for every level of the trees, so that the search widens with the table.
     """
     spark = table.sparkSession
     vectors = distinct_vectors(table, ident, vector, k + 1)
@@ -126,6 +127,7 @@ def nearest(table: DataFrame, ident: str = "vec_id", vector: str = "embedding",
     sample = np.frombuffer(b"".join(found), "<f8").reshape(-1, width // 8)
     sample = sample / np.linalg.norm(sample, axis=1, keepdims=True) if len(sample) else sample
     depth = int(np.clip(np.ceil(np.log2(max(1, n) / leaf_rows)), 0, 60))
+    leaves = leaves or 16 * (depth + 1)
     # broadcast: trees over the bounded sample, whatever the number of rows
     forest = spark.sparkContext.broadcast([ProjectionTree(sample, depth, seed + t) for t in range(trees)])
 
