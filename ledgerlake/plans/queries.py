@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,25 +10,13 @@ from ledgerlake.decode import amm, defi, securities
 from ledgerlake.functions import hexwords as hx
 from ledgerlake.operators import enrich, entities, query, rollups, snapshots
 from ledgerlake.operators.upsert import latest_by_key, upsert, upsert_entities
+from ledgerlake.plans.registry import ADDRESS as _A
+from ledgerlake.plans.registry import CENTS as _CENTS
+from ledgerlake.plans.registry import TOPIC as _T
+from ledgerlake.plans.registry import query as _query
 from ledgerlake.sources import logs as lg
 from ledgerlake.sources import synth
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def _query(sql: str):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-_A = "('0x' || format('{{:040x}}', CAST({} AS BIGINT)))".format
-_T = "('0x' || format('{{:064x}}', CAST({} AS BIGINT)))".format
-_CENTS = "CAST(round({} * 100) AS BIGINT)".format
 _SWAP_ID = f"{_T('l_orderkey')} || '#0x' || format('{{:x}}', l_linenumber)"
 #: All decoded swaps, and u: the last of each id.
 _SWAPS = f"""s AS (
