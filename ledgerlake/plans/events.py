@@ -164,9 +164,9 @@ def decode_pauses(spark: SparkSession, sf: str) -> DataFrame:
     return securities.transfer_agent_actions(logs).select("id", "kind", "user", F.col("lostWallet").alias("lost"), F.col("newWallet").alias("new"), F.col("investorOnchainID").alias("investor"))
 
 
-@_query(f"WITH {_events(3)}, c AS (SELECT 'paused' AS kind, arg_max(s, k) AS s, max(k) AS k FROM e WHERE s < 2) SELECT {ADDRESS(12)} AS token, k AS block_number FROM c WHERE s = 0")
+@_query(f"WITH {_events(3)} SELECT {ADDRESS('w5 % 20')} AS token, max(k) AS block_number FROM e WHERE s < 2 GROUP BY 1 HAVING arg_max(s, k) = 0")
 def paused_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    logs = synth.order_logs(spark, sf, t.PAUSED, t.UNPAUSED, t.RECOVERY_SUCCESS)
+    logs = synth.order_logs(spark, sf, t.PAUSED, t.UNPAUSED, t.RECOVERY_SUCCESS, contract=F.col("o_custkey") % 20)
     return snapshots.paused_tokens(securities.transfer_agent_actions(logs)).select("token", "block_number")
 
 
@@ -300,7 +300,7 @@ def token_hours(spark: SparkSession, sf: str) -> DataFrame:
 
 # Get operators
 
-_SWAP = f"0x{1:064x}#0x4"
+_SWAP = f"0x{1:064x}#0x2"
 
 
 @_query(f"""WITH {_SWAPS} SELECT 'token' AS part, {ADDRESS('s_suppkey')} AS id FROM supplier WHERE s_suppkey = 3 UNION ALL SELECT 'pool', pool FROM pl WHERE p_partkey = 5

@@ -117,7 +117,7 @@ def dao_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise(raw(rows, addr(F.lit(11)), [signature, topic(who), topic(F.col("o_custkey") % 3)], [word(price), word(F.col("o_custkey") % 5), word(F.lit(3))], F.col("o_orderkey"), topic(F.col("o_orderkey")), F.lit(0)))
 
 
-def order_logs(spark: SparkSession, sf_dir: str, *signatures: str, contract: int = 12) -> DataFrame:
+def order_logs(spark: SparkSession, sf_dir: str, *signatures: str, contract: Column | int = 12) -> DataFrame:
     """Orders as events of the given signatures, dealt by the order key's remainder.
 
     All have the same layout, which covers what every decoder reads: three topics and seven words, of
@@ -127,7 +127,7 @@ def order_logs(spark: SparkSession, sf_dir: str, *signatures: str, contract: int
     signature = F.element_at(F.array(*map(F.lit, signatures)), (key % len(signatures) + 1).cast("int"))
     topics = [signature, topic(customer % 100), topic(customer % 7), topic(key % 3)]
     data = [word(customer % 50), word(price), word(key), wide_word(price, key), word(-(key % 50)), word(customer), word(customer + 10)]
-    return normalise(raw(table(spark, sf_dir, "orders"), addr(F.lit(contract)), topics, data, key, topic(key), F.lit(0)))
+    return normalise(raw(table(spark, sf_dir, "orders"), addr(contract if isinstance(contract, Column) else F.lit(contract)), topics, data, key, topic(key), F.lit(0)))
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
