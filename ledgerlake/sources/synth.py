@@ -13,6 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a scan in fewer partitions than the session has cores, dealt to all of them.
+
+    Encoding and decoding cost far more than reading, and a small file may be a single row group. A
+    scan that fills the cores by itself, as any large one does, is left as it is, without a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def word(x: Column) -> Column:
     """64 hex digits of a BIGINT, in two's complement where negative."""
     digits = F.lower(F.hex(x.cast("bigint")))
@@ -51,31 +61,31 @@ def _line(rows: DataFrame, signature: Column | str, topics: list[Column], data:
 
 def swap_v2_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = word(F.lit(0))
-    return _line(table(spark, sf_dir, "lineitem"), t.SWAP_V2, [topic(F.col("l_suppkey"))] * 2, [word(F.col("l_quantity").cast("bigint")), zero, zero, word(cents(F.col("l_extendedprice")))])
+    return _line(spread(table(spark, sf_dir, "lineitem")), t.SWAP_V2, [topic(F.col("l_suppkey"))] * 2, [word(F.col("l_quantity").cast("bigint")), zero, zero, word(cents(F.col("l_extendedprice")))])
 
 
 def swap_v3_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """amount0 is negative, amount1 over 64 bits."""
-    return _line(table(spark, sf_dir, "lineitem"), t.SWAP_V3, [topic(F.col("l_suppkey"))] * 2, [word(-F.col("l_quantity").cast("bigint")), wide_word(cents(F.col("l_extendedprice")), F.col("l_partkey"))])
+    return _line(spread(table(spark, sf_dir, "lineitem")), t.SWAP_V3, [topic(F.col("l_suppkey"))] * 2, [word(-F.col("l_quantity").cast("bigint")), wide_word(cents(F.col("l_extendedprice")), F.col("l_partkey"))])
 
 
 def swap_v4_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = [word(-F.col("l_quantity").cast("bigint")), word(cents(F.col("l_extendedprice"))), wide_word(F.col("l_suppkey"), F.col("l_partkey")), word(F.col("l_orderkey")), word(F.col("l_linenumber") - 4)]
-    return _line(table(spark, sf_dir, "lineitem"), t.SWAP_V4, [topic(F.col("l_partkey")), topic(F.col("l_suppkey"))], data)
+    return _line(spread(table(spark, sf_dir, "lineitem")), t.SWAP_V4, [topic(F.col("l_partkey")), topic(F.col("l_suppkey"))], data)
 
 
 def liquidity_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Returned lines burn, all others mint, between two ticks."""
     qty, low = F.col("l_quantity").cast("bigint"), F.col("l_linenumber") * 60 - 180
     ticks = [topic(F.col("l_suppkey")), topic(low), topic(low + 60)]
-    rows = table(spark, sf_dir, "lineitem")
+    rows = spread(table(spark, sf_dir, "lineitem"))
     mints = _line(rows.where("l_returnflag <> 'R'"), t.MINT_V3, ticks, [word(F.col("l_suppkey")), word(qty), word(qty * 2), word(cents(F.col("l_extendedprice")))])
     burns = _line(rows.where("l_returnflag = 'R'"), t.BURN_V3, ticks, [word(qty), word(qty * 2), word(cents(F.col("l_extendedprice")))])
     return mints.unionByName(burns)
 
 
 def sync_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _line(table(spark, sf_dir, "lineitem"), t.SYNC, [], [word(F.col("l_quantity").cast("bigint")), word(cents(F.col("l_extendedprice")))])
+    return _line(spread(table(spark, sf_dir, "lineitem")), t.SYNC, [], [word(F.col("l_quantity").cast("bigint")), word(cents(F.col("l_extendedprice")))])
 
 
 def pool_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
