@@ -245,8 +245,9 @@ def keep_one_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float
 
     Two texts link where the Jaccard similarity of their word shingles, as their fingerprints tell
     it, is ``similarity`` or more: for binary sets the cosine is 2J / (1 + J), and fingerprints
-    differ in a share of bits equal to the angle / pi. Candidates are found on 64 bits with two
-    standard deviations of slack and checked on 256 bits. Of rows with equal ids, or null ids (last),
+    differ in a share of bits equal to the angle / pi. Candidates are found on 64 bits with 1.2
+    standard deviations of slack and checked on 256 bits with half a deviation, so that pairs close to
+    ``similarity`` may fall on either side. Of rows with equal ids, or null ids (last),
     one stays. Texts without words, null ones included, form one group. Sizes of shingle sets prune:
     a set's size is its distance to the empty set, a vantage point that all documents share.
     """
