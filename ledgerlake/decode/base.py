@@ -25,8 +25,8 @@ WORDS, TOPICS = 7, 4
 
 def with_words(logs: DataFrame) -> DataFrame:
     """Data words and topics as columns of 64 hex digits, cut once for all that reads them; unread ones are pruned."""
-    words = {f"_w{i}": hx.word(F.col("data"), i) for i in range(WORDS)}
-    return logs.withColumns(words | {f"_t{i}": hx.topic_word(topic(i)) for i in range(1, TOPICS)})
+    words = {f"_w{i}": hx.cut_word(F.col("_digits"), i) for i in range(WORDS)}
+    return logs.withColumn("_digits", hx.digits(F.col("data"))).withColumns(words | {f"_t{i}": hx.topic_word(topic(i)) for i in range(1, TOPICS)})
 
 
 def word(i: int) -> str:

@@ -30,16 +30,37 @@ def hex_number(c: Column) -> Column:
     return F.coalesce(F.conv(digits, 16, 10).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
+def digits(data: Column) -> Column:
+    """Lower-case hex digits of data or of a topic, without the prefix."""
+    return F.lower(strip0x(data))
+
+
+def cut_word(lowered: Column, i: int) -> Column:
+    """The i-th word of ``digits``; a zero word where they are too few, not hex or null."""
+    w = F.substring(lowered, 64 * i + 1, 64)
+    # a table look-up per digit, where a pattern would cost several times as much
+    return F.when((F.length(w) == 64) & F.unhex(w).isNotNull(), w).otherwise(_ZERO_WORD)
+
+
 def word(data: Column, i: int) -> Column:
-    """The i-th word as 64 lower-case hex digits; a zero word where the data are too short or null."""
-    w = F.lower(F.substring(strip0x(data), 64 * i + 1, 64))
-    return F.when(w.rlike("^[0-9a-f]{64}$"), w).otherwise(_ZERO_WORD)
+    """The i-th word of data as 64 lower-case hex digits."""
+    return cut_word(digits(data), i)
 
 
 def topic_word(topic: Column) -> Column:
     """A topic as 64 hex digits; null, empty, over-long or non-hex text gives a zero word."""
-    h = F.lower(strip0x(topic))
-    return F.when(h.rlike("^[0-9a-f]{1,64}$"), F.lpad(h, 64, "0")).otherwise(_ZERO_WORD)
+    h = digits(topic)
+    return F.when(F.length(h).between(1, 64) & F.unhex(h).isNotNull(), F.lpad(h, 64, "0")).otherwise(_ZERO_WORD)
+
+
+def _tiny(w: str, lead: str = "0") -> str:
+    """Whether the value is under 2^60 (``lead`` f: from -2^60 to -1), so that plain BIGINTs do."""
+    return f"startswith({w}, '{lead * 49}')"
+
+
+def _low(w: str) -> str:
+    """The low 60 bits as BIGINT."""
+    return f"CAST(conv(substring({w}, 50, 15), 16, 10) AS BIGINT)"
 
 
 def _small(w: str) -> str:
@@ -78,7 +99,7 @@ def render(totals: str) -> str:
 
 
 def _unsigned(w: str) -> str:
-    return f"CASE WHEN {_small(w)} THEN CAST({_decimal(w)} AS STRING) ELSE {render(limbs(w))} END"
+    return f"CASE WHEN {_tiny(w)} THEN conv(substring({w}, 50, 15), 16, 10) WHEN {_small(w)} THEN CAST({_decimal(w)} AS STRING) ELSE {render(limbs(w))} END"
 
 
 def uint256(w: str) -> Column:
@@ -90,7 +111,7 @@ def _signed(w: str) -> str:
     v = f"translate({w}, '0123456789abcdef', 'fedcba9876543210')"
     one = f"transform({limbs(v)}, (x, i) -> CAST(x + IF(i = 0, 1, 0) AS DECIMAL(38,0)))"
     below = f"CASE WHEN {_small(v)} THEN CAST(CAST({_decimal(v)} + 1BD AS DECIMAL(38,0)) AS STRING) ELSE {render(one)} END"
-    return f"CASE WHEN substring({w}, 1, 1) >= '8' THEN concat('-', {below}) ELSE {_unsigned(w)} END"
+    return f"CASE WHEN {_tiny(w, 'f')} THEN CAST({_low(w)} - {1 << 60} AS STRING) WHEN substring({w}, 1, 1) >= '8' THEN concat('-', {below}) ELSE {_unsigned(w)} END"
 
 
 def int256(w: str) -> Column:
@@ -100,16 +121,15 @@ def int256(w: str) -> Column:
 
 def int_small(w: str) -> Column:
     """A signed word as BIGINT (ticks and the like); null where it does not fit."""
-    low = f"CAST(conv(substring({w}, 50, 15), 16, 10) AS BIGINT)"
     # up to 60 bits the low digits say it all; the sign fills what is above
-    return F.expr(f"CASE WHEN substring({w}, 1, 49) = '{'0' * 49}' THEN {low} WHEN substring({w}, 1, 49) = '{'f' * 49}' THEN {low} - {1 << 60} ELSE try_cast({_signed(w)} AS BIGINT) END")
+    return F.expr(f"CASE WHEN {_tiny(w)} THEN {_low(w)} WHEN {_tiny(w, 'f')} THEN {_low(w)} - {1 << 60} ELSE try_cast({_signed(w)} AS BIGINT) END")
 
 
 def net_uint256(a: str, b: str) -> Column:
     """Decimal digits of a - b for unsigned words, exact over the full range."""
     plain = f"CAST(CAST({_decimal(a)} - {_decimal(b)} AS DECIMAL(38,0)) AS STRING)"
     wide = render(f"zip_with({limbs(f'greatest({a}, {b})')}, {limbs(f'least({a}, {b})')}, (x, y) -> CAST(x - y AS DECIMAL(38,0)))")
-    return F.expr(f"CASE WHEN {_small(a)} AND {_small(b)} THEN {plain} WHEN {a} < {b} THEN concat('-', {wide}) ELSE {wide} END")
+    return F.expr(f"CASE WHEN {_tiny(a)} AND {_tiny(b)} THEN CAST({_low(a)} - {_low(b)} AS STRING) WHEN {_small(a)} AND {_small(b)} THEN {plain} WHEN {a} < {b} THEN concat('-', {wide}) ELSE {wide} END")
 
 
 def sum_uint256(digits: str) -> Column:
