@@ -64,31 +64,33 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def with_fingerprints(docs: DataFrame, shingle: int, column: str, wide: str | None = None, size: str | None = None) -> DataFrame:
+def with_fingerprints(docs: DataFrame, shingle: int, column: str, wide: str | None = None, size: str | None = None, key: str | None = None) -> DataFrame:
     """All columns of ``docs`` and the fingerprint (long, two's complement) of every whole text.
 
     ``wide`` adds an array of three further fingerprints by other hashes, for checks of candidates,
-    and ``size`` the number of shingles.
+    ``size`` the number of shingles and ``key`` a hash of their set; all are then taken over distinct shingles.
     """
     at = docs.columns.index("text")
 
     def stamp(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, more, sizes = [], [], []
+            prints, more, sizes, keys = [], [], [], []
             for text in batch.column(at):
                 h = shingle_hashes(text.as_py(), shingle)
+                h = np.unique(h) if wide else h
                 prints.append(majority(h))
                 if wide:
                     more.append([majority(mixed(h, k)) for k in range(3)])
                     sizes.append(len(h))
+                    keys.append(xxhash.xxh3_64_intdigest(h.tobytes()))
             columns = [*batch.columns, pa.array(np.array(prints, np.uint64).view(np.int64))]
             if wide:
                 flat = np.array(more, np.uint64).reshape(-1).view(np.int64)
-                columns += [pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 3), pa.int32()), pa.array(flat)), pa.array(sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, column, *([wide, size] if wide else [])])
+                columns += [pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 3), pa.int32()), pa.array(flat)), pa.array(sizes, pa.int64()), pa.array(np.array(keys, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, column, *([wide, size, key] if wide else [])])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.LongType())])
-    return docs.mapInArrow(stamp, schema.add(wide, T.ArrayType(T.LongType())).add(size, T.LongType()) if wide else schema)
+    return docs.mapInArrow(stamp, schema.add(wide, T.ArrayType(T.LongType())).add(size, T.LongType()).add(key, T.LongType()) if wide else schema)
 
 
 class VantageTree:
@@ -243,28 +245,85 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3, shard_rows
 def keep_one_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, shard_rows: int = 60_000) -> DataFrame:
     """The documents, with one row of every near-duplicate group: the one with the smallest doc_id.
 
-    Two texts link where the Jaccard similarity of their word shingles, as their fingerprints tell
-    it, is ``similarity`` or more: for binary sets the cosine is 2J / (1 + J), and fingerprints
-    differ in a share of bits equal to the angle / pi. Candidates are found on 64 bits with 1.2
-    standard deviations of slack and checked on 256 bits with half a deviation, so that pairs close to
-    ``similarity`` may fall on either side. Of rows with equal ids, or null ids (last),
+    Two texts link where the Jaccard similarity of their sets of word shingles (64-bit hashes) is
+    ``similarity`` or more. Fingerprints only choose candidates: for binary sets the cosine is
+    2J / (1 + J), and fingerprints differ in a share of bits equal to the angle / pi. They are taken
+    with 4.5 standard deviations of slack on 64 bits and 6 on 256 (sets of a few shingles differ in
+    more bits than the angle says); the sets decide. Of rows with equal ids, or null ids (last),
     one stays. Texts without words, null ones included, form one group. Sizes of shingle sets prune:
     a set's size is its distance to the empty set, a vantage point that all documents share.
     """
     angle = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    bits = int(64 * angle + 1.2 * np.sqrt(64 * angle * (1 - angle)))
-    wide_bits = int(256 * angle + 0.5 * np.sqrt(256 * angle * (1 - angle)))
+    bits = int(64 * angle + 4.5 * np.sqrt(64 * angle * (1 - angle)))
+    wide_bits = int(256 * angle + 6 * np.sqrt(256 * angle * (1 - angle)))
     fp, wide, size, order, key, least = (fresh(docs.columns, x) for x in ("fp", "wide", "size", "order", "vertex", "least"))
-    stamped = staged(with_fingerprints(docs, shingle, fp, wide, size).withColumn(key, F.xxhash64(fp, wide, size)).withColumn(order, F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("t"))))
-    # Exactly equal fingerprints are one vertex.
+    stamped = staged(with_fingerprints(docs, shingle, fp, wide, size, key).withColumn(order, F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("t"))))
+    # Equal sets of shingles are one vertex.
     vertex = staged(stamped.groupBy(F.col(key).alias("vertex"), F.col(fp).alias("fp"), F.col(wide).alias("wide"), F.col(size).alias("size")).agg(F.min(order).alias("least")))
-    component = connected_components(wide_links(vertex, bits, wide_bits, similarity, shard_rows), "vertex", "rep")
+    candidates = connected_components(wide_links(vertex, bits, wide_bits, similarity, shard_rows), "vertex", "rep").withColumnRenamed("node", "vertex")
+    texts = stamped.select(F.col(key).alias("vertex"), F.col(order).alias("order"), "text").join(vertex.join(candidates, "vertex"), "vertex").where("order = least").dropDuplicates(["vertex"])
+    component = connected_components(exact_links(texts, shingle, wide_bits, similarity), "vertex", "rep")
     rooted = vertex.join(component.withColumnRenamed("node", "vertex"), "vertex", "left").select("vertex", "least", F.coalesce("component", "vertex").alias("root"))
     winners = rooted.groupBy("root").agg(F.min(F.struct("least", "vertex")).alias("w")).select(F.col("w.vertex").alias(key), F.col("w.least").alias(least))
     kept = stamped.join(winners, key).where(F.col(order) == F.col(least))
     return kept.dropDuplicates([key]).select(*docs.columns)
 
 
+def similar_sets(sets: list[np.ndarray], prints: np.ndarray, wide_bits: int, ratio: float, flat: int = 4_000_000) -> np.ndarray:
+    """Position -> smallest position linked to it: sets (sorted, distinct) of Jaccard similarity ``ratio`` or more.
+
+    Pairs whose fingerprints (four words a row) differ in over ``wide_bits`` are not compared, nor are
+    pairs that earlier links already unite, so a group of near copies costs about what its sets cost.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    by_size = np.argsort(sizes, kind="stable")
+    lengths, label = sizes[by_size], np.arange(len(sets))
+    stops = np.searchsorted(lengths, lengths / ratio + 1e-9, side="right")
+    for at, one in enumerate(by_size.tolist()):
+        rest = by_size[at + 1 : stops[at]]
+        rest = rest[label[rest] != label[one]]
+        rest = rest[np.bitwise_count(prints[rest] ^ prints[one]).sum(1, dtype=np.int64) <= wide_bits]
+        own = sets[one]
+        while len(rest):
+            now = max(1, int(np.searchsorted(np.cumsum(sizes[rest]), flat)))
+            some, rest = rest[:now], rest[now:]
+            all_hashes = np.concatenate([sets[k] for k in some.tolist()])
+            hit = own[np.minimum(np.searchsorted(own, all_hashes), len(own) - 1)] == all_hashes
+            common = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes[some]) - sizes[some])
+            near = some[common / (len(own) + sizes[some] - common) >= ratio]
+            label = _united(label, np.full(len(near), one), near)
+            rest = rest[label[rest] != label[one]]
+    return label
+
+
+def exact_links(texts: DataFrame, shingle: int, wide_bits: int, ratio: float, rows: int = 4_000, hashes: int = 2_000_000) -> DataFrame:
+    """Links (vertex, rep) inside groups of candidates (vertex, fp, wide, size, component, text), decided on the sets of shingles.
+
+    A group of over ``rows`` sets or ``hashes`` shingles is dealt into blocks, and every pair of its
+    blocks is a task of its own.
+    """
+    groups = texts.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("size") / hashes)).cast("int").alias("blocks"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x.as_py(), shingle)).tobytes() for x in batch.column(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.binary())], ["component", "vertex", "fp", "wide", "hashes"])
+
+    def decide(key: tuple, block: pa.Table) -> pa.Table:
+        name = block.column("vertex").to_numpy()
+        wide = block.column("wide").combine_chunks().flatten().to_numpy().reshape(-1, 3)
+        prints = np.column_stack([block.column("fp").to_numpy(), wide]).view(np.uint64)
+        root = similar_sets([np.frombuffer(x.as_buffer(), np.uint64) for x in block.column("hashes")], prints, wide_bits, ratio)
+        moved = root != np.arange(len(root))
+        return pa.table({"vertex": name[moved], "rep": name[root[moved]]})
+
+    sets = texts.select("component", "vertex", "fp", "wide", "text").mapInArrow(cut, "component long, vertex long, fp long, wide array<long>, hashes binary")
+    dealt = sets.join(groups, "component").withColumn("own", F.pmod(F.xxhash64("vertex", F.lit(11)), F.col("blocks")).cast("int"))
+    pairs = dealt.withColumn("other", F.explode(F.expr("filter(sequence(0, blocks - 1), x -> x <> own OR blocks = 1)")))
+    tasks = pairs.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("own", "other", "blocks")
+    return tasks.groupBy("component", "low", "high").applyInArrow(decide, "vertex long, rep long")
+
+
 def wide_links(vertex: DataFrame, bits: int, wide_bits: int, ratio: float, shard_rows: int) -> DataFrame:
     """Links (vertex, rep) between vertices (fp, wide, size): rings around the empty set, then vantage points in each ring.
 

@@ -173,6 +173,36 @@ def test_keep_one_of_each_group(spark):
     assert kept == set(range(40)) | {300}
 
 
+def test_near_duplicates_are_decided_on_the_sets(spark):
+    """Against brute force, over pairs of a similarity of 0.7 to 0.9 and texts with long repeated passages."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(150):
+        text = [f"w{x}" for x in rng.integers(0, 5000, int(rng.choice([5, 9, 40, 200, 400])))]
+        copy = list(text)
+        for _ in range(1 + len(text) // 50):
+            copy[int(rng.integers(len(copy)))] = f"new{rng.integers(9)}"
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(copy if k % 3 else [*text, *text[:20] * 9]))]
+    sets = [{tuple(w[a : a + 5]) for a in range(max(1, len(w) - 4))} for w in (t.split() for _, t in rows)]
+    root = list(range(len(rows)))
+    scores = [(len(a & sets[j]) / len(a | sets[j]), i, j) for i, a in enumerate(sets) for j in range(i)]
+    for score, i, j in scores:
+        if score >= 0.8:
+            one, two = root[i], root[j]
+            root = [min(one, two) if x in (one, two) else x for x in root]
+    assert sum(0.7 <= s < 0.8 for s, _, _ in scores) > 10 < sum(0.8 <= s < 0.9 for s, _, _ in scores)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.keep_one_of_each_group(table).collect()} == set(root)
+
+
+def test_blocks_of_a_large_group_find_all_links(spark):
+    text = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join([*text[3 * k :], *(f"n{x}" for x in range(3 * k))])) for k in range(30)]  # a chain of links
+    stamped = simhash.with_fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), 5, "fp", "wide", "size", "vertex").selectExpr("*", "1L AS component")
+    plain, dealt = (connected_components(simhash.exact_links(stamped, 5, 256, 0.8, rows=n), "vertex", "rep") for n in (1000, 4))
+    assert plain.count() == 30 and rows_of(plain) == rows_of(dealt)
+
+
 def test_token_counts(spark, table):
     import sentencepiece
 
