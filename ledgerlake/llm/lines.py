@@ -1,7 +1,7 @@
 """Line dedup by content-defined line chunks.
 
-A text's lines are hashed; a rolling hash over the last line hashes chooses the boundaries of chunks,
-so that an inserted line moves the boundaries near it only. Chunks of two lines or more that occur
+A text's lines are hashed; local minima of the hashes over a window of three lines are the boundaries of
+chunks, so that an inserted line moves the boundaries near it only. Chunks of two lines or more that occur
 more than once in the corpus are removed but for their first occurrence, after their bytes have been
 compared. Single lines are never removed.
 """
@@ -22,34 +22,35 @@ _MASK = (1 << 64) - 1
 _LAST = np.iinfo(np.int64).max
 
 
-def line_chunks(text: str | None, divisor: int = 4, rolling: int = 3) -> list[tuple[int, int]]:
+def line_chunks(text: str | None) -> list[tuple[int, int]]:
     """(first line, line after the last) of every chunk of the whole text; a null text has none.
 
-    A chunk ends after a line where the rolling hash of the last ``rolling`` line hashes is divisible
-    by ``divisor``, and at the end of the text.
+    A chunk of two lines or more ends after a line whose hash is less than those of both neighbours,
+    after every second line of a run of one repeated line, and at the end of the text. Boundaries are
+    three lines apart on average and depend on the lines beside them only, so two copies of a
+    passage are cut alike but for its ends.
     """
     if text is None:
         return []
     hashes = [xxhash.xxh64_intdigest(line, 7) for line in text.encode("utf-8", "replace").split(b"\n")]
-    out, first = [], 0
-    for k in range(len(hashes)):
-        rolled = 0
-        for h in hashes[max(0, k - rolling + 1) : k + 1]:
-            rolled = (rolled * 0x9E3779B97F4A7C15 + h) & _MASK
-        if (rolled >> 20) % divisor == 0 or k == len(hashes) - 1:
+    out, first, run, last = [], 0, 0, len(hashes) - 1
+    for k, h in enumerate(hashes):
+        run = run + 1 if k and h == hashes[k - 1] else 1
+        ends = k == last or run % 2 == 0 or (run == 1 and k > first and h < hashes[k - 1] and h < hashes[k + 1])
+        if ends and (k > first or k == last):
             out.append((first, k + 1))
             first = k + 1
     return out
 
 
-def _pieces(t: pa.Table, divisor: int) -> list[tuple[int, int, int, bytes]]:
+def _pieces(t: pa.Table) -> list[tuple[int, int, int, bytes]]:
     """(row, first line, line after, bytes) of the multi-line chunks, rows in order."""
     out = []
     for row, text in enumerate(t.column("text").to_pylist()):
         if text is None or "\n" not in text:
             continue
         lines = text.encode("utf-8", "replace").split(b"\n")
-        out += [(row, a, b, b"\n".join(lines[a:b])) for a, b in line_chunks(text, divisor) if b - a > 1]
+        out += [(row, a, b, b"\n".join(lines[a:b])) for a, b in line_chunks(text) if b - a > 1]
     return out
 
 
@@ -57,7 +58,7 @@ def _bucket(digest: bytes, buckets: int) -> int:
     return int.from_bytes(digest[:8], "big") * buckets >> 64
 
 
-def dedup_lines(docs: DataFrame, divisor: int = 4, chunk_bytes: int = 24_000_000, counts: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, chunk_bytes: int = 24_000_000, counts: str | None = None) -> DataFrame:
     """All columns of ``docs``, the text without repeated multi-line chunks; ``n_chars`` follows where it exists.
 
     The first occurrence stays: the smallest doc_id (null ids last; ids are integers), then the
@@ -92,7 +93,7 @@ def dedup_lines(docs: DataFrame, divisor: int = 4, chunk_bytes: int = 24_000_000
 
     def first(t: pa.Table, chunk_id: int) -> list[tuple]:
         t = ordered(t)
-        found = first_ids(t, _pieces(t, divisor))
+        found = first_ids(t, _pieces(t))
         return [(b, chunk_id, len(x), b"".join(d for d, _ in x), mask_bytes(np.array([found[r][1] > 1 for _, r in x]))) for b, x in keyed(found).items()]
 
     def judge_hashes(blocks: pa.Table) -> list[tuple]:
@@ -110,7 +111,7 @@ def dedup_lines(docs: DataFrame, divisor: int = 4, chunk_bytes: int = 24_000_000
 
     def second(t: pa.Table, chunk_id: int, answers: pa.Table) -> list[tuple]:
         t = ordered(t)
-        found = first_ids(t, _pieces(t, divisor))
+        found = first_ids(t, _pieces(t))
         out = []
         for b, x in suspects(found, answers).items():
             numbers = np.array([len(r) for _, r in x] + [found[r][0] for _, r in x], np.int64)
@@ -132,7 +133,7 @@ def dedup_lines(docs: DataFrame, divisor: int = 4, chunk_bytes: int = 24_000_000
 
     def final(t: pa.Table, answers: pa.Table) -> pa.Table:
         t = ordered(t) if t.num_rows else t.select(names)
-        pieces = _pieces(t, divisor)
+        pieces = _pieces(t)
         found = first_ids(t, pieces)
         bucket = answers.column("bucket").to_numpy()
         masks = masks_of(answers.filter(pa.array(bucket < 0)))

@@ -343,6 +343,29 @@ def test_line_chunk_boundaries_resist_shifts():
     assert len(cut(text) - cut("inserted\n" + text)) <= 2
 
 
+def test_share_of_repeated_lines_that_goes(spark):
+    """Passages in the middle of different texts, and runs of one line, against a brute-force count of repeated runs."""
+    rng = np.random.default_rng(4)
+    share = {}
+    for size in (4, 6, 10, 20):
+        passages = [[f"p{size} {k} {x}" for x in range(size)] for k in range(100)]
+        own = lambda: [f"own {x}" for x in rng.integers(0, 1 << 60, int(rng.integers(1, 6)))]
+        texts = [[*own(), *p, *own()] for p in passages for _ in range(2)]
+        first, repeated = set(), 0
+        for ls in texts:
+            pairs = list(zip(ls, ls[1:], strict=False))
+            repeated += len({k for at, x in enumerate(pairs) if x in first for k in (at, at + 1)})
+            first |= set(pairs)
+        assert repeated == 100 * size
+        table = spark.createDataFrame([(k, "\n".join(ls)) for k, ls in enumerate(texts)], "doc_id long, text string")
+        share[size] = sum(r["n"] for r in lines.dedup_lines(table, counts="n").collect()) / repeated
+    # measured over 400 passages of each size: 0.17, 0.41, 0.64, 0.82
+    assert share[4] > 0.1 and share[6] > 0.3 and share[10] > 0.55 and share[20] > 0.75
+    runs = spark.createDataFrame([(k, "\n".join([f"head {k}", *[f"again {k % 5}"] * (20 + k)])) for k in range(20)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n"] for r in lines.dedup_lines(runs, counts="n").collect()}
+    assert sum(got.values()) > 0.8 * sum(20 + k for k in range(20))
+
+
 def cosine(a, b):
     return sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
 
