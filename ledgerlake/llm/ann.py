@@ -105,14 +105,56 @@ def distinct_vectors(table: DataFrame, ident: str, vector: str, keep: int) -> Da
     return parts.groupBy("vec").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep).alias("ids"))
 
 
-def nearest(table: DataFrame, ident: str = "vec_id", vector: str = "embedding", every: int = 50, k: int = 5, trees: int = 8, leaf_rows: int = 512, leaves: int | None = None, sample_rows: int = 16_000, seed: int = 5) -> DataFrame:
+def true_neighbours(block: np.ndarray, vectors: DataFrame, k: int) -> list[tuple[int, np.ndarray]]:
+    """(row of ``block``, vector) of the ``k`` nearest other vectors, by brute force over all of column vec; a task hands on k rows a query."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list[tuple[float, bytes]]] = [[] for _ in block]
+        for batch in batches:
+            if not len(batch):
+                continue
+            c = _rows(batch.column(0))
+            scores = (block @ c.T) / np.linalg.norm(c, axis=1)
+            raw = batch.column(0).to_pylist()
+            for j, line in enumerate(scores):
+                near = np.argpartition(-line, min(k, len(line) - 1))[: k + 1]
+                own = block[j].tobytes()
+                best[j] = sorted([*best[j], *((-float(line[x]), raw[x]) for x in near if raw[x] != own)])[:k]
+        out = [(j, *x) for j, held in enumerate(best) for x in held]
+        q, score, vec = zip(*out, strict=True) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(score, pa.float64()), pa.array(vec, pa.binary())], ["q", "s", "vec"])
+
+    parts = vectors.select("vec").mapInArrow(scan, "q int, s double, vec binary")
+    found = parts.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("s", "vec"))), 1, k).alias("best")).collect()
+    return [(r["q"], np.frombuffer(x["vec"], "<f8")) for r in found for x in r["best"]]
+
+
+def leaves_for(target: float, trees: list[ProjectionTree], block: np.ndarray, truth: list[tuple[int, np.ndarray]], least: int) -> int:
+    """``least``, doubled until the first leaves of each query of ``block`` hold ``target`` of its true neighbours."""
+    most = sum(2**tree.depth for tree in trees)
+    if not truth:
+        return least
+    unit = block / np.linalg.norm(block, axis=1, keepdims=True)
+    near = np.stack([v / np.linalg.norm(v) for _, v in truth])
+    homes = np.stack([tree.leaves(near) for tree in trees], axis=1).tolist()
+    while least < most:
+        taken = [set(search_leaves(trees, one, least)) for one in unit]
+        hits = sum(any((t, leaf) in taken[q] for t, leaf in enumerate(home)) for (q, _), home in zip(truth, homes, strict=True))
+        if hits >= target * len(truth):
+            break
+        least *= 2
+    return min(least, most)
+
+
+def nearest(table: DataFrame, ident: str = "vec_id", vector: str = "embedding", every: int = 50, k: int = 5, trees: int = 8, leaf_rows: int = 512, leaves: int | None = None, sample_rows: int = 16_000, seed: int = 5, recall: float = 0.95) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` rows of largest cosine for each row whose id is divisible by ``every``.
 
     Candidates are all rows but the query's own (a copy under another id counts). Nearest first, ties
     to the smaller id. Vectors that are null, empty, zero, or hold null or non-finite components take
     no part; vectors of another length than most are left out too. A repeated id counts once.
     The sample of ``sample_rows`` shapes the trees only; every vector is indexed. ``leaves`` are taken
-    for each query, by default 16 for every level of the trees, so that the search widens with the table.
+    for each query, by default 16 for every level of the trees, doubled until a block of 64 queries
+    finds a share of ``recall`` of its true neighbours, which are sought by brute force.
     """
     spark = table.sparkSession
     vectors = distinct_vectors(table, ident, vector, k + 1)
@@ -127,7 +169,6 @@ def nearest(table: DataFrame, ident: str = "vec_id", vector: str = "embedding",
     sample = np.frombuffer(b"".join(found), "<f8").reshape(-1, width // 8)
     sample = sample / np.linalg.norm(sample, axis=1, keepdims=True) if len(sample) else sample
     depth = int(np.clip(np.ceil(np.log2(max(1, n) / leaf_rows)), 0, 60))
-    leaves = leaves or 16 * (depth + 1)
     # broadcast: trees over the bounded sample, whatever the number of rows
     forest = spark.sparkContext.broadcast([ProjectionTree(sample, depth, seed + t) for t in range(trees)])
 
@@ -181,6 +222,10 @@ def nearest(table: DataFrame, ident: str = "vec_id", vector: str = "embedding",
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(v, pa.binary())], ["query_id", "vec"])
 
     queries = staged(plain.mapInArrow(key_of, "query_id long, vec binary").withColumn("qkey", F.unhex(F.sha2("vec", 256))).dropDuplicates(["query_id", "qkey"]))
+    if leaves is None:
+        some = [r["vec"] for r in queries.select("qkey", "vec").distinct().orderBy("qkey").limit(64).collect()]
+        block = np.frombuffer(b"".join(some), "<f8").reshape(-1, width // 8)
+        leaves = leaves_for(recall, forest.value, block, true_neighbours(block, vectors, k) if some else [], 16 * (depth + 1))
     asked = queries.groupBy("qkey").agg(F.first("vec").alias("vec")).mapInArrow(look, "tree int, leaf long, qkey binary, vec binary").withColumnRenamed("vec", "qvec")
     held = vectors.select("vec", "ids").mapInArrow(index, "tree int, leaf long, vec binary, ids array<long>")
     hits = asked.groupBy("tree", "leaf").cogroup(held.groupBy("tree", "leaf")).applyInArrow(rerank, "qkey binary, score double, vec_id long")

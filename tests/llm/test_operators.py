@@ -400,6 +400,18 @@ def test_nearest_on_awkward_vectors(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_leaves_follow_from_measured_recall(spark):
+    """Many small leaves: 16 a level hold too few neighbours, so the search must widen by itself."""
+    matrix = np.random.default_rng(6).normal(size=(4000, 64))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(matrix)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.nearest(table, leaf_rows=4).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    hits = sum(len(set(np.argsort(-(unit @ unit[q]))[1:6].tolist()) & got[q]) for q in range(0, 4000, 50))
+    assert hits / (5 * 80) >= 0.9
+
+
 def test_quality(spark, sf_dir, awkward):
     big = "/root/testdata/sf0.01"
     docs, labels = read_table(spark, big, "documents"), read_table(spark, big, "labels")
