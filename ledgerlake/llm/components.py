@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import staged
+from ledgerlake.llm.common import drop_stage, write_stage
 
 
 def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
@@ -13,10 +13,12 @@ def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 60
 
     Every round links all neighbours of a node to the smallest of them (large star, then small star):
     rows never outgrow the edges given, and rounds grow with the logarithm of the longest path.
-    Grouping is by aggregates with map-side combination and joins, so a node of many edges is not
-    gathered in one task. Raises RuntimeError if it has not converged after ``most_rounds``.
+    Minima are aggregates with map-side combination. The joins that hand them back are keyed by node:
+    the edges of a hub meet in one shuffle partition, rows of two numbers, which adaptive skew handling
+    splits where it is large. A round's table is deleted once the next one is written. Raises
+    RuntimeError if it has not converged after ``most_rounds``.
     """
-    current = staged(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    current, folder = write_stage(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     for _ in range(most_rounds):
         # large star: for every node, link its larger neighbours to the smallest in its neighbourhood
@@ -26,7 +28,9 @@ def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 60
         # small star: link a node's smaller neighbours, and the node itself, to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        current = staged(linked.where("u <> v").distinct())
+        spark, last = edges.sparkSession, folder
+        current, folder = write_stage(linked.where("u <> v").distinct())
+        drop_stage(spark, last)
         now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
             return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

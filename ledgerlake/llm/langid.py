@@ -1,7 +1,7 @@
 """Language ID: averaged hashed subword embeddings and a linear softmax, with calibrated rejection.
 
-A text is lower-cased, everything but letters becomes a space, and its byte 2-, 3- and 4-grams are
-hashed into buckets. A document is the mean of its buckets' embeddings; a linear softmax over that
+A text is lower-cased, ASCII bytes other than letters become spaces, and its byte 2-, 3- and 4-grams
+are hashed into buckets. A document is the mean of its buckets' embeddings; a linear softmax over that
 mean gives the languages. Embeddings and softmax are trained together by stochastic gradient descent
 in numpy on a bounded sample; a temperature and a rejection threshold are fitted on a part of the
 sample that training does not see. Because mean and softmax layer are linear, embedding @ weights is
@@ -62,8 +62,8 @@ def _logits(model: LangModel, text: str, bits: int) -> np.ndarray:
 def fit_language_model(docs: DataFrame, per_language: int = 600, max_chars: int = 20_000, bits: int = 15, dim: int = 16, epochs: int = 4, seed: int = 7) -> LangModel:
     """Train on at most about ``per_language`` rows of each non-null lang, none longer than ``max_chars``.
 
-    Rows whose id hash marks them as held out are never read for training. An empty sample gives a
-    model without languages, which answers `und` for everything.
+    Rows whose id hash marks them as held out are never read for training; of rows that share an id one
+    is read. An empty sample gives a model without languages, which answers `und` for everything.
     """
     usable = docs.where(may_train() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars)).select("doc_id", "text", "lang")
     rows = sorted((r["doc_id"], r["lang"], r["text"]) for r in bounded_sample(usable, "lang", "doc_id", per_language).collect() if _LETTER.search(r["text"]))
@@ -120,7 +120,9 @@ def identify_language(docs: DataFrame, model: LangModel) -> DataFrame:
 
     A null text, or one without a letter, gives `und` with score 0 (and is rejected). The score is
     the calibrated probability of the predicted language; `rejected` marks scores under the model's
-    threshold. Repeated rows give repeated equal results; an empty table gives an empty result.
+    threshold; of languages with equal probability the first by name wins. Whole texts of any length
+    are read, repeated rows give repeated equal results, other columns play no part, and an empty
+    table gives an empty result.
     """
     bits = int(np.log2(len(model.table)))
     shipped = docs.sparkSession.sparkContext.broadcast(model)

@@ -95,8 +95,9 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, per_class: int = 1500,
     marks = labels.where(may_train() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = bounded_sample(marks, "quality", "doc_id", per_class)
     texts = docs.where(may_train() & (F.coalesce(F.length("text"), F.lit(0)) <= max_chars)).select("doc_id", "text")
-    # the sample of ids is bounded by its parameter, so it may be broadcast
-    rows = sorted((r["doc_id"], r["text"] or "", r["quality"]) for r in texts.join(F.broadcast(chosen), "doc_id").collect())
+    # the sample of ids is bounded by its parameter, so it may be broadcast; of rows that share an id one is read
+    read = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.min("quality").alias("quality"))
+    rows = sorted((r["doc_id"], r["text"], r["quality"]) for r in read.collect())
     rng = np.random.default_rng(seed)
     count, width = 1 << bits, 2 * dim + _RATIOS
     y = np.array([r[2] for r in rows], np.float32)
@@ -162,9 +163,10 @@ def _score(model: QualityModel, text: str | None, buckets: _Buckets) -> float:
 def with_quality(docs: DataFrame, model: QualityModel, column: str) -> DataFrame:
     """All columns of ``docs`` and the score (0 to 1) of every whole text; null counts as empty.
 
-    Rows are scored one by one: repeated rows get equal scores, an empty table stays empty. A column
-    that already has the name is an error of the caller.
+    Rows are scored one by one, whole texts of any length: repeated rows get equal scores, an empty
+    table stays empty. A column that already has the name is replaced, others of any name stay.
     """
+    docs = docs.select(*[c for c in docs.columns if c.lower() != column.lower()])
     bits = int(np.log2(len(model.vectors)))
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
@@ -179,6 +181,9 @@ def with_quality(docs: DataFrame, model: QualityModel, column: str) -> DataFrame
 
 
 def classify_quality(docs: DataFrame, model: QualityModel, accept: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted (1 where score >= ``accept``), one row per document."""
+    """doc_id, held_out, score, predicted (1 where score >= ``accept``), one row per document.
+
+    Null and empty texts are scored as texts without words; other columns play no part; see ``with_quality``.
+    """
     scored = with_quality(docs.select("doc_id", "text"), model, "score")
     return scored.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
