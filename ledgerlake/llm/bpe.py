@@ -108,7 +108,7 @@ def pretoken_chunks(docs: DataFrame, pattern: str, chunk_bytes: int, buckets: in
                 ids.append(ident)
                 lengths.append(len(found))
                 places.append(np.fromiter((words.setdefault(w, len(words)) for w in found), np.uint32, len(found)))
-                size += len(text)
+                size += len(text.encode("utf-8", "surrogatepass"))
                 if size >= chunk_bytes:
                     yield from flush()
                     ids, lengths, places, words, size, made = [], [], [], {}, 0, made + 1
@@ -152,12 +152,17 @@ def token_table(ranks_path: str) -> list[bytes]:
     return table
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, chunk_bytes: int = 32_000_000) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, chunk_bytes: int = 32_000_000, bucket_bytes: int = 64_000_000) -> DataFrame:
     """doc_id, n_tokens, ids (uint32 little-endian binary), decoded (binary), one row per document.
 
-    Null and empty texts have no ids and decode to nothing. Repeated rows give repeated results.
+    Null and empty texts have no ids and decode to nothing; texts of any length are encoded whole.
+    Repeated rows give repeated results, equal texts equal ones; other columns play no part, and an
+    empty table gives an empty result. There is a bucket of words for every ``bucket_bytes`` of text,
+    so that a bucket, which one task holds, does not grow with the corpus.
     """
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(max(min(shuffles, 1 + total // 1_000_000), -(-total // bucket_bytes)))
     rows = staged(pretoken_chunks(docs, pattern, chunk_bytes, buckets))
     back = encode_words(rows.where("bucket IS NOT NULL").select("chunk", "bucket", "n", "words"), ranks_path, pattern)
     chunks = rows.where("bucket IS NULL").select("chunk", "doc_ids", "lengths", "places", "words")
@@ -165,7 +170,12 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, chunk_bytes: i
 
     def reassemble(chunk: pa.Table, words: pa.Table) -> pa.Table:
         kind = chunk.schema.field("doc_ids").type.value_type
-        out_ids, out_text, counts, held = [], [], [], []
+        out_ids, out_text, counts, held, parts, filled = [], [], [], [], [], 0
+        names = ("doc_id", "n_tokens", "ids", "decoded")
+
+        def part(ids: list) -> pa.Table:
+            return pa.table(dict(zip(names, (pa.array(ids, kind), pa.array(counts, pa.int64()), pa.array(out_ids, pa.binary()), pa.array(out_text, pa.binary())), strict=True)))
+
         if chunk.num_rows:
             table = token_table(ranks_path)
             words = words.sort_by("bucket")
@@ -189,7 +199,11 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, chunk_bytes: i
                 out_ids.append(flat[np.arange(total) + np.repeat(starts[own] - (ends - size), size)].tobytes())
                 out_text.append(b"".join([spelling[k] for k in own.tolist()]))
                 counts.append(total)
-        return pa.table({"doc_id": pa.array(held, kind), "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array(out_ids, pa.binary()), "decoded": pa.array(out_text, pa.binary())})
+                filled += len(out_ids[-1]) + len(out_text[-1])
+                if filled > 256_000_000:  # a binary array ends at 2 GB
+                    parts.append(part(held[: len(counts)]))
+                    held, out_ids, out_text, counts, filled = held[len(counts) :], [], [], [], 0
+        return pa.concat_tables([*parts, part(held)])
 
     return chunks.groupBy("chunk").cogroup(back.groupBy("of_chunk")).applyInArrow(reassemble, f"doc_id {id_type}, n_tokens long, ids binary, decoded binary")
 
