@@ -58,14 +58,18 @@ def _bucket(digest: bytes, buckets: int) -> int:
     return int.from_bytes(digest[:8], "big") * buckets >> 64
 
 
-def dedup_lines(docs: DataFrame, chunk_bytes: int = 24_000_000, counts: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, chunk_bytes: int = 24_000_000, counts: str | None = None, stable: bool = False) -> DataFrame:
     """All columns of ``docs``, the text without repeated multi-line chunks; ``n_chars`` follows where it exists.
 
     The first occurrence stays: the smallest doc_id (null ids last; ids are integers), then the
-    position. Rows that agree in doc_id and text share their chunks like any rows: the first keeps
-    them. Null and empty texts stay as they are. ``counts`` names a column for the number of lines removed.
+    position. Rows that agree in doc_id and text share their chunks like any rows: one of them keeps
+    the chunk, the others lose it. Null and empty texts stay as they are; a text of any length is cut
+    whole. ``counts`` names a column for the number of lines removed; a column of that name is
+    replaced, other columns of any name stay. An empty table stays empty. ``stable``: see ``text_chunks``.
     """
-    dealt, chunk, total = text_chunks(docs, "text", "doc_id", chunk_bytes)
+    if counts:
+        docs = docs.select(*[c for c in docs.columns if c.lower() != counts.lower()])
+    dealt, chunk, total = text_chunks(docs, "text", chunk_bytes, stable)
     shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = int(max(min(shuffles, 1 + total // 50_000), -(-total // 200_000_000)))
     names, at = docs.columns, docs.columns.index("text")

@@ -122,14 +122,14 @@ def _merge_hashes(blocks: pa.Table) -> list[tuple]:
     return out
 
 
-def repeated_spans(docs: DataFrame, window: int, make, schema, text: str = "text", ident: str = "doc_id", chunk_bytes: int = 8_000_000, depth: int = 2, cells_per_window: int = 4) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int, make, schema, text: str = "text", ident: str = "doc_id", chunk_bytes: int = 8_000_000, depth: int = 2, cells_per_window: int = 4, stable: bool = False) -> DataFrame:
     """Run both passes and hand every chunk's rows, in order, with a covered mask per row, to ``make``.
 
     ``make(rows, covered)`` returns the output table of a chunk in ``schema``; a mask has a place for
     each word of its row. Words are split again where they are needed, so that a chunk never holds
-    them all at once.
+    them all at once. ``stable``: see ``text_chunks``.
     """
-    dealt, chunk, total = text_chunks(docs, text, ident, chunk_bytes)
+    dealt, chunk, total = text_chunks(docs, text, chunk_bytes, stable)
     windows = max(1, total // 5)
     shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = int(max(min(shuffles, 1 + windows // 1000), -(-windows // 4_000_000)))
@@ -212,12 +212,13 @@ def repeated_spans(docs: DataFrame, window: int, make, schema, text: str = "text
     return finish(dealt, chunk, both, final, schema)
 
 
-def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 35, stable: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept (words joined by one space), one row per document.
 
     Every word covered by a window whose word sequence also starts anywhere else, in the same
     document or another, is removed; windows are judged on the input. Null and empty texts have no
-    words; texts shorter than a window keep all. Repeated rows repeat each other's windows.
+    words; texts shorter than a window keep all. Repeated rows repeat each other's windows. Texts of
+    any length are read whole, an empty table gives an empty result, other columns play no part.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -228,13 +229,14 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
             kept.append(b" ".join([x for x, c in zip(w, m.tolist(), strict=True) if not c] if m.any() else w).decode("utf-8", "replace"))
         return pa.table({"doc_id": t.column("doc_id"), "n_words": pa.array([len(m) for m in covered], pa.int64()), "n_removed": pa.array([int(m.sum()) for m in covered], pa.int64()), "kept": pa.array(kept, pa.string())})
 
-    return repeated_spans(docs.select("doc_id", "text"), window, make, f"doc_id {kind}, n_words long, n_removed long, kept string")
+    return repeated_spans(docs.select("doc_id", "text"), window, make, f"doc_id {kind}, n_words long, n_removed long, kept string", stable=stable)
 
 
-def drop_repeats_from_texts(docs: DataFrame, window: int = 35) -> DataFrame:
+def drop_repeats_from_texts(docs: DataFrame, window: int = 35, stable: bool = False) -> DataFrame:
     """The documents with their repeated spans cut out of ``text``; ``n_chars`` follows where it exists.
 
-    What is kept stays as it stands, white space included, up to the removed words. Null texts stay null.
+    What is kept stays as it stands, white space included, up to the removed words. Null texts stay
+    null; columns of any other name stay as they are; an empty table stays empty.
     """
     names, at = docs.columns, docs.columns.index("text")
 
@@ -249,7 +251,7 @@ def drop_repeats_from_texts(docs: DataFrame, window: int = 35) -> DataFrame:
             t = t.set_column(k, t.schema.field(k), pa.array([len(x) if m.any() else n for x, m, n in zip(out, covered, old, strict=True)], t.schema.field(k).type))
         return t
 
-    return repeated_spans(docs, window, make, docs.schema)
+    return repeated_spans(docs, window, make, docs.schema, stable=stable)
 
 
 def _cut(text: str, words: list[bytes], covered: np.ndarray) -> str:
