@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlake.llm.common import fresh, staged
+from ledgerlake.llm.common import fresh, join_by_key, staged
 from ledgerlake.llm.components import connected_components
 
 _HALVES = (np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF00000000))
@@ -94,15 +94,22 @@ def with_fingerprints(docs: DataFrame, shingle: int, column: str, wide: str | No
 
 
 class VantageTree:
-    """Vantage points and radii fitted on a sample of distinct fingerprints; node k has children 2k+1 and 2k+2."""
+    """Vantage points and radii fitted on a sample of distinct fingerprints; node k has children 2k+1 and 2k+2.
 
-    def __init__(self, sample: np.ndarray, mask: np.uint64, depth: int, seed: int):
+    Levels that the sample is too small for (fewer than ``least`` a node) share one vantage point
+    each, at the sample's median, so that the depth may follow the number of rows.
+    """
+
+    def __init__(self, sample: np.ndarray, mask: np.uint64, depth: int, seed: int, least: int = 4):
         rng = np.random.default_rng(seed)
         self.mask, self.depth = mask, depth
-        self.points = np.zeros(2**depth - 1, np.uint64)
-        self.radii = np.full(2**depth - 1, -1, np.int16)
+        self.fitted = int(np.clip(np.log2(max(1, len(sample)) / least), 0, depth))
+        self.points = np.zeros(2**self.fitted - 1, np.uint64)
+        self.radii = np.full(2**self.fitted - 1, -1, np.int16)
+        self.level_points = rng.integers(0, 2**63, depth - self.fitted, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.level_radii = np.array([np.median(np.bitwise_count((sample ^ p) & mask)) if len(sample) else int(mask).bit_count() // 2 for p in self.level_points], np.int16)
         rest = {0: sample}
-        for node in range(2**depth - 1):
+        for node in range(2**self.fitted - 1):
             own = rest.pop(node, sample[:0])
             self.points[node] = own[rng.integers(len(own))] if len(own) else rng.integers(0, 2**63, dtype=np.uint64)
             far = np.bitwise_count((own ^ self.points[node]) & mask)
@@ -112,9 +119,10 @@ class VantageTree:
     def route(self, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, leaf, home): every leaf that the ball around a fingerprint overlaps, and whether the fingerprint lives there."""
         row, node, home = np.arange(len(prints)), np.zeros(len(prints), np.int64), np.ones(len(prints), bool)
-        for _ in range(self.depth):
-            far = np.bitwise_count((prints[row] ^ self.points[node]) & self.mask).astype(np.int16)
-            near, edge = self.radii[node], far <= self.radii[node]
+        for level in range(self.depth):
+            point, near = (self.points[node], self.radii[node]) if level < self.fitted else (self.level_points[level - self.fitted], self.level_radii[level - self.fitted])
+            far = np.bitwise_count((prints[row] ^ point) & self.mask).astype(np.int16)
+            edge = far <= near
             inner, outer = far - radius <= near, far + radius > near
             row = np.concatenate([row[inner], row[outer]])
             node = np.concatenate([2 * node[inner] + 1, 2 * node[outer] + 2])
@@ -158,14 +166,15 @@ def _search(prints: np.ndarray, homes: np.ndarray, asks: np.ndarray, mask: np.ui
         yield own, ask
 
 
-def shard_links(prints: np.ndarray, home: np.ndarray, mask: np.uint64, radius: int, bits: int, sizes: np.ndarray | None = None, wide: np.ndarray | None = None, wide_bits: int = 0, ratio: float = 0.0) -> np.ndarray:
+def shard_links(prints: np.ndarray, home: np.ndarray, mask: np.uint64, radius: int, bits: int, sizes: np.ndarray | None = None, wide: np.ndarray | None = None, wide_bits: int = 0, ratio: float = 0.0, asks: np.ndarray | None = None) -> np.ndarray:
     """Position -> smallest position linked to it inside this shard.
 
     Links are within ``bits`` of 64 and, with ``wide``, within ``wide_bits`` of all 256; with
-    ``sizes`` only sets whose sizes can be similar enough (``ratio``) are compared.
+    ``sizes`` only sets whose sizes can be similar enough (``ratio``) are compared. ``asks`` marks the
+    queries (all by default), ``home`` what they are compared with.
     """
     label, rng = np.arange(len(prints)), np.random.default_rng(len(prints))
-    for own, ask in _search(prints, np.flatnonzero(home), np.arange(len(prints)), mask, radius, rng):
+    for own, ask in _search(prints, np.flatnonzero(home), np.arange(len(prints)) if asks is None else np.flatnonzero(asks), mask, radius, rng):
         for at in range(0, len(ask), max(1, 2_000_000 // len(own))):
             q = ask[at : at + max(1, 2_000_000 // len(own))]
             if sizes is None:
@@ -205,7 +214,7 @@ def fingerprint_links(prints: DataFrame, bits: int, shard_rows: int = 20_000, sa
     n = prints.count()
     draw = F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(1_000_000)) < F.lit(round(1e6 * min(1.0, sample_rows / max(1, n))))
     sample = np.array([r[0] for r in prints.where(draw).collect()], np.int64).view(np.uint64)
-    depth = int(np.clip(np.ceil(np.log2(max(1, n) / shard_rows)), 0, 16))
+    depth = int(np.clip(np.ceil(np.log2(max(1, n) / shard_rows)), 0, 40))
     trees = [VantageTree(sample, mask, depth, k) for k, mask in enumerate(_HALVES)]
     radius = bits // 2
 
@@ -231,18 +240,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3, shard_rows
     Fingerprints link at ``bits`` or fewer differing bits; component_id is the smallest doc_id
     reachable, itself included (null ids never win; null if the component has no other). Texts
     without words, null ones included, share fingerprint zero and are linked like any other.
-    Repeated rows are kept; an empty table gives an empty result.
+    Repeated rows are kept, texts of any length are read whole, other columns play no part, and an
+    empty table gives an empty result.
     """
     stamped = staged(with_fingerprints(docs.select("doc_id", "text"), shingle, "fp").select("doc_id", "fp"))
-    prints = stamped.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    component = connected_components(fingerprint_links(staged(prints.select("fp")), bits, shard_rows), "fp", "rep")
-    rooted = prints.join(component.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    prints = staged(stamped.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    component = connected_components(fingerprint_links(prints.select("fp"), bits, shard_rows), "fp", "rep")
+    rooted = prints.join(component.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return stamped.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = staged(rooted.join(smallest, "root").select("fp", "component_id", "n"))
+    total = named.agg(F.sum("n")).first()[0] or 0
+    return join_by_key(stamped, named, "fp", "n", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, shard_rows: int = 60_000) -> DataFrame:
+def keep_one_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block_rows: int | None = None) -> DataFrame:
     """The documents, with one row of every near-duplicate group: the one with the smallest doc_id.
 
     Two texts link where the Jaccard similarity of their sets of word shingles (64-bit hashes) is
@@ -250,23 +261,27 @@ def keep_one_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float
     2J / (1 + J), and fingerprints differ in a share of bits equal to the angle / pi. They are taken
     with 4.5 standard deviations of slack on 64 bits and 6 on 256 (sets of a few shingles differ in
     more bits than the angle says); the sets decide. Of rows with equal ids, or null ids (last),
-    one stays. Texts without words, null ones included, form one group. Sizes of shingle sets prune:
-    a set's size is its distance to the empty set, a vantage point that all documents share.
+    one stays, and so of repeated rows. Texts without words, null ones included, form one group; texts
+    of any length are read whole; other columns of any name stay; an empty table stays empty. Sizes of
+    shingle sets prune: a set's size is its distance to the empty set, a vantage point that all share.
     """
     angle = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     bits = int(64 * angle + 4.5 * np.sqrt(64 * angle * (1 - angle)))
     wide_bits = int(256 * angle + 6 * np.sqrt(256 * angle * (1 - angle)))
-    fp, wide, size, order, key, least = (fresh(docs.columns, x) for x in ("fp", "wide", "size", "order", "vertex", "least"))
-    stamped = staged(with_fingerprints(docs, shingle, fp, wide, size, key).withColumn(order, F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("t"))))
-    # Equal sets of shingles are one vertex.
-    vertex = staged(stamped.groupBy(F.col(key).alias("vertex"), F.col(fp).alias("fp"), F.col(wide).alias("wide"), F.col(size).alias("size")).agg(F.min(order).alias("least")))
-    candidates = connected_components(wide_links(vertex, bits, wide_bits, similarity, shard_rows), "vertex", "rep").withColumnRenamed("node", "vertex")
-    texts = stamped.select(F.col(key).alias("vertex"), F.col(order).alias("order"), "text").join(vertex.join(candidates, "vertex"), "vertex").where("order = least").dropDuplicates(["vertex"])
+    fp, wide, size, row, key = (fresh(docs.columns, x) for x in ("fp", "wide", "size", "row", "key"))
+    # a number of its own for every row, once written, so that copies never need to meet in a join
+    stamped = staged(with_fingerprints(docs, shingle, fp, wide, size, key).withColumn(row, F.monotonically_increasing_id()))
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("i"), F.xxhash64("text").alias("t"), F.col(row).alias("vertex"))
+    # Equal sets of shingles are one vertex, named by the row that stays for it.
+    sets = stamped.groupBy(key, F.col(fp).alias("fp"), F.col(wide).alias("wide"), F.col(size).alias("size")).agg(F.min(order).alias("least"))
+    vertex = staged(sets.select("least.vertex", "fp", "wide", "size", "least"))
+    candidates = connected_components(wide_links(vertex, bits, wide_bits, similarity, block_rows), "vertex", "rep").withColumnRenamed("node", "vertex")
+    asked = vertex.select("vertex", "fp", "wide", "size").join(candidates, "vertex")
+    texts = with_blocks(asked).join(stamped.select(F.col(row).alias("vertex"), "text"), "vertex")
     component = connected_components(exact_links(texts, shingle, wide_bits, similarity), "vertex", "rep")
-    rooted = vertex.join(component.withColumnRenamed("node", "vertex"), "vertex", "left").select("vertex", "least", F.coalesce("component", "vertex").alias("root"))
-    winners = rooted.groupBy("root").agg(F.min(F.struct("least", "vertex")).alias("w")).select(F.col("w.vertex").alias(key), F.col("w.least").alias(least))
-    kept = stamped.join(winners, key).where(F.col(order) == F.col(least))
-    return kept.dropDuplicates([key]).select(*docs.columns)
+    rooted = vertex.join(component.withColumnRenamed("node", "vertex"), "vertex", "left").select("least", F.coalesce("component", "vertex").alias("root"))
+    winners = rooted.groupBy("root").agg(F.min("least").alias("w")).select(F.col("w.vertex").alias(row))
+    return stamped.join(winners, row, "left_semi").select(*docs.columns)
 
 
 def similar_sets(sets: list[np.ndarray], prints: np.ndarray, wide_bits: int, ratio: float, flat: int = 4_000_000) -> np.ndarray:
@@ -296,62 +311,72 @@ def similar_sets(sets: list[np.ndarray], prints: np.ndarray, wide_bits: int, rat
     return label
 
 
-def exact_links(texts: DataFrame, shingle: int, wide_bits: int, ratio: float, rows: int = 4_000, hashes: int = 2_000_000) -> DataFrame:
-    """Links (vertex, rep) inside groups of candidates (vertex, fp, wide, size, component, text), decided on the sets of shingles.
+def with_blocks(asked: DataFrame, rows: int = 4_000, hashes: int = 2_000_000) -> DataFrame:
+    """Candidates (vertex, size, component, ...) with the number of blocks of their group: one for every ``rows`` sets or ``hashes`` shingles."""
+    blocks = F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("size") / hashes)).cast("int")
+    large = asked.groupBy("component").agg(blocks.alias("blocks")).where("blocks > 1")
+    return asked.join(large, "component", "left").fillna(1, ["blocks"])
 
-    A group of over ``rows`` sets or ``hashes`` shingles is dealt into blocks, and every pair of its
-    blocks is a task of its own.
-    """
-    groups = texts.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("size") / hashes)).cast("int").alias("blocks"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(x.as_py(), shingle)).tobytes() for x in batch.column(4)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.binary())], ["component", "vertex", "fp", "wide", "hashes"])
+def exact_links(texts: DataFrame, shingle: int, wide_bits: int, ratio: float) -> DataFrame:
+    """Links (vertex, rep) inside groups of candidates (vertex, fp, wide, component, blocks, text), decided on the sets of shingles.
+
+    A large group is dealt into its blocks, and every pair of its blocks is a task of its own. Texts
+    travel, for they are smaller than their hashes.
+    """
 
     def decide(key: tuple, block: pa.Table) -> pa.Table:
         name = block.column("vertex").to_numpy()
         wide = block.column("wide").combine_chunks().flatten().to_numpy().reshape(-1, 3)
         prints = np.column_stack([block.column("fp").to_numpy(), wide]).view(np.uint64)
-        root = similar_sets([np.frombuffer(x.as_buffer(), np.uint64) for x in block.column("hashes")], prints, wide_bits, ratio)
+        root = similar_sets([np.unique(shingle_hashes(x.as_py(), shingle)) for x in block.column("text")], prints, wide_bits, ratio)
         moved = root != np.arange(len(root))
         return pa.table({"vertex": name[moved], "rep": name[root[moved]]})
 
-    sets = texts.select("component", "vertex", "fp", "wide", "text").mapInArrow(cut, "component long, vertex long, fp long, wide array<long>, hashes binary")
-    dealt = sets.join(groups, "component").withColumn("own", F.pmod(F.xxhash64("vertex", F.lit(11)), F.col("blocks")).cast("int"))
+    dealt = texts.select("component", "vertex", "fp", "wide", "text", "blocks").withColumn("own", F.pmod(F.xxhash64("vertex", F.lit(11)), F.col("blocks")).cast("int"))
     pairs = dealt.withColumn("other", F.explode(F.expr("filter(sequence(0, blocks - 1), x -> x <> own OR blocks = 1)")))
     tasks = pairs.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("own", "other", "blocks")
     return tasks.groupBy("component", "low", "high").applyInArrow(decide, "vertex long, rep long")
 
 
-def wide_links(vertex: DataFrame, bits: int, wide_bits: int, ratio: float, shard_rows: int) -> DataFrame:
-    """Links (vertex, rep) between vertices (fp, wide, size): rings around the empty set, then vantage points in each ring.
+def wide_links(vertex: DataFrame, bits: int, wide_bits: int, ratio: float, block_rows: int | None = None) -> DataFrame:
+    """Links (vertex, rep) between vertices (fp, wide, size): rings around the empty set, then vantage points in each block.
 
-    A ring spans a factor of 1 / ``ratio`` in size; a vertex lives in its ring and asks the next
-    smaller one, for similar sets differ in size by no more than that factor.
+    A ring spans a factor of 1 / ``ratio`` in size, so a set meets its own ring and the two beside it.
+    A ring is dealt into blocks of about ``block_rows`` (by default a 32nd of all rows, from 4,000 to
+    250,000), and every pair of blocks is a task of its own: a source whose texts have one length
+    fills many tasks, none of which holds more than two blocks.
     """
-    n = vertex.count()
-    sample = [r[0] for r in vertex.where(F.pmod(F.xxhash64("vertex", F.lit(5)), F.lit(1_000_000)) < F.lit(round(1e6 * min(1.0, 20_000 / max(1, n))))).select("fp").collect()]
-    depth = int(np.clip(np.ceil(np.log2(max(1, n) / 8 / shard_rows)), 0, 6))
-    tree = VantageTree(np.array(sample, np.int64).view(np.uint64), _ALL, depth, 9)
     step = float(np.log(1 / ratio))
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ringed = vertex.select("vertex", "fp", "wide", F.col("size").cast("long").alias("size"), F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / step + 1e-9).alias("ring"))
+    # one number a ring, and rings grow with the logarithm of the longest text
+    counts = {r["ring"]: r["n"] for r in ringed.groupBy("ring").agg(F.count("*").alias("n")).collect()}
+    rows = block_rows or int(np.clip(sum(counts.values()) // 32, 4_000, 250_000))
+    blocks = {ring: -(-n // rows) for ring, n in counts.items()}
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row to the tasks of its block with every block of its ring and of the rings beside it."""
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            ring = np.floor(np.log(np.maximum(t.column("size").to_numpy(), 1)) / step + 1e-9).astype(np.int64)
-            row, leaf, home = tree.route(t.column("fp").to_numpy().view(np.uint64), bits)
-            for back in (0, 1):
-                out = t.take(pa.array(row)).append_column("ring", pa.array(ring[row] - back)).append_column("leaf", pa.array(leaf)).append_column("home", pa.array(home & (back == 0)))
-                yield from out.to_batches()
+            name, rings = batch.column("vertex").to_numpy(), batch.column("ring").to_pylist()
+            picks, tasks, homes, asks = [], [], [], []
+            for k, (x, ring) in enumerate(zip(name.tolist(), rings, strict=True)):
+                own = (x * 0x9E3779B97F4A7C15 >> 20) % blocks[ring]
+                out = [(f"{ring}.{min(own, b)}.{max(own, b)}", own <= b, own >= b) for b in range(blocks[ring])]
+                out += [(f"{ring}+{own}.{b}", True, False) for b in range(blocks.get(ring + 1, 0))]
+                out += [(f"{ring - 1}+{b}.{own}", False, True) for b in range(blocks.get(ring - 1, 0))]
+                picks += [k] * len(out)
+                for column, values in zip((tasks, homes, asks), zip(*out, strict=True), strict=True):
+                    column += values
+            part = batch.select(["vertex", "fp", "wide", "size"]).take(pa.array(picks, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tasks, pa.string()), pa.array(homes, pa.bool_()), pa.array(asks, pa.bool_())], [*part.schema.names, "task", "home", "asks"])
 
     def search(key: tuple, shard: pa.Table) -> pa.Table:
         fp = shard.column("fp").to_numpy().view(np.uint64)
-        wide = shard.column("wide").combine_chunks().flatten().to_numpy().reshape(-1, 3).view(np.uint64) if shard.num_rows else np.zeros((0, 3), np.uint64)
+        wide = shard.column("wide").combine_chunks().flatten().to_numpy().reshape(-1, 3).view(np.uint64)
         name = shard.column("vertex").to_numpy()
-        root = shard_links(fp, shard.column("home").to_numpy(), _ALL, bits, bits, shard.column("size").to_numpy().astype(np.float64), wide, wide_bits, ratio)
+        root = shard_links(fp, shard.column("home").to_numpy(), _ALL, bits, bits, shard.column("size").to_numpy().astype(np.float64), wide, wide_bits, ratio, shard.column("asks").to_numpy())
         moved = root != np.arange(len(root))
         return pa.table({"vertex": name[moved], "rep": name[root[moved]]})
 
-    routed = vertex.select("vertex", "fp", "wide", F.col("size").cast("long").alias("size")).mapInArrow(route, "vertex long, fp long, wide array<long>, size long, ring long, leaf long, home boolean")
-    return routed.groupBy("ring", "leaf").applyInArrow(search, "vertex long, rep long")
+    dealt = ringed.mapInArrow(deal, "vertex long, fp long, wide array<long>, size long, task string, home boolean, asks boolean")
+    return dealt.groupBy("task").applyInArrow(search, "vertex long, rep long")
