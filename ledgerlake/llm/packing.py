@@ -86,9 +86,14 @@ class WordEncoder:
     """Ids of a text by a tokenizer whose pre-tokens never span white space, through a cache of words.
 
     The cache stops growing at ``most_words``; frequent words come early, rare ones are encoded again.
-    Words in Latin letters go through the piece table, all others through the tokenizer itself.
+    Words in Latin letters go through the piece table, all others through the tokenizer itself. That
+    holds for tokenizers built as ``_BUILT``, with special strings that begin with ``<|`` and hold no
+    white space; texts go through any other tokenizer as they are.
     """
 
+    #: Composed, white space collapsed, lower case; split by a pattern, bytes as letters; BPE with a word end.
+    _BUILT = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], "BPE", "</w>")
+
     def __init__(self, path: str, most_words: int = 400_000):
         import json
 
@@ -99,10 +104,20 @@ class WordEncoder:
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
-        steps = told["pre_tokenizer"]["pretokenizers"]
-        self.specials = [x["content"] for x in told["added_tokens"]]
-        self.find = regex.compile(steps[0]["pattern"]["Regex"]).findall
-        self.pieces = PieceTable(path)
+        self.by_words = self._is_built(told)
+        if self.by_words:
+            self.find = regex.compile(told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+            self.pieces = PieceTable(path)
+
+    def _is_built(self, told: dict) -> bool:
+        steps, cuts, model = ((told.get(k) or {}) for k in ("normalizer", "pre_tokenizer", "model"))
+        normal, cut = steps.get("normalizers", []), cuts.get("pretokenizers", [])
+        built = ([x["type"] for x in normal], [x["type"] for x in cut], model.get("type"), model.get("end_of_word_suffix"))
+        if built != self._BUILT or told.get("post_processor") is not None:
+            return False
+        spaces = normal[1]["pattern"] == {"Regex": r"\s+"} and normal[1]["content"] == " "
+        split = cut[0]["behavior"] == "Removed" and cut[0]["invert"] and not cut[1]["add_prefix_space"] and not cut[1]["use_regex"]
+        return bool(spaces and split and all(x["content"].startswith("<|") and not any(map(str.isspace, x["content"])) for x in told["added_tokens"]))
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -121,6 +136,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if not self.by_words:
+            return [self._ids(t) for t in texts]
         plain = [unicodedata.is_normalized("NFC", t) and not _SEPARATORS.search(t) for t in texts]
         words = [t.split() if ok else [] for t, ok in zip(texts, plain, strict=True)]
         known = self.cache
@@ -190,7 +207,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length
     A document is the ids of its text (null: empty) and ``end_id``; every id lies in one piece, and
     the pieces of a sequence stand without gaps from offset 0. ``ids`` (uint32, little endian) is
     null with ``keep_ids`` off. Rows are packed as they come: repeated rows are packed repeatedly,
-    and an empty table gives an empty result.
+    texts of any length are cut into full sequences, of windows that fit equally well the oldest is
+    taken, other columns play no part, and an empty table gives an empty result.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
