@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Element ids of the Matroska specification.
 EBML, SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_POSITIONS = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0xE1, 0x1F43B675, 0xA0, 0x1C53BB6B, 0xBB, 0xB7
@@ -136,8 +137,26 @@ def _frames(data: bytes, at: int, end: int, flags: int) -> Iterator[tuple[int, i
         at += n
 
 
+def _unsigned(body: bytes) -> int:
+    """An unsigned element; the table holds signed 64-bit numbers, so nothing of 2^63 or more is read."""
+    if len(body) > 8 or (value := int.from_bytes(body, "big")) >= 1 << 63:
+        raise ValueError("number out of range")
+    return value
+
+
+#: Master elements lie this deep at most; a file that nests deeper is broken.
+DEEPEST = 16
+
+
 def parse_matroska(data: bytes) -> Media:
-    """Raises ValueError where the structure is broken."""
+    """Raises ValueError where the structure is broken, whatever the bytes are."""
+    try:
+        return _parse(data)
+    except (IndexError, struct.error) as e:
+        raise ValueError(str(e) or "truncated") from e
+
+
+def _parse(data: bytes) -> Media:
     out = Media()
     now = {"cluster": 0, "time": 0, "segment": 0, "cue": [0, 0, 0]}
 
@@ -147,7 +166,9 @@ def parse_matroska(data: bytes) -> Media:
         for start, n in _frames(data, at + width + 3, end, flags):
             out.packets.append((track, now["time"] + relative, bool(flags & 0x80) if key is None else key, now["cluster"], start, n))
 
-    def walk(at: int, end: int, parent: int) -> int:
+    def walk(at: int, end: int, parent: int, deep: int = 0) -> int:
+        if deep > DEEPEST:
+            raise ValueError("elements nest too deeply")
         while at < end:
             ident, a = read_vint(data, at, keep_marker=True)
             if parent == CLUSTER and ident in TOP_LEVEL:
@@ -167,23 +188,23 @@ def parse_matroska(data: bytes) -> Media:
             elif ident == CUE_POINT:
                 now["cue"] = [0, 0, 0]
             if ident in MASTERS:
-                stop = walk(start, stop, ident)
+                stop = walk(start, stop, ident, deep + 1)
                 if ident == CUE_POSITIONS:
                     out.cues.append((now["cue"][0], now["cue"][1], now["segment"] + now["cue"][2]))
             elif ident in (SIMPLE_BLOCK, BLOCK):
                 block(start, stop, None if ident == SIMPLE_BLOCK else False)
             elif ident == TIMESTAMP:
-                now["time"] = int.from_bytes(body(), "big")
+                now["time"] = _unsigned(body())
             elif ident in (CUE_TIME, CUE_TRACK, CUE_CLUSTER):
-                now["cue"][(CUE_TIME, CUE_TRACK, CUE_CLUSTER).index(ident)] = int.from_bytes(body(), "big")
+                now["cue"][(CUE_TIME, CUE_TRACK, CUE_CLUSTER).index(ident)] = _unsigned(body())
             elif ident == SCALE:
-                out.scale = int.from_bytes(body(), "big")
+                out.scale = _unsigned(body())
             elif ident == DOC_TYPE:
                 out.doc_type = body().rstrip(b"\0").decode("ascii", "replace")
             elif parent in (TRACK, AUDIO) and out.tracks:
                 name = {TRACK_NUMBER: "number", TRACK_TYPE: "type", CODEC: "codec", RATE: "rate", CHANNELS: "channels", DEPTH: "depth"}.get(ident)
                 if name:
-                    out.tracks[-1][name] = body().decode("ascii", "replace") if ident == CODEC else struct.unpack(">d" if stop - start == 8 else ">f", body())[0] if ident == RATE else int.from_bytes(body(), "big")
+                    out.tracks[-1][name] = body().decode("ascii", "replace") if ident == CODEC else struct.unpack(">d" if stop - start == 8 else ">f", body())[0] if ident == RATE else _unsigned(body())
             at = stop
         return at
 
@@ -192,45 +213,69 @@ def parse_matroska(data: bytes) -> Media:
 
 
 PACKETS = "track long, timestamp long, key boolean, cluster long, start long, length long"
+_KINDS = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
 
 
-def store_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media: every whole text (null: empty) as UTF-8, zero-filled to a positive multiple of 64, in a Matroska file."""
+def packets_of(m: Media) -> list[tuple]:
+    """The rows of a file's packet table: track, timestamp (ms), key, cluster, start, length."""
+    rows = [(track, time * m.scale // 1_000_000, *rest) for track, time, *rest in m.packets]
+    if any(not -(1 << 63) <= x < 1 << 63 for track, time, *_ in rows for x in (track, time)):
+        raise ValueError("number out of range")
+    return rows
+
+
+def _slices(batch: pa.RecordBatch, sizes: list[int], most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of one row or more whose ``sizes`` sum to about ``most`` at the largest."""
+    start, held = 0, 0
+    for k, n in enumerate(sizes):
+        if k > start and held + n > most:
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += n
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
+def store_texts(docs: DataFrame, batch_bytes: int = 32_000_000) -> DataFrame:
+    """doc_id, n_bytes, media: every whole text (null: empty) as UTF-8, zero-filled to a positive multiple of 64, in a Matroska file.
+
+    One row per document, repeated rows repeatedly; other columns play no part; an empty table gives
+    an empty result. Files leave in batches of about ``batch_bytes``, a larger one alone.
+    """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                sizes, media = [], []
+            for part in _slices(batch, [x or 0 for x in batch.column("n_bytes").to_pylist()], batch_bytes):
+                media = []
                 for text in part.column("text").to_pylist():
                     raw = (text or "").encode("utf-8")
-                    sizes.append(len(raw))
                     media.append(write_matroska(raw + bytes(-len(raw) % 64 if raw else 64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(write, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+    sized = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    return sized.mapInArrow(write, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def packet_table(files: DataFrame, ident: str = "doc_id", media: str = "media") -> DataFrame:
     """One row per packet: id, error, track, timestamp (ms), key, cluster, start, length.
 
     A null or broken file gives one row with null packet columns and the reason in ``error``; a file
-    without packets gives none.
+    without packets gives none. Equal files give equal rows, other columns play no part.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ident_, data in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for ident_, data in zip(batch.column(0), batch.column(1), strict=True):
+                data, error = data.as_py(), None
                 try:
                     if data is None:
                         raise ValueError("null")
-                    m = parse_matroska(data)
-                    rows, error = [(t, ts * m.scale // 1_000_000, *rest) for t, ts, *rest in m.packets], None
-                except (ValueError, IndexError, struct.error) as e:
-                    rows, error = [(None,) * 6], str(e) or "truncated"
+                    rows = packets_of(parse_matroska(data))
+                except ValueError as e:
+                    rows, error = [(None,) * 6], str(e)
                 if rows:
                     columns = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array([ident_.as_py()] * len(rows), batch.column(0).type), pa.array([error] * len(rows), pa.string()), *(pa.array(c, pa.bool_() if k == 2 else pa.int64()) for k, c in enumerate(columns))], [ident, "error", "track", "timestamp", "key", "cluster", "start", "length"])
+                    yield pa.RecordBatch.from_arrays([pa.array([ident_.as_py()] * len(rows), batch.column(0).type), pa.array([error] * len(rows), pa.string()), *(pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True))], [ident, "error", "track", "timestamp", "key", "cluster", "start", "length"])
 
     return files.select(ident, media).mapInArrow(read, f"{ident} {files.schema[ident].dataType.simpleString()}, error string, {PACKETS}")
 
@@ -240,26 +285,36 @@ def features_of(m: Media, payload: bytes) -> str:
     samples = np.frombuffer(payload, np.uint8)
     counts = np.bincount(samples, minlength=256)
     p = counts[counts > 0] / max(1, len(samples))
-    return json.dumps({"tracks": len(m.tracks), "clusters": len(m.clusters), "packets": len(m.packets), "cues": len(m.cues), "cues_ok": {c for _, _, c in m.cues} == set(m.clusters), "last_ms": max((x[1] for x in m.packets), default=0), "mean": round(float(samples.mean()), 4) if len(samples) else 0.0, "entropy": round(float(-(p * np.log2(p)).sum()), 4)})
+    packets = packets_of(m)
+    return json.dumps({"tracks": len(m.tracks), "clusters": len(m.clusters), "packets": len(packets), "cues": len(m.cues), "cues_ok": {c for _, _, c in m.cues} == set(m.clusters), "last_ms": max((x[1] for x in packets), default=0), "mean": round(float(samples.mean()), 4) if len(samples) else 0.0, "entropy": round(float(-(p * np.log2(p)).sum()), 4)})
 
 
 def read_features(stored: DataFrame) -> DataFrame:
-    """Read stored files back through their packet tables.
+    """Read stored files (doc_id, n_bytes, media) back through their packets.
 
     Returns doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32 (last 64 bytes), media_bytes,
-    media_sha256, feature. Equal texts give equal values; null and empty texts are 64 zero bytes.
+    media_sha256, feature, error; one row per file, repeated rows repeatedly. Equal texts give equal
+    values; null and empty texts are 64 zero bytes. A null or broken file gives its reason in
+    ``error`` and no payload columns (and no media columns if null). Other columns play no part.
     """
-    schema = f"doc_id {stored.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = f"doc_id {stored.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
+
+    def one(data: bytes | None) -> tuple:
+        if data is None:
+            return (None,) * 6 + ("null",)
+        own = (len(data), hashlib.sha256(data).hexdigest())
+        try:
+            m = parse_matroska(data)
+            payload = b"".join([data[start : start + n] for *_, start, n in packets_of(m)])
+            return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *own, features_of(m, payload), None)
+        except ValueError as e:
+            return (None, None, None, *own, None, str(e))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for data in batch.column("media").to_pylist():
-                m = parse_matroska(data)
-                payload = b"".join([data[start : start + n] for *_, start, n in m.packets])
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), features_of(m, payload)))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            rows = [one(data.as_py()) for data in batch.column("media")]
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 7
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"])
 
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(read, schema)
