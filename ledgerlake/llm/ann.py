@@ -2,15 +2,18 @@
 
 Trees are fitted on a bounded sample of the vectors; every distinct vector is indexed in each tree.
 Levels that the sample is too small for split by a direction of their own at the sample's median, so
-the depth follows the number of rows while what is broadcast stays bounded. A query searches all
-trees through one priority queue, ordered by how little its path had to stray over split planes, and
-takes the first leaves of whichever trees; the candidates there are scored exactly.
+the depth follows the number of rows while what is broadcast stays bounded. A leaf that the sample
+says is large is dealt into blocks, each a group of its own, so that near-equal vectors, which no
+plane parts, do not meet in one task. A query searches all trees through one priority queue, ordered
+by the squared distance that its path strayed over split planes, and takes the first leaves of
+whichever trees; the candidates there are scored exactly.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,7 @@ from ledgerlake.llm.common import staged
 class ProjectionTree:
     """Nodes are paths: 1 is the root, 2k and 2k + 1 its children."""
 
-    def __init__(self, sample: np.ndarray, depth: int, seed: int, least: int = 32):
+    def __init__(self, sample: np.ndarray, depth: int, seed: int, least: int = 24):
         rng = np.random.default_rng(seed)
         dim = sample.shape[1]
         self.depth = depth
@@ -42,6 +45,12 @@ class ProjectionTree:
         self.level_normals = rng.normal(size=(max(0, depth - self.fitted), dim))
         self.level_normals /= np.linalg.norm(self.level_normals, axis=1, keepdims=True)
         self.level_cuts = np.array([np.median(sample @ n) if len(sample) else 0.0 for n in self.level_normals])
+        leaves, counts = np.unique(self.leaves(sample), return_counts=True)
+        self.share = dict(zip(leaves.tolist(), (counts / max(1, len(sample))).tolist(), strict=True))
+
+    def blocks(self, leaf: int, rows: float, target: int) -> int:
+        """Blocks for a leaf's part of ``rows``, as its part of the sample foretells it; entries are no more than the sample's rows."""
+        return max(1, -int(-self.share.get(leaf, 0.0) * rows // target))
 
     def plane(self, node: int) -> tuple[np.ndarray, float]:
         level = node.bit_length() - 1
@@ -59,7 +68,7 @@ class ProjectionTree:
 
 
 def search_leaves(trees: list[ProjectionTree], unit: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """(tree, leaf) of the ``most`` best leaves over all trees, by one priority queue of margins."""
+    """(tree, leaf) of the ``most`` best leaves over all trees, by one priority queue of squared margins, summed along a path."""
     queue: list[tuple[float, int, int]] = [(0.0, t, 1) for t in range(len(trees))]
     out = []
     while queue and len(out) < most:
@@ -68,7 +77,7 @@ def search_leaves(trees: list[ProjectionTree], unit: np.ndarray, most: int) -> l
             normal, cut = trees[t].plane(node)
             margin = float(unit @ normal) - cut
             near = 2 * node + int(margin > 0)
-            heapq.heappush(queue, (max(strayed, abs(margin)), t, near ^ 1))
+            heapq.heappush(queue, (strayed + margin * margin, t, near ^ 1))
             node = near
         out.append((t, node))
     return out
@@ -86,20 +95,28 @@ def _rows(binary: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(flat, "<f8").reshape(len(binary), -1)
 
 
-def distinct_vectors(table: DataFrame, ident: str, vector: str, keep: int) -> DataFrame:
+def distinct_vectors(table: DataFrame, ident: str, vector: str, keep: int, most: int = 20_000) -> DataFrame:
     """(vec, ids): usable vectors as bytes of doubles, each with its ``keep`` smallest ids.
 
-    Equal vectors are collapsed inside each task first, so a vector that a third of all rows hold
-    sends a few ids per task.
+    A task collapses equal vectors over ``most`` distinct ones at a time, so that a vector that a third
+    of all rows hold sends ``keep`` ids for that many rows or more, and lists are short where they meet.
     """
 
     def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, list[int]] = {}
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.list_(pa.int64()))], ["vec", "ids"])
+
         for batch in batches:
-            held: dict[bytes, list[int]] = {}
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if i is not None and _usable(v):
-                    held.setdefault(np.asarray(v, "<f8").tobytes(), []).append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array([sorted(set(x))[:keep] for x in held.values()], pa.list_(pa.int64()))], ["vec", "ids"])
+                    raw = np.asarray(v, "<f8").tobytes()
+                    held[raw] = sorted({*held.get(raw, ()), i})[:keep]
+            if len(held) >= most:
+                yield flush()
+                held = {}
+        yield flush()
 
     parts = table.select(F.col(ident).cast("long"), vector).mapInArrow(collapse, "vec binary, ids array<long>")
     return parts.groupBy("vec").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep).alias("ids"))
@@ -146,23 +163,35 @@ def leaves_for(target: float, trees: list[ProjectionTree], block: np.ndarray, tr
     return min(least, most)
 
 
-def nearest(table: DataFrame, ident: str = "vec_id", vector: str = "embedding", every: int = 50, k: int = 5, trees: int = 8, leaf_rows: int = 512, leaves: int | None = None, sample_rows: int = 16_000, seed: int = 5, recall: float = 0.95) -> DataFrame:
+def nearest(table: DataFrame, ident: str = "vec_id", vector: str = "embedding", every: int = 50, k: int = 5, trees: int = 8, leaf_rows: int = 512, leaves: int | None = None, sample_rows: int = 65_000, seed: int = 5, recall: float = 0.95, block_rows: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` rows of largest cosine for each row whose id is divisible by ``every``.
 
     Candidates are all rows but the query's own (a copy under another id counts). Nearest first, ties
     to the smaller id. Vectors that are null, empty, zero, or hold null or non-finite components take
-    no part; vectors of another length than most are left out too. A repeated id counts once.
-    The sample of ``sample_rows`` shapes the trees only; every vector is indexed. ``leaves`` are taken
-    for each query, by default 16 for every level of the trees, doubled until a block of 64 queries
-    finds a share of ``recall`` of its true neighbours, which are sought by brute force.
+    no part; a vector is compared with those of its own length, for a cosine needs equal lengths. A
+    repeated id with one vector counts once; other columns play no part; an empty table gives an empty
+    result. The sample of ``sample_rows`` (of 40 MB at most) shapes the trees only; every vector is
+    indexed. ``leaves`` are taken for each query, by default 16 for every level of the trees, doubled
+    until a block of 64 queries finds a share of ``recall`` of its true neighbours, which are sought
+    by brute force. A leaf is dealt into blocks of about ``block_rows``.
     """
-    spark = table.sparkSession
-    vectors = distinct_vectors(table, ident, vector, k + 1)
-    vectors = staged(vectors.withColumn("key", F.unhex(F.sha2("vec", 256))))
-    widths = vectors.groupBy(F.octet_length("vec").alias("w")).agg(F.sum(F.size("ids")).alias("n")).orderBy(F.desc("n"), "w").first()
-    width = widths["w"] if widths else 8
-    vectors = vectors.where(F.octet_length("vec") == width)
-    n = vectors.count()
+    vectors = staged(distinct_vectors(table, ident, vector, k + 1).withColumn("key", F.unhex(F.sha2("vec", 256))))
+    plain = table.select(F.col(ident).cast("long").alias("query_id"), vector).where(F.col("query_id") % every == 0)
+
+    def key_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, np.asarray(v, "<f8").tobytes()) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if _usable(v)]
+            i, v = zip(*rows, strict=True) if rows else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(v, pa.binary())], ["query_id", "vec"])
+
+    queries = staged(plain.mapInArrow(key_of, "query_id long, vec binary").withColumn("qkey", F.unhex(F.sha2("vec", 256))).dropDuplicates(["query_id", "qkey"]))
+    # one search for each length that vectors have; a table of embeddings has one
+    widths = sorted((r["w"], r["n"]) for r in vectors.groupBy(F.octet_length("vec").alias("w")).agg(F.count("*").alias("n")).collect()) or [(8, 0)]
+    parts = [_nearest_of_width(vectors.where(F.octet_length("vec") == w), queries.where(F.octet_length("vec") == w), w, n, k, every, trees, leaf_rows, leaves, sample_rows, seed, recall, block_rows) for w, n in widths]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _nearest_of_width(vectors: DataFrame, queries: DataFrame, width: int, n: int, k: int, every: int, trees: int, leaf_rows: int, leaves: int | None, sample_rows: int, seed: int, recall: float, block_rows: int) -> DataFrame:
     rows = min(sample_rows, max(1000, 40_000_000 // width))
     draw = F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < F.lit(round(1e6 * min(1.0, rows / max(1, n))))
     found = [r[0] for r in vectors.where(draw).select("vec").collect()]
@@ -170,7 +199,16 @@ def nearest(table: DataFrame, ident: str = "vec_id", vector: str = "embedding",
     sample = sample / np.linalg.norm(sample, axis=1, keepdims=True) if len(sample) else sample
     depth = int(np.clip(np.ceil(np.log2(max(1, n) / leaf_rows)), 0, 60))
     # broadcast: trees over the bounded sample, whatever the number of rows
-    forest = spark.sparkContext.broadcast([ProjectionTree(sample, depth, seed + t) for t in range(trees)])
+    forest = vectors.sparkSession.sparkContext.broadcast([ProjectionTree(sample, depth, seed + t) for t in range(trees)])
+
+    def block_of(key: bytes, blocks: int) -> int:
+        return int.from_bytes(key[:8], "big") % blocks
+
+    def dealt(batch: pa.RecordBatch, hits: list[tuple[int, int, int, int, int]]) -> pa.RecordBatch:
+        row, *place = zip(*hits, strict=True)
+        part = batch.take(pa.array(row))
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(place, kinds, strict=True)), *part.columns], ["tree", "leaf", "held_block", "asked_block", *part.schema.names])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,20 +216,26 @@ def nearest(table: DataFrame, ident: str = "vec_id", vector: str = "embedding",
                 continue
             unit = _rows(batch.column("vec"))
             unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+            keys = batch.column("key").to_pylist()
             for t, tree in enumerate(forest.value):
-                yield pa.RecordBatch.from_arrays([pa.array([t] * len(batch), pa.int32()), pa.array(tree.leaves(unit)), *batch.columns], ["tree", "leaf", *batch.schema.names])
+                hits = [(i, t, leaf, block_of(keys[i], tree.blocks(leaf, n, block_rows)), b) for i, leaf in enumerate(tree.leaves(unit).tolist()) for b in range(tree.blocks(leaf, n / every, block_rows))]
+                yield dealt(batch.select(["vec", "ids"]), hits)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            unit = _rows(batch.column("vec"))
+            unit = _rows(batch.column("qvec"))
             unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
-            for at in range(0, len(batch), 256):
-                hits = [(at + i, *leaf) for i in range(len(unit[at : at + 256])) for leaf in search_leaves(forest.value, unit[at + i], leaves)]
-                row, tree, leaf = zip(*hits, strict=True)
-                part = batch.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(leaf, pa.int64()), *part.columns], ["tree", "leaf", *part.schema.names])
+            keys = batch.column("qkey").to_pylist()
+            for at in range(0, len(batch), 64):
+                hits = []
+                for i in range(at, min(at + 64, len(batch))):
+                    for t, leaf in search_leaves(forest.value, unit[i], leaves):
+                        tree = forest.value[t]
+                        own = block_of(keys[i], tree.blocks(leaf, n / every, block_rows))
+                        hits += [(i, t, leaf, b, own) for b in range(tree.blocks(leaf, n, block_rows))]
+                yield dealt(batch, hits)
 
     def rerank(asked: pa.Table, held: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -213,23 +257,16 @@ def nearest(table: DataFrame, ident: str = "vec_id", vector: str = "embedding",
         a, b, i = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"qkey": pa.array(a, pa.binary()), "score": pa.array(b, pa.float64()), "vec_id": pa.array(i, pa.int64())})
 
-    plain = table.select(F.col(ident).cast("long").alias("query_id"), vector).where(F.col("query_id") % every == 0)
-
-    def key_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(i, np.asarray(v, "<f8").tobytes()) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if _usable(v) and 8 * len(v) == width]
-            i, v = zip(*rows, strict=True) if rows else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(v, pa.binary())], ["query_id", "vec"])
-
-    queries = staged(plain.mapInArrow(key_of, "query_id long, vec binary").withColumn("qkey", F.unhex(F.sha2("vec", 256))).dropDuplicates(["query_id", "qkey"]))
     if leaves is None:
         some = [r["vec"] for r in queries.select("qkey", "vec").distinct().orderBy("qkey").limit(64).collect()]
         block = np.frombuffer(b"".join(some), "<f8").reshape(-1, width // 8)
         leaves = leaves_for(recall, forest.value, block, true_neighbours(block, vectors, k) if some else [], 16 * (depth + 1))
-    asked = queries.groupBy("qkey").agg(F.first("vec").alias("vec")).mapInArrow(look, "tree int, leaf long, qkey binary, vec binary").withColumnRenamed("vec", "qvec")
-    held = vectors.select("vec", "ids").mapInArrow(index, "tree int, leaf long, vec binary, ids array<long>")
-    hits = asked.groupBy("tree", "leaf").cogroup(held.groupBy("tree", "leaf")).applyInArrow(rerank, "qkey binary, score double, vec_id long")
-    # at most leaves * (k + 1)^2 rows per distinct query vector
+    place = ["tree", "leaf", "held_block", "asked_block"]
+    spot = "tree int, leaf long, held_block int, asked_block int"
+    asked = queries.groupBy("qkey").agg(F.first("vec").alias("qvec")).mapInArrow(look, f"{spot}, qkey binary, qvec binary")
+    held = vectors.select("vec", "ids", "key").mapInArrow(index, f"{spot}, vec binary, ids array<long>")
+    hits = asked.groupBy(*place).cogroup(held.groupBy(*place)).applyInArrow(rerank, "qkey binary, score double, vec_id long")
+    # at most leaves * blocks * (k + 1)^2 rows per distinct query vector
     best = hits.groupBy("qkey").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k + 1).alias("best"))
     own = queries.join(best, "qkey").select("query_id", F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("best"))
     return own.select("query_id", F.posexplode("best").alias("r", "b")).select("query_id", (F.col("r") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.s")).alias("score"))
