@@ -8,9 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from ledgerlake.llm import ann, bpe, langid, lines, matroska, packing, quality, simhash, substrings, token_counts
-from ledgerlake.llm.common import read_table
+from ledgerlake.llm.common import read_table, shared_dir
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +26,8 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))[0]
+    """Counts through the cache that runs with the same shared folder leave to each other."""
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), f"{shared_dir(spark).rstrip('/')}/token-counts")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(read_table(spark, sf_dir, "documents"), window=35).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return substrings.remove_repeats(read_table(spark, sf_dir, "documents"), window=35, stable=True).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lines_removed, n_chars, text_sha256 (null for a null text) of every document after line dedup."""
-    kept = lines.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), counts="lines_removed")
+    kept = lines.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), counts="lines_removed", stable=True)
     return kept.select("doc_id", "lines_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -59,7 +59,7 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (op1_language_id, op2_byte_bpe, op3_simhash, op4_token_counts, op5_packing, op6_substring_dedup, op7_nearest_neighbours, op8_line_dedup, op9_quality, op10_matroska)
-    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in ops}
 
 
 OP6_SQL = r"""

@@ -1,9 +1,12 @@
 """Token counts through a digest cache.
 
-The cache is a table (digest, version, n_tokens). A text's digest is the SHA-256 of its content as
-the tokenizer will see it (null as empty), the version is the SHA-256 of the tokenizer file's bytes
-and of the library's name, so that a changed tokenizer never meets old counts. Documents are joined
-to the cache on both digests; only distinct misses are encoded, and appended to the cache.
+The cache is a table (digest, version, n_tokens) in a folder. A text's digest is the SHA-256 of its
+normalised content, the version is the SHA-256 of the tokenizer file's bytes and of the library's
+name, so that a changed tokenizer never meets old counts. Documents are joined to the cache on both
+digests; only distinct misses are encoded, and appended to the folder.
+
+Normalising may not change a count. Tokenizers look for special strings before they normalise, and
+keep white space and case as they like, so null as empty text is all that holds for every one.
 """
 
 from __future__ import annotations
@@ -13,10 +16,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import staged
+from ledgerlake.llm.common import exists, join_by_key, staged
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 
@@ -42,18 +45,27 @@ def tokenizer_version(path: str) -> str:
         return hashlib.sha256(path.rpartition(".")[2].encode() + b"\0" + f.read()).hexdigest()
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, cache: DataFrame | None = None, limit: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """(per-document counts, rows to append to the cache).
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The stored counts; an empty table where nothing has been stored yet."""
+    return spark.read.schema(CACHE_SCHEMA).parquet(path) if exists(spark, path) else spark.createDataFrame([], CACHE_SCHEMA)
+
 
-    Counts: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > ``limit``). Null and empty
-    texts have 0 bytes and 0 tokens. Repeated rows give repeated results; a text held by many
-    documents is encoded once. ``tokenizer_path`` must exist on every executor.
+def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 4096) -> DataFrame:
+    """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > ``limit``), one row per document.
+
+    Reads the cache at ``cache_path`` and appends what it lacks, so a second run encodes nothing. An
+    entry that two runs appended counts once. Null and empty texts have 0 bytes and 0 tokens; texts of
+    any length are encoded whole. Repeated rows give repeated results, but a text held by many
+    documents is encoded once. Other columns play no part, an empty table gives an empty result.
+    ``tokenizer_path`` must exist on every executor.
     """
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer_path)
-    known = (cache if cache is not None else spark.createDataFrame([], CACHE_SCHEMA)).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
 
+    def stored() -> DataFrame:
+        return read_cache(spark, cache_path).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+
     def once_per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
@@ -68,9 +80,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: DataFrame | None =
 
     # A task sends each text once at most, so that a copy group of any size stays a row per task.
     offered = rows.select("digest", "text").mapInArrow(once_per_task, "digest binary, text string").repartition("digest")
-    missed = offered.join(known.hint("shuffle_hash"), "digest", "left_anti").select("digest", "text")
-    appended = staged(missed.mapInArrow(encode, CACHE_SCHEMA))
-    counts = known.unionByName(appended.select("digest", "n_tokens"))
-    sizes = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
-    joined = sizes.join(counts, "digest")
-    return joined.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")), appended
+    missed = offered.join(stored().hint("shuffle_hash"), "digest", "left_anti").select("digest", "text")
+    missed.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    sizes = staged(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"))
+    held = staged(sizes.groupBy("digest").agg(F.count("*").alias("n")).join(stored(), "digest"))
+    total = held.agg(F.sum("n")).first()[0] or 0
+    return join_by_key(sizes, held, "digest", "n", total).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

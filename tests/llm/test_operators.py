@@ -169,7 +169,7 @@ def test_keep_one_of_each_group(spark):
         copy[50], copy[200] = "changed", "again"
         rows.append((100 + k, " ".join(copy)))
     rows += [(200, rows[0][1]), (None, rows[1][1]), (300, None), (301, ""), (302, "  ")]
-    kept = {r["doc_id"] for r in simhash.keep_one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string"), shard_rows=4).collect()}
+    kept = {r["doc_id"] for r in simhash.keep_one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string"), block_rows=4).collect()}
     assert kept == set(range(40)) | {300}
 
 
@@ -199,24 +199,34 @@ def test_blocks_of_a_large_group_find_all_links(spark):
     text = [f"w{k}" for k in range(200)]
     rows = [(k, " ".join([*text[3 * k :], *(f"n{x}" for x in range(3 * k))])) for k in range(30)]  # a chain of links
     stamped = simhash.with_fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), 5, "fp", "wide", "size", "vertex").selectExpr("*", "1L AS component")
-    plain, dealt = (connected_components(simhash.exact_links(stamped, 5, 256, 0.8, rows=n), "vertex", "rep") for n in (1000, 4))
+    plain, dealt = (connected_components(simhash.exact_links(simhash.with_blocks(stamped, rows=n), 5, 256, 0.8), "vertex", "rep") for n in (1000, 4))
     assert plain.count() == 30 and rows_of(plain) == rows_of(dealt)
 
 
-def test_token_counts(spark, table):
+def test_token_counts(spark, table, tmp_path):
     import sentencepiece
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
+    path, cache = public_tokenizers.path("piece_bpe_32k.model"), str(tmp_path / "cache")
     plain = sentencepiece.SentencePieceProcessor(model_file=path)
-    got, new = token_counts.count_tokens(table, path)
+    got = rows_of(token_counts.count_tokens(table, path, cache))
     expected = [(r["doc_id"], len((r["text"] or "").encode()), n := len(plain.encode(r["text"] or "")), n > 4096) for r in table.collect()]
-    assert rows_of(got) == sorted(expected, key=lambda r: tuple((x is None, x) for x in r))
-    assert new.count() == len({r["text"] or "" for r in table.collect()})
-    again, missed = token_counts.count_tokens(table, path, cache=new)
-    assert missed.count() == 0 and rows_of(again) == rows_of(got)
-    stale = new.withColumn("version", new["digest"].cast("string"))
-    assert token_counts.count_tokens(table, path, cache=stale)[1].count() == new.count()
-    assert token_counts.count_tokens(table.limit(0), path)[0].count() == 0
+    assert got == sorted(expected, key=lambda r: tuple((x is None, x) for x in r))
+    stored = token_counts.read_cache(spark, cache).count()
+    assert stored == len({r["text"] or "" for r in table.collect()})
+    assert rows_of(token_counts.count_tokens(table, path, cache)) == got
+    assert token_counts.read_cache(spark, cache).count() == stored  # nothing was encoded again
+    assert token_counts.count_tokens(table.limit(0), path, cache).count() == 0
+
+
+def test_stored_counts_are_used_and_versions_kept_apart(spark, awkward, tmp_path):
+    path, cache = public_tokenizers.path("piece_bpe_32k.model"), str(tmp_path / "cache")
+    honest = rows_of(token_counts.count_tokens(awkward, path, cache))
+    other = token_counts.read_cache(spark, cache).selectExpr("digest", "'another tokenizer' AS version", "n_tokens + 1 AS n_tokens").collect()
+    spark.createDataFrame(other, token_counts.CACHE_SCHEMA).write.mode("append").parquet(cache)
+    assert rows_of(token_counts.count_tokens(awkward, path, cache)) == honest
+    marked = str(tmp_path / "marked")
+    token_counts.read_cache(spark, cache).where("version <> 'another tokenizer'").selectExpr("digest", "version", "n_tokens + 1000000 AS n_tokens").write.parquet(marked)
+    assert all(r["n_tokens"] >= 1_000_000 for r in token_counts.count_tokens(awkward, path, marked).collect())
 
 
 def test_packing(table):
