@@ -1,9 +1,12 @@
 """Corpus pipeline: quality, line dedup, near-duplicates, repeated passages, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last
-return the columns of documents. Nulls: a null text is scored as an empty one, is left alone by the
-line and substring stages, is one group with other texts without words for near-duplicates, and is
-packed as its end token.
+return the columns of documents, whatever other columns there are and whatever they are called. A
+stage's docs are files that have been written and are read again, so they are the same whenever they
+are computed. Nulls: a null text is scored as an empty one, is left alone by the line and substring
+stages, is one group with other texts without words for near-duplicates, and is packed as its end
+token; a null doc_id comes last. Repeated rows are rows like any others, so near_dedup keeps one of
+them. Texts of any length are read whole. An empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks of lines go but for their first occurrence; documents left without text go too."""
     bounded_batches(spark)
-    kept = lines.dedup_lines(docs)
+    kept = lines.dedup_lines(docs, stable=True)
     return kept.where(F.col("text").isNull() | (F.col("text") != ""))
 
 
@@ -41,7 +44,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that start anywhere else are cut out; documents left without text go."""
     bounded_batches(spark)
-    kept = substrings.drop_repeats_from_texts(docs, window=50)
+    kept = substrings.drop_repeats_from_texts(docs, window=50, stable=True)
     return kept.where(F.col("text").isNull() | (F.col("text") != ""))
 
 
