@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake import topics as t
-from ledgerlake.decode.base import address, sint, small_int, swap_id, topic, topic_int, topic_uint, uint, where_event, word, word_address
+from ledgerlake.decode.base import address, net, sint, small_int, swap_id, topic, topic_int, topic_uint, uint, where_event, word, word_address
 from ledgerlake.functions import hexwords as hx
 
 DEFAULT_FEE = 3000
@@ -20,7 +20,7 @@ def _swap(logs: DataFrame, pool, sender, amount0, amount1, *more) -> DataFrame:
 
 def swaps_v2(logs: DataFrame) -> DataFrame:
     """amounts are what came in less what went out; ``timestamp`` is the block number until blocks are joined."""
-    return _swap(where_event(logs, t.SWAP_V2), F.col("address"), F.coalesce(address(1), F.lit("")), hx.net_uint256(word(0), word(2)), hx.net_uint256(word(1), word(3)))
+    return _swap(where_event(logs, t.SWAP_V2), F.col("address"), F.coalesce(address(1), F.lit("")), net(0, 2), net(1, 3))
 
 
 def swaps_v3(logs: DataFrame, signed: bool = True) -> DataFrame:
@@ -40,10 +40,10 @@ def all_swaps(logs: DataFrame) -> DataFrame:
 
 
 def pools(logs: DataFrame) -> DataFrame:
-    """Pools announced by pair and pool factories: id, token0, token1, feeTier, created_block."""
+    """Pools announced by pair and pool factories: id, token0, token1, feeTier, created_block; none from data of under a word."""
     pairs = where_event(logs, t.PAIR_CREATED, 3).where(F.length(hx.strip0x(F.col("data"))) >= 64)
     pair = pairs.select(word_address(0).alias("id"), address(1).alias("token0"), address(2).alias("token1"), F.lit(DEFAULT_FEE).cast("long").alias("feeTier"), "block_number", "log_order")
-    created = where_event(logs, t.POOL_CREATED, 4)
+    created = where_event(logs, t.POOL_CREATED, 4).where(F.length(hx.strip0x(F.col("data"))) >= 64)
     pool = created.select(F.concat(F.lit("0x"), F.substring("data", -40, 40)).alias("id"), address(1).alias("token0"), address(2).alias("token1"), F.coalesce(topic_int(3), F.lit(0).cast("long")).alias("feeTier"), "block_number", "log_order")
     return pair.unionByName(pool).withColumn("created_block", F.col("block_number"))
 

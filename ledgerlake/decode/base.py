@@ -24,9 +24,13 @@ WORDS, TOPICS = 7, 4
 
 
 def with_words(logs: DataFrame) -> DataFrame:
-    """Data words and topics as columns of 64 hex digits, cut once for all that reads them; unread ones are pruned."""
+    """Data words and topics as columns of 64 hex digits, and their decimal digits, cut once for all that reads them.
+
+    The columns that a decoder does not read are pruned; the functions below name those that it reads.
+    """
     words = {f"_w{i}": hx.cut_word(F.col("_digits"), i) for i in range(WORDS)}
-    return logs.withColumn("_digits", hx.digits(F.col("data"))).withColumns(words | {f"_t{i}": hx.topic_word(topic(i)) for i in range(1, TOPICS)})
+    cut = logs.withColumn("_digits", hx.digits(F.col("data"))).withColumns(words | {f"_t{i}": hx.topic_word(topic(i)) for i in range(1, TOPICS)})
+    return hx.with_digits(cut, {f"_u{w}": w for w in [f"_w{i}" for i in range(WORDS)] + [f"_t{i}" for i in range(1, TOPICS)]}, {f"_s_w{i}": f"_w{i}" for i in range(WORDS)})
 
 
 def word(i: int) -> str:
@@ -35,7 +39,7 @@ def word(i: int) -> str:
 
 
 def topic_uint(i: int) -> Column:
-    return hx.uint256(f"_t{i}")
+    return F.col(f"_u_t{i}")
 
 
 def topic_int(i: int) -> Column:
@@ -43,11 +47,16 @@ def topic_int(i: int) -> Column:
 
 
 def uint(i: int) -> Column:
-    return hx.uint256(word(i))
+    return F.col(f"_u{word(i)}")
 
 
 def sint(i: int) -> Column:
-    return hx.int256(word(i))
+    return F.col(f"_s{word(i)}")
+
+
+def net(i: int, j: int) -> Column:
+    """Word i less word j."""
+    return hx.net_uint256(word(i), word(j), f"_u{word(i)}", f"_u{word(j)}")
 
 
 def small_int(i: int) -> Column:

@@ -1,8 +1,9 @@
 """Decoding 32-byte words of hex text: exact 256-bit integers, addresses, booleans, small integers.
 
-The canonical form of a 256-bit integer is its decimal digits as a string. Values under 2^124 take a
-path of plain decimal arithmetic that stays in generated code; larger ones are split into eight
-32-bit chunks and summed into five limbs of base 10^18.
+The canonical form of a 256-bit integer is its decimal digits as a string. Values under 2^60 take a
+path of plain BIGINTs, those under 2^124 one of decimals. Larger ones are four 64-bit quarters, summed
+into limbs of base 10^18; every limb is a column of its own (``digit_columns``), computed from the one
+before it, so that all of it is plain arithmetic in generated code. Columns that nobody reads are pruned.
 
 Functions of words take SQL text (a column's name as a rule) and build one SQL expression: such
 expressions are large, and parsing text is much faster than building them call by call.
@@ -10,18 +11,21 @@ expressions are large, and parsing text is much faster than building them call b
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping
+from types import MappingProxyType
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BASE = 10**18
 _ZERO_WORD = "0" * 64
-#: Weight of chunk i (most significant first) in limb j (least significant first).
-_WEIGHTS = [[(2 ** (32 * (7 - i)) // _BASE**j) % _BASE for i in range(8)] for j in range(5)]
+#: Weight of quarter k (most significant first) in limb j (least significant first); the last limb takes all that is left.
+_WEIGHTS = [[2 ** (64 * (3 - k)) // _BASE**j % (_BASE if j < 3 else 1 << 256) for k in range(4)] for j in range(4)]
 ZERO_ADDRESS = "0x" + "0" * 40
 
 
 def strip0x(c: Column) -> Column:
-    return F.when(c.startswith("0x"), F.substring(c, 3, 1_000_000)).otherwise(c)
+    return F.when(c.startswith("0x"), F.substr(c, F.lit(3))).otherwise(c)
 
 
 def hex_number(c: Column) -> Column:
@@ -73,68 +77,118 @@ def _decimal(w: str) -> str:
     return f"CAST(CAST(conv(substring({w}, 34, 15), 16, 10) AS DECIMAL(19,0)) * {2**64}BD + CAST(conv(substring({w}, 49, 16), 16, 10) AS DECIMAL(20,0)) AS DECIMAL(38,0))"
 
 
-def limbs(w: str) -> str:
-    """Five sums, least significant first: value = sum(limb_j * 10^(18 j)); not carried."""
-    chunks = f"transform(sequence(0, 7), i -> CAST(conv(substring({w}, i * 8 + 1, 8), 16, 10) AS DECIMAL(10,0)))"
+def _limb(w: str, j: int) -> str:
+    """Limb j of a word, not carried: under 2^64 * 4 * 10^18, so DECIMAL(38, 0) holds it."""
+    terms = [f"CAST(conv(substring({w}, {16 * k + 1}, 16), 16, 10) AS DECIMAL(20,0)) * {x}BD" for k, x in enumerate(_WEIGHTS[j]) if x]
+    return " + ".join(f"CAST({t} AS DECIMAL(38,0))" for t in terms)
 
-    def total(weights: list[int]) -> str:
-        listed = ", ".join(f"CAST({x}BD AS DECIMAL(18,0))" for x in weights)
-        return f"aggregate(zip_with({chunks}, array({listed}), (a, b) -> CAST(a * b AS DECIMAL(38,0))), CAST(0 AS DECIMAL(38,0)), (s, x) -> CAST(s + x AS DECIMAL(38,0)))"
 
-    return f"array({', '.join(map(total, _WEIGHTS))})"
+def _carry(below: str) -> str:
+    return f"CAST(substring({below}, 1, 20) AS DECIMAL(38,0))"
 
 
-def text_limbs(digits: str) -> list[str]:
-    """Five limbs, least significant first, of unsigned decimal digits (up to 90)."""
-    return [f"CAST(substring(lpad({digits}, 90, '0'), {73 - 18 * j}, 18) AS DECIMAL(38,0))" for j in range(5)]
+def digit_columns(w: str, out: str, signed: bool = False, small_path: bool = True) -> list[dict[str, str]]:
+    """Levels of columns, each on top of the one before it, the last of which is ``out``: the digits of word ``w``.
 
+    Limbs are text of 38 digits: 18 of the number and 20 to carry. They are null for words under 2^124,
+    unless ``small_path`` is off. Signed words go by their magnitude: the complement, and one.
+    """
+    negative = f"substring({w}, 1, 1) >= '8'"
+    m = f"{out}_m" if signed else w
+    first = {m: f"CASE WHEN {negative} THEN translate({w}, '0123456789abcdef', 'fedcba9876543210') ELSE {w} END"} if signed else {}
+    low = _limb(m, 0) + (f" + CAST(IF({negative}, 1, 0) AS DECIMAL(38,0))" if signed else "")
+    limb = [f"{out}_{j}" for j in range(3)]
+    text = "lpad(CAST(CAST({} AS DECIMAL(38,0)) AS STRING), 38, '0')".format
+    levels = [first, {limb[0]: f"CASE WHEN NOT {_small(m)} THEN {text(low)} END" if small_path else text(low)}]
+    levels += [{limb[j]: f"CASE WHEN {limb[j - 1]} IS NOT NULL THEN {text(f'{_limb(m, j)} + {_carry(limb[j - 1])}')} END"} for j in (1, 2)]
+    wide = f"ltrim('0', concat(CAST(CAST({_limb(m, 3)} + {_carry(limb[2])} AS DECIMAL(38,0)) AS STRING), substring({limb[2]}, 21, 18), substring({limb[1]}, 21, 18), substring({limb[0]}, 21, 18)))"
+    cases = [f"WHEN {_tiny(w)} THEN conv(substring({w}, 50, 15), 16, 10)"] if small_path else []
+    if signed:
+        cases += [f"WHEN {_tiny(w, 'f')} THEN CAST({_low(w)} - {1 << 60} AS STRING)", f"WHEN {limb[2]} IS NOT NULL THEN concat(IF({negative}, '-', ''), {wide})", f"WHEN {negative} THEN concat('-', CAST(CAST({_decimal(m)} + 1BD AS DECIMAL(38,0)) AS STRING))"]
+    else:
+        cases.append(f"WHEN {limb[2]} IS NOT NULL THEN {wide if small_path else f"coalesce(nullif({wide}, ''), '0')"}")
+    return [x for x in [*levels, {out: f"CASE {' '.join(cases)} ELSE CAST({_decimal(m)} AS STRING) END"}] if x]
 
-def render(totals: str) -> str:
-    """Decimal digits of a non-negative number given as an array of uncarried limbs."""
-    full = "CAST(limb + acc.carry AS DECIMAL(38,0))"
-    rest = f"pmod({full}, {_BASE}BD)"
-    carry = f"CAST(({full} - {rest}) div {_BASE}BD AS DECIMAL(38,0))"
-    step = f"named_struct('carry', {carry}, 'text', concat(lpad(CAST({rest} AS STRING), 18, '0'), acc.text))"
-    return f"aggregate({totals}, named_struct('carry', CAST(0 AS DECIMAL(38,0)), 'text', ''), (acc, limb) -> {step}, acc -> regexp_replace(concat(CAST(acc.carry AS STRING), acc.text), '^0+(?=.)', ''))"
 
+def with_digits(rows: DataFrame, unsigned: Mapping[str, str] = MappingProxyType({}), signed: Mapping[str, str] = MappingProxyType({}), small_path: bool = True) -> DataFrame:
+    """Adds columns (name -> word) with the decimal digits of words, level by level for all of them at once."""
+    plans = [digit_columns(w, out, False, small_path) for out, w in unsigned.items()] + [digit_columns(w, out, True) for out, w in signed.items()]
+    deepest = max(map(len, plans), default=0)
+    for level in range(deepest):
+        columns = {n: F.expr(e) for p in plans if (k := level - deepest + len(p)) >= 0 for n, e in p[k].items()}
+        rows = rows.withColumns(columns)
+    return rows
 
-def _unsigned(w: str) -> str:
-    return f"CASE WHEN {_tiny(w)} THEN conv(substring({w}, 50, 15), 16, 10) WHEN {_small(w)} THEN CAST({_decimal(w)} AS STRING) ELSE {render(limbs(w))} END"
 
+def int_small(w: str) -> Column:
+    """A signed word as BIGINT (ticks and the like); null where it does not fit."""
+    # up to 60 bits the low digits say it all; the sign fills what is above
+    full = f"CAST(conv(substring({w}, 49, 16), 16, 10) AS DECIMAL(20,0))"
+    fits = [f"WHEN startswith({w}, '{lead * 48}') AND substring({w}, 49, 1) {test} '8' THEN CAST({full} - {less}BD AS BIGINT)" for lead, test, less in (("0", "<", 0), ("f", ">=", 1 << 64))]
+    return F.expr(f"CASE WHEN {_tiny(w)} THEN {_low(w)} WHEN {_tiny(w, 'f')} THEN {_low(w)} - {1 << 60} {' '.join(fits)} END")
 
-def uint256(w: str) -> Column:
-    """Decimal digits of an unsigned word."""
-    return F.expr(_unsigned(w))
 
+def net_uint256(a: str, b: str, a_digits: str, b_digits: str) -> Column:
+    """Decimal digits of a - b for unsigned words and their digits, exact over the full range."""
+    plain = f"CAST(CAST({_decimal(a)} - {_decimal(b)} AS DECIMAL(38,0)) AS STRING)"
+    over, under = f"lpad(IF({a} >= {b}, {a_digits}, {b_digits}), 108, '0')", f"lpad(IF({a} >= {b}, {b_digits}, {a_digits}), 108, '0')"
+    # three limbs of 36 digits, the least significant first, each less what it lends
+    steps: list[str] = []
+    for k in range(3):
+        part = [f"CAST(substring({x}, {73 - 36 * k}, 36) AS DECIMAL(38,0))" for x in (over, under)]
+        lent = f" - CAST(IF({steps[-1]} < 0BD, 1, 0) AS DECIMAL(38,0))" if steps else ""
+        steps.append(f"CAST({part[0]} - {part[1]}{lent} AS DECIMAL(38,0))")
+    digits = ", ".join(f"lpad(CAST(CAST(IF({x} < 0BD, {x} + {10**36}BD, {x}) AS DECIMAL(38,0)) AS STRING), 36, '0')" for x in reversed(steps))
+    wide = f"concat(IF({a} < {b}, '-', ''), coalesce(nullif(ltrim('0', concat({digits})), ''), '0'))"
+    return F.expr(f"CASE WHEN {_tiny(a)} AND {_tiny(b)} THEN CAST({_low(a)} - {_low(b)} AS STRING) WHEN {_small(a)} AND {_small(b)} THEN {plain} ELSE {wide} END")
 
-def _signed(w: str) -> str:
-    v = f"translate({w}, '0123456789abcdef', 'fedcba9876543210')"
-    one = f"transform({limbs(v)}, (x, i) -> CAST(x + IF(i = 0, 1, 0) AS DECIMAL(38,0)))"
-    below = f"CASE WHEN {_small(v)} THEN CAST(CAST({_decimal(v)} + 1BD AS DECIMAL(38,0)) AS STRING) ELSE {render(one)} END"
-    return f"CASE WHEN {_tiny(w, 'f')} THEN CAST({_low(w)} - {1 << 60} AS STRING) WHEN substring({w}, 1, 1) >= '8' THEN concat('-', {below}) ELSE {_unsigned(w)} END"
 
+def _text_limbs(digits: str) -> list[str]:
+    """Five limbs, least significant first, of decimal digits (up to 90, perhaps with a minus sign); null where there is nothing."""
+    m = f"ltrim('-', {digits})"
+    sign = f"IF(startswith({digits}, '-'), -1, 1)"
+    low = f"CAST(right({m}, 18) AS DECIMAL(18,0))"
+    high = [f"CASE WHEN length({m}) > {18 * j} THEN CAST(substring(lpad({m}, 90, '0'), {73 - 18 * j}, 18) AS DECIMAL(18,0)) END" for j in range(1, 5)]
+    return [f"CAST({x} * CAST({sign} AS DECIMAL(1,0)) AS DECIMAL(38,0))" for x in [low, *high]]
 
-def int256(w: str) -> Column:
-    """Decimal digits of a two's-complement word, with a minus sign where negative."""
-    return F.expr(_signed(w))
 
+def limb_sums(digits: str, over: str = "") -> list[Column]:
+    """Sums of the five limbs of decimal text, as aggregates or (``over``: a window's SQL) as window functions; 0 for no rows."""
+    window = f" OVER ({over})" if over else ""
+    return [F.expr(f"coalesce(CAST(sum({x}){window} AS DECIMAL(38,0)), CAST(0 AS DECIMAL(38,0)))") for x in _text_limbs(digits)]
 
-def int_small(w: str) -> Column:
-    """A signed word as BIGINT (ticks and the like); null where it does not fit."""
-    # up to 60 bits the low digits say it all; the sign fills what is above
-    return F.expr(f"CASE WHEN {_tiny(w)} THEN {_low(w)} WHEN {_tiny(w, 'f')} THEN {_low(w)} - {1 << 60} ELSE try_cast({_signed(w)} AS BIGINT) END")
 
+def render(totals: str) -> str:
+    """Decimal digits, with a minus sign where negative, of a number given as an array of limbs, not carried."""
+    full = "CAST(limb + acc.carry AS DECIMAL(38,0))"
+    rest = f"pmod({full}, {_BASE}BD)"
+    carry = f"CAST(({full} - {rest}) div {_BASE}BD AS DECIMAL(38,0))"
+    step = f"named_struct('carry', {carry}, 'text', concat(lpad(CAST({rest} AS STRING), 18, '0'), acc.text))"
+
+    def carried(x: str, last: str) -> str:
+        return f"aggregate({x}, named_struct('carry', CAST(0 AS DECIMAL(38,0)), 'text', ''), (acc, limb) -> {step}, acc -> {last})"
 
-def net_uint256(a: str, b: str) -> Column:
-    """Decimal digits of a - b for unsigned words, exact over the full range."""
-    plain = f"CAST(CAST({_decimal(a)} - {_decimal(b)} AS DECIMAL(38,0)) AS STRING)"
-    wide = render(f"zip_with({limbs(f'greatest({a}, {b})')}, {limbs(f'least({a}, {b})')}, (x, y) -> CAST(x - y AS DECIMAL(38,0)))")
-    return F.expr(f"CASE WHEN {_tiny(a)} AND {_tiny(b)} THEN CAST({_low(a)} - {_low(b)} AS STRING) WHEN {_small(a)} AND {_small(b)} THEN {plain} WHEN {a} < {b} THEN concat('-', {wide}) ELSE {wide} END")
+    digits = "coalesce(nullif(ltrim('0', concat(CAST(acc.carry AS STRING), acc.text)), ''), '0')"
+    opposite = f"transform({totals}, x -> CAST(-x AS DECIMAL(38,0)))"
+    return f"IF({carried(totals, 'acc.carry < 0BD')}, concat('-', {carried(opposite, digits)}), {carried(totals, digits)})"
+
+
+def sum_digits(digits: str) -> Column:
+    """Exact sum of decimal text, signed or not, as decimal text, as one aggregate expression; 0 for no rows."""
+    return F.expr(render(f"array({', '.join(f'coalesce(CAST(sum({x}) AS DECIMAL(38,0)), CAST(0 AS DECIMAL(38,0)))' for x in _text_limbs(digits))})"))
+
+
+def fixed_point(text: str, scale: int = 18) -> Column:
+    """Text such as -12.5 as digits of its value * 10^scale (further places are cut off); null for what is no number. 1e5 reads as 100000."""
+    plain = F.expr(f"CASE WHEN {text} RLIKE '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$' THEN ltrim('+', {text}) WHEN {text} RLIKE '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)[eE][+-]?[0-9]+$' THEN CAST(CAST({text} AS DECIMAL(38,{scale})) AS STRING) END")
+    places = F.when(F.contains(plain, F.lit(".")), F.substring_index(plain, ".", -1)).otherwise("")
+    return F.concat(F.substring_index(plain, ".", 1), F.rpad(F.substring(places, 1, scale), scale, "0"))
 
 
-def sum_uint256(digits: str) -> Column:
-    """Exact sum of unsigned decimal text as decimal text, as one aggregate expression; 0 for no rows."""
-    return F.expr(render(f"array({', '.join(f'coalesce(CAST(sum({x}) AS DECIMAL(38,0)), CAST(0 AS DECIMAL(38,0)))' for x in text_limbs(digits))})"))
+def with_point(digits: str, scale: int = 18) -> Column:
+    """The digits of value * 10^scale as text of the value, without trailing zeros."""
+    m = f"lpad(ltrim('-', {digits}), greatest({scale + 1}, length(ltrim('-', {digits}))), '0')"
+    return F.expr(f"rtrim('.', rtrim('0', concat(IF(startswith({digits}, '-'), '-', ''), left({m}, length({m}) - {scale}), '.', right({m}, {scale}))))")
 
 
 def topic_address(t: Column) -> Column:

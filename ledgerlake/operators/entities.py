@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.functions import hexwords as hx
 from ledgerlake.operators.query import clamp
 
 # Entity types of each domain, and the singleton that holds its statistics.
@@ -41,7 +42,7 @@ CATALOGUE: dict[str, tuple[tuple[str, ...], str | None]] = {
     "zk": (("ZKProof", "Verifier", "CircuitHash", "ProofBatch", "ZKSession"), "ZKStats"),
 }
 
-# Statistics: field -> (entity type, measure, JSON field). Measures: count, sum, avg.
+# Statistics, field -> (entity type, measure, JSON field). Measures: count, sum, avg.
 STATISTICS: dict[str, dict[str, tuple[str, str, str | None]]] = {
     "NetworkStats": {"totalStake": ("Validator", "sum", "stake"), "validatorCount": ("Validator", "count", None), "delegatorCount": ("Delegator", "count", None)},
     "QuantumStats": {"totalSignatures": ("RingtailSignature", "count", None), "totalProofs": ("QuantumProof", "count", None)},
@@ -81,38 +82,20 @@ def get_by_field(entities: DataFrame, entity_type: str, field: str, value: str)
 
 
 def domain_statistics(entities: DataFrame, stat: str, spec: Mapping[str, tuple[str, str, str | None]] | None = None) -> DataFrame:
-    """The singleton (id "1") of a domain, recomputed in one pass over its entity types."""
+    """The singleton (id "1") of a domain, recomputed in one pass over its entity types.
+
+    Counts are BIGINT, sums exact decimal text, averages DOUBLE; a field that is no number counts for neither.
+    """
     spec = spec or STATISTICS[stat]
     rows = entities.where(F.col("entity_type").isin(*sorted({e for e, _, _ in spec.values()})))
-    out = []
     for name, (kind, measure, field) in spec.items():
-        own = F.col("entity_type") == kind
-        value = F.get_json_object("data", f"$.{field}").try_cast("decimal(28,6)") if field else F.lit(1)
-        column = F.when(own, value)
-        out.append({"count": F.count(column), "sum": F.coalesce(F.sum(column), F.lit(0)).cast("decimal(38,6)"), "avg": F.avg(column).cast("double")}[measure].alias(name))
-    return rows.agg(*out).select(F.lit("1").alias("id"), "*")
-
-
-class Registry:
-    """Named resolvers: name -> function (tables, **arguments) -> DataFrame; domains are loaded by name."""
-
-    ALIASES = {"amm-v2": "amm", "amm-v3": "amm", "amm-v4": "amm", "v4": "amm", "threshold": "fhe", "pchain": "platform", "xchain": "exchange", "zchain": "zk", "mchain": "mpc"}
-
-    def __init__(self) -> None:
-        self.resolvers: dict[str, Callable[..., DataFrame]] = {}
-
-    def register(self, name: str, resolver: Callable[..., DataFrame]) -> None:
-        self.resolvers[name] = resolver
+        value = F.when(F.col("entity_type") == kind, F.get_json_object("data", f"$.{field}") if field else F.lit("1"))
+        rows = rows.withColumn(f"_{name}", value)
+        rows = rows.withColumn(f"_{name}", {"sum": hx.fixed_point(f"_{name}"), "avg": hx.number(F.col(f"_{name}"))}.get(measure, F.col(f"_{name}")))
+    out = [{"count": F.count, "sum": hx.sum_digits, "avg": F.avg}[measure](f"_{name}").alias(name) for name, (_, measure, _) in spec.items()]
+    return rows.agg(*out).select(F.lit("1").alias("id"), *[hx.with_point(n).alias(n) if m == "sum" else F.col(n) for n, (_, m, _) in spec.items()])
 
-    def load(self, domain: str) -> None:
-        """Get and list resolvers for every type of a domain, and its statistics. KeyError for an unknown domain."""
-        types, stat = CATALOGUE[self.ALIASES.get(domain, domain)]
-        for t in types:
-            lower = t[0].lower() + t[1:]
-            self.register(lower, lambda tables, id, t=t: get_entity(tables["entities"], t, id))
-            self.register(f"{lower}s", lambda tables, first=None, t=t: list_entities(tables["entities"], t, first))
-        if stat:
-            self.register(stat[0].lower() + stat[1:], lambda tables, s=stat: get_entity(tables["entities"], s, "1"))
 
-    def resolve(self, name: str, tables: Mapping[str, DataFrame], **arguments: Any) -> DataFrame:
-        return self.resolvers[name](tables, **arguments)
+def get_statistics(entities: DataFrame, stat: str) -> DataFrame:
+    """The stored singleton of a domain's statistics, or no row."""
+    return get_entity(entities, stat, "1")

@@ -61,7 +61,7 @@ def clamp(first: Any, default: int = DEFAULT_LIMIT) -> int:
     return max(1, min(MOST, n))
 
 
-def get(rows: DataFrame, ident: str, key: str = "id") -> DataFrame:
+def get(rows: DataFrame, ident: Any, key: str = "id") -> DataFrame:
     """One row or none."""
     return rows.where(F.col(key) == ident).limit(1)
 
@@ -89,9 +89,29 @@ def select_as(rows: DataFrame, **names: str) -> DataFrame:
     return rows.select(*[F.col(c).alias(n) for n, c in names.items()])
 
 
+def list_all(rows: DataFrame) -> DataFrame:
+    """Factories, pool managers (which are the factories' rows) and bundles: every row, whatever limit is asked for."""
+    return rows.orderBy("id")
+
+
 def latest_block(blocks: DataFrame) -> DataFrame:
     return blocks.agg(F.max_by(F.struct(*blocks.columns), "number").alias("b")).where("b IS NOT NULL").select("b.*")
 
 
+def get_block(blocks: DataFrame, number: int | None = None, block_hash: str | None = None) -> DataFrame:
+    """By number, else by hash; one row or none."""
+    return get(blocks, number, "number") if number is not None else get(blocks, block_hash, "hash")
+
+
 def list_blocks(blocks: DataFrame, first: Any = None) -> DataFrame:
+    """Newest first: 25 by default, 1000 at most."""
     return blocks.orderBy(F.desc("number")).limit(clamp(first, 25))
+
+
+def list_transactions(transactions: DataFrame, first: Any = None) -> DataFrame:
+    """Newest first, ties by hash: 25 by default, 1000 at most."""
+    return transactions.orderBy(F.desc("block_number"), "hash").limit(clamp(first, 25))
+
+
+def get_transaction(transactions: DataFrame, tx_hash: str) -> DataFrame:
+    return get(transactions, tx_hash, "hash")

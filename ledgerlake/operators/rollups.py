@@ -1,8 +1,8 @@
 """Totals and time series over decoded tables.
 
-Amounts are decimal text and are summed exactly: DECIMAL(38, 0) where the caller knows that it holds
-them, limbs of 10^18 otherwise. First and last values come from min_by and max_by, which combine
-before the shuffle, not from sorted windows.
+Amounts are decimal text of up to 256 bits and are summed exactly, in limbs of 10^18; totals are text
+too. Values in USD are DECIMAL(38, 18). First and last values come from min_by and max_by, which
+combine before the shuffle, not from sorted windows.
 """
 
 from __future__ import annotations
@@ -10,17 +10,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.hexwords import sum_uint256
+from ledgerlake.functions.hexwords import fixed_point, number, sum_digits, with_point
 
 DAY, HOUR = 86_400, 3_600
 
 
 def _magnitude(amount: str) -> str:
-    return f"regexp_replace({amount}, '^-', '')"
+    return f"ltrim('-', {amount})"
 
 
 def _usd(c: str) -> Column:
-    return F.abs(F.col(c).try_cast("decimal(28,6)"))
+    """The magnitude as DECIMAL(38, 18); null for what is no number, an error for a number that does not fit."""
+    fits = F.col(c).try_cast("decimal(38,18)")
+    return F.abs(F.coalesce(fits, F.when(number(F.col(c)).isNotNull(), F.raise_error(F.concat(F.lit("USD value beyond DECIMAL(38,18): "), F.col(c))).cast("decimal(38,18)"))))
+
+
+def _usd_sum() -> Column:
+    return F.coalesce(F.sum(_usd("amountUSD")), F.lit(0)).cast("decimal(38,18)").alias("volumeUSD")
+
+
+def _fees_usd() -> Column:
+    """volumeUSD * feeTier / 10^6"""
+    return (F.col("volumeUSD") * (F.col("feeTier") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(12,6)")).alias("feesUSD")
 
 
 def bucket(seconds: int, column: str = "timestamp") -> Column:
@@ -33,9 +44,8 @@ def _fees(pools: DataFrame) -> DataFrame:
 
 def pool_totals(swaps: DataFrame, pools: DataFrame) -> DataFrame:
     """id, txCount, volumeToken0, volumeToken1, volumeUSD, feesUSD (volume * feeTier / 10^6)."""
-    sums = swaps.groupBy("pool").agg(F.count("*").alias("txCount"), sum_uint256(_magnitude("amount0")).alias("volumeToken0"), sum_uint256(_magnitude("amount1")).alias("volumeToken1"), F.coalesce(F.sum(_usd("amountUSD")), F.lit(0)).cast("decimal(38,6)").alias("volumeUSD"))
-    fees = (F.col("volumeUSD") * F.col("feeTier").cast("decimal(10,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(38,6)")
-    return sums.join(_fees(pools), "pool", "left").select(F.col("pool").alias("id"), "txCount", "volumeToken0", "volumeToken1", "volumeUSD", fees.alias("feesUSD"))
+    sums = swaps.groupBy("pool").agg(F.count("*").alias("txCount"), sum_digits(_magnitude("amount0")).alias("volumeToken0"), sum_digits(_magnitude("amount1")).alias("volumeToken1"), _usd_sum())
+    return sums.join(_fees(pools), "pool", "left").select(F.col("pool").alias("id"), "txCount", "volumeToken0", "volumeToken1", "volumeUSD", _fees_usd())
 
 
 def by_token(swaps: DataFrame, pools: DataFrame) -> DataFrame:
@@ -48,47 +58,51 @@ def by_token(swaps: DataFrame, pools: DataFrame) -> DataFrame:
 
 def token_totals(swaps: DataFrame, pools: DataFrame) -> DataFrame:
     """id, txCount, volume, volumeUSD, poolCount; a swap counts for both of its tokens."""
-    traded = by_token(swaps, pools).groupBy("token").agg(F.count("*").alias("txCount"), sum_uint256(_magnitude("amount")).alias("volume"), F.coalesce(F.sum(_usd("amountUSD")), F.lit(0)).cast("decimal(38,6)").alias("volumeUSD"))
+    traded = by_token(swaps, pools).groupBy("token").agg(F.count("*").alias("txCount"), sum_digits(_magnitude("amount")).alias("volume"), _usd_sum())
     listed = pools.select(F.explode(F.array_distinct(F.array("token0", "token1"))).alias("token"), "id").distinct().groupBy("token").agg(F.count("*").alias("poolCount"))
-    return listed.join(traded, "token", "full").select(F.col("token").alias("id"), F.coalesce("txCount", F.lit(0)).alias("txCount"), F.coalesce("volume", F.lit("0")).alias("volume"), F.coalesce("volumeUSD", F.lit(0).cast("decimal(38,6)")).alias("volumeUSD"), F.coalesce("poolCount", F.lit(0)).alias("poolCount"))
+    return listed.join(traded, "token", "full").select(F.col("token").alias("id"), F.coalesce("txCount", F.lit(0)).alias("txCount"), F.coalesce("volume", F.lit("0")).alias("volume"), F.coalesce("volumeUSD", F.lit(0).cast("decimal(38,18)")).alias("volumeUSD"), F.coalesce("poolCount", F.lit(0)).alias("poolCount"))
 
 
 def factory_totals(pools: DataFrame, totals: DataFrame) -> DataFrame:
     """One row over all pools; ``totals`` from pool_totals, locked values from the pools."""
-    locked = pools.agg(F.count("*").alias("poolCount"), F.coalesce(F.sum(_usd("totalValueLockedUSD")), F.lit(0)).cast("decimal(38,6)").alias("totalValueLockedUSD"))
-    traded = totals.agg(F.coalesce(F.sum("txCount"), F.lit(0)).alias("txCount"), F.coalesce(F.sum("volumeUSD"), F.lit(0)).cast("decimal(38,6)").alias("totalVolumeUSD"))
+    locked = pools.agg(F.count("*").alias("poolCount"), F.coalesce(F.sum(_usd("totalValueLockedUSD")), F.lit(0)).cast("decimal(38,18)").alias("totalValueLockedUSD"))
+    traded = totals.agg(F.coalesce(F.sum("txCount"), F.lit(0)).alias("txCount"), F.coalesce(F.sum("volumeUSD"), F.lit(0)).cast("decimal(38,18)").alias("totalVolumeUSD"))
     return locked.crossJoin(traded).select(F.lit("1").alias("id"), "poolCount", "txCount", "totalVolumeUSD", "totalValueLockedUSD")  # one row with one row
 
 
-def _price(base: str = "amount0", quote: str = "amount1") -> Column:
+def price(base: str = "amount0", quote: str = "amount1") -> Column:
     """|quote| / |base|; null where the base is 0."""
     b = F.abs(F.col(base).try_cast("double"))
     return F.when(b > 0, F.abs(F.col(quote).try_cast("double")) / b)
 
 
-def _ohlc(rows: DataFrame, keys: list[str], seconds: int, label: str, price: Column) -> DataFrame:
-    at = F.struct("block_number", "log_order", "id")
-    priced = rows.withColumn(label, bucket(seconds)).withColumn("price", price)
-    seen = F.when(F.col("price").isNotNull(), at)
-    return priced.groupBy(*keys, label).agg(F.count("*").alias("txCount"), F.coalesce(F.sum(_usd("amountUSD")), F.lit(0)).cast("decimal(38,6)").alias("volumeUSD"), F.min_by("price", seen).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", seen).alias("close"))
+def ohlc(rows: DataFrame, keys: list[str], priced_at: Column) -> DataFrame:
+    """Per key: txCount, volumeUSD, and the first, highest, lowest and last price in log order."""
+    priced = rows.withColumn("price", priced_at)
+    seen = F.when(F.col("price").isNotNull(), F.struct("block_number", "log_order", "id"))
+    return priced.groupBy(*keys).agg(F.count("*").alias("txCount"), _usd_sum(), F.min_by("price", seen).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", seen).alias("close"))
+
+
+def with_fees(rows: DataFrame, pools: DataFrame) -> DataFrame:
+    """feesUSD by the fee tier of ``pool``; null where the pool is unknown."""
+    return rows.join(_fees(pools), "pool", "left").withColumn("feesUSD", _fees_usd()).drop("feeTier")
 
 
 def pool_period(swaps: DataFrame, pools: DataFrame, seconds: int = DAY, label: str = "date") -> DataFrame:
     """Per pool and day (or hour): txCount, volumeUSD, feesUSD, open, high, low, close."""
-    out = _ohlc(swaps, ["pool"], seconds, label, _price()).join(_fees(pools), "pool", "left")
-    fees = (F.col("volumeUSD") * F.col("feeTier").cast("decimal(10,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(38,6)")
-    return out.withColumn("feesUSD", fees).drop("feeTier").withColumn("id", F.concat_ws("-", "pool", F.col(label).cast("string")))
+    out = with_fees(ohlc(swaps.withColumn(label, bucket(seconds)), ["pool", label], price()), pools)
+    return out.withColumn("id", F.concat_ws("-", "pool", F.col(label).cast("string")))
 
 
 def token_period(swaps: DataFrame, pools: DataFrame, seconds: int = DAY, label: str = "date") -> DataFrame:
     """Per token and day (or hour), over swaps unpivoted to their two tokens."""
-    out = _ohlc(by_token(swaps, pools), ["token"], seconds, label, _price("amount", "other"))
+    out = ohlc(by_token(swaps, pools).withColumn(label, bucket(seconds)), ["token", label], price("amount", "other"))
     return out.withColumn("id", F.concat_ws("-", "token", F.col(label).cast("string")))
 
 
 def pair_period(swaps: DataFrame, syncs: DataFrame, seconds: int = DAY, label: str = "date") -> DataFrame:
     """Per pair and day (or hour): volumeUSD, txns, and the reserves of the period's last sync."""
-    traded = swaps.withColumn(label, bucket(seconds)).groupBy(F.col("pool").alias("pair"), label).agg(F.count("*").alias("txns"), F.coalesce(F.sum(_usd("amountUSD")), F.lit(0)).cast("decimal(38,6)").alias("volumeUSD"))
+    traded = swaps.withColumn(label, bucket(seconds)).groupBy(F.col("pool").alias("pair"), label).agg(F.count("*").alias("txns"), _usd_sum())
     at = F.struct("block_number", "log_order")
     closing = syncs.withColumn(label, bucket(seconds)).groupBy(F.col("pool").alias("pair"), label).agg(F.max_by("reserve0", at).alias("reserve0"), F.max_by("reserve1", at).alias("reserve1"))
     return traded.join(closing, ["pair", label], "left")
@@ -96,21 +110,20 @@ def pair_period(swaps: DataFrame, syncs: DataFrame, seconds: int = DAY, label: s
 
 def factory_period(pool_rows: DataFrame, label: str = "date") -> DataFrame:
     """All pools of a period, from the pools' own rows (hours and pools are added up, swaps are not read again)."""
-    return pool_rows.groupBy(label).agg(F.sum("txCount").alias("txCount"), F.sum("volumeUSD").cast("decimal(38,6)").alias("volumeUSD"), F.sum("feesUSD").cast("decimal(38,6)").alias("feesUSD"))
+    return pool_rows.groupBy(label).agg(F.sum("txCount").alias("txCount"), F.sum("volumeUSD").cast("decimal(38,18)").alias("volumeUSD"), F.sum("feesUSD").alias("feesUSD"))
 
 
 def tick_liquidity(mints: DataFrame, burns: DataFrame) -> DataFrame:
     """Per pool and tick: liquidityGross, liquidityNet (plus at the lower end, minus at the upper; reversed for burns), price0."""
     columns = ["pool", "tickLower", "tickUpper", "amount"]
     both = mints.select(*columns, F.lit(1).alias("sign")).unionByName(burns.select(*columns, F.lit(-1).alias("sign"))).where("tickLower IS NOT NULL AND tickUpper IS NOT NULL")
-    amount = F.col("amount").try_cast("decimal(37,0)")
-    ends = both.select("pool", "sign", amount.alias("amount"), F.explode(F.array(F.struct(F.col("tickLower").alias("tick"), F.lit(1).alias("end")), F.struct(F.col("tickUpper").alias("tick"), F.lit(-1).alias("end")))).alias("e"))
-    return ends.groupBy("pool", F.col("e.tick").alias("tick")).agg(F.try_sum("amount").cast("decimal(38,0)").alias("liquidityGross"), F.try_sum(F.col("amount") * (F.col("sign") * F.col("e.end")).cast("decimal(1,0)")).cast("decimal(38,0)").alias("liquidityNet")).withColumn("price0", F.pow(F.lit(1.0001), F.col("tick").cast("double")))
+    ends = both.select("pool", "sign", "amount", F.explode(F.array(F.struct(F.col("tickLower").alias("tick"), F.lit(1).alias("end")), F.struct(F.col("tickUpper").alias("tick"), F.lit(-1).alias("end")))).alias("e"))
+    return ends.groupBy("pool", F.col("e.tick").alias("tick")).agg(sum_digits("amount").alias("liquidityGross"), sum_digits("IF(sign * e.end < 0, concat('-', amount), amount)").alias("liquidityNet")).withColumn("price0", F.pow(F.lit(1.0001), F.col("tick").cast("double")))
 
 
 def pool_extras(collects: DataFrame, mints: DataFrame) -> DataFrame:
     """Collected fees and the number of liquidity providers of every pool (exact, in two steps)."""
-    fees = collects.groupBy("pool").agg(sum_uint256("amount0").alias("collectedFees0"), sum_uint256("amount1").alias("collectedFees1"))
+    fees = collects.groupBy("pool").agg(sum_digits("amount0").alias("collectedFees0"), sum_digits("amount1").alias("collectedFees1"))
     providers = mints.select("pool", F.coalesce("owner", "sender").alias("lp")).distinct().groupBy("pool").agg(F.count("*").alias("liquidityProviderCount"))
     return providers.join(fees, "pool", "full")
 
@@ -118,7 +131,7 @@ def pool_extras(collects: DataFrame, mints: DataFrame) -> DataFrame:
 def proposal_tally(votes: DataFrame, proposals: DataFrame | None = None) -> DataFrame:
     """Per (contract, proposal): againstVotes, forVotes, abstainVotes, voters, and the latest status."""
     def weight(k: int) -> Column:
-        return sum_uint256(f"IF(support = {k}, weight, '0')")
+        return sum_digits(f"IF(support = {k}, weight, '0')")
 
     tally = votes.groupBy("contract", "proposal").agg(weight(0).alias("againstVotes"), weight(1).alias("forVotes"), weight(2).alias("abstainVotes"), F.count("*").alias("votes"))
     if proposals is None:
@@ -127,11 +140,14 @@ def proposal_tally(votes: DataFrame, proposals: DataFrame | None = None) -> Data
     return status.join(tally, ["contract", "proposal"], "full")
 
 
+def _one_of(events: tuple[str, ...]) -> str:
+    return "event IN (" + ", ".join(f"'{e}'" for e in events) + ")"
+
+
 def balances(events: DataFrame, account: str, plus: tuple[str, ...], minus: tuple[str, ...]) -> DataFrame:
-    """Per (contract, account): sum of amounts of ``plus`` events less ``minus`` events (DECIMAL(38, 0))."""
-    amount = F.col("amount").try_cast("decimal(37,0)")
-    signed = F.when(F.col("event").isin(*plus), amount).when(F.col("event").isin(*minus), -amount)
-    return events.where(F.col("event").isin(*plus, *minus)).groupBy("contract", F.col(account).alias("account")).agg(F.try_sum(signed).cast("decimal(38,0)").alias("balance"), F.count("*").alias("events"))
+    """Per (contract, account): sum of amounts of ``plus`` events less ``minus`` events, as text."""
+    signed = f"CASE WHEN {_one_of(plus)} THEN amount WHEN {_one_of(minus)} THEN concat('-', amount) END"
+    return events.where(F.col("event").isin(*plus, *minus)).groupBy("contract", F.col(account).alias("account")).agg(sum_digits(signed).alias("balance"), F.count("*").alias("events"))
 
 
 def karma_balances(karma: DataFrame) -> DataFrame:
@@ -147,24 +163,24 @@ def locked_balances(locks: DataFrame) -> DataFrame:
 
 
 def treasury_flows(vaults: DataFrame) -> DataFrame:
-    """Per contract and chain: received, flushed, and what is left."""
-    amount = F.col("amount").try_cast("decimal(37,0)")
-    received, flushed = (F.coalesce(F.try_sum(F.when(F.col("event") == e, amount)), F.lit(0)).cast("decimal(38,0)") for e in ("receive", "flush"))
-    return vaults.groupBy("contract", "chain").agg(received.alias("received"), flushed.alias("flushed")).withColumn("net", (F.col("received") - F.col("flushed")).cast("decimal(38,0)"))
+    """Per contract and chain: received, flushed, and what is left, as text."""
+    received, flushed = (sum_digits(f"CASE WHEN event = '{e}' THEN amount END").alias(n) for e, n in (("receive", "received"), ("flush", "flushed")))
+    net = sum_digits("CASE event WHEN 'receive' THEN amount WHEN 'flush' THEN concat('-', amount) END").alias("net")
+    return vaults.groupBy("contract", "chain").agg(received, flushed, net)
 
 
 def router_shares(routers: DataFrame) -> DataFrame:
-    """Per contract and recipient: the latest weight, its share of all weights, and the sum of claims."""
+    """Per contract and recipient: the latest weight, its share of all weights, and the sum of claims; amounts are text."""
     at = F.struct("block_number", "log_order")
-    rows = routers.where("recipient IS NOT NULL").groupBy("contract", "recipient").agg(F.max_by("weight", F.when(F.col("event") == "weight", at)).try_cast("decimal(37,0)").alias("weight"), F.coalesce(F.try_sum(F.when(F.col("event") == "claim", F.col("amount").try_cast("decimal(37,0)"))), F.lit(0)).cast("decimal(38,0)").alias("claimed"))
-    total = rows.groupBy("contract").agg(F.try_sum("weight").cast("double").alias("all"))
+    rows = routers.where("recipient IS NOT NULL").groupBy("contract", "recipient").agg(F.max_by("weight", F.when(F.col("event") == "weight", at)).alias("weight"), sum_digits("CASE WHEN event = 'claim' THEN amount END").alias("claimed"))
+    total = rows.groupBy("contract").agg(sum_digits("weight").cast("double").alias("all"))
     return rows.join(total, "contract").withColumn("share", F.when(F.col("all") > 0, F.col("weight").cast("double") / F.col("all"))).drop("all")
 
 
 def liquid_totals(events: DataFrame) -> DataFrame:
-    """Per contract and fee type (null for events without one): sums of every amount column by event."""
+    """Per contract and fee type (null for events without one): sums of every amount column by event, as text."""
     def total(event: str, column: str) -> Column:
-        return F.coalesce(F.try_sum(F.when(F.col("event") == event, F.col(column).try_cast("decimal(37,0)"))), F.lit(0)).cast("decimal(38,0)")
+        return sum_digits(f"CASE WHEN event = '{event}' THEN {column} END")
 
     return events.groupBy("contract", "feeType").agg(total("fees_received", "amount").alias("fees"), total("fees_received", "perfFee").alias("perfFee"), total("fees_received", "toReserve").alias("toReserve"), total("validator_rewards", "amount").alias("rewards"), total("slashing", "amount").alias("slashed"), total("slashing", "socialized").alias("socialized"))
 
@@ -181,20 +197,23 @@ def market_rollup(fills: DataFrame, orders: DataFrame, now: int | None = None) -
     latest = F.lit(now) if now is not None else F.col("latest")
     if now is None:
         rows = rows.crossJoin(F.broadcast(fills.agg(F.max("timestamp").alias("latest"))))  # one row
-    recent = F.when(F.col("timestamp") > latest - DAY, F.col("amount").try_cast("decimal(28,6)"))
-    return rows.groupBy("market").agg(F.max_by("price", F.struct("timestamp", "id")).alias("lastPrice"), F.coalesce(F.sum(recent), F.lit(0)).cast("decimal(38,6)").alias("volume24h"), F.count("*").alias("fills"))
+    recent = rows.withColumn("recent", F.when(F.col("timestamp") > latest - DAY, fixed_point("amount")))
+    totals = recent.groupBy("market").agg(F.max_by("price", F.struct("timestamp", "id")).alias("lastPrice"), sum_digits("recent").alias("volume24h"), F.count("*").alias("fills"))
+    return totals.withColumn("volume24h", with_point("volume24h"))
 
 
 def market_days(fills: DataFrame, orders: DataFrame) -> DataFrame:
+    """Per market and day: open, high, low, close of the price, and the exact volume as text."""
     rows = fills.select("id", "order", "timestamp", "price", "amount").join(orders.select(F.col("id").alias("order"), "market"), "order").withColumn("date", bucket(DAY))
     price, at = F.col("price").try_cast("double"), F.struct("timestamp", "id")
-    return rows.groupBy("market", "date").agg(F.min_by(price, at).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, at).alias("close"), F.sum(F.col("amount").try_cast("decimal(28,6)")).cast("decimal(38,6)").alias("volume"))
+    days = rows.withColumn("exact", fixed_point("amount")).groupBy("market", "date").agg(F.min_by(price, at).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, at).alias("close"), sum_digits("exact").alias("volume"))
+    return days.withColumn("volume", with_point("volume"))
 
 
 def utxo_balances(utxos: DataFrame, spent: DataFrame) -> DataFrame:
     """Per address: the sum of amounts of outputs that ``spent`` does not name."""
     left = utxos.join(spent.select("id").distinct(), "id", "left_anti")
-    return left.groupBy("address").agg(sum_uint256("amount").alias("balance"), F.count("*").alias("outputs"))
+    return left.groupBy("address").agg(sum_digits("amount").alias("balance"), F.count("*").alias("outputs"))
 
 
 def event_counts(events: DataFrame, *by: str) -> DataFrame:

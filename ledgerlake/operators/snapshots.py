@@ -1,10 +1,14 @@
-"""Current state from event history."""
+"""Current state from event history.
+
+Snapshots keep ``log_order`` beside their block, so that a stream can merge them as it merges any table.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlake.functions.hexwords import limb_sums, render
 from ledgerlake.operators.upsert import latest_by_key
 
 _ORDER = ("block_number", "log_order")
@@ -17,20 +21,30 @@ def _snapshot_id():
 def frozen_accounts(actions: DataFrame) -> DataFrame:
     """Per (token, user): the state that the last AddressFrozen left."""
     rows = actions.where("kind = 'AddressFrozen'").select(_snapshot_id(), "token", "user", F.col("isFrozen").alias("frozen"), F.col("block_number").alias("updated"), "log_order")
-    return latest_by_key(rows, ("token", "user"), ("updated", "log_order")).drop("log_order")
+    return latest_by_key(rows, ("token", "user"), ("updated", "log_order"))
 
 
 def frozen_tokens(actions: DataFrame) -> DataFrame:
     """Per (token, user): amount and kind of the last freeze or unfreeze; not a running total."""
     rows = actions.where("kind IN ('TokensFrozen', 'TokensUnfrozen')").select(_snapshot_id(), "token", "user", F.col("amount").alias("delta"), "kind", F.col("block_number").alias("updated"), "log_order")
-    return latest_by_key(rows, ("token", "user"), ("updated", "log_order")).drop("log_order")
+    return latest_by_key(rows, ("token", "user"), ("updated", "log_order"))
+
 
+def frozen_totals(actions: DataFrame, span: int = 10_000) -> DataFrame:
+    """Running total of frozen amounts per (token, user), in log order, exact and as text.
 
-def frozen_totals(actions: DataFrame) -> DataFrame:
-    """Running total of frozen amounts per (token, user), in log order (DECIMAL(38, 0); null beyond it)."""
-    signed = F.when(F.col("kind") == "TokensFrozen", 1).otherwise(-1).cast("decimal(1,0)") * F.col("amount").try_cast("decimal(37,0)")
-    w = Window.partitionBy("token", "user").orderBy("block_number", "log_order", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return actions.where("kind IN ('TokensFrozen', 'TokensUnfrozen')").select("id", "token", "user", "kind", "amount", "block_number", "log_order", F.try_sum(signed.cast("decimal(38,0)")).over(w).alias("total"))
+    Totals of every ``span`` blocks come first; sums over those precede each span, and a window runs
+    inside a span only. So no task holds a pair's whole history, however long it is.
+    """
+    names, limbs = ["token", "user", "span"], [f"limb{j}" for j in range(5)]
+    rows = actions.where("kind IN ('TokensFrozen', 'TokensUnfrozen')").select("id", "token", "user", "kind", "amount", "block_number", "log_order", F.floor(F.col("block_number") / span).alias("span"), F.expr("IF(kind = 'TokensFrozen', amount, concat('-', amount))").alias("signed"))
+    spans = rows.groupBy(*names).agg(*[x.alias(n) for x, n in zip(limb_sums("signed"), limbs, strict=True)])
+    earlier = Window.partitionBy("token", "user").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    before = spans.select(*names, *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).cast("decimal(38,0)").alias(n) for n in limbs])
+    inside = limb_sums("signed", "PARTITION BY token, user, span ORDER BY block_number, log_order, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
+    within = rows.withColumns({f"in_{n}": x for n, x in zip(limbs, inside, strict=True)})
+    total = render("array(" + ", ".join(f"CAST({n} + in_{n} AS DECIMAL(38,0))" for n in limbs) + ")")
+    return within.join(before, names).select("id", "token", "user", "kind", "amount", "block_number", "log_order", F.expr(total).alias("total"))
 
 
 def live(events: DataFrame, keys: tuple[str, ...], gone: tuple[str, ...]) -> DataFrame:
@@ -61,12 +75,12 @@ def live_modules(actions: DataFrame) -> DataFrame:
 
 def voting_power(changes: DataFrame) -> DataFrame:
     """The latest balance of every delegate."""
-    return latest_by_key(changes.select("contract", "delegate", F.col("newBalance").alias("balance"), *_ORDER), ("contract", "delegate")).drop("log_order")
+    return latest_by_key(changes.select("contract", "delegate", F.col("newBalance").alias("balance"), *_ORDER), ("contract", "delegate"))
 
 
 def delegations(changes: DataFrame) -> DataFrame:
     """Whom every delegator delegates to now."""
-    return latest_by_key(changes.select("contract", "delegator", "toDelegate", *_ORDER), ("contract", "delegator")).drop("log_order")
+    return latest_by_key(changes.select("contract", "delegator", "toDelegate", *_ORDER), ("contract", "delegator"))
 
 
 def top_per_group(rows: DataFrame, group: str, by: str, k: int, tie: str = "id") -> DataFrame:

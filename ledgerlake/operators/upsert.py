@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 
 def latest_by_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ("block_number", "log_order")) -> DataFrame:
-    """The row with the greatest ``order`` of every key; equal orders are settled by the whole row.
+    """The row with the greatest ``order`` of every key; equal orders are settled by the other columns, left to right.
 
-    An aggregate with map-side combination: a hot key sends one row per task, which a window would not.
+    An aggregate with map-side combination: a hot key sends one row per task, which a window would
+    not. The row itself is what is compared, so that it travels once.
     """
-    rest = [c for c in rows.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(*order, *[F.col(c).cast("string") for c in rest if c not in order])).alias("r")
+    rest = [c for c in rows.columns if c not in keys and c not in order]
+    best = F.max(F.struct(*order, *rest)).alias("r")
     return rows.groupBy(*keys).agg(best).select(*[F.col(k) if k in keys else F.col(f"r.{k}").alias(k) for k in rows.columns])
 
 

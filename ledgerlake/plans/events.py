@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlake import topics as t
 from ledgerlake.decode import amm, defi, securities
 from ledgerlake.operators import entities, query, rollups, snapshots
+from ledgerlake.operators.upsert import as_entities, upsert_entities
 from ledgerlake.plans.queries import _SWAPS, _period, _pools, _swaps, _timed
 from ledgerlake.plans.registry import ADDRESS, CENTS, TOPIC
 from ledgerlake.plans.registry import query as _query
@@ -319,3 +320,79 @@ def get_entities(spark: SparkSession, sf: str) -> DataFrame:
     rows = synth.entities(spark, sf)
     by_field = entities.get_by_field(rows, "Delegator", "nodeID", "Supplier#000000002")
     return entities.get_entity(rows, "Validator", "7").unionByName(by_field).select("entity_type", "id")
+
+
+@_query(f"""SELECT 'factory' AS part, CAST(n_nationkey AS VARCHAR) AS id, CAST(n_regionkey AS VARCHAR) AS value FROM nation WHERE n_nationkey = 1
+UNION ALL SELECT 'bundle', CAST(r_regionkey AS VARCHAR), CAST(r_regionkey * 100 + 2400 AS VARCHAR) FROM region WHERE r_regionkey = 1
+UNION ALL SELECT 'block by number', CAST(o_orderkey AS VARCHAR), CAST(CAST(epoch(o_orderdate) AS BIGINT) AS VARCHAR) FROM orders WHERE o_orderkey = 3
+UNION ALL SELECT 'block by hash', CAST(o_orderkey AS VARCHAR), CAST(CAST(epoch(o_orderdate) AS BIGINT) AS VARCHAR) FROM orders WHERE o_orderkey = 4
+UNION ALL SELECT 'transaction', {TOPIC('o_orderkey')}, CAST({CENTS('o_totalprice')} AS VARCHAR) FROM orders WHERE o_orderkey = 5""")
+def get_chain_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The default factory and bundle, a block by number and by hash, a transaction by hash."""
+    blocks, stamp = synth.blocks(spark, sf), F.col("timestamp").cast("string").alias("value")
+    number = F.col("number").cast("string").alias("id")
+    return amm.union_all(
+        query.get_factory(synth.factories(spark, sf)).select(F.lit("factory").alias("part"), "id", F.col("poolCount").cast("string").alias("value")),
+        query.get_bundle(synth.bundles(spark, sf)).select(F.lit("bundle").alias("part"), "id", F.col("ethPrice").alias("value")),
+        query.get_block(blocks, number=3).select(F.lit("block by number").alias("part"), number, stamp),
+        query.get_block(blocks, block_hash=f"0x{4:064x}").select(F.lit("block by hash").alias("part"), number, stamp),
+        query.get_transaction(synth.transactions(spark, sf), f"0x{5:064x}").select(F.lit("transaction").alias("part"), F.col("hash").alias("id"), "value"),
+    )
+
+
+@_query(f"SELECT {TOPIC('o_orderkey')} AS hash, CAST(o_orderkey AS BIGINT) AS block_number, {ADDRESS('o_custkey')} AS sender, CAST({CENTS('o_totalprice')} AS VARCHAR) AS value FROM orders ORDER BY o_orderkey DESC LIMIT 25")
+def latest_transactions(spark: SparkSession, sf: str) -> DataFrame:
+    return query.list_transactions(synth.transactions(spark, sf)).select("hash", "block_number", F.col("from").alias("sender"), "value")
+
+
+# Domain statistics
+
+_STATS = {name: spec for name, spec in entities.STATISTICS.items() if name != "NetworkStats"}
+_TYPES = sorted({kind for spec in _STATS.values() for kind, _, _ in spec.values()})
+
+
+def _measure(kind: str, measure: str, field: str | None) -> str:
+    own = f"FILTER (o_orderkey % {len(_TYPES)} = {_TYPES.index(kind)})"
+    value = {"amount": CENTS("o_totalprice"), "uptime": "o_custkey % 101"}.get(field or "")
+    return {"count": f"CAST(count(*) {own} AS VARCHAR)", "sum": f"CAST(coalesce(sum({value}) {own}, 0) AS VARCHAR)", "avg": f"CAST(CAST(round(avg({value}) {own} * 1000000) AS BIGINT) AS VARCHAR)"}[measure]
+
+
+@_query(" UNION ALL ".join(f"SELECT '{stat}' AS stat, '{name}' AS field, {_measure(*m)} AS value FROM orders" for stat, spec in _STATS.items() for name, m in spec.items()))
+def domain_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """The statistics of nine domains, each recomputed over its own entity types; averages in millionths."""
+    rows = synth.domain_entities(spark, sf, _TYPES)
+    parts = []
+    for stat, spec in _STATS.items():
+        text = {name: F.round(F.col(name) * 1_000_000).cast("bigint").cast("string") if measure == "avg" else F.col(name).cast("string") for name, (_, measure, _) in spec.items()}
+        fields = F.array(*[F.struct(F.lit(name).alias("field"), value.alias("value")) for name, value in text.items()])
+        parts.append(entities.domain_statistics(rows, stat).select(F.lit(stat).alias("stat"), F.explode(fields).alias("f")).select("stat", "f.field", "f.value"))
+    return amm.union_all(*parts)
+
+
+@_query("SELECT 'BridgeStats' AS entity_type, CAST(2 * count(*) AS VARCHAR) AS total FROM customer")
+def stored_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """A statistic that was computed, upserted as the domain's singleton, and read back by its id."""
+    rows = synth.table(spark, sf, "customer").select(F.lit("BridgeTransfer").alias("entity_type"), F.col("c_custkey").cast("string").alias("id"), F.lit('{"amount": "2"}').alias("data"), F.lit(0).cast("bigint").alias("block_number"), F.lit(0).cast("bigint").alias("log_order"))
+    kept = upsert_entities(rows, as_entities(entities.domain_statistics(rows, "BridgeStats"), "BridgeStats"))
+    return entities.get_statistics(kept, "BridgeStats").select("entity_type", F.get_json_object("data", "$.totalVolume").alias("total"))
+
+
+# Events that other queries read only on the way to something else
+
+
+@_query(f"""SELECT {TOPIC('l_orderkey')} || '#0x' || format('{{:x}}', l_linenumber) AS id, CASE WHEN l_returnflag = 'R' THEN 'burn' ELSE 'mint' END AS kind, {ADDRESS('l_suppkey')} AS sender, CASE WHEN l_returnflag = 'R' THEN {ADDRESS('l_partkey')} END AS receiver,
+CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS amount0, CAST({CENTS('l_extendedprice')} AS VARCHAR) AS amount1 FROM lineitem""")
+def decode_liquidity_v2(spark: SparkSession, sf: str) -> DataFrame:
+    logs = synth.liquidity_v2_logs(spark, sf)
+    mints = amm.mints(logs).select("id", F.lit("mint").alias("kind"), "sender", F.lit(None).cast("string").alias("receiver"), "amount0", "amount1")
+    return mints.unionByName(amm.burns(logs).select("id", F.lit("burn").alias("kind"), "sender", F.col("to").alias("receiver"), "amount0", "amount1"))
+
+
+@_query(f"SELECT CAST(o_orderkey AS BIGINT) AS block_number, {ADDRESS('o_custkey')} AS voter, CAST(o_custkey % 50 AS VARCHAR) AS proposal, CAST(CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS BIGINT) AS support, CAST({CENTS('o_totalprice')} AS VARCHAR) AS weight FROM orders")
+def decode_votes(spark: SparkSession, sf: str) -> DataFrame:
+    return defi.votes(synth.vote_logs(spark, sf)).select("block_number", "voter", "proposal", "support", "weight")
+
+
+@_query(f"WITH {_events(3)} SELECT {_ID} AS id, {_name('TrustedIssuerAdded', 'TrustedIssuerRemoved', 'ClaimTopicsUpdated')} AS kind, {ADDRESS(12)} AS registry, a1 AS issuer FROM e")
+def trusted_issuer_actions(spark: SparkSession, sf: str) -> DataFrame:
+    return securities.trusted_issuer_actions(synth.order_logs(spark, sf, *securities.ISSUERS)).select("id", "kind", "registry", "issuer")

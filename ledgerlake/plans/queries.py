@@ -13,6 +13,7 @@ from ledgerlake.operators.upsert import latest_by_key, upsert, upsert_entities
 from ledgerlake.plans.registry import ADDRESS as _A
 from ledgerlake.plans.registry import CENTS as _CENTS
 from ledgerlake.plans.registry import TOPIC as _T
+from ledgerlake.plans.registry import huge as _huge
 from ledgerlake.plans.registry import query as _query
 from ledgerlake.sources import logs as lg
 from ledgerlake.sources import synth
@@ -100,7 +101,7 @@ def pools_with_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return full.select("id", F.col("feeTier").alias("fee_tier"), F.col("token0.symbol").alias("symbol0"), F.col("token1.name").alias("name1"))
 
 
-@_query(f"SELECT {_A('s_suppkey')} AS id, CAST(s_suppkey * 7919 % 1000 AS VARCHAR) AS tvl FROM supplier WHERE s_suppkey <= 100 ORDER BY s_suppkey * 7919 % 1000 DESC, id LIMIT 50")
+@_query(f"SELECT {_A('s_suppkey')} AS id, CAST(s_suppkey * 7919 % 1000 AS VARCHAR) AS tvl FROM supplier ORDER BY s_suppkey * 7919 % 1000 DESC, id LIMIT 50")
 def top_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return query.select_as(query.list_rows(synth.tokens(spark, sf), 50, "totalValueLockedUSD", "desc"), id="id", tvl="totalValueLockedUSD")
 
@@ -112,13 +113,24 @@ def filtered_swaps(spark: SparkSession, sf: str) -> DataFrame:
     return query.list_rows(_swaps(spark, sf), 5000, "amount0", "asc", conditions).select("id", "amount0", "amount1")
 
 
-@_query(f"""WITH {_SWAPS} SELECT 'token' AS part, id FROM (SELECT {_A('s_suppkey')} AS id FROM supplier WHERE s_suppkey <= 100 ORDER BY s_suppkey * 7919 % 1000 DESC, id LIMIT 50)
-UNION ALL SELECT 'pool', id FROM (SELECT pool AS id FROM pl ORDER BY fee DESC, pool LIMIT 50)""")
+@_query(f"""WITH {_SWAPS} SELECT 'bundle' AS part, CAST(r_regionkey AS VARCHAR) AS id, CAST(r_regionkey * 100 + 2400 AS VARCHAR) AS value FROM region WHERE r_regionkey = 1
+UNION ALL SELECT 'factory', CAST(n_nationkey AS VARCHAR), CAST(length(n_name) AS VARCHAR) FROM nation
+UNION ALL SELECT 'token', id, CAST(v AS VARCHAR) FROM (SELECT {_A('s_suppkey')} AS id, s_suppkey * 7919 % 1000 AS v FROM supplier ORDER BY v DESC, id LIMIT 50)
+UNION ALL SELECT 'pool', id, CAST(v AS VARCHAR) FROM (SELECT pool AS id, p_partkey * 7919 % 100003 AS v FROM pl ORDER BY v DESC, pool LIMIT 50)""")
 def dashboard(spark: SparkSession, sf: str) -> DataFrame:
-    """The top 50 tokens and pools of the exchange dashboard in one result."""
-    top_pools = query.list_rows(_pools(spark, sf), 50, "feeTier", "desc").select(F.lit("pool").alias("part"), "id")
-    top = query.list_rows(synth.tokens(spark, sf), 50, "totalValueLockedUSD", "desc").select(F.lit("token").alias("part"), "id")
-    return top.unionByName(top_pools)
+    """The exchange dashboard in one result: the bundle, all factories, the 50 tokens and 50 pools of most locked value."""
+    valued = _pools(spark, sf).withColumn("totalValueLockedUSD", (F.col("created_block") * 7919 % 100003).cast("string"))
+    locked = {"factory": query.list_all(synth.factories(spark, sf)), "token": query.list_rows(synth.tokens(spark, sf), 50, "totalValueLockedUSD", "desc"), "pool": query.list_rows(valued, 50, "totalValueLockedUSD", "desc")}
+    bundle = query.get_bundle(synth.bundles(spark, sf)).select(F.lit("bundle").alias("part"), "id", F.col("ethPrice").alias("value"))
+    return amm.union_all(bundle, *[rows.select(F.lit(part).alias("part"), "id", F.col("totalValueLockedUSD").alias("value")) for part, rows in locked.items()])
+
+
+@_query("SELECT 'factory' AS part, CAST(n_nationkey AS VARCHAR) AS id, CAST(n_regionkey AS VARCHAR) AS value FROM nation UNION ALL SELECT 'pool manager', CAST(n_nationkey AS VARCHAR), CAST(n_regionkey AS VARCHAR) FROM nation UNION ALL SELECT 'bundle', CAST(r_regionkey AS VARCHAR), CAST(r_regionkey * 100 + 2400 AS VARCHAR) FROM region")
+def exchange_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Every factory, pool manager and bundle: these lists have no limit."""
+    factories = query.list_all(synth.factories(spark, sf))
+    parts = [factories.select(F.lit(part).alias("part"), "id", F.col("poolCount").cast("string").alias("value")) for part in ("factory", "pool manager")]
+    return amm.union_all(*parts, query.list_all(synth.bundles(spark, sf)).select(F.lit("bundle").alias("part"), "id", F.col("ethPriceUSD").alias("value")))
 
 
 @_query(f"""SELECT {_T('l_orderkey')} || '#0x' || format('{{:x}}', l_linenumber) AS id, CASE WHEN l_returnflag = 'R' THEN 'burn' ELSE 'mint' END AS kind, {_A('l_suppkey')} AS owner, CAST(l_linenumber * 60 - 180 AS BIGINT) AS tick_lower, CAST(l_linenumber * 60 - 120 AS BIGINT) AS tick_upper,
@@ -190,7 +202,7 @@ def entity_list(spark: SparkSession, sf: str) -> DataFrame:
 @_query("""SELECT '1' AS id, CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS VARCHAR) || '.000000' AS total_stake, count(*) AS validators, (SELECT count(*) FROM supplier) AS delegators FROM customer""")
 def network_stats(spark: SparkSession, sf: str) -> DataFrame:
     s = entities.domain_statistics(synth.entities(spark, sf), "NetworkStats")
-    return s.select("id", F.col("totalStake").cast("string").alias("total_stake"), F.col("validatorCount").alias("validators"), F.col("delegatorCount").alias("delegators"))
+    return s.select("id", F.col("totalStake").cast("decimal(38,6)").cast("string").alias("total_stake"), F.col("validatorCount").alias("validators"), F.col("delegatorCount").alias("delegators"))
 
 
 @_query(f"""WITH {_SWAPS} SELECT tm.pool AS id, count(*) AS tx_count, CAST(sum(q) AS VARCHAR) AS volume0, CAST(sum(c) AS VARCHAR) AS volume1, CAST(sum(c)::HUGEINT AS VARCHAR) AS volume_cents, CAST((sum(c)::HUGEINT * any_value(fee) + 50) // 100 AS VARCHAR) AS fee_micros FROM tm LEFT JOIN pl ON tm.pool = pl.pool GROUP BY 1""")
@@ -238,12 +250,29 @@ def token_days(spark: SparkSession, sf: str) -> DataFrame:
     return _period(rollups.token_period(_timed(spark, sf), _pools(spark, sf)), "token", "date")
 
 
-@_query(f"""WITH {_SWAPS} SELECT pool AS pair, ts // 86400 * 86400 AS date, count(*) AS txns, CAST(sum(c) AS VARCHAR) AS volume_cents, CAST(arg_max(q, l_orderkey * 100 + l_linenumber) AS VARCHAR) AS reserve0 FROM tm GROUP BY 1, 2""")
+def _pairs_sql(seconds: int) -> str:
+    return f"""WITH {_SWAPS}, x AS (SELECT {_SWAP_ID} AS id, {_A('l_partkey')} AS pool, l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS r0, {_CENTS('l_extendedprice')} AS r1 FROM lineitem
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY pool DESC, CAST(r0 AS VARCHAR) DESC, CAST(r1 AS VARCHAR) DESC) = 1
+), y AS (SELECT pool, CAST(epoch(o_orderdate) AS BIGINT) // {seconds} * {seconds} AS period, arg_max(r0, l_orderkey * 100 + l_linenumber) AS r0, arg_max(r1, l_orderkey * 100 + l_linenumber) AS r1 FROM x JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2
+), z AS (SELECT pool, ts // {seconds} * {seconds} AS period, count(*) AS txns, CAST(sum(c) AS VARCHAR) AS volume_cents FROM tm GROUP BY 1, 2)
+SELECT z.pool AS pair, z.period, txns, volume_cents, CAST(r0 AS VARCHAR) AS reserve0, CAST(r1 AS VARCHAR) AS reserve1 FROM z LEFT JOIN y ON z.pool = y.pool AND z.period = y.period"""
+
+
+def _pairs(spark: SparkSession, sf: str, seconds: int, label: str) -> DataFrame:
+    syncs = enrich.with_block_time(upsert(None, amm.syncs(synth.sync_logs(spark, sf))), synth.blocks(spark, sf))
+    x = rollups.pair_period(_timed(spark, sf), syncs, seconds, label)
+    return x.select("pair", F.col(label).alias("period"), "txns", (F.col("volumeUSD") * 100).cast("decimal(38,0)").cast("string").alias("volume_cents"), "reserve0", "reserve1")
+
+
+@_query(_pairs_sql(rollups.DAY))
 def pair_days(spark: SparkSession, sf: str) -> DataFrame:
-    swaps = _timed(spark, sf)
-    syncs = swaps.select("pool", "timestamp", F.col("amount0").alias("reserve0"), F.col("amount1").alias("reserve1"), "block_number", "log_order")
-    x = rollups.pair_period(swaps, syncs)
-    return x.select("pair", "date", "txns", (F.col("volumeUSD") * 100).cast("decimal(38,0)").cast("string").alias("volume_cents"), "reserve0")
+    """Volume by swap logs, closing reserves by sync logs."""
+    return _pairs(spark, sf, rollups.DAY, "date")
+
+
+@_query(_pairs_sql(rollups.HOUR))
+def pair_hours(spark: SparkSession, sf: str) -> DataFrame:
+    return _pairs(spark, sf, rollups.HOUR, "hourStartUnix")
 
 
 @_query(f"WITH {_SWAPS} SELECT ts // 86400 * 86400 AS date, count(*) AS tx_count, CAST(sum(c) AS VARCHAR) AS volume_cents FROM tm GROUP BY 1")
@@ -269,12 +298,13 @@ _FILLS = f"""f AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey
 @_query(f"""WITH {_FILLS} SELECT market, CAST(arg_max(price, (ts, id)) AS VARCHAR) AS last_price, CAST(coalesce(sum(q) FILTER (ts > (SELECT max(ts) FROM f) - 86400), 0) AS VARCHAR) || '.000000' AS volume_24h, count(*) AS fills FROM f GROUP BY 1""")
 def market_rollup(spark: SparkSession, sf: str) -> DataFrame:
     m = rollups.market_rollup(synth.market_fills(spark, sf), synth.market_orders(spark, sf))
-    return m.select("market", F.col("lastPrice").alias("last_price"), F.col("volume24h").cast("string").alias("volume_24h"), "fills")
+    return m.select("market", F.col("lastPrice").alias("last_price"), F.col("volume24h").cast("decimal(38,6)").cast("string").alias("volume_24h"), "fills")
 
 
 @_query(f"""WITH {_FILLS} SELECT market, ts // 86400 * 86400 AS date, max(price)::DOUBLE AS high, min(price)::DOUBLE AS low, CAST(sum(q) AS VARCHAR) || '.000000' AS volume FROM f GROUP BY 1, 2""")
 def market_days(spark: SparkSession, sf: str) -> DataFrame:
-    return _text(rollups.market_days(synth.market_fills(spark, sf), synth.market_orders(spark, sf)).select("market", "date", "high", "low", "volume"), "volume")
+    days = rollups.market_days(synth.market_fills(spark, sf), synth.market_orders(spark, sf))
+    return days.select("market", "date", "high", "low", F.col("volume").cast("decimal(38,6)").cast("string").alias("volume"))
 
 
 @_query(f"""WITH x AS (SELECT 'swap' AS kind, {_SWAP_ID} AS id, l_orderkey AS b, l_linenumber AS o FROM lineitem UNION ALL SELECT CASE WHEN l_returnflag = 'R' THEN 'burn' ELSE 'mint' END, {_SWAP_ID}, l_orderkey, l_linenumber FROM lineitem) SELECT kind, id, b AS block_number FROM x ORDER BY b DESC, o DESC, kind, id LIMIT 300""")
@@ -298,10 +328,10 @@ def index_step(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("SELECT CAST(o_orderkey AS BIGINT) AS number, CAST(epoch(o_orderdate) AS BIGINT) AS timestamp FROM orders ORDER BY 1 DESC LIMIT 25")
 def latest_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return query.list_blocks(synth.blocks(spark, sf))
+    return query.list_blocks(synth.blocks(spark, sf)).select("number", "timestamp")
 
 
-@_query(f"""WITH {_SWAPS} SELECT u.id, CAST(CAST(q * 2500 * s_suppkey AS DECIMAL(38,0)) AS VARCHAR) AS usd_micros FROM u LEFT JOIN pl ON u.pool = pl.pool LEFT JOIN supplier ON t0 = s_suppkey AND s_suppkey <= 100""")
+@_query(f"""WITH {_SWAPS} SELECT u.id, CAST(CAST(q * 2500 * s_suppkey AS DECIMAL(38,0)) AS VARCHAR) AS usd_micros FROM u LEFT JOIN pl ON u.pool = pl.pool LEFT JOIN supplier ON t0 = s_suppkey""")
 def swap_values(spark: SparkSession, sf: str) -> DataFrame:
     """Quantity / 10^2 tokens at 0.000x per token and 2500 USD."""
     bundle = synth.table(spark, sf, "region").where("r_regionkey = 0").select(F.lit("1").alias("id"), F.lit("2500").alias("ethPriceUSD"))
@@ -370,4 +400,39 @@ def utxo_balances(spark: SparkSession, sf: str) -> DataFrame:
 def uint256_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Words over 64 bits through the path for values of any size."""
     rows = synth.table(spark, sf, "orders").withColumn("w", synth.wide_word(synth.cents(F.col("o_totalprice")), F.col("o_orderkey")))
-    return rows.select(F.expr(hx.render(hx.limbs("w"))).alias("value"), F.col("o_orderkey").cast("bigint").alias("order_key"))
+    return hx.with_digits(rows, {"value": "w"}, small_path=False).select("value", F.col("o_orderkey").cast("bigint").alias("order_key"))
+
+
+# Amounts of over 38 digits
+
+
+def _huge_dao_sql(plus: int, minus: int) -> str:
+    return f"SELECT account, {_huge('s')} AS balance FROM (SELECT {_A('o_custkey % 100')} AS account, sum(CASE o_orderkey % 10 WHEN {plus} THEN 1 ELSE -1 END * {_CENTS('o_totalprice')}) AS s FROM orders WHERE o_orderkey % 10 IN ({plus}, {minus}) GROUP BY 1)"
+
+
+@_query(_huge_dao_sql(2, 3))
+def huge_stake_balances(spark: SparkSession, sf: str) -> DataFrame:
+    return rollups.stake_balances(defi.stakes(synth.dao_logs(spark, sf, synth.huge_word))).select("account", "balance")
+
+
+@_query(f"""SELECT chain, {_huge('r')} AS received, {_huge('n')} AS net FROM (SELECT {_T('o_custkey % 7')} AS chain, sum(CASE WHEN o_orderkey % 10 = 6 THEN {_CENTS('o_totalprice')} ELSE 0 END) AS r, sum(CASE o_orderkey % 10 WHEN 6 THEN 1 ELSE -1 END * {_CENTS('o_totalprice')}) AS n FROM orders WHERE o_orderkey % 10 IN (6, 7) GROUP BY 1)""")
+def huge_treasury_flows(spark: SparkSession, sf: str) -> DataFrame:
+    return rollups.treasury_flows(defi.vaults(synth.dao_logs(spark, sf, synth.huge_word))).select("chain", "received", "net")
+
+
+@_query(f"SELECT fee_type, {_huge('s')} AS fees FROM (SELECT {_T('o_custkey % 3')} AS fee_type, sum({_CENTS('o_totalprice')}) AS s FROM orders WHERE o_orderkey % 10 = 9 GROUP BY 1)")
+def huge_liquid_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return rollups.liquid_totals(defi.liquid(synth.dao_logs(spark, sf, synth.huge_word))).select(F.col("feeType").alias("fee_type"), "fees")
+
+
+@_query(f"""SELECT pool, tick, {_huge('g')} AS gross, {_huge('n')} AS net FROM (SELECT pool, tick, sum(q) AS g, sum(q * s * e) AS n FROM (
+  SELECT {_A('l_partkey')} AS pool, CAST(l_quantity AS BIGINT) AS q, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS s, unnest([1, -1]) AS e, CAST(l_linenumber * 60 - unnest([180, 120]) AS BIGINT) AS tick FROM lineitem) GROUP BY pool, tick)""")
+def huge_tick_liquidity(spark: SparkSession, sf: str) -> DataFrame:
+    logs = synth.liquidity_logs(spark, sf, synth.huge_word)
+    return rollups.tick_liquidity(amm.mints(logs), amm.burns(logs)).select("pool", "tick", F.col("liquidityGross").alias("gross"), F.col("liquidityNet").alias("net"))
+
+
+@_query(f"""WITH {_AGENT}, r AS (SELECT event_id, sum(CASE WHEN event_type = 'click' THEN c ELSE -c END) OVER (PARTITION BY token, usr ORDER BY event_id) AS s FROM a WHERE event_type IN ('click', 'view')) SELECT event_id AS block_number, {_huge('s')} AS total FROM r""")
+def huge_frozen_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Running totals, over spans of blocks short enough that users have many."""
+    return snapshots.frozen_totals(securities.transfer_agent_actions(synth.agent_logs(spark, sf, synth.huge_word)), span=500).select("block_number", "total")

@@ -14,6 +14,8 @@ def _struct(spec: str) -> T.StructType:
 RAW_LOG = _struct("address:s topics:a data:s blockNumber:s transactionHash:s logIndex:s transactionIndex:s")
 #: A log as the decoders take it.
 LOG = _struct("address:s topics:a data:s block_number:l tx_hash:s log_index:s tx_index:l topic0:s log_order:l")
+#: The same, as stored by signature and block bucket.
+STORED_LOG = _struct("address:s topics:a data:s block_number:l tx_hash:s log_index:s tx_index:l log_order:l topic0:s block_bucket:l")
 
 FACTORY = _struct("id:s poolCount:l txCount:l totalVolumeUSD:s totalValueLockedUSD:s")
 BUNDLE = _struct("id:s ethPriceUSD:s")
@@ -22,3 +24,4 @@ POOL = _struct("id:s token0:s token1:s feeTier:l totalValueLockedUSD:s volumeUSD
 SWAP = _struct("id:s timestamp:l pool:s amount0:s amount1:s amountUSD:s sender:s")
 ENTITY = _struct("entity_type:s id:s data:s block_number:l log_order:l")
 BLOCK = _struct("number:l timestamp:l hash:s")
+TRANSACTION = _struct("hash:s block_number:l from:s value:s")

@@ -61,3 +61,8 @@ def write_logs(logs: DataFrame, path: str, blocks_per_folder: int = BLOCKS_PER_S
     """Parquet by signature and block bucket, so that a decoder or a range reads its folders only."""
     bucketed = logs.withColumn("block_bucket", F.floor(F.col("block_number") / blocks_per_folder))
     bucketed.repartition("topic0", "block_bucket").write.mode("append").partitionBy("topic0", "block_bucket").parquet(path)
+
+
+def read_stored(spark: SparkSession, path: str) -> DataFrame:
+    """Logs that ``write_logs`` stored; filters on topic0 and on ``block_bucket`` prune folders."""
+    return spark.read.schema(schemas.STORED_LOG).parquet(path)

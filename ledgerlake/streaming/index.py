@@ -1,60 +1,118 @@
-"""Continuous indexing: logs in, typed tables out, each micro-batch an idempotent upsert."""
+"""Continuous indexing: logs in, typed tables out, each micro-batch an idempotent upsert.
+
+A table is a folder of Parquet, partitioned by a hash of the key. A batch rewrites the partitions that
+its keys fall into, and no others. What it will write is complete in a folder beside them before they
+are replaced, so that a batch that is cut short is finished by the next one. Merging rows again changes
+nothing: replays, restarts and new checkpoints need no record of what has been done.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerlake.operators.rollups import HOUR
-from ledgerlake.operators.upsert import upsert
+from ledgerlake.operators.rollups import HOUR, ohlc, price, with_fees
+from ledgerlake.operators.upsert import latest_by_key, upsert
 from ledgerlake.sources.logs import known_events, normalise
+from ledgerlake.topics import ALL
+
+BUCKETS = 64
+_PENDING = "_pending"  # Spark's readers pass over names that begin like this
+
+
+@dataclass(frozen=True)
+class Table:
+    """An output of a stream: ``decode`` makes its rows, the newest row of every ``keys`` stays.
+
+    ``by`` are the columns that partition it (the keys, unless given; equal keys must agree in them).
+    ``derived`` are tables recomputed, partition by partition, from this one's rows: current states and
+    running totals, grouped by columns that include ``by``.
+    """
+
+    decode: Callable[[DataFrame], DataFrame]
+    keys: Sequence[str] = ("id",)
+    by: Sequence[str] = ()
+    derived: Mapping[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
+    order: Sequence[str] = ("block_number", "log_order")
+
+
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of a folder, wherever it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _folder(spark, path)
+    return fs.exists(at)
 
-def _newest(spark: SparkSession, path: str) -> str | None:
-    """The folder of the last complete version of a table; Spark's file system finds it, wherever it is."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    done = [s.getPath().getName() for s in fs.listStatus(root) if fs.exists(hadoop.Path(s.getPath(), "_SUCCESS"))]
-    versions = [n for n in done if n.startswith("v")]
-    return f"{path}/{max(versions, key=lambda n: int(n[1:]))}" if versions else None
+
+def _has_rows(spark: SparkSession, path: str) -> bool:
+    fs, at = _folder(spark, path)
+    return fs.exists(at) and any(s.getPath().getName().startswith("bucket=") for s in fs.listStatus(at))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    newest = _newest(spark, path)
-    return spark.read.parquet(newest) if newest else None
+    """The table's rows, or None where nothing has been written yet."""
+    return spark.read.parquet(path).drop("bucket") if _has_rows(spark, path) else None
+
+
+def _bucket(by: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def _finish(spark: SparkSession, path: str) -> None:
+    """Put complete pending partitions in their places; doing so twice gives the same table."""
+    pending = f"{path}/{_PENDING}"
+    if _exists(spark, f"{pending}/_SUCCESS"):
+        spark.read.parquet(pending).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    fs, at = _folder(spark, pending)
+    fs.delete(at, True)
 
 
-def merge_batch(batch: DataFrame, batch_id: int, path: str, keys: tuple[str, ...] = ("id",)) -> None:
-    """Upsert a batch into the table at ``path`` as version ``batch_id``.
+def _replace(rows: DataFrame, path: str, by: Sequence[str], buckets: int) -> None:
+    """Replace the partitions of ``rows``, which are computed in full before the table is touched."""
+    rows.withColumn("bucket", _bucket(by, buckets)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{_PENDING}")
+    _finish(rows.sparkSession, path)
 
-    A replayed batch writes the same version again from the one before it, so it changes nothing.
+
+def merge_batch(batch: DataFrame, path: str, keys: Sequence[str] = ("id",), by: Sequence[str] = (), derived: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None, order: Sequence[str] = ("block_number", "log_order"), buckets: int = BUCKETS) -> None:
+    """Upsert a batch into the table at ``path``, then recompute the ``derived`` tables (path -> function) there.
+
+    A replayed batch changes nothing; an older row never replaces a newer one. Only partitions that
+    the batch falls into are read and written.
     """
-    spark = batch.sparkSession
-    newest = _newest(spark, path)
-    if newest and int(newest.rsplit("/v", 1)[1]) >= batch_id:
+    spark, by = batch.sparkSession, by or keys
+    newest = latest_by_key(batch, keys, order)
+    touched = [r["bucket"] for r in newest.select(_bucket(by, buckets)).distinct().collect()]  # a few numbers
+    if not touched:
         return
-    old = spark.read.parquet(newest) if newest else None
-    upsert(old, batch, keys).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+    _finish(spark, path)
+    old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).drop("bucket") if _has_rows(spark, path) else None
+    _replace(upsert(old, newest, keys, order), path, by, buckets)
+    for name, make in (derived or {}).items():
+        own = spark.read.parquet(path).where(F.col("bucket").isin(touched)).drop("bucket")
+        _replace(make(own), name, by, buckets)
 
 
-def index_stream(raw: DataFrame, decoders: Mapping[str, Callable[[DataFrame], DataFrame]], out: str, checkpoint: str, seconds: float | None = None, keys: Mapping[str, tuple[str, ...]] | None = None) -> StreamingQuery:
-    """Decode a stream of raw logs into one versioned table per decoder.
+def index_stream(raw: DataFrame, tables: Mapping[str, Table | Callable[[DataFrame], DataFrame]], out: str, checkpoint: str, seconds: float | None = None, topics: Sequence[str] = ALL, buckets: int = BUCKETS) -> StreamingQuery:
+    """Decode a stream of raw logs into tables under ``out``; a decoder alone stands for a table keyed by id.
 
-    ``seconds`` polls at that interval; without it, all that is available is processed and the query
-    ends. Counts of logs and the latest block are observed as metric "progress".
+    ``topics`` are the signatures that are kept, by default all that any decoder reads. ``seconds``
+    polls at that interval; without it, all that is available is processed and the query ends. Counts
+    of logs and the latest block are observed as metric "progress".
     """
-    logs = known_events(normalise(raw)).observe("progress", F.count("*").alias("events_indexed"), F.max("block_number").alias("latest_block"))
+    logs = known_events(normalise(raw), topics).observe("progress", F.count("*").alias("events_indexed"), F.max("block_number").alias("latest_block"))
+    specs = {name: t if isinstance(t, Table) else Table(t) for name, t in tables.items()}
 
     def each(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        for name, decode in decoders.items():
-            merge_batch(decode(batch), batch_id, f"{out}/{name}", (keys or {}).get(name, ("id",)))
+        for name, t in specs.items():
+            merge_batch(t.decode(batch), f"{out}/{name}", t.keys, t.by, {f"{out}/{n}": f for n, f in t.derived.items()}, t.order, buckets)
         batch.unpersist()
 
     writer = logs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
@@ -71,7 +129,11 @@ def drop_replays(swaps: DataFrame) -> DataFrame:
     return swaps.dropDuplicatesWithinWatermark(["id"])
 
 
-def hourly_rollup(swaps: DataFrame, seconds: int = HOUR) -> DataFrame:
-    """Streaming volume and count per pool and window."""
-    rows = swaps.groupBy(F.window("at", f"{seconds} seconds"), "pool").agg(F.count("*").alias("txCount"), F.sum(F.abs(F.col("amountUSD").try_cast("decimal(28,6)"))).alias("volumeUSD"))
-    return rows.select("pool", F.unix_timestamp("window.start").alias("periodStartUnix"), "txCount", "volumeUSD")
+def rollup_stream(swaps: DataFrame, pools: DataFrame, seconds: int = HOUR, label: str = "periodStartUnix") -> DataFrame:
+    """The fields of ``rollups.pool_period`` as a stream of tumbling windows: per pool and window txCount, volumeUSD, open, high, low, close, feesUSD.
+
+    ``pools`` is a static table. State is one row per pool and window, dropped once the watermark has passed.
+    """
+    rows = ohlc(swaps.withColumn("window", F.window("at", f"{seconds} seconds")), ["pool", "window"], price())
+    timed = rows.withColumn(label, F.unix_timestamp("window.start")).drop("window")
+    return with_fees(timed, pools).withColumn("id", F.concat_ws("-", "pool", F.col(label).cast("string")))

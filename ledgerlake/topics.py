@@ -97,3 +97,5 @@ TREASURY = (VAULT_RECEIVE, VAULT_FLUSH, FEE_GOV_RATE, FEE_GOV_CHAIN, FEE_GOV_BRO
 LIQUID = (FEES_RECEIVED, VALIDATOR_REWARDS_RECEIVED, SLASHING_APPLIED, EMERGENCY_WITHDRAWAL)
 #: What the indexer asks for; everything else is dropped.
 KNOWN = AMM + SECURITIES
+#: Every signature that some decoder reads.
+ALL = AMM + (SUBSCRIPTION, UNSUBSCRIPTION) + SECURITIES + GOVERNANCE + DAO + TREASURY + LIQUID

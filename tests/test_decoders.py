@@ -44,7 +44,8 @@ def test_hex_numbers(spark):
 def test_words_and_addresses(spark):
     df = spark.createDataFrame([("0x" + w(100) + w(200), "0x" + "0" * 24 + "ab" * 20, "short", "")], "d string, a string, s string, e string")
     df = df.withColumns({f"w{i}": hx.word(F.col("d"), i) for i in (0, 1, 5)})
-    r = df.select(hx.uint256("w0"), hx.uint256("w1"), hx.uint256("w5"), hx.topic_address(F.col("a")), hx.topic_address(F.col("s")), hx.topic_address(F.col("e")), hx.address_word(F.col("d"), 7), hx.address_word(F.col("d"), 7, "", False)).first()
+    df = hx.with_digits(df, {f"u{i}": f"w{i}" for i in (0, 1, 5)})
+    r = df.select("u0", "u1", "u5", hx.topic_address(F.col("a")), hx.topic_address(F.col("s")), hx.topic_address(F.col("e")), hx.address_word(F.col("d"), 7), hx.address_word(F.col("d"), 7, "", False)).first()
     assert tuple(r) == ("100", "200", "0", "0x" + "ab" * 20, "short", "", hx.ZERO_ADDRESS, "")
 
 
@@ -53,13 +54,39 @@ def test_256_bits_against_python(spark):
     values = [0, 1, 2**64 - 1, 2**64, 2**124 - 1, 2**124, 10**18, 10**36, 10**54 - 1, 2**255 - 1, 2**255, 2**256 - 1] + [rng.getrandbits(rng.randrange(1, 257)) for _ in range(200)]
     other = values[1:] + values[:1]
     df = spark.createDataFrame([(k, w(a), w(b)) for k, (a, b) in enumerate(zip(values, other, strict=True))], "k int, a string, b string")
-    rows = df.orderBy("k").select(hx.uint256("a"), hx.int256("a"), hx.net_uint256("a", "b"), hx.int_small("a"), hx.uint_k("a", 8), hx.word_hex("a"), hx.word_bool("a")).collect()
+    df = hx.with_digits(df, {"ua": "a", "ub": "b"}, {"sa": "a"})
+    rows = df.orderBy("k").select("ua", "sa", hx.net_uint256("a", "b", "ua", "ub"), hx.int_small("a"), hx.uint_k("a", 8), hx.word_hex("a"), hx.word_bool("a")).collect()
     for r, a, b in zip(rows, values, other, strict=True):
         signed = a - 2**256 if a >= 2**255 else a
         small = signed if -(2**63) <= signed < 2**63 else None
         assert tuple(r) == (str(a), str(signed), str(a - b), small, a % 256 if a < 2**64 else 0, hex(a), a > 0)
-    total = df.withColumn("v", hx.uint256("a")).agg(hx.sum_uint256("v")).first()[0]
-    assert total == str(sum(values))
+    assert [r[0] for r in hx.with_digits(df.select("k", "a"), {"x": "a"}, small_path=False).orderBy("k").select("x").collect()] == [str(a) for a in values]
+    assert df.agg(hx.sum_digits("ua")).first()[0] == str(sum(values))
+    whole = [a - 2**256 if a >= 2**255 else a for a in values]
+    assert df.agg(hx.sum_digits("sa")).first()[0] == str(sum(whole))
+    assert df.where("k < 0").agg(hx.sum_digits("sa")).first()[0] == "0"
+    for n in range(1, len(values), 7):
+        assert df.where(f"k < {n}").agg(hx.sum_digits("IF(k % 2 = 0, ua, concat('-', ub))")).first()[0] == str(sum(a if k % 2 == 0 else -b for k, (a, b) in enumerate(zip(values[:n], other[:n], strict=True))))
+
+
+def test_digits_are_computed_in_generated_code(spark):
+    logs = make(spark, (A, [t.SWAP_V2, top(B)], [w(2**255), w(0), w(0), w(2**200)], 7, "0x1"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan shows its generated spans when it has run
+    try:
+        plan = amm.swaps_v2(logs.repartition(2))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    projects = [line for line in plan.splitlines() if "Project [" in line]
+    assert projects and all("*(" in line.split("Project [")[0] for line in projects)
+    assert "lambdafunction" not in plan
+
+
+def test_fractions(spark):
+    texts = ["10.5", "-3", "x", None, "1e3", "0.0000000000000000019", ".5", "+2.", "9" * 60, "-" + "9" * 60 + ".25"]
+    df = spark.createDataFrame([(x,) for x in texts], "x string").withColumn("d", hx.fixed_point("x"))
+    assert df.agg(hx.sum_digits("d").alias("s")).select(hx.with_point("s")).first()[0] == "1009.750000000000000001"
+    assert df.where("x = '-3'").agg(hx.sum_digits("d").alias("s")).select(hx.with_point("s")).first()[0] == "-3"
+    assert df.where("x = '.5'").agg(hx.sum_digits("d").alias("s")).select(hx.with_point("s")).first()[0] == "0.5"
 
 
 def test_swaps_with_signs(spark):
@@ -76,6 +103,8 @@ def test_swaps_with_signs(spark):
 def test_pools_tokens_transfers(spark):
     logs = make(spark, (A, [t.PAIR_CREATED, top(B), top(C)], [top(A)[2:], w(1)], 1, "0x0"), (A, [t.PAIR_CREATED, top(B), top(C)], [], 1, "0x1"), (A, [t.POOL_CREATED, top(B), top(C), top(500)], [w(60), top(B)[2:]], 2, "0x0"), (C, [t.TRANSFER, top(A), top(B)], [w(12)], 3, "0x0"), (C, [t.TRANSFER, top(A), top(B), top(77)], [], 3, "0x1"))
     assert sorted((r["id"], r["feeTier"]) for r in amm.pools(logs).collect()) == [(A, 3000), (B, 500)]
+    short = make(spark, *[(A, [t.POOL_CREATED, top(B), top(C), top(500)], data, 2, "0x0") for data in ([], ["ab" * 20], [w(60)[:63]], [w(60)])])
+    assert [r["id"] for r in amm.pools(short).collect()] == ["0x" + w(60)[-40:]]
     assert {r["id"] for r in amm.tokens(logs).collect()} == {B, C}
     assert sorted((r["value"] or "", r["tokenId"] or "") for r in amm.transfers(logs).collect()) == [("", "77"), ("12", "")]
 
@@ -115,7 +144,7 @@ def test_securities(spark):
     by = {(r["kind"], r["isFrozen"]): r for r in actions.collect()}
     assert by["AddressFrozen", True]["owner"] == C and by["Paused", None]["user"] == B and by["RecoverySuccess", None]["newWallet"] == B
     assert one(snapshots.frozen_accounts(actions))["frozen"] is False  # index 0x10 comes after 0x9
-    assert one(snapshots.frozen_tokens(actions)) == {"id": f"{A}:{B}", "token": A, "user": B, "delta": "2", "kind": "TokensUnfrozen", "updated": 3}
+    assert one(snapshots.frozen_tokens(actions)) == {"id": f"{A}:{B}", "token": A, "user": B, "delta": "2", "kind": "TokensUnfrozen", "updated": 3, "log_order": 0}
     assert [int(r["total"]) for r in snapshots.frozen_totals(actions).orderBy("block_number").collect()] == [5, 3]
     assert one(snapshots.paused_tokens(actions))["token"] == A
     assert one(snapshots.live_claims(securities.claims(logs)))["claimId"] == top(8)
@@ -165,21 +194,61 @@ def test_dao_treasury_liquid(spark):
     )
     gauges = {r["event"]: r for r in defi.gauges(logs).collect()}
     assert (gauges["added"]["gaugeId"], gauges["added"]["recipient"], gauges["vote"]["weight"]) == ("1", B, "2000")
-    assert one(rollups.locked_balances(defi.vote_locks(logs)))["balance"] == 9 * 10**20
-    assert one(rollups.karma_balances(defi.karma(logs)))["balance"] == 6
+    assert one(rollups.locked_balances(defi.vote_locks(logs)))["balance"] == str(9 * 10**20)
+    assert one(rollups.karma_balances(defi.karma(logs)))["balance"] == "6"
     stakes = {r["event"]: r for r in defi.stakes(logs).collect()}
     assert (stakes["staked"]["tier"], stakes["staked"]["lockEnd"], stakes["rebased"]["amount"]) == (2, "77", "8")
-    assert one(rollups.treasury_flows(defi.vaults(logs)))["net"] == 30
+    assert one(rollups.treasury_flows(defi.vaults(logs)))["net"] == "30"
     fees = {r["event"]: r for r in defi.fee_governance(logs).collect()}
     assert (fees["rate"]["rate"], fees["rate"]["version"], fees["chain"]["active"], fees["broadcast"]["count"]) == (30, 5, True, "5")
     shares = {r["recipient"]: (r["share"], int(r["claimed"])) for r in rollups.router_shares(defi.routers(logs)).collect()}
     assert shares == {B: (0.75, 4), C: (0.25, 0)}
     totals = {r["feeType"]: r for r in rollups.liquid_totals(defi.liquid(logs)).collect()}
-    assert totals[top(1)]["perfFee"] == 10**20 and totals[None]["socialized"] == 7
+    assert totals[top(1)]["perfFee"] == str(10**20) and totals[None]["socialized"] == "7"
     parsed = defi.parse_all(logs)
     assert len(parsed) == 12 and parsed["GovernanceVote"].count() == 0
 
 
+def test_sums_over_the_whole_range(spark):
+    """Amounts up to 2^256 - 1 are counted in full, in totals, differences and running totals."""
+    big, mid = 2**256 - 1, 2**128 - 1
+    stakes = make(spark, (A, [t.STAKED, top(B)], [w(5), w(0), w(0)], 1, "0x0"), (A, [t.STAKED, top(B)], [w(big), w(0), w(0)], 2, "0x0"), (A, [t.UNSTAKED, top(B)], [w(mid)], 3, "0x0"), (A, [t.UNSTAKED, top(C)], [w(big)], 3, "0x1"))
+    assert {r["account"]: r["balance"] for r in rollups.stake_balances(defi.stakes(stakes)).collect()} == {B: str(5 + big - mid), C: str(-big)}
+    vaults = make(spark, (A, [t.VAULT_RECEIVE, top(6)], [w(mid), w(0)], 1, "0x0"), (A, [t.VAULT_RECEIVE, top(6)], [w(big), w(0)], 1, "0x1"), (A, [t.VAULT_FLUSH, top(6)], [w(big)], 2, "0x0"), (A, [t.VAULT_FLUSH, top(6)], [w(big)], 2, "0x1"))
+    flows = one(rollups.treasury_flows(defi.vaults(vaults)))
+    assert (flows["received"], flows["flushed"], flows["net"]) == (str(mid + big), str(2 * big), str(mid - big))
+    routers = make(spark, (A, [t.ROUTER_WEIGHT, top(B)], [w(big)], 1, "0x0"), (A, [t.ROUTER_WEIGHT, top(C)], [w(big)], 1, "0x1"), (A, [t.ROUTER_CLAIM, top(B)], [w(big)], 2, "0x0"))
+    assert sorted((r["weight"], r["claimed"], r["share"]) for r in rollups.router_shares(defi.routers(routers)).collect()) == [(str(big), "0", 0.5), (str(big), str(big), 0.5)]
+    fees = make(spark, *[(A, [t.FEES_RECEIVED, top(B), top(1)], [w(big), w(mid), w(0)], 1, f"0x{k}") for k in range(3)])
+    assert (one(rollups.liquid_totals(defi.liquid(fees)))["fees"], one(rollups.liquid_totals(defi.liquid(fees)))["perfFee"]) == (str(3 * big), str(3 * mid))
+    ticks = make(spark, (A, [t.MINT_V3, top(B), top(-60), top(60)], [w(0), w(big), w(1), w(1)], 1, "0x0"), (A, [t.MINT_V3, top(B), top(60), top(120)], [w(0), w(3), w(1), w(1)], 1, "0x1"), (A, [t.BURN_V3, top(B), top(-60), top(60)], [w(mid), w(1), w(1)], 2, "0x0"))
+    got = {r["tick"]: (r["liquidityGross"], r["liquidityNet"]) for r in rollups.tick_liquidity(amm.mints(ticks), amm.burns(ticks)).collect()}
+    assert got == {-60: (str(big + mid), str(big - mid)), 60: (str(big + mid + 3), str(mid - big + 3)), 120: ("3", "-3")}
+    amounts = [(t.TOKENS_FROZEN, big, 1), (t.TOKENS_UNFROZEN, mid, 5), (t.TOKENS_UNFROZEN, big, 12), (t.TOKENS_FROZEN, 7, 13), (t.TOKENS_FROZEN, big, 40)]
+    actions = securities.transfer_agent_actions(make(spark, *[(A, [s, top(B)], [w(x)], b, "0x0") for s, x, b in amounts]))
+    for span in (1, 10, 10_000):
+        assert [r["total"] for r in snapshots.frozen_totals(actions, span).orderBy("block_number").collect()] == [str(x) for x in (big, big - mid, -mid, 7 - mid, big + 7 - mid)]
+
+
+def test_values_in_usd_keep_eighteen_places(spark):
+    swaps = spark.createDataFrame([("a", "p", 1, 1, "2", "4", "0.0000004", 0), ("b", "p", 1, 2, "2", "4", "-0.000000000000000001", 0), ("c", "p", 1, 3, "2", "4", "n/a", 0)], "id string, pool string, block_number long, log_order long, amount0 string, amount1 string, amountUSD string, timestamp long")
+    pools = spark.createDataFrame([("p", 3000)], "id string, feeTier long")
+    assert f"{one(rollups.pool_totals(swaps, pools))['volumeUSD']:f}" == "0.000000400000000001"
+    with pytest.raises(Exception, match="beyond"):
+        rollups.pool_totals(swaps.withColumn("amountUSD", F.lit("9" * 25)), pools).collect()
+
+
+def test_logs_stored_by_signature_are_pruned(spark, tmp_path):
+    logs = make(spark, (A, [t.STAKED, top(B)], [w(5), w(0), w(0)], 1, "0x0"), (A, [t.VOTE_CAST, top(B)], [w(7), w(1), w(3)], 9000, "0x0"), (A, [t.VOTE_CAST, top(C)], [w(7), w(0), w(4)], 1, "0x0"))
+    lg.write_logs(logs, str(tmp_path / "logs"))
+    stored = lg.read_stored(spark, str(tmp_path / "logs"))
+    parsed = defi.parse_all(stored)
+    assert {n: rows.count() for n, rows in parsed.items() if rows.count()} == {"GovernanceVote": 2, "StakeEvent": 1}
+    late = parsed["GovernanceVote"].where("block_number > 0")
+    assert "PartitionFilters: [topic0" in late._jdf.queryExecution().executedPlan().toString() or "isnotnull(topic0" in late._jdf.queryExecution().executedPlan().toString()
+    assert len(lg.known_events(stored, [t.STAKED]).inputFiles()) <= len(stored.inputFiles())
+
+
 def test_where_and_order(spark):
     rows = spark.createDataFrame([("a", "100", "50.5", "9.0", "A"), ("b", "200", "150.0", "100000.0", "A"), ("c", "300", "200.0", "50.0", "B"), ("d", None, "1d", "x", "B"), ("e", "1", " 7", "NaN", None)], "id string, date string, amount string, volumeUSD string, pool string")
     ids = lambda df: [r["id"] for r in df.collect()]
@@ -221,18 +290,26 @@ def test_enrichment_of_unknown_pools(spark):
     assert got["s2"]["pool"] is None and got["s2"]["pool_id"] == "nope"
 
 
-def test_entities_and_registry(spark, tmp_path):
-    docs = spark.createDataFrame([("1", "10.5"), ("2", "x")], "id string, stake string")
+def test_entities(spark, tmp_path):
+    docs = spark.createDataFrame([("1", "10.5"), ("2", "x"), ("3", "9" * 50)], "id string, stake string")
     rows = as_entities(docs, "Validator").unionByName(as_entities(docs, "Delegator"))
     write_entities(upsert_entities(rows, rows), str(tmp_path / "e"))
     back = read_entities(spark, str(tmp_path / "e"))
-    registry = entities.Registry()
-    registry.load("pchain")
-    assert registry.resolve("validators", {"entities": back}, first=1).count() == 1
-    assert registry.resolve("validator", {"entities": back}, id="2").count() == 1
-    assert registry.resolve("networkStats", {"entities": back}).count() == 0
-    assert one(entities.domain_statistics(back, "NetworkStats")) | {"totalStake": None} == {"id": "1", "totalStake": None, "validatorCount": 2, "delegatorCount": 2}
+    assert entities.list_entities(back, "Validator", 1).count() == 1
+    assert entities.get_entity(back, "Validator", "2").count() == 1
+    assert entities.get_statistics(back, "NetworkStats").count() == 0
+    assert one(entities.domain_statistics(back, "NetworkStats")) == {"id": "1", "totalStake": "1" + "0" * 48 + "09.5", "validatorCount": 3, "delegatorCount": 3}
     assert entities.get_by_field(back, "Validator", "stake", "10.5").count() == 1
-    assert entities.as_variant(back).count() == 4
-    with pytest.raises(KeyError):
-        registry.load("nope")
+    assert entities.as_variant(back).count() == 6
+
+
+def test_blocks_transactions_and_lists(spark):
+    blocks = spark.createDataFrame([(k, 10 * k, f"0x{k}") for k in range(40)], "number long, timestamp long, hash string")
+    assert query.list_blocks(blocks).count() == 25 and query.list_blocks(blocks, 3).first()["number"] == 39
+    assert one(query.get_block(blocks, number=0))["hash"] == "0x0" and one(query.get_block(blocks, block_hash="0x7"))["number"] == 7
+    assert query.get_block(blocks, block_hash="0x99").count() == 0
+    txs = spark.createDataFrame([(f"0x{k}", k // 2, "a", "1") for k in range(40)], "hash string, block_number long, from string, value string")
+    assert [r["hash"] for r in query.list_transactions(txs, 2).collect()] == ["0x38", "0x39"] and query.list_transactions(txs).count() == 25
+    assert one(query.get_transaction(txs, "0x5"))["block_number"] == 2
+    many = spark.createDataFrame([(str(k),) for k in range(1500)], "id string")
+    assert query.list_all(many).count() == 1500
