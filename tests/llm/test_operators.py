@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import itertools
+import json
 import math
 import re
 import zlib
@@ -14,7 +16,7 @@ import xxhash
 
 from ledgerlake.llm import ann, bpe, langid, lines, matroska, packing, quality, simhash, substrings, token_counts
 from ledgerlake.llm import queries as q
-from ledgerlake.llm.common import read_table
+from ledgerlake.llm.common import join_by_key, read_table, shared_dir, text_chunks
 from ledgerlake.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chunk string, fp string, score double"
@@ -308,43 +310,62 @@ def test_cut_passages_keeps_the_rest(awkward):
     assert got[8]["n_chars"] == len(got[8]["text"]) and got[1]["text"] is None and got[9]["chunk"] is None
 
 
+def plain_chunks(ls):
+    """Two lines or more, closed by a line of locally least hash, by every second line of a run, or by the end."""
+    hashes = [xxhash.xxh64_intdigest(x.encode(), 7) for x in ls]
+    place = [n for _, run in itertools.groupby(ls) for n, _ in enumerate(run, 1)]
+    out, own = [], []
+    for k, line in enumerate(ls):
+        own.append(line)
+        least = 0 < k < len(ls) - 1 and place[k] == 1 and hashes[k] < min(hashes[k - 1], hashes[k + 1])
+        if k == len(ls) - 1 or (len(own) > 1 and (place[k] % 2 == 0 or least)):
+            out.append(own)
+            own = []
+    return out
+
+
 def plain_line_dedup(rows):
-    seen, out = {}, []
-    cut = []
-    for r in rows:
-        text = r["text"]
+    """(doc_id, lines removed, text) of rows with ids of their own, in order: what was seen before goes."""
+    seen, out = set(), []
+    for ident, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         if text is None:
+            out.append((ident, 0, None))
             continue
-        ls = text.split("\n")
-        cut += [(r["doc_id"] is None, r["doc_id"] or 0, text, a, b, "\n".join(ls[a:b])) for a, b in lines.line_chunks(text) if b - a > 1]
-    for null, i, text, a, b, piece in sorted(cut):
-        seen.setdefault(piece, (null, i))
-    return seen, out
+        kept, gone = [], 0
+        for chunk in plain_chunks(text.split("\n")):
+            if len(chunk) > 1 and tuple(chunk) in seen:
+                gone += len(chunk)
+            else:
+                kept += chunk
+                seen.add(tuple(chunk))
+        out.append((ident, gone, "\n".join(kept)))
+    return out
+
+
+def test_line_dedup(spark, table):
+    """The text of every row, at two sizes of chunks of documents."""
+    rows = list({r["doc_id"]: (r["doc_id"], r["text"]) for r in table.collect()}.values())
+    rows += [(10_000_001, rows[-1][1]), (10_000_002, "a\nb\nc\nd\na\nb\nc\nd\n\n\n\n"), (10_000_003, "\n" * 9), (10_000_004, "x\ra\u2028b\x85\nc")]
+    want = sorted(plain_line_dedup(rows), key=str)
+    unique = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (20_000, 24_000_000):
+        got = lines.dedup_lines(unique, counts="lines_removed", chunk_bytes=size, stable=size > 20_000)
+        assert sorted(((r["doc_id"], r["lines_removed"], r["text"]) for r in got.collect()), key=str) == want
+    assert sum(n for _, n, _ in want) > 20
+    assert lines.dedup_lines(table.limit(0)).count() == 0
 
 
-def test_line_dedup(table):
-    rows = table.collect()
-    got = rows_of(lines.dedup_lines(table.select("doc_id", "text", "n_chars"), counts="lines_removed", chunk_bytes=20_000))
-    assert len(got) == len(rows)
-    seen, _ = plain_line_dedup(rows)
-    before, after, holders = Counter(), Counter(), defaultdict(list)
-    for r in rows:
-        ls = (r["text"] or "").split("\n")
-        for a, b in lines.line_chunks(r["text"]):
-            before["\n".join(ls[a:b])] += b - a > 1
-    total = sum(r["lines_removed"] for r in got)
-    assert total == sum((n - 1) * (p.count("\n") + 1) for p, n in before.items() if n > 1)
-    # a text all of whose multi-line chunks are first seen in it keeps everything
-    for r in rows:
-        ls = (r["text"] or "").split("\n")
-        own = ["\n".join(ls[a:b]) for a, b in lines.line_chunks(r["text"]) if b - a > 1]
-        same = [g for g in got if g["doc_id"] == r["doc_id"]]
-        if all(before[p] == 1 for p in own):
-            assert any(g["text"] == r["text"] for g in same)
-        elif len(same) == 1 and all(seen[p] != (r["doc_id"] is None, r["doc_id"] or 0) for p in own):
-            drop = {k for a, b in lines.line_chunks(r["text"]) if b - a > 1 and before["\n".join(ls[a:b])] > 1 for k in range(a, b)}
-            assert same[0]["text"] == "\n".join(x for k, x in enumerate(ls) if k not in drop)
-    assert lines.dedup_lines(table.limit(0)).count() == 0
+def test_line_dedup_of_repeated_rows_and_clashing_columns(spark):
+    text = "\n".join(f"row {k}" for k in range(12))
+    rows = [(20, text, 1, len(text)), (20, text, 2, len(text)), (None, text, 3, len(text)), (21, text + "\nmore", 4, 0), (None, None, 5, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, chunk long, n_chars long")
+    got = rows_of(lines.dedup_lines(table, counts="CHUNK", chunk_bytes=50))
+    assert sorted(got[0].asDict()) == ["CHUNK", "doc_id", "n_chars", "text"]
+    kept = [r for r in got if r["text"] and r["text"].startswith("row 0")]
+    assert len(got) == 5 and len(kept) == 1 and kept[0]["doc_id"] == 20 and kept[0]["CHUNK"] == 0
+    assert all(r["n_chars"] == len(r["text"]) for r in got if r["text"] is not None)
+    spread = {r[0] for r in text_chunks(spark.createDataFrame([(1, "same")] * 500, "doc_id long, text string"), "text", 100, True)[0].select("chunk").collect()}
+    assert len(spread) > 15  # repeated rows do not meet in one chunk
 
 
 def test_line_chunk_boundaries_resist_shifts():
@@ -410,6 +431,53 @@ def test_nearest_on_awkward_vectors(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_of_other_lengths_have_neighbours_of_their_own(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0]), (50, [1.0, 0.0, 0.0]), (51, [1.0, 0.0, 1.0]), (100, [1.0]), (150, [2.0, 0.0, 0.0])]
+    got = rows_of(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(0, 1, 1), (0, 2, 2), (50, 1, 150), (50, 2, 51), (150, 1, 50), (150, 2, 51)]
+
+
+def test_vectors_of_one_direction_are_dealt_into_blocks(spark):
+    """A third of all vectors differ in length only, so that no plane parts them: every block is asked."""
+    rng = np.random.default_rng(9)
+    spot = rng.normal(size=16)
+    matrix = np.concatenate([spot * 2.0 ** np.arange(-450, 450)[:, None], rng.normal(size=(2100, 16))])
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(matrix)], "vec_id long, embedding array<double>")
+    unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    tree = ann.ProjectionTree(unit, 6, 5)
+    assert max(tree.blocks(leaf, 3000, 100) for leaf in tree.share) >= 10
+    got = defaultdict(set)
+    for r in ann.nearest(table, leaf_rows=50, block_rows=100).collect():
+        got[r["query_id"]].add((r["vec_id"], round(r["score"], 12)))
+    hits = 0
+    for query in range(0, 3000, 50):
+        scores = unit @ unit[query]
+        scores[query] = -9
+        fifth = np.sort(scores)[-5]
+        assert len(got[query]) == 5 and len({i for i, _ in got[query]}) == 5
+        hits += sum(s >= fifth - 1e-11 for _, s in got[query])
+    assert hits / 300 >= 0.9
+
+
+def test_recall_without_opening_all_leaves(spark):
+    """The registered parameters but for smaller leaves, on vectors without structure and on copies with noise."""
+    rng = np.random.default_rng(10)
+    centres = rng.normal(size=(150, 64))
+    for name, matrix in (("isotropic", rng.normal(size=(12_000, 64))), ("noisy copies", centres[rng.integers(0, 150, 12_000)] + 0.4 * rng.normal(size=(12_000, 64)))):
+        unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+        trees = [ann.ProjectionTree(unit, 9, 5 + t) for t in range(8)]
+        block = unit[:3200:50]
+        truth = [(j, unit[i]) for j, q in enumerate(range(0, 3200, 50)) for i in np.argsort(-(unit @ unit[q]))[1:6]]
+        leaves = ann.leaves_for(0.95, trees, block, truth, 16 * 10)
+        assert leaves < 8 * 512, name
+        homes = np.stack([t.leaves(unit) for t in trees], axis=1)
+        hits = 0
+        for query in range(6000, 12_000, 100):  # not those that the number of leaves was fitted on
+            opened = set(ann.search_leaves(trees, unit[query], leaves))
+            hits += sum(any((t, int(leaf)) in opened for t, leaf in enumerate(homes[i])) for i in np.argsort(-(unit @ unit[query]))[1:6])
+        assert hits / 300 >= 0.9, (name, leaves, hits)
+
+
 def test_leaves_follow_from_measured_recall(spark):
     """Many small leaves: 16 a level hold too few neighbours, so the search must widen by itself."""
     matrix = np.random.default_rng(6).normal(size=(4000, 64))
@@ -435,19 +503,104 @@ def test_quality(spark, sf_dir, awkward):
     assert {r["score"] for r in quality.classify_quality(awkward, blank).collect()} == {0.5}
 
 
-def test_matroska(table):
-    got = {(r["doc_id"], r["payload_sha256"]): r for r in matroska.read_features(matroska.store_texts(table)).collect()}
-    for r in table.collect():
-        raw = (r["text"] or "").encode()
-        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
-        out = got[r["doc_id"], hashlib.sha256(payload).hexdigest()]
-        assert (out["n_bytes"], out["payload_bytes"], out["tail_crc32"]) == (len(raw), len(payload), zlib.crc32(payload[-64:]))
-        media = matroska.write_matroska(payload)
-        assert (out["media_bytes"], out["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
-        assert '"cues_ok": true' in out["feature"]
+def frames_of(data):
+    """An independent reader: the samples of an audio file, element by element, by the published layout."""
+
+    def number(at, keep):
+        width = next(w for w in range(1, 9) if data[at] >> (8 - w))
+        value = int.from_bytes(data[at : at + width], "big")
+        return (value if keep else value & ((1 << (7 * width)) - 1)), at + width
+
+    out, counts, todo = [], Counter(), [(0, len(data))]
+    while todo:
+        at, end = todo.pop()
+        if at == end:
+            continue
+        ident, body = number(at, True)
+        size, body = number(body, False)
+        todo.append((body + size, end))
+        counts[ident] += 1
+        if ident in (0x18538067, 0x1F43B675):  # segment, cluster
+            todo.append((body, body + size))
+        elif ident == 0xA3:
+            assert data[body] == 0x81
+            lacing, at, stop = data[body + 3] >> 1 & 3, body + 4, body + size
+            sizes, n = [], 1
+            if lacing:
+                n, at = data[at] + 1, at + 1
+            if lacing == 1:
+                for _ in range(n - 1):
+                    total = 0
+                    while data[at] == 255:
+                        total, at = total + 255, at + 1
+                    sizes.append(total + data[at])
+                    at += 1
+            elif lacing == 3:
+                first, at = number(at, False)
+                sizes.append(first)
+                for _ in range(n - 2):
+                    start = at
+                    step, at = number(at, False)
+                    sizes.append(sizes[-1] + step - ((1 << (7 * (at - start) - 1)) - 1))
+            elif lacing == 2:
+                sizes = [(stop - at) // n] * (n - 1)
+            for x in [*sizes, stop - at - sum(sizes)]:
+                out.append((body, data[at : at + x]))
+                at += x
+            assert at == stop
+    return b"".join(x for _, x in out), counts, len(out)
+
+
+def test_matroska(spark, table):
+    """The stored bytes, read by another reader, give the payload; the query's columns describe those bytes."""
+    stored = matroska.store_texts(table, batch_bytes=50_000)
+    files = Counter((r["doc_id"], r["n_bytes"], bytes(r["media"])) for r in stored.collect())
+    texts = Counter((r["doc_id"], r["text"] or "") for r in table.collect())
+    want, seen = Counter(), Counter()
+    for (ident, n, media), times in files.items():
+        payload, elements, packets = frames_of(media)
+        assert len(payload) % 64 == 0 < len(payload) and not payload[n:].strip(b"\0") and len(payload) - n <= 64
+        assert elements[0x1C53BB6B] == elements[0x1654AE6B] == 1
+        seen[ident, payload[:n].decode()] += times
+        samples = np.frombuffer(payload, np.uint8)
+        p = np.bincount(samples)[np.bincount(samples) > 0] / len(samples)
+        feature = {"tracks": 1, "clusters": elements[0x1F43B675], "packets": packets, "mean": round(float(samples.mean()), 4), "entropy": round(float(-(p * np.log2(p)).sum()), 4)}
+        want[ident, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), json.dumps(feature, sort_keys=True), None] += times
+    assert seen == texts
+    got = Counter()
+    for r in matroska.read_features(stored).collect():
+        told = json.loads(r["feature"])
+        assert told["cues_ok"] and told["cues"] == told["clusters"]
+        told = {k: told[k] for k in ("tracks", "clusters", "packets", "mean", "entropy")}
+        got[r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["media_bytes"], r["media_sha256"], json.dumps(told, sort_keys=True), r["error"]] += 1
+    assert got == want
     assert matroska.read_features(matroska.store_texts(table.limit(0))).count() == 0
 
 
+def test_hostile_files_give_error_rows(spark):
+    good = matroska.write_matroska(bytes(range(256)) * 100)
+    nested = b""
+    for _ in range(3000):
+        nested = matroska.element(matroska.BLOCK_GROUP, nested)
+    late = matroska.element(matroska.CLUSTER, bytes.fromhex("e788ffffffffffffffff") + matroska.element(matroska.SIMPLE_BLOCK, b"\x81\0\0\0abc"))
+    slow = matroska.element(matroska.INFO, bytes.fromhex("2ad7b1887fffffffffffffff")) + matroska.element(matroska.CLUSTER, bytes.fromhex("e7887fffffffffffffff") + matroska.element(matroska.SIMPLE_BLOCK, b"\x81\x7f\xff\0abc"))
+    odd = matroska.element(matroska.TRACKS, matroska.element(matroska.TRACK, matroska.element(matroska.AUDIO, matroska.element(matroska.RATE, b"\1\2\3"))))
+    bad = [nested, late, slow, odd, None, b"\0", good[:-1], b"\x1a\x45\xdf\xa3\x90"]
+    files = spark.createDataFrame([(k, 0, x) for k, x in enumerate([*bad, good])], "doc_id long, n_bytes long, media binary")
+    told = {r["doc_id"]: r for r in matroska.read_features(files).collect()}
+    assert all(told[k]["error"] and told[k]["payload_sha256"] is None for k in range(len(bad))) and told[len(bad)]["error"] is None
+    assert {r["doc_id"] for r in matroska.packet_table(files).where("error IS NOT NULL").collect()} == set(range(len(bad)))
+    rng = np.random.default_rng(2)
+    for _ in range(3000):  # cut and flipped bytes
+        data = bytearray(good[: int(rng.integers(1, len(good)))])
+        for at in rng.integers(0, min(len(data), 300), 3):
+            data[at] = int(rng.integers(256))
+        try:
+            matroska.packets_of(matroska.parse_matroska(bytes(data)))
+        except ValueError:
+            pass
+
+
 def test_matroska_packets(spark):
     payload = bytes(range(256)) * 1100
     m = matroska.parse_matroska(matroska.write_matroska(payload, frame=700, lace=5, blocks=4))
@@ -466,6 +619,29 @@ def test_matroska_packets(spark):
     assert [(r["doc_id"], r["error"] is None, r["length"]) for r in found] == [(1, True, 3), (1, True, 3), (2, False, None), (3, False, None)]
 
 
+def test_hot_keys_are_broadcast_and_others_shuffled(spark):
+    rows = spark.createDataFrame([(k, 7 if k % 3 == 0 else None if k == 1 else k) for k in range(3000)], "r long, k long")
+    named = rows.where("k IS NOT NULL").groupBy("k").count().withColumnRenamed("count", "n").selectExpr("k", "n", "k * 2 AS v")
+    got = join_by_key(rows, named, "k", "n", 3000)
+    assert sorted(got.columns) == ["k", "r", "v"] and got.count() == 2999 and got.where("v <> 2 * k").count() == 0
+
+
+def test_the_shared_folder_is_asked_for_on_a_cluster(spark):
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(lambda: {})
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_dir(Session())
+
+
 def test_every_query_is_registered():
-    assert {k.split("_")[0] for k in q.queries()} == {f"op{n}" for n in range(1, 11)} | {"pipeline"}
+    import __spark_entry__ as entry
+
+    assert {k.split("_")[0] for k in q.queries()} == {f"op{n}" for n in range(1, 11)}
+    assert {*q.queries(), "pipeline"} <= entry.queries().keys()
     assert set(q.oracle_sql()) <= set(q.queries())
