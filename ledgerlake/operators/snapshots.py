@@ -5,7 +5,9 @@ Snapshots keep ``log_order`` beside their block, so that a stream can merge them
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.hexwords import limb_sums, render
@@ -40,11 +42,12 @@ def frozen_totals(actions: DataFrame, span: int = 10_000) -> DataFrame:
     rows = actions.where("kind IN ('TokensFrozen', 'TokensUnfrozen')").select("id", "token", "user", "kind", "amount", "block_number", "log_order", F.floor(F.col("block_number") / span).alias("span"), F.expr("IF(kind = 'TokensFrozen', amount, concat('-', amount))").alias("signed"))
     spans = rows.groupBy(*names).agg(*[x.alias(n) for x, n in zip(limb_sums("signed"), limbs, strict=True)])
     earlier = Window.partitionBy("token", "user").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    before = spans.select(*names, *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).cast("decimal(38,0)").alias(n) for n in limbs])
+    before = spans.select(*[F.col(n).alias(f"at_{n}") for n in names], *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).cast("decimal(38,0)").alias(n) for n in limbs])
     inside = limb_sums("signed", "PARTITION BY token, user, span ORDER BY block_number, log_order, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
     within = rows.withColumns({f"in_{n}": x for n, x in zip(limbs, inside, strict=True)})
     total = render("array(" + ", ".join(f"CAST({n} + in_{n} AS DECIMAL(38,0))" for n in limbs) + ")")
-    return within.join(before, names).select("id", "token", "user", "kind", "amount", "block_number", "log_order", F.expr(total).alias("total"))
+    here = reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"at_{n}")) for n in names])
+    return within.join(before, here).select("id", "token", "user", "kind", "amount", "block_number", "log_order", F.expr(total).alias("total"))
 
 
 def live(events: DataFrame, keys: tuple[str, ...], gone: tuple[str, ...]) -> DataFrame:
