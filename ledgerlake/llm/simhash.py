@@ -276,7 +276,7 @@ def keep_one_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float
     sets = stamped.groupBy(key, F.col(fp).alias("fp"), F.col(wide).alias("wide"), F.col(size).alias("size")).agg(F.min(order).alias("least"))
     vertex = staged(sets.select("least.vertex", "fp", "wide", "size", "least"))
     candidates = connected_components(wide_links(vertex, bits, wide_bits, similarity, block_rows), "vertex", "rep").withColumnRenamed("node", "vertex")
-    asked = vertex.select("vertex", "fp", "wide", "size").join(candidates, "vertex")
+    asked = staged(vertex.select("vertex", "fp", "wide", "size").join(candidates, "vertex"))
     texts = with_blocks(asked).join(stamped.select(F.col(row).alias("vertex"), "text"), "vertex")
     component = connected_components(exact_links(texts, shingle, wide_bits, similarity), "vertex", "rep")
     rooted = vertex.join(component.withColumnRenamed("node", "vertex"), "vertex", "left").select("least", F.coalesce("component", "vertex").alias("root"))
@@ -314,8 +314,10 @@ def similar_sets(sets: list[np.ndarray], prints: np.ndarray, wide_bits: int, rat
 def with_blocks(asked: DataFrame, rows: int = 4_000, hashes: int = 2_000_000) -> DataFrame:
     """Candidates (vertex, size, component, ...) with the number of blocks of their group: one for every ``rows`` sets or ``hashes`` shingles."""
     blocks = F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("size") / hashes)).cast("int")
-    large = asked.groupBy("component").agg(blocks.alias("blocks")).where("blocks > 1")
-    return asked.join(large, "component", "left").fillna(1, ["blocks"])
+    large = staged(asked.groupBy("component").agg(blocks.alias("blocks")).where("blocks > 1"))
+    # few groups are large, so they rarely fail to fit this bound; a group's rows then stay where they are
+    few = F.broadcast(large) if large.count() <= 200_000 else large
+    return asked.join(few, "component", "left").fillna(1, ["blocks"])
 
 
 def exact_links(texts: DataFrame, shingle: int, wide_bits: int, ratio: float) -> DataFrame:
