@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -26,8 +27,9 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts through the cache that runs with the same shared folder leave to each other."""
-    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), f"{shared_dir(spark).rstrip('/')}/token-counts")
+    """Counts through the cache in the folder that spark.ledgerlake.token_counts names, by default a new one of its own."""
+    cache = spark.conf.get("spark.ledgerlake.token_counts", None) or f"{shared_dir(spark).rstrip('/')}/token-counts-{uuid.uuid4().hex}"
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), cache)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

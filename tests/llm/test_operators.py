@@ -220,6 +220,18 @@ def test_token_counts(spark, table, tmp_path):
     assert token_counts.count_tokens(table.limit(0), path, cache).count() == 0
 
 
+def test_the_query_goes_on_with_a_named_cache(spark, sf_dir, tmp_path):
+    spark.conf.set("spark.ledgerlake.token_counts", str(tmp_path / "kept"))
+    try:
+        first = rows_of(q.op4_token_counts(spark, sf_dir))
+        stored = token_counts.read_cache(spark, str(tmp_path / "kept")).count()
+        assert stored > 0 and rows_of(q.op4_token_counts(spark, sf_dir)) == first
+        assert token_counts.read_cache(spark, str(tmp_path / "kept")).count() == stored
+    finally:
+        spark.conf.unset("spark.ledgerlake.token_counts")
+    assert rows_of(q.op4_token_counts(spark, sf_dir)) == first
+
+
 def test_stored_counts_are_used_and_versions_kept_apart(spark, awkward, tmp_path):
     path, cache = public_tokenizers.path("piece_bpe_32k.model"), str(tmp_path / "cache")
     honest = rows_of(token_counts.count_tokens(awkward, path, cache))
