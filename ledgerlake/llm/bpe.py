@@ -200,7 +200,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, chunk_bytes: i
                 out_text.append(b"".join([spelling[k] for k in own.tolist()]))
                 counts.append(total)
                 filled += len(out_ids[-1]) + len(out_text[-1])
-                if filled > 256_000_000:  # a binary array ends at 2 GB
+                if filled > 16_000_000:  # batches of this size leave little to hold at once; a binary array ends at 2 GB
                     parts.append(part(held[: len(counts)]))
                     held, out_ids, out_text, counts, filled = held[len(counts) :], [], [], [], 0
         return pa.concat_tables([*parts, part(held)])
