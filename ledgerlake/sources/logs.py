@@ -58,9 +58,12 @@ def next_step(last_indexed: int, latest: int, step: int = BLOCKS_PER_STEP) -> tu
 
 
 def write_logs(logs: DataFrame, path: str, blocks_per_folder: int = BLOCKS_PER_STEP) -> None:
-    """Parquet by signature and block bucket, so that a decoder or a range reads its folders only."""
+    """Parquet by signature and block bucket, so that a decoder or a range reads its folders only.
+
+    Rebalanced by both, so that a folder is one file where it is small and many where a signature is frequent.
+    """
     bucketed = logs.withColumn("block_bucket", F.floor(F.col("block_number") / blocks_per_folder))
-    bucketed.repartition("topic0", "block_bucket").write.mode("append").partitionBy("topic0", "block_bucket").parquet(path)
+    bucketed.hint("rebalance", "topic0", "block_bucket").write.mode("append").partitionBy("topic0", "block_bucket").parquet(path)
 
 
 def read_stored(spark: SparkSession, path: str) -> DataFrame:

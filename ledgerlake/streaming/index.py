@@ -1,7 +1,8 @@
 """Continuous indexing: logs in, typed tables out, each micro-batch an idempotent upsert.
 
-A table is a folder of Parquet, partitioned by a hash of the key. A batch rewrites the partitions that
-its keys fall into, and no others. What it will write is complete in a folder beside them before they
+A table is a folder of Parquet, partitioned by a hash of the key, or by spans of blocks where a key
+never changes its block, so that a batch falls into few partitions. A batch rewrites the partitions
+that its rows fall into, and no others. What it will write is complete in a folder beside them before they
 are replaced, so that a batch that is cut short is finished by the next one. Merging rows again changes
 nothing: replays, restarts and new checkpoints need no record of what has been done.
 """
@@ -28,7 +29,9 @@ _PENDING = "_pending"  # Spark's readers pass over names that begin like this
 class Table:
     """An output of a stream: ``decode`` makes its rows, the newest row of every ``keys`` stays.
 
-    ``by`` are the columns that partition it (the keys, unless given; equal keys must agree in them).
+    ``by`` are the columns whose hash partitions it (the keys, unless given; equal keys must agree in
+    them). With ``span``, partitions are spans of so many blocks instead: for events, whose log has one
+    block. Choose either so that a partition is about what one batch may rewrite.
     ``derived`` are tables recomputed, partition by partition, from this one's rows: current states and
     running totals, grouped by columns that include ``by``.
     """
@@ -38,6 +41,7 @@ class Table:
     by: Sequence[str] = ()
     derived: Mapping[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
     order: Sequence[str] = ("block_number", "log_order")
+    span: int | None = None
 
 
 def _folder(spark: SparkSession, path: str):
@@ -61,8 +65,9 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path).drop("bucket") if _has_rows(spark, path) else None
 
 
-def _bucket(by: Sequence[str], buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int").alias("bucket")
+def _bucket(by: Sequence[str], buckets: int, span: int | None = None) -> Column:
+    at = F.floor(F.col("block_number") / span) if span else F.pmod(F.xxhash64(*by), F.lit(buckets))
+    return at.cast("int").alias("bucket")
 
 
 def _finish(spark: SparkSession, path: str) -> None:
@@ -74,29 +79,29 @@ def _finish(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
-def _replace(rows: DataFrame, path: str, by: Sequence[str], buckets: int) -> None:
+def _replace(rows: DataFrame, path: str, bucket: Column) -> None:
     """Replace the partitions of ``rows``, which are computed in full before the table is touched."""
-    rows.withColumn("bucket", _bucket(by, buckets)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{_PENDING}")
+    rows.withColumn("bucket", bucket).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{_PENDING}")
     _finish(rows.sparkSession, path)
 
 
-def merge_batch(batch: DataFrame, path: str, keys: Sequence[str] = ("id",), by: Sequence[str] = (), derived: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None, order: Sequence[str] = ("block_number", "log_order"), buckets: int = BUCKETS) -> None:
+def merge_batch(batch: DataFrame, path: str, keys: Sequence[str] = ("id",), by: Sequence[str] = (), derived: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None, order: Sequence[str] = ("block_number", "log_order"), buckets: int = BUCKETS, span: int | None = None) -> None:
     """Upsert a batch into the table at ``path``, then recompute the ``derived`` tables (path -> function) there.
 
     A replayed batch changes nothing; an older row never replaces a newer one. Only partitions that
     the batch falls into are read and written.
     """
-    spark, by = batch.sparkSession, by or keys
+    spark, bucket = batch.sparkSession, _bucket(by or keys, buckets, span)
     newest = latest_by_key(batch, keys, order)
-    touched = [r["bucket"] for r in newest.select(_bucket(by, buckets)).distinct().collect()]  # a few numbers
+    touched = [r["bucket"] for r in newest.select(bucket).distinct().collect()]  # a few numbers
     if not touched:
         return
     _finish(spark, path)
     old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).drop("bucket") if _has_rows(spark, path) else None
-    _replace(upsert(old, newest, keys, order), path, by, buckets)
+    _replace(upsert(old, newest, keys, order), path, bucket)
     for name, make in (derived or {}).items():
         own = spark.read.parquet(path).where(F.col("bucket").isin(touched)).drop("bucket")
-        _replace(make(own), name, by, buckets)
+        _replace(make(own), name, bucket)
 
 
 def index_stream(raw: DataFrame, tables: Mapping[str, Table | Callable[[DataFrame], DataFrame]], out: str, checkpoint: str, seconds: float | None = None, topics: Sequence[str] = ALL, buckets: int = BUCKETS) -> StreamingQuery:
@@ -112,7 +117,7 @@ def index_stream(raw: DataFrame, tables: Mapping[str, Table | Callable[[DataFram
     def each(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         for name, t in specs.items():
-            merge_batch(t.decode(batch), f"{out}/{name}", t.keys, t.by, {f"{out}/{n}": f for n, f in t.derived.items()}, t.order, buckets)
+            merge_batch(t.decode(batch), f"{out}/{name}", t.keys, t.by, {f"{out}/{n}": f for n, f in t.derived.items()}, t.order, buckets, t.span)
         batch.unpersist()
 
     writer = logs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)

@@ -79,6 +79,20 @@ def test_a_governance_stream(spark, tmp_path):
     assert index.read_table(spark, f"{out}/stakes").count() == index.read_table(spark, f"{out}/liquid").count() == 1
 
 
+def test_events_by_spans_of_blocks(spark, tmp_path):
+    """A batch of late blocks leaves earlier spans as they are; the same logs again change nothing."""
+    source, out = tmp_path / "in", tmp_path / "out"
+    tables = {"swaps": index.Table(amm.swaps_v2, span=100)}
+    write_logs(source, "a.json", [swap(f"0x{k}", 1, 40 * k, k) for k in range(6)])
+    run(spark, source, tables, out, tmp_path / "cp")
+    before = {p: p.stat().st_mtime_ns for p in (out / "swaps").rglob("*.parquet")}
+    write_logs(source, "b.json", [swap("0x5", 1, 200, 5), swap("0x9", 1, 260, 9)])
+    run(spark, source, tables, out, tmp_path / "cp")
+    after = {p: p.stat().st_mtime_ns for p in (out / "swaps").rglob("*.parquet")}
+    assert {p.parent.name for p in set(before) - set(after)} == {"bucket=2"}
+    assert rows_of(index.read_table(spark, f"{out}/swaps")) == rows_of(upsert(None, amm.swaps_v2(batch_logs(spark, source))))
+
+
 def test_streamed_snapshots_equal_those_of_the_batch(spark, tmp_path):
     source, out = tmp_path / "in", tmp_path / "out"
     users = ["0x" + word(k) for k in range(5)]
