@@ -152,7 +152,7 @@ def token_table(ranks_path: str) -> list[bytes]:
     return table
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, chunk_bytes: int = 32_000_000, bucket_bytes: int = 64_000_000) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, chunk_bytes: int = 35_000_000, bucket_bytes: int = 64_000_000) -> DataFrame:
     """doc_id, n_tokens, ids (uint32 little-endian binary), decoded (binary), one row per document.
 
     Null and empty texts have no ids and decode to nothing; texts of any length are encoded whole.
