@@ -179,8 +179,8 @@ def sum_digits(digits: str) -> Column:
 
 
 def fixed_point(text: str, scale: int = 18) -> Column:
-    """Text such as -12.5 as digits of its value * 10^scale (further places are cut off); null for what is no number. 1e5 reads as 100000."""
-    plain = F.expr(f"CASE WHEN {text} RLIKE '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$' THEN ltrim('+', {text}) WHEN {text} RLIKE '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)[eE][+-]?[0-9]+$' THEN CAST(CAST({text} AS DECIMAL(38,{scale})) AS STRING) END")
+    """Text such as -12.5 as digits of its value * 10^scale (further places are cut off); null for what is no number. 1e5 reads as 100000, as far as DECIMAL(38, scale) goes."""
+    plain = F.expr(f"CASE WHEN {text} RLIKE '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$' THEN ltrim('+', {text}) WHEN {text} RLIKE '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)[eE][+-]?[0-9]+$' THEN CAST(try_cast({text} AS DECIMAL(38,{scale})) AS STRING) END")
     places = F.when(F.contains(plain, F.lit(".")), F.substring_index(plain, ".", -1)).otherwise("")
     return F.concat(F.substring_index(plain, ".", 1), F.rpad(F.substring(places, 1, scale), scale, "0"))
 

@@ -30,8 +30,9 @@ def _usd_sum() -> Column:
 
 
 def _fees_usd() -> Column:
-    """volumeUSD * feeTier / 10^6"""
-    return (F.col("volumeUSD") * (F.col("feeTier") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(12,6)")).alias("feesUSD")
+    """volumeUSD * feeTier / 10^6; null for an unknown tier and for one of 10^12 or more, which no pool can have but any log can say."""
+    share = F.when(F.abs("feeTier") < 10**12, F.col("feeTier") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(12,6)")
+    return (F.col("volumeUSD") * share).alias("feesUSD")
 
 
 def bucket(seconds: int, column: str = "timestamp") -> Column:

@@ -234,6 +234,8 @@ def test_values_in_usd_keep_eighteen_places(spark):
     swaps = spark.createDataFrame([("a", "p", 1, 1, "2", "4", "0.0000004", 0), ("b", "p", 1, 2, "2", "4", "-0.000000000000000001", 0), ("c", "p", 1, 3, "2", "4", "n/a", 0)], "id string, pool string, block_number long, log_order long, amount0 string, amount1 string, amountUSD string, timestamp long")
     pools = spark.createDataFrame([("p", 3000)], "id string, feeTier long")
     assert f"{one(rollups.pool_totals(swaps, pools))['volumeUSD']:f}" == "0.000000400000000001"
+    assert str(one(rollups.pool_totals(swaps.withColumn("amountUSD", F.lit("2.5")), pools))["feesUSD"]).rstrip("0") == "0.0225"
+    assert one(rollups.pool_totals(swaps, pools.withColumn("feeTier", F.lit(2**62))))["feesUSD"] is None
     with pytest.raises(Exception, match="beyond"):
         rollups.pool_totals(swaps.withColumn("amountUSD", F.lit("9" * 25)), pools).collect()
 
