@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake import topics as t
-from ledgerlake.decode.base import address, net, sint, small_int, swap_id, topic, topic_int, topic_uint, uint, where_event, word, word_address
+from ledgerlake.decode.base import address, net, sint, small_int, swap_id, take, topic, topic_int, topic_uint, uint, where_event, word, word_address
 from ledgerlake.functions import hexwords as hx
 
 DEFAULT_FEE = 3000
 
 
 def _swap(logs: DataFrame, pool, sender, amount0, amount1, *more) -> DataFrame:
-    return logs.select(swap_id().alias("id"), F.col("block_number").alias("timestamp"), pool.alias("pool"), amount0.alias("amount0"), amount1.alias("amount1"), F.lit("0").alias("amountUSD"), sender.alias("sender"), "block_number", "log_order", *more)
+    return take(logs, swap_id().alias("id"), F.col("block_number").alias("timestamp"), pool.alias("pool"), amount0.alias("amount0"), amount1.alias("amount1"), F.lit("0").alias("amountUSD"), sender.alias("sender"), "block_number", "log_order", *more)
 
 
 def swaps_v2(logs: DataFrame) -> DataFrame:
@@ -42,9 +42,9 @@ def all_swaps(logs: DataFrame) -> DataFrame:
 def pools(logs: DataFrame) -> DataFrame:
     """Pools announced by pair and pool factories: id, token0, token1, feeTier, created_block; none from data of under a word."""
     pairs = where_event(logs, t.PAIR_CREATED, 3).where(F.length(hx.strip0x(F.col("data"))) >= 64)
-    pair = pairs.select(word_address(0).alias("id"), address(1).alias("token0"), address(2).alias("token1"), F.lit(DEFAULT_FEE).cast("long").alias("feeTier"), "block_number", "log_order")
+    pair = take(pairs, word_address(0).alias("id"), address(1).alias("token0"), address(2).alias("token1"), F.lit(DEFAULT_FEE).cast("long").alias("feeTier"), "block_number", "log_order")
     created = where_event(logs, t.POOL_CREATED, 4).where(F.length(hx.strip0x(F.col("data"))) >= 64)
-    pool = created.select(F.concat(F.lit("0x"), F.substring("data", -40, 40)).alias("id"), address(1).alias("token0"), address(2).alias("token1"), F.coalesce(topic_int(3), F.lit(0).cast("long")).alias("feeTier"), "block_number", "log_order")
+    pool = take(created, F.concat(F.lit("0x"), F.substring("data", -40, 40)).alias("id"), address(1).alias("token0"), address(2).alias("token1"), F.coalesce(topic_int(3), F.lit(0).cast("long")).alias("feeTier"), "block_number", "log_order")
     return pair.unionByName(pool).withColumn("created_block", F.col("block_number"))
 
 
@@ -57,7 +57,7 @@ def tokens(logs: DataFrame) -> DataFrame:
 
 
 def _liquidity(logs: DataFrame, **columns) -> DataFrame:
-    return logs.select(swap_id().alias("id"), F.col("address").alias("pool"), *(c.alias(n) for n, c in columns.items()), "block_number", "log_order")
+    return take(logs, swap_id().alias("id"), F.col("address").alias("pool"), *(c.alias(n) for n, c in columns.items()), "block_number", "log_order")
 
 
 def mints(logs: DataFrame) -> DataFrame:
@@ -88,25 +88,25 @@ def flashes(logs: DataFrame) -> DataFrame:
 
 def initializations(logs: DataFrame) -> DataFrame:
     """Price state that pools start with, of both generations; the newer one names the pool by a topic."""
-    old = where_event(logs, t.INITIALIZE).select(F.col("address").alias("pool"), uint(0).alias("sqrtPriceX96"), small_int(1).alias("tick"), "block_number", "log_order")
-    new = where_event(logs, t.INITIALIZE_V4, 4).select(topic(1).alias("pool"), address(2).alias("currency0"), address(3).alias("currency1"), uint(0).alias("fee"), small_int(1).alias("tickSpacing"), word_address(2).alias("hooks"), uint(3).alias("sqrtPriceX96"), small_int(4).alias("tick"), "block_number", "log_order")
+    old = take(where_event(logs, t.INITIALIZE), F.col("address").alias("pool"), uint(0).alias("sqrtPriceX96"), small_int(1).alias("tick"), "block_number", "log_order")
+    new = take(where_event(logs, t.INITIALIZE_V4, 4), topic(1).alias("pool"), address(2).alias("currency0"), address(3).alias("currency1"), uint(0).alias("fee"), small_int(1).alias("tickSpacing"), word_address(2).alias("hooks"), uint(3).alias("sqrtPriceX96"), small_int(4).alias("tick"), "block_number", "log_order")
     return old.unionByName(new, allowMissingColumns=True)
 
 
 def liquidity_changes(logs: DataFrame) -> DataFrame:
     """Singleton-pool liquidity: a positive delta is a mint, a negative one a burn."""
-    return where_event(logs, t.MODIFY_LIQUIDITY, 3).select(swap_id().alias("id"), topic(1).alias("pool"), address(2).alias("sender"), small_int(0).alias("tickLower"), small_int(1).alias("tickUpper"), sint(2).alias("liquidityDelta"), F.concat(F.lit("0x"), F.col(word(3))).alias("salt"), "block_number", "log_order")
+    return take(where_event(logs, t.MODIFY_LIQUIDITY, 3), swap_id().alias("id"), topic(1).alias("pool"), address(2).alias("sender"), small_int(0).alias("tickLower"), small_int(1).alias("tickUpper"), sint(2).alias("liquidityDelta"), F.concat(F.lit("0x"), F.col(word(3))).alias("salt"), "block_number", "log_order")
 
 
 def subscriptions(logs: DataFrame) -> DataFrame:
     kinds = (t.SUBSCRIPTION, t.UNSUBSCRIPTION)
-    return where_event(logs, kinds, 3).select(swap_id().alias("id"), F.when(F.col("topic0") == t.SUBSCRIPTION, "subscribed").otherwise("unsubscribed").alias("kind"), topic_uint(1).alias("tokenId"), address(2).alias("address"), "block_number", "log_order")
+    return take(where_event(logs, kinds, 3), swap_id().alias("id"), F.when(F.col("topic0") == t.SUBSCRIPTION, "subscribed").otherwise("unsubscribed").alias("kind"), topic_uint(1).alias("tokenId"), address(2).alias("address"), "block_number", "log_order")
 
 
 def transfers(logs: DataFrame) -> DataFrame:
     """Three topics: a fungible transfer with a value; four: a token id."""
     unique = F.size("topics") >= 4
-    return where_event(logs, t.TRANSFER, 3).select(swap_id().alias("id"), F.col("address").alias("token"), address(1).alias("from"), address(2).alias("to"), F.when(~unique, uint(0)).alias("value"), F.when(unique, topic_uint(3)).alias("tokenId"), "block_number", "log_order")
+    return take(where_event(logs, t.TRANSFER, 3), swap_id().alias("id"), F.col("address").alias("token"), address(1).alias("from"), address(2).alias("to"), F.when(~unique, uint(0)).alias("value"), F.when(unique, topic_uint(3)).alias("tokenId"), "block_number", "log_order")
 
 
 def union_all(*tables: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -19,22 +20,22 @@ def address(i: int) -> Column:
     return hx.topic_address(topic(i))
 
 
-#: The most data words and topics that an event has.
-WORDS, TOPICS = 7, 4
+def take(logs: DataFrame, *columns: Column | str) -> DataFrame:
+    """A selection in which ``word``, ``uint``, ``sint`` and their like may stand.
 
-
-def with_words(logs: DataFrame) -> DataFrame:
-    """Data words and topics as columns of 64 hex digits, and their decimal digits, cut once for all that reads them.
-
-    The columns that a decoder does not read are pruned; the functions below name those that it reads.
+    Words are cut and their decimal digits computed as columns below it, once each, for those that the
+    selection names and no others: building and analysing all of them would take most of a second.
     """
-    words = {f"_w{i}": hx.cut_word(F.col("_digits"), i) for i in range(WORDS)}
-    cut = logs.withColumn("_digits", hx.digits(F.col("data"))).withColumns(words | {f"_t{i}": hx.topic_word(topic(i)) for i in range(1, TOPICS)})
-    return hx.with_digits(cut, {f"_u{w}": w for w in [f"_w{i}" for i in range(WORDS)] + [f"_t{i}" for i in range(1, TOPICS)]}, {f"_s_w{i}": f"_w{i}" for i in range(WORDS)})
+    told = " ".join(str(c) for c in columns)
+    cut = sorted(set(re.findall(r"_[wt]\d", told)))
+    if cut:
+        logs = logs.withColumn("_digits", hx.digits(F.col("data"))).withColumns({n: hx.cut_word(F.col("_digits"), int(n[2])) if n[1] == "w" else hx.topic_word(topic(int(n[2]))) for n in cut})
+    unsigned, signed = ({f"_{k}{n}": n for n in cut if f"_{k}{n}" in told} for k in "us")
+    return hx.with_digits(logs, unsigned, signed).select(*columns)
 
 
 def word(i: int) -> str:
-    """The name of data word i of logs that have passed ``with_words``."""
+    """The name of data word i in a selection by ``take``."""
     return f"_w{i}"
 
 
@@ -70,7 +71,7 @@ def word_address(i: int, on_short: str = hx.ZERO_ADDRESS, whole: bool = True) ->
 def where_event(logs: DataFrame, signatures: str | tuple[str, ...], topics: int = 1) -> DataFrame:
     """Logs of the signatures that have at least ``topics`` topics."""
     wanted = (signatures,) if isinstance(signatures, str) else signatures
-    return with_words(logs.where(F.col("topic0").isin(*wanted) & (F.size("topics") >= topics)))
+    return logs.where(F.col("topic0").isin(*wanted) & (F.size("topics") >= topics))
 
 
 def by_kind(kinds: Mapping[str, str]) -> Column:

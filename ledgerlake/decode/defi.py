@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake import topics as t
-from ledgerlake.decode.base import address, by_kind, enough, only, topic, topic_uint, uint, with_words, word, word_address
+from ledgerlake.decode.base import address, by_kind, enough, only, take, topic, topic_uint, uint, word, word_address
 from ledgerlake.functions import hexwords as hx
 
 
 def _events(logs: DataFrame, names: dict[str, tuple[str, int]], **columns: Column) -> DataFrame:
     """names: signature -> (event, least topics)"""
-    kept = with_words(logs.where(enough({s: n for s, (_, n) in names.items()})))
+    kept = logs.where(enough({s: n for s, (_, n) in names.items()}))
     event = by_kind({s: e for s, (e, _) in names.items()}).alias("event")
-    return kept.select(F.col("address").alias("contract"), event, *(c.alias(n) for n, c in columns.items()), "block_number", "tx_hash", "log_index", "log_order")
+    return take(kept, F.col("address").alias("contract"), event, *(c.alias(n) for n, c in columns.items()), "block_number", "tx_hash", "log_index", "log_order")
 
 
 def _flag(i: int) -> Column:

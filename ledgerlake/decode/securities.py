@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake import topics as t
-from ledgerlake.decode.base import address, by_kind, enough, entity_id, only, topic, topic_uint, uint, where_event, with_words, word_address
+from ledgerlake.decode.base import address, by_kind, enough, entity_id, only, take, topic, topic_uint, uint, where_event, word_address
 from ledgerlake.functions import hexwords as hx
 
 FREEZES = {t.TOKENS_FROZEN: "TokensFrozen", t.TOKENS_UNFROZEN: "TokensUnfrozen"}
@@ -21,7 +21,7 @@ OTHERS = {t.UPDATED_TOKEN_INFORMATION: "UpdatedTokenInformation", t.IDENTITY_REG
 
 
 def _rows(logs: DataFrame, contract: str, **columns) -> DataFrame:
-    return logs.select(entity_id().alias("id"), columns.pop("kind").alias("kind"), F.col("address").alias(contract), *(c.alias(n) for n, c in columns.items()), "block_number", "tx_hash", "log_index", "log_order")
+    return take(logs, entity_id().alias("id"), columns.pop("kind").alias("kind"), F.col("address").alias(contract), *(c.alias(n) for n, c in columns.items()), "block_number", "tx_hash", "log_index", "log_order")
 
 
 def transfer_agent_actions(logs: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def transfer_agent_actions(logs: DataFrame) -> DataFrame:
     kinds = {t.ADDRESS_FROZEN: "AddressFrozen"} | FREEZES | PAUSES | {t.RECOVERY_SUCCESS: "RecoverySuccess"}
     user = F.coalesce(only((t.ADDRESS_FROZEN, *FREEZES), address(1)), only(tuple(PAUSES), word_address(0)))
     return _rows(
-        with_words(logs.where(enough(least))),
+        logs.where(enough(least)),
         "token",
         kind=by_kind(kinds),
         user=user,

@@ -101,7 +101,7 @@ def digit_columns(w: str, out: str, signed: bool = False, small_path: bool = Tru
     text = "lpad(CAST(CAST({} AS DECIMAL(38,0)) AS STRING), 38, '0')".format
     levels = [first, {limb[0]: f"CASE WHEN NOT {_small(m)} THEN {text(low)} END" if small_path else text(low)}]
     levels += [{limb[j]: f"CASE WHEN {limb[j - 1]} IS NOT NULL THEN {text(f'{_limb(m, j)} + {_carry(limb[j - 1])}')} END"} for j in (1, 2)]
-    wide = f"ltrim('0', concat(CAST(CAST({_limb(m, 3)} + {_carry(limb[2])} AS DECIMAL(38,0)) AS STRING), substring({limb[2]}, 21, 18), substring({limb[1]}, 21, 18), substring({limb[0]}, 21, 18)))"
+    wide = f"trim(LEADING '0' FROM concat(CAST(CAST({_limb(m, 3)} + {_carry(limb[2])} AS DECIMAL(38,0)) AS STRING), substring({limb[2]}, 21, 18), substring({limb[1]}, 21, 18), substring({limb[0]}, 21, 18)))"
     cases = [f"WHEN {_tiny(w)} THEN conv(substring({w}, 50, 15), 16, 10)"] if small_path else []
     if signed:
         cases += [f"WHEN {_tiny(w, 'f')} THEN CAST({_low(w)} - {1 << 60} AS STRING)", f"WHEN {limb[2]} IS NOT NULL THEN concat(IF({negative}, '-', ''), {wide})", f"WHEN {negative} THEN concat('-', CAST(CAST({_decimal(m)} + 1BD AS DECIMAL(38,0)) AS STRING))"]
@@ -139,13 +139,13 @@ def net_uint256(a: str, b: str, a_digits: str, b_digits: str) -> Column:
         lent = f" - CAST(IF({steps[-1]} < 0BD, 1, 0) AS DECIMAL(38,0))" if steps else ""
         steps.append(f"CAST({part[0]} - {part[1]}{lent} AS DECIMAL(38,0))")
     digits = ", ".join(f"lpad(CAST(CAST(IF({x} < 0BD, {x} + {10**36}BD, {x}) AS DECIMAL(38,0)) AS STRING), 36, '0')" for x in reversed(steps))
-    wide = f"concat(IF({a} < {b}, '-', ''), coalesce(nullif(ltrim('0', concat({digits})), ''), '0'))"
+    wide = f"concat(IF({a} < {b}, '-', ''), coalesce(nullif(trim(LEADING '0' FROM concat({digits})), ''), '0'))"
     return F.expr(f"CASE WHEN {_tiny(a)} AND {_tiny(b)} THEN CAST({_low(a)} - {_low(b)} AS STRING) WHEN {_small(a)} AND {_small(b)} THEN {plain} ELSE {wide} END")
 
 
 def _text_limbs(digits: str) -> list[str]:
     """Five limbs, least significant first, of decimal digits (up to 90, perhaps with a minus sign); null where there is nothing."""
-    m = f"ltrim('-', {digits})"
+    m = f"trim(LEADING '-' FROM {digits})"
     sign = f"IF(startswith({digits}, '-'), -1, 1)"
     low = f"CAST(right({m}, 18) AS DECIMAL(18,0))"
     high = [f"CASE WHEN length({m}) > {18 * j} THEN CAST(substring(lpad({m}, 90, '0'), {73 - 18 * j}, 18) AS DECIMAL(18,0)) END" for j in range(1, 5)]
@@ -168,7 +168,7 @@ def render(totals: str) -> str:
     def carried(x: str, last: str) -> str:
         return f"aggregate({x}, named_struct('carry', CAST(0 AS DECIMAL(38,0)), 'text', ''), (acc, limb) -> {step}, acc -> {last})"
 
-    digits = "coalesce(nullif(ltrim('0', concat(CAST(acc.carry AS STRING), acc.text)), ''), '0')"
+    digits = "coalesce(nullif(trim(LEADING '0' FROM concat(CAST(acc.carry AS STRING), acc.text)), ''), '0')"
     opposite = f"transform({totals}, x -> CAST(-x AS DECIMAL(38,0)))"
     return f"IF({carried(totals, 'acc.carry < 0BD')}, concat('-', {carried(opposite, digits)}), {carried(totals, digits)})"
 
@@ -180,15 +180,15 @@ def sum_digits(digits: str) -> Column:
 
 def fixed_point(text: str, scale: int = 18) -> Column:
     """Text such as -12.5 as digits of its value * 10^scale (further places are cut off); null for what is no number. 1e5 reads as 100000, as far as DECIMAL(38, scale) goes."""
-    plain = F.expr(f"CASE WHEN {text} RLIKE '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$' THEN ltrim('+', {text}) WHEN {text} RLIKE '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)[eE][+-]?[0-9]+$' THEN CAST(try_cast({text} AS DECIMAL(38,{scale})) AS STRING) END")
+    plain = F.expr(f"CASE WHEN {text} RLIKE '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$' THEN trim(LEADING '+' FROM {text}) WHEN {text} RLIKE '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)[eE][+-]?[0-9]+$' THEN CAST(try_cast({text} AS DECIMAL(38,{scale})) AS STRING) END")
     places = F.when(F.contains(plain, F.lit(".")), F.substring_index(plain, ".", -1)).otherwise("")
     return F.concat(F.substring_index(plain, ".", 1), F.rpad(F.substring(places, 1, scale), scale, "0"))
 
 
 def with_point(digits: str, scale: int = 18) -> Column:
     """The digits of value * 10^scale as text of the value, without trailing zeros."""
-    m = f"lpad(ltrim('-', {digits}), greatest({scale + 1}, length(ltrim('-', {digits}))), '0')"
-    return F.expr(f"rtrim('.', rtrim('0', concat(IF(startswith({digits}, '-'), '-', ''), left({m}, length({m}) - {scale}), '.', right({m}, {scale}))))")
+    m = f"lpad(trim(LEADING '-' FROM {digits}), greatest({scale + 1}, length(trim(LEADING '-' FROM {digits}))), '0')"
+    return F.expr(f"trim(TRAILING '.' FROM trim(TRAILING '0' FROM concat(IF(startswith({digits}, '-'), '-', ''), left({m}, length({m}) - {scale}), '.', right({m}, {scale}))))")
 
 
 def topic_address(t: Column) -> Column:

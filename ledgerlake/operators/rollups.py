@@ -16,7 +16,7 @@ DAY, HOUR = 86_400, 3_600
 
 
 def _magnitude(amount: str) -> str:
-    return f"ltrim('-', {amount})"
+    return f"trim(LEADING '-' FROM {amount})"
 
 
 def _usd(c: str) -> Column:
