@@ -72,6 +72,12 @@ def voting_power(spark: SparkSession, sf: str) -> DataFrame:
     return snapshots.voting_power(defi.delegate_votes_changes(logs)).select("delegate", "balance", "block_number")
 
 
+@_query(f"WITH {_events(2)} SELECT k AS block_number, a1 AS delegate, {_text('w0')} AS previous_balance, {_text('w1')} AS new_balance FROM e WHERE s = 1")
+def decode_delegate_votes(spark: SparkSession, sf: str) -> DataFrame:
+    logs = synth.order_logs(spark, sf, t.DELEGATE_CHANGED, t.DELEGATE_VOTES_CHANGED)
+    return defi.delegate_votes_changes(logs).select("block_number", "delegate", F.col("previousBalance").alias("previous_balance"), F.col("newBalance").alias("new_balance"))
+
+
 # Gauges, locks, karma, staking
 
 

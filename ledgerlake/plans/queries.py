@@ -47,6 +47,10 @@ def _pools(spark: SparkSession, sf: str) -> DataFrame:
     return latest_by_key(amm.pools(synth.pool_logs(spark, sf)), ("id",))
 
 
+def _valued_pools(spark: SparkSession, sf: str) -> DataFrame:
+    return _pools(spark, sf).withColumn("totalValueLockedUSD", (F.col("created_block") * 7919 % 100003).cast("string"))
+
+
 def _text(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("string") for c in columns})
 
@@ -119,8 +123,7 @@ UNION ALL SELECT 'token', id, CAST(v AS VARCHAR) FROM (SELECT {_A('s_suppkey')}
 UNION ALL SELECT 'pool', id, CAST(v AS VARCHAR) FROM (SELECT pool AS id, p_partkey * 7919 % 100003 AS v FROM pl ORDER BY v DESC, pool LIMIT 50)""")
 def dashboard(spark: SparkSession, sf: str) -> DataFrame:
     """The exchange dashboard in one result: the bundle, all factories, the 50 tokens and 50 pools of most locked value."""
-    valued = _pools(spark, sf).withColumn("totalValueLockedUSD", (F.col("created_block") * 7919 % 100003).cast("string"))
-    locked = {"factory": query.list_all(synth.factories(spark, sf)), "token": query.list_rows(synth.tokens(spark, sf), 50, "totalValueLockedUSD", "desc"), "pool": query.list_rows(valued, 50, "totalValueLockedUSD", "desc")}
+    locked = {"factory": query.list_all(synth.factories(spark, sf)), "token": query.list_rows(synth.tokens(spark, sf), 50, "totalValueLockedUSD", "desc"), "pool": query.list_rows(_valued_pools(spark, sf), 50, "totalValueLockedUSD", "desc")}
     bundle = query.get_bundle(synth.bundles(spark, sf)).select(F.lit("bundle").alias("part"), "id", F.col("ethPrice").alias("value"))
     return amm.union_all(bundle, *[rows.select(F.lit(part).alias("part"), "id", F.col("totalValueLockedUSD").alias("value")) for part, rows in locked.items()])
 
@@ -218,11 +221,11 @@ def token_totals(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("id", F.col("txCount").alias("tx_count"), "volume", (F.col("volumeUSD") * 100).cast("decimal(38,0)").cast("string").alias("volume_cents"), F.col("poolCount").alias("pool_count"))
 
 
-@_query(f"""WITH {_SWAPS} SELECT '1' AS id, (SELECT count(*) FROM part) AS pool_count, count(*) AS tx_count, CAST(sum(c) AS VARCHAR) AS volume_cents FROM tm""")
+@_query(f"""WITH {_SWAPS} SELECT '1' AS id, (SELECT count(*) FROM part) AS pool_count, count(*) AS tx_count, CAST(sum(c) AS VARCHAR) AS volume_cents, (SELECT CAST(sum(p_partkey * 7919 % 100003) AS VARCHAR) FROM part) AS locked FROM tm""")
 def factory_totals(spark: SparkSession, sf: str) -> DataFrame:
-    pools = _pools(spark, sf).withColumn("totalValueLockedUSD", F.lit("0"))
+    pools = _valued_pools(spark, sf)
     x = rollups.factory_totals(pools, rollups.pool_totals(_timed(spark, sf), pools))
-    return x.select("id", F.col("poolCount").alias("pool_count"), F.col("txCount").cast("bigint").alias("tx_count"), (F.col("totalVolumeUSD") * 100).cast("decimal(38,0)").cast("string").alias("volume_cents"))
+    return x.select("id", F.col("poolCount").alias("pool_count"), F.col("txCount").cast("bigint").alias("tx_count"), (F.col("totalVolumeUSD") * 100).cast("decimal(38,0)").cast("string").alias("volume_cents"), F.col("totalValueLockedUSD").cast("decimal(38,0)").cast("string").alias("locked"))
 
 
 def _period_sql(seconds: int) -> str:
@@ -275,10 +278,10 @@ def pair_hours(spark: SparkSession, sf: str) -> DataFrame:
     return _pairs(spark, sf, rollups.HOUR, "hourStartUnix")
 
 
-@_query(f"WITH {_SWAPS} SELECT ts // 86400 * 86400 AS date, count(*) AS tx_count, CAST(sum(c) AS VARCHAR) AS volume_cents FROM tm GROUP BY 1")
+@_query(f"WITH {_SWAPS} SELECT ts // 86400 * 86400 AS date, count(*) AS tx_count, CAST(sum(c) AS VARCHAR) AS volume_cents, CAST((sum(c::HUGEINT * fee) + 50) // 100 AS VARCHAR) AS fee_micros FROM tm LEFT JOIN pl ON tm.pool = pl.pool GROUP BY 1")
 def factory_days(spark: SparkSession, sf: str) -> DataFrame:
     days = rollups.factory_period(rollups.pool_period(_timed(spark, sf), _pools(spark, sf)))
-    return days.select("date", F.col("txCount").cast("bigint").alias("tx_count"), (F.col("volumeUSD") * 100).cast("decimal(38,0)").cast("string").alias("volume_cents"))
+    return days.select("date", F.col("txCount").cast("bigint").alias("tx_count"), (F.col("volumeUSD") * 100).cast("decimal(38,0)").cast("string").alias("volume_cents"), (F.col("feesUSD") * 1_000_000).cast("decimal(38,0)").cast("string").alias("fee_micros"))
 
 
 @_query(f"""WITH {_SWAPS}, d AS (SELECT pool, ts // 86400 * 86400 AS date, sum(c) AS v FROM tm GROUP BY 1, 2) SELECT pool, date, row_number() OVER (PARTITION BY date ORDER BY v DESC, pool || '-' || date) AS rank FROM d QUALIFY rank <= 3""")
@@ -301,10 +304,10 @@ def market_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("market", F.col("lastPrice").alias("last_price"), F.col("volume24h").cast("decimal(38,6)").cast("string").alias("volume_24h"), "fills")
 
 
-@_query(f"""WITH {_FILLS} SELECT market, ts // 86400 * 86400 AS date, max(price)::DOUBLE AS high, min(price)::DOUBLE AS low, CAST(sum(q) AS VARCHAR) || '.000000' AS volume FROM f GROUP BY 1, 2""")
+@_query(f"""WITH {_FILLS} SELECT market, ts // 86400 * 86400 AS date, arg_min(price, (ts, id))::DOUBLE AS open, max(price)::DOUBLE AS high, min(price)::DOUBLE AS low, arg_max(price, (ts, id))::DOUBLE AS "close", CAST(sum(q) AS VARCHAR) || '.000000' AS volume FROM f GROUP BY 1, 2""")
 def market_days(spark: SparkSession, sf: str) -> DataFrame:
     days = rollups.market_days(synth.market_fills(spark, sf), synth.market_orders(spark, sf))
-    return days.select("market", "date", "high", "low", F.col("volume").cast("decimal(38,6)").cast("string").alias("volume"))
+    return days.select("market", "date", "open", "high", "low", "close", F.col("volume").cast("decimal(38,6)").cast("string").alias("volume"))
 
 
 @_query(f"""WITH x AS (SELECT 'swap' AS kind, {_SWAP_ID} AS id, l_orderkey AS b, l_linenumber AS o FROM lineitem UNION ALL SELECT CASE WHEN l_returnflag = 'R' THEN 'burn' ELSE 'mint' END, {_SWAP_ID}, l_orderkey, l_linenumber FROM lineitem) SELECT kind, id, b AS block_number FROM x ORDER BY b DESC, o DESC, kind, id LIMIT 300""")
