@@ -155,6 +155,22 @@ def test_vantage_search_misses_no_pair(spark):
         assert got == expected
 
 
+def test_levels_beyond_the_sample_lose_no_ball():
+    """A tree far deeper than its sample allows: whatever lies within the radius is asked in the leaf where it lives."""
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 2**63, 400, dtype=np.uint64) * np.uint64(2)
+    near = base ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))
+    prints = np.concatenate([base, near])
+    for mask in (*simhash._HALVES, simhash._ALL):
+        tree = simhash.VantageTree(base[:40], mask, 9, 1)
+        assert tree.fitted < 5
+        row, leaf, home = tree.route(prints, 1)
+        lives = dict(zip(row[home].tolist(), leaf[home].tolist(), strict=True))
+        assert len(lives) == home.sum() == 800 and len(set(lives.values())) > 100
+        asked = set(zip(row.tolist(), leaf.tolist(), strict=True))
+        assert all((k + 400, lives[k]) in asked and (k, lives[k + 400]) in asked for k in range(400))
+
+
 def test_components_on_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(edges, "a", "b").collect()}
