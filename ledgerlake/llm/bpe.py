@@ -57,7 +57,7 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 def _packed_words(words: list[bytes]) -> bytes:
     sizes = np.fromiter(map(len, words), np.uint32, len(words))
-    return zstandard.ZstdCompressor(6).compress(sizes.tobytes() + b"".join(words))
+    return zstandard.ZstdCompressor(9).compress(sizes.tobytes() + b"".join(words))
 
 
 def _unpacked_words(raw: bytes, n: int) -> list[bytes]:
@@ -88,6 +88,7 @@ def pretoken_chunks(docs: DataFrame, pattern: str, chunk_bytes: int, buckets: in
         def flush() -> Iterator[pa.RecordBatch]:
             chunk = (part << 32) + made
             flat = np.concatenate([np.zeros(0, np.uint32), *places])
+            places.clear()
             listed = [w.encode("utf-8", "surrogatepass") for w in words]
             # words are numbered by how often they stand in the chunk, which packs the places best
             order = np.argsort(-np.bincount(flat, minlength=len(listed)), kind="stable")
@@ -95,7 +96,8 @@ def pretoken_chunks(docs: DataFrame, pattern: str, chunk_bytes: int, buckets: in
             rank[order] = np.arange(len(listed), dtype=np.uint32)
             of = np.fromiter((_bucket(listed[k], buckets) for k in order.tolist()), np.uint32, len(listed))
             groups = [(b, [listed[order[k]] for k in np.flatnonzero(of == b).tolist()]) for b in np.unique(of).tolist()]
-            rows = [(chunk, None, ids, lengths, _packed(rank[flat]), len(listed), _packed(of))]
+            flat = rank[flat]
+            rows = [(chunk, None, ids, lengths, _packed(flat), len(listed), _packed(of))]
             rows += [(chunk, b, None, None, None, len(own), _packed_words(own)) for b, own in groups]
             kinds = (pa.int64(), pa.int64(), pa.list_(kind), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -188,7 +190,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, chunk_bytes: i
             # the token-byte table joins the ids of each distinct word of the chunk, once
             tokens = [table[k] for k in flat.tolist()]
             spelling = [b"".join(tokens[a : a + n]) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-            place = number[_unpacked(chunk.column("places")[0].as_py())]
+            place = number.astype(np.uint32)[_unpacked(chunk.column("places")[0].as_py())]
             held, at = chunk.column("doc_ids")[0].as_py(), 0
             for n in chunk.column("lengths")[0].as_py():
                 own = place[at : at + n]
