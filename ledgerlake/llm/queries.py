@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import ann, bpe, langid, lines, matroska, packing, quality, simhash, substrings, token_counts
+from ledgerlake.llm import ann, bpe, langid, licenses, lines, matroska, packing, quality, simhash, substrings, token_counts
 from ledgerlake.llm.common import read_table, shared_dir
 
 
@@ -59,8 +59,12 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.read_features(matroska.store_texts(read_table(spark, sf_dir, "documents")))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_language_id, op2_byte_bpe, op3_simhash, op4_token_counts, op5_packing, op6_substring_dedup, op7_nearest_neighbours, op8_line_dedup, op9_quality, op10_matroska)
+    ops = (op1_language_id, op2_byte_bpe, op3_simhash, op4_token_counts, op5_packing, op6_substring_dedup, op7_nearest_neighbours, op8_line_dedup, op9_quality, op10_matroska, op13_license_scan)
     return {f.__name__: f for f in ops}
 
 
