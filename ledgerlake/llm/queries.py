@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import ann, bpe, langid, licenses, lines, matroska, packing, quality, simhash, substrings, token_counts
+from ledgerlake.llm import ann, bpe, langid, licenses, lines, matroska, packing, quality, simhash, spellings, substrings, token_counts
 from ledgerlake.llm.common import read_table, shared_dir
 
 
@@ -59,15 +59,53 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.read_features(matroska.store_texts(read_table(spark, sf_dir, "documents")))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.spelling_variants(spellings.word_counts(read_table(spark, sf_dir, "documents")))
+
+
 def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_language_id, op2_byte_bpe, op3_simhash, op4_token_counts, op5_packing, op6_substring_dedup, op7_nearest_neighbours, op8_line_dedup, op9_quality, op10_matroska, op13_license_scan)
+    ops = (op1_language_id, op2_byte_bpe, op3_simhash, op4_token_counts, op5_packing, op6_substring_dedup, op7_nearest_neighbours, op8_line_dedup, op9_quality, op10_matroska, op12_spelling_variants, op13_license_scan)
     return {f.__name__: f for f in ops}
 
 
+OP12_SQL = r"""
+WITH RECURSIVE bytes AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)
+), runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents
+), counted AS (
+  SELECT doc_id, r, count(*) AS c, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r)) AS x FROM runs WHERE length(r) >= 5 GROUP BY doc_id, r
+), hashed AS (
+  SELECT r, c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295) AS h FROM counted, bytes
+), slipped AS (
+  SELECT c, CASE WHEN h % 97 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word FROM hashed
+), words AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM slipped WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3
+), places AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words
+), skips AS (
+  SELECT word, n, i, substr(word, 1, i - 1) AS p, substr(word, i + 1) AS s FROM places
+), near AS (
+  SELECT a.word, b.word AS other, b.n FROM skips a JOIN skips b ON a.i = b.i AND a.p = b.p AND a.s = b.s AND a.word <> b.word
+  UNION SELECT a.word, v.word, v.n FROM skips a JOIN words v ON v.word = a.p || a.s
+  UNION SELECT v.word, a.word, a.n FROM skips a JOIN words v ON v.word = a.p || a.s
+), best AS (
+  SELECT word, other, n AS o, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY n DESC, other) AS k FROM near
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN o >= 2 * w.n THEN other END AS form, CASE WHEN o >= 2 * w.n THEN o END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word AND k = 1
+), steps AS (
+  SELECT word, form AS at, 1 AS d FROM formed WHERE form IS NOT NULL
+  UNION ALL SELECT s.word, f.form, d + 1 FROM steps s JOIN formed f ON f.word = s.at WHERE f.form IS NOT NULL
+), ends AS (
+  SELECT word, arg_max(at, d) AS root FROM steps GROUP BY word
+)
+SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM formed f LEFT JOIN ends e ON e.word = f.word
+"""
+
 OP6_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -94,4 +132,4 @@ FROM words LEFT JOIN kept USING (r)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substring_dedup": OP6_SQL}
+    return {"op6_substring_dedup": OP6_SQL, "op12_spelling_variants": OP12_SQL}
