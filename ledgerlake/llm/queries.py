@@ -98,10 +98,10 @@ WITH RECURSIVE bytes AS (
 ), formed AS (
   SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN o >= 2 * w.n THEN other END AS form, CASE WHEN o >= 2 * w.n THEN o END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word AND k = 1
 ), steps AS (
-  SELECT word, form AS at, 1 AS d FROM formed WHERE form IS NOT NULL
-  UNION ALL SELECT s.word, f.form, d + 1 FROM steps s JOIN formed f ON f.word = s.at WHERE f.form IS NOT NULL
+  SELECT word, form AS reached, 1 AS d FROM formed WHERE form IS NOT NULL
+  UNION ALL SELECT s.word, f.form, d + 1 FROM steps s JOIN formed f ON f.word = s.reached WHERE f.form IS NOT NULL
 ), ends AS (
-  SELECT word, arg_max(at, d) AS root FROM steps GROUP BY word
+  SELECT word, arg_max(reached, d) AS root FROM steps GROUP BY word
 )
 SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM formed f LEFT JOIN ends e ON e.word = f.word
 """
