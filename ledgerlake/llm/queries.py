@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import ann, bpe, langid, licenses, lines, matroska, packing, quality, simhash, spellings, substrings, token_counts
+from ledgerlake.llm import ann, bpe, langid, licenses, lines, matroska, packing, quality, simhash, spellings, substrings, token_counts, whitening
 from ledgerlake.llm.common import read_table, shared_dir
 
 
@@ -59,6 +59,10 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.read_features(matroska.store_texts(read_table(spark, sf_dir, "documents")))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(read_table(spark, sf_dir, "embeddings"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spellings.spelling_variants(spellings.word_counts(read_table(spark, sf_dir, "documents")))
 
@@ -68,7 +72,7 @@ def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_language_id, op2_byte_bpe, op3_simhash, op4_token_counts, op5_packing, op6_substring_dedup, op7_nearest_neighbours, op8_line_dedup, op9_quality, op10_matroska, op12_spelling_variants, op13_license_scan)
+    ops = (op1_language_id, op2_byte_bpe, op3_simhash, op4_token_counts, op5_packing, op6_substring_dedup, op7_nearest_neighbours, op8_line_dedup, op9_quality, op10_matroska, op11_whitening, op12_spelling_variants, op13_license_scan)
     return {f.__name__: f for f in ops}
 
 
