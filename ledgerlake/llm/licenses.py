@@ -114,9 +114,9 @@ def _read(docs: DataFrame, ident: str, text: str, phrases: Mapping[str, str]) ->
     read = lowered.withColumn("words", _words(F.col("lowered")))
     # few texts hold a phrase's last word, and the places are looked up in those only
     found = [F.when(F.contains("lowered", F.lit(p.split()[-1])) & (F.size("words") > 0), _phrase_places(F.col("words"), p)).otherwise(F.array().cast("array<int>")) for p in phrases]
-    read = read.select("row", "id", "words", F.array(*found).alias("found"))
+    read = read.select("row", "id", "words", F.array(*found).cast("array<array<int>>").alias("found"))
     places = F.flatten("found")
-    named = F.filter(F.array(*[F.when(F.size(F.get("found", k)) > 0, F.lit(label)) for k, label in enumerate(phrases.values())]), lambda x: x.isNotNull())
+    named = F.filter(F.array(*[F.when(F.size(F.get("found", k)) > 0, F.lit(label)) for k, label in enumerate(phrases.values())]).cast("array<string>"), lambda x: x.isNotNull())
     fact = F.struct("id", F.size("words").cast("long").alias("n_words"), F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"), F.array_distinct(named).alias("base"))
     return read.select("row", "words", fact.alias("fact"))
 

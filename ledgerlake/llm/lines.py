@@ -1,8 +1,10 @@
 """Line dedup by content-defined line chunks.
 
-A text's lines are hashed; local minima of the hashes over a window of three lines are the boundaries of
-chunks, so that an inserted line moves the boundaries near it only. Chunks of two lines or more that occur
-more than once in the corpus are removed but for their first occurrence, after their bytes have been
+A text's lines are hashed, and a hash of the last two of these hashes rolls over them: the new line comes in,
+the one before the last goes out. Each of a few bits of the rolling hash makes one chunking of the text: where
+the bit is zero, a chunk ends. So an inserted line moves the boundaries near it only, and a passage whose end
+one chunking cuts away with its surroundings is cut at its end by another. Chunks of two lines or more that
+occur more than once in the corpus are removed but for their first occurrence, after their bytes have been
 compared. Single lines are never removed.
 """
 
@@ -20,37 +22,50 @@ from ledgerlake.llm.substrings import _ordered
 
 _MASK = (1 << 64) - 1
 _LAST = np.iinfo(np.int64).max
+#: Chunkings of every text, and the distance of their bits in the rolling hash.
+CHUNKINGS, _APART = 6, 7
 
 
-def line_chunks(text: str | None) -> list[tuple[int, int]]:
-    """(first line, line after the last) of every chunk of the whole text; a null text has none.
-
-    A chunk of two lines or more ends after a line whose hash is less than those of both neighbours,
-    after every second line of a run of one repeated line, and at the end of the text. Boundaries are
-    three lines apart on average and depend on the lines beside them only, so two copies of a
-    passage are cut alike but for its ends.
-    """
-    if text is None:
-        return []
-    hashes = [xxhash.xxh64_intdigest(line, 7) for line in text.encode("utf-8", "replace").split(b"\n")]
-    out, first, run, last = [], 0, 0, len(hashes) - 1
+def rolling_hashes(lines: list[bytes]) -> list[int]:
+    """For every line, a hash of it and the line before: hashes are rotated as they age, and leave by exclusive or."""
+    hashes = [xxhash.xxh64_intdigest(line, 7) for line in lines]
+    out, rolling = [], 0
     for k, h in enumerate(hashes):
-        run = run + 1 if k and h == hashes[k - 1] else 1
-        ends = k == last or run % 2 == 0 or (run == 1 and k > first and h < hashes[k - 1] and h < hashes[k + 1])
-        if ends and (k > first or k == last):
-            out.append((first, k + 1))
-            first = k + 1
+        rolling = _rotated(rolling, 1) ^ h ^ (_rotated(hashes[k - 2], 2) if k > 1 else 0)
+        out.append(rolling)
     return out
 
 
+def _rotated(x: int, by: int) -> int:
+    return (x << by | x >> (64 - by)) & _MASK
+
+
+def line_chunks(lines: list[bytes], chunkings: int = CHUNKINGS) -> list[tuple[int, int]]:
+    """(first line, line after the last) of every chunk of two lines or more of a whole text, by all chunkings together, in order.
+
+    A chunk ends after a line whose rolling hash has a zero in the chunking's bit, once it holds two lines,
+    and at the end of the text. Chunks hold about three lines; two copies of a passage are cut alike but
+    for their ends.
+    """
+    rolling, last = rolling_hashes(lines), len(lines) - 1
+    out = set()
+    for bit in range(chunkings):
+        first = 0
+        for k, r in enumerate(rolling):
+            if k > first and (k == last or not r >> (_APART * bit) & 1):
+                out.add((first, k + 1))
+                first = k + 1
+    return sorted(out)
+
+
 def _pieces(t: pa.Table) -> list[tuple[int, int, int, bytes]]:
-    """(row, first line, line after, bytes) of the multi-line chunks, rows in order."""
+    """(row, first line, line after, bytes) of the chunks, in order."""
     out = []
     for row, text in enumerate(t.column("text").to_pylist()):
         if text is None or "\n" not in text:
             continue
         lines = text.encode("utf-8", "replace").split(b"\n")
-        out += [(row, a, b, b"\n".join(lines[a:b])) for a, b in line_chunks(text) if b - a > 1]
+        out += [(row, a, b, b"\n".join(lines[a:b])) for a, b in line_chunks(lines)]
     return out
 
 
@@ -58,12 +73,13 @@ def _bucket(digest: bytes, buckets: int) -> int:
     return int.from_bytes(digest[:8], "big") * buckets >> 64
 
 
-def dedup_lines(docs: DataFrame, chunk_bytes: int = 24_000_000, counts: str | None = None, stable: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, chunk_bytes: int = 10_000_000, counts: str | None = None, stable: bool = False) -> DataFrame:
     """All columns of ``docs``, the text without repeated multi-line chunks; ``n_chars`` follows where it exists.
 
     The first occurrence stays: the smallest doc_id (null ids last; ids are integers), then the
-    position. Rows that agree in doc_id and text share their chunks like any rows: one of them keeps
-    the chunk, the others lose it. Null and empty texts stay as they are; a text of any length is cut
+    position; what overlaps it in the same text is no repeat. Every line that goes is in a chunk that stays
+    in an earlier place. Rows that agree in doc_id and text share their chunks like any rows: one of them
+    keeps the chunk, the others lose it. Null and empty texts stay as they are; a text of any length is cut
     whole. ``counts`` names a column for the number of lines removed; a column of that name is
     replaced, other columns of any name stay. An empty table stays empty. ``stable``: see ``text_chunks``.
     """
@@ -145,11 +161,13 @@ def dedup_lines(docs: DataFrame, chunk_bytes: int = 24_000_000, counts: str | No
         for b, x in suspects(found, answers.filter(pa.array(bucket >= 0))).items() if t.num_rows else ():
             owns |= {raw: bool(hit) for (_, raw), hit in zip(x, masks[-1 - b], strict=False)}
         drop: dict[int, list[tuple[int, int]]] = {}
+        stays: dict[bytes, tuple[int, int]] = {}
         for row, a, b, raw in pieces:
             if raw in owns:
                 if owns[raw]:
                     owns[raw] = False  # the first occurrence stays, those after it go
-                else:
+                    stays[raw] = (row, b)
+                elif (row, a) >= stays.get(raw, (row, a)):  # what overlaps it is a part of it
                     drop.setdefault(row, []).append((a, b))
         texts, removed = t.column(at).to_pylist(), [0] * t.num_rows
         sizes = t.column(names.index("n_chars")).to_pylist() if "n_chars" in names else None
