@@ -178,6 +178,21 @@ def sum_digits(digits: str) -> Column:
     return F.expr(render(f"array({', '.join(f'coalesce(CAST(sum({x}) AS DECIMAL(38,0)), CAST(0 AS DECIMAL(38,0)))' for x in _text_limbs(digits))})"))
 
 
+def times(factors: tuple[str, str], limbs: int = 5) -> str:
+    """Decimal digits of the product of two numbers given as columns of ``limbs`` limbs (``limb_array``), exactly."""
+    a, b = factors
+    columns = []
+    for k in range(2 * limbs - 1):
+        terms = [f"CAST({a}[{i}] * {b}[{k - i}] AS DECIMAL(38,0))" for i in range(limbs) if 0 <= k - i < limbs]
+        columns.append(f"CAST({' + '.join(terms)} AS DECIMAL(38,0))")
+    return render(f"array({', '.join(columns)})")
+
+
+def limb_array(digits: str) -> Column:
+    """Five limbs, least significant first, of decimal digits; 0 where there are none."""
+    return F.expr(f"array({', '.join(f'coalesce(CAST({x} AS DECIMAL(18,0)), CAST(0 AS DECIMAL(18,0)))' for x in _text_limbs(digits))})")
+
+
 def fixed_point(text: str, scale: int = 18) -> Column:
     """Text such as -12.5 as digits of its value * 10^scale (further places are cut off); null for what is no number. 1e5 reads as 100000, as far as DECIMAL(38, scale) goes."""
     plain = F.expr(f"CASE WHEN {text} RLIKE '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$' THEN trim(LEADING '+' FROM {text}) WHEN {text} RLIKE '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)[eE][+-]?[0-9]+$' THEN CAST(try_cast({text} AS DECIMAL(38,{scale})) AS STRING) END")

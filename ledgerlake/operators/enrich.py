@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.functions.hexwords import limb_array, times
+
 _TOKEN = ("id", "symbol", "name", "decimals")
 
 
@@ -53,17 +55,24 @@ def from_announced_pools(logs: DataFrame, pools: DataFrame) -> DataFrame:
 
 
 def value_in_usd(swaps: DataFrame, pools: DataFrame, tokens: DataFrame, bundles: DataFrame) -> DataFrame:
-    """amountUSD = |amount0| / 10^decimals * derivedETH of token0 * ethPriceUSD, as DECIMAL(38, 6) text.
+    """amountUSD = |amount0| / 10^decimals * derivedETH of token0 * ethPriceUSD, exact, rounded half up to DECIMAL(38, 6) as text.
 
-    Null where pool, token or price is unknown, or the product leaves DECIMAL(38). The bundle is the
-    one row with id "1".
+    Amounts have up to 78 digits and prices 18 places, so the product is made of limbs and the point is set
+    at its end. Null where pool, token or price is unknown or negative, a price is beyond DECIMAL(38, 18), or the
+    value is 10^31 or more. The bundle is the one row with id "1".
     """
+    digits = "coalesce(nullif(trim(LEADING '0' FROM replace(CAST({} AS STRING), '.', '')), ''), '0')".format
     prices = tokens.select(F.col("id").alias("t_id"), F.col("decimals").alias("t_dec"), F.col("derivedETH").try_cast("decimal(38,18)").alias("t_eth"))
     first = pools.select(F.col("id").alias("p_id"), F.col("token0").alias("p_token0"))
-    price = bundles.where("id = '1'").select(F.col("ethPriceUSD").try_cast("decimal(18,6)").alias("b_usd")).limit(1)
-    # pools and tokens meet first, so that the large side is joined once
-    valued = first.join(prices, F.col("p_token0") == F.col("t_id"), "left").select("p_id", "t_dec", "t_eth").crossJoin(F.broadcast(price))  # one row by limit(1)
-    out = swaps.join(valued, F.col("pool") == F.col("p_id"), "left")
-    units = F.try_divide(F.abs(F.col("amount0").try_cast("decimal(38,0)")).cast("decimal(38,0)"), F.pow(F.lit(10.0), F.col("t_dec")).cast("decimal(38,0)")).cast("decimal(38,18)")
-    usd = F.try_multiply(F.try_multiply(units, F.col("t_eth").cast("decimal(20,10)")).cast("decimal(38,12)"), F.col("b_usd"))
-    return out.withColumn("amountUSD", usd.cast("decimal(38,6)").cast("string")).drop("p_id", "t_dec", "t_eth", "b_usd")
+    price = bundles.where("id = '1'").select(F.col("ethPriceUSD").try_cast("decimal(38,18)").alias("b_usd")).limit(1)
+    # pools and tokens meet first, so that the large side is joined once; the price of a pool's token is made there
+    valued = first.join(prices, F.col("p_token0") == F.col("t_id"), "left").crossJoin(F.broadcast(price)).where("t_eth >= 0 AND b_usd >= 0 AND t_dec BETWEEN 0 AND 255")  # one row by limit(1)
+    limbs = valued.select("p_id", "t_dec", limb_array(digits("t_eth")).alias("p_a"), limb_array(digits("b_usd")).alias("p_b"))
+    priced = limbs.select("p_id", "t_dec", F.expr(times(("p_a", "p_b"))).alias("p_digits")).select("p_id", "t_dec", limb_array("p_digits").alias("p_price"))
+    out = swaps.join(priced, F.col("pool") == F.col("p_id"), "left").withColumn("p_amount", limb_array("trim(LEADING '-' FROM amount0)"))
+    places = "(t_dec + 36)"  # 18 of either price
+    product = out.withColumn("p_value", F.expr(f"lpad({times(('p_amount', 'p_price'))}, greatest(160, CAST({places} AS INT) + 1), '0')"))
+    whole = f"trim(LEADING '0' FROM left(p_value, length(p_value) - CAST({places} AS INT)))"
+    text = f"concat('0', {whole}, '.', substring(p_value, length(p_value) - CAST({places} AS INT) + 1, 7))"
+    usd = F.expr(f"CASE WHEN length({whole}) <= 31 AND amount0 IS NOT NULL THEN CAST(CAST({text} AS DECIMAL(38,7)) AS DECIMAL(38,6)) END")
+    return product.withColumn("amountUSD", usd.cast("string")).drop("p_id", "t_dec", "p_price", "p_amount", "p_value")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Mapping
 from functools import reduce
 from typing import Any
@@ -51,14 +53,15 @@ def order_by(rows: DataFrame, column: str | None, direction: str = "asc") -> Dat
 
 
 def clamp(first: Any, default: int = DEFAULT_LIMIT) -> int:
-    """1 to 1000; the default for what is not a number."""
-    if isinstance(first, bool) or not isinstance(first, (int, float, str)):
-        return default
-    try:
-        n = int(first)
-    except ValueError:
+    """1 to 1000; the default for what does not begin with a whole number of 64 bits.
+
+    Text counts as far as its leading digits go (2.9 is 2, 7abc is 7), a float by its whole part.
+    """
+    if isinstance(first, bool) or not isinstance(first, (int, float, str)) or (isinstance(first, float) and not math.isfinite(first)):
         return default
-    return max(1, min(MOST, n))
+    digits = re.match(r"\s*([+-]?[0-9]+)", first if isinstance(first, str) else str(int(first)))
+    n = int(digits[1]) if digits else default
+    return max(1, min(MOST, n if -(2**63) <= n < 2**63 else default))
 
 
 def get(rows: DataFrame, ident: Any, key: str = "id") -> DataFrame:

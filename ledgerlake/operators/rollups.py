@@ -1,7 +1,7 @@
 """Totals and time series over decoded tables.
 
 Amounts are decimal text of up to 256 bits and are summed exactly, in limbs of 10^18; totals are text
-too. Values in USD are DECIMAL(38, 18). First and last values come from min_by and max_by, which
+too. Values in USD are DECIMAL(38, 18), null where a total does not fit. First and last values come from min_by and max_by, which
 combine before the shuffle, not from sorted windows.
 """
 
@@ -19,20 +19,25 @@ def _magnitude(amount: str) -> str:
     return f"trim(LEADING '-' FROM {amount})"
 
 
-def _usd(c: str) -> Column:
-    """The magnitude as DECIMAL(38, 18); null for what is no number, an error for a number that does not fit."""
+def _total(fits: Column, misfit: Column) -> Column:
+    """Sum of DECIMAL(38, 18), 0 for no rows; null where a value or the sum does not fit, instead of an error or less than the sum."""
+    return F.when(F.bool_or(misfit), None).when(F.count(fits) == 0, 0).otherwise(F.try_sum(fits)).cast("decimal(38,18)")
+
+
+def _usd_total(c: str) -> Column:
+    """Sum of magnitudes of text: null where one is a number beyond DECIMAL(38, 18), which any log can say; what is no number counts nothing."""
     fits = F.col(c).try_cast("decimal(38,18)")
-    return F.abs(F.coalesce(fits, F.when(number(F.col(c)).isNotNull(), F.raise_error(F.concat(F.lit("USD value beyond DECIMAL(38,18): "), F.col(c))).cast("decimal(38,18)"))))
+    return _total(F.abs(fits), fits.isNull() & number(F.col(c)).isNotNull())
 
 
 def _usd_sum() -> Column:
-    return F.coalesce(F.sum(_usd("amountUSD")), F.lit(0)).cast("decimal(38,18)").alias("volumeUSD")
+    return _usd_total("amountUSD").alias("volumeUSD")
 
 
 def _fees_usd() -> Column:
     """volumeUSD * feeTier / 10^6; null for an unknown tier and for one of 10^12 or more, which no pool can have but any log can say."""
     share = F.when(F.abs("feeTier") < 10**12, F.col("feeTier") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(12,6)")
-    return (F.col("volumeUSD") * share).alias("feesUSD")
+    return F.try_multiply("volumeUSD", share).alias("feesUSD")
 
 
 def bucket(seconds: int, column: str = "timestamp") -> Column:
@@ -61,13 +66,13 @@ def token_totals(swaps: DataFrame, pools: DataFrame) -> DataFrame:
     """id, txCount, volume, volumeUSD, poolCount; a swap counts for both of its tokens."""
     traded = by_token(swaps, pools).groupBy("token").agg(F.count("*").alias("txCount"), sum_digits(_magnitude("amount")).alias("volume"), _usd_sum())
     listed = pools.select(F.explode(F.array_distinct(F.array("token0", "token1"))).alias("token"), "id").distinct().groupBy("token").agg(F.count("*").alias("poolCount"))
-    return listed.join(traded, "token", "full").select(F.col("token").alias("id"), F.coalesce("txCount", F.lit(0)).alias("txCount"), F.coalesce("volume", F.lit("0")).alias("volume"), F.coalesce("volumeUSD", F.lit(0).cast("decimal(38,18)")).alias("volumeUSD"), F.coalesce("poolCount", F.lit(0)).alias("poolCount"))
+    return listed.join(traded, "token", "full").select(F.col("token").alias("id"), F.coalesce("txCount", F.lit(0)).alias("txCount"), F.coalesce("volume", F.lit("0")).alias("volume"), F.when(F.col("txCount").isNull(), F.lit(0)).otherwise(F.col("volumeUSD")).cast("decimal(38,18)").alias("volumeUSD"), F.coalesce("poolCount", F.lit(0)).alias("poolCount"))
 
 
 def factory_totals(pools: DataFrame, totals: DataFrame) -> DataFrame:
     """One row over all pools; ``totals`` from pool_totals, locked values from the pools."""
-    locked = pools.agg(F.count("*").alias("poolCount"), F.coalesce(F.sum(_usd("totalValueLockedUSD")), F.lit(0)).cast("decimal(38,18)").alias("totalValueLockedUSD"))
-    traded = totals.agg(F.coalesce(F.sum("txCount"), F.lit(0)).alias("txCount"), F.coalesce(F.sum("volumeUSD"), F.lit(0)).cast("decimal(38,18)").alias("totalVolumeUSD"))
+    locked = pools.agg(F.count("*").alias("poolCount"), _usd_total("totalValueLockedUSD").alias("totalValueLockedUSD"))
+    traded = totals.agg(F.coalesce(F.sum("txCount"), F.lit(0)).alias("txCount"), _total(F.col("volumeUSD"), F.col("volumeUSD").isNull()).alias("totalVolumeUSD"))
     return locked.crossJoin(traded).select(F.lit("1").alias("id"), "poolCount", "txCount", "totalVolumeUSD", "totalValueLockedUSD")  # one row with one row
 
 
@@ -111,7 +116,7 @@ def pair_period(swaps: DataFrame, syncs: DataFrame, seconds: int = DAY, label: s
 
 def factory_period(pool_rows: DataFrame, label: str = "date") -> DataFrame:
     """All pools of a period, from the pools' own rows (hours and pools are added up, swaps are not read again)."""
-    return pool_rows.groupBy(label).agg(F.sum("txCount").alias("txCount"), F.sum("volumeUSD").cast("decimal(38,18)").alias("volumeUSD"), F.sum("feesUSD").alias("feesUSD"))
+    return pool_rows.groupBy(label).agg(F.sum("txCount").alias("txCount"), _total(F.col("volumeUSD"), F.col("volumeUSD").isNull()).alias("volumeUSD"), F.try_sum("feesUSD").alias("feesUSD"))
 
 
 def tick_liquidity(mints: DataFrame, burns: DataFrame) -> DataFrame:
@@ -130,7 +135,7 @@ def pool_extras(collects: DataFrame, mints: DataFrame) -> DataFrame:
 
 
 def proposal_tally(votes: DataFrame, proposals: DataFrame | None = None) -> DataFrame:
-    """Per (contract, proposal): againstVotes, forVotes, abstainVotes, voters, and the latest status."""
+    """Per (contract, proposal): againstVotes, forVotes, abstainVotes, votes, and the latest status."""
     def weight(k: int) -> Column:
         return sum_digits(f"IF(support = {k}, weight, '0')")
 

@@ -37,9 +37,31 @@ def upsert_entities(old: DataFrame | None, new: DataFrame) -> DataFrame:
     return upsert(old, new, ("entity_type", "id"))
 
 
-def write_entities(entities: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One folder per entity type, so that get and list read their own type only."""
-    entities.write.mode(mode).partitionBy("entity_type").parquet(path)
+def write_entities(entities: DataFrame, path: str) -> None:
+    """One folder per entity type, so that get and list read their own type only. Types that ``entities`` does not hold stay as they are."""
+    entities.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("entity_type").parquet(path)
+
+
+def upsert_stored_entities(new: DataFrame, path: str) -> None:
+    """Upsert ``new`` into the entities stored at ``path``: types that it holds are read, merged and replaced, others are not touched.
+
+    The merged types are complete in a folder beside them before any is replaced, so a job that dies in the
+    middle loses nothing; the next upsert puts a complete one in place first. Upserting rows again changes nothing.
+    """
+    spark, staged = new.sparkSession, f"{path.rstrip('/')}/_staged"
+    at = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def put_in_place() -> None:
+        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{staged}/_SUCCESS")):
+            write_entities(read_entities(spark, staged), path)
+        fs.delete(at, True)
+
+    put_in_place()
+    types = [r[0] for r in new.select("entity_type").distinct().collect()]  # names of types, not rows
+    old = read_entities(spark, path).where(F.col("entity_type").isin(types)) if types and fs.exists(at.getParent()) else None
+    upsert_entities(old, new).write.partitionBy("entity_type").parquet(staged)
+    put_in_place()
 
 
 def read_entities(spark: SparkSession, path: str) -> DataFrame:
