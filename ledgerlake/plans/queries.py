@@ -210,7 +210,10 @@ def network_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query(f"""WITH {_SWAPS} SELECT tm.pool AS id, count(*) AS tx_count, CAST(sum(q) AS VARCHAR) AS volume0, CAST(sum(c) AS VARCHAR) AS volume1, CAST(sum(c)::HUGEINT AS VARCHAR) AS volume_cents, CAST((sum(c)::HUGEINT * any_value(fee) + 50) // 100 AS VARCHAR) AS fee_micros FROM tm LEFT JOIN pl ON tm.pool = pl.pool GROUP BY 1""")
 def pool_totals(spark: SparkSession, sf: str) -> DataFrame:
-    x = rollups.pool_totals(_timed(spark, sf), _pools(spark, sf))
+    return totals_as_text(rollups.pool_totals(_timed(spark, sf), _pools(spark, sf)))
+
+
+def totals_as_text(x: DataFrame) -> DataFrame:
     return x.select("id", F.col("txCount").alias("tx_count"), F.col("volumeToken0").alias("volume0"), F.col("volumeToken1").alias("volume1"), (F.col("volumeUSD") * 100).cast("decimal(38,0)").cast("string").alias("volume_cents"), (F.col("feesUSD") * 1_000_000).cast("decimal(38,0)").cast("string").alias("fee_micros"))
 
 

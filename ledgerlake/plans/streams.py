@@ -5,17 +5,19 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.decode import amm, securities
-from ledgerlake.plans.queries import _AGENT, _SWAPS
+from ledgerlake.operators import partials
+from ledgerlake.plans import registry as _registry
+from ledgerlake.plans.queries import _AGENT, _SWAPS, _period, _pools, _timed, totals_as_text
 from ledgerlake.plans.registry import query as _query
 from ledgerlake.sources import synth
-from ledgerlake.streaming import state
+from ledgerlake.streaming import index, state
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -61,6 +63,37 @@ def run_to_the_end(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def _stored_states(spark: SparkSession, sf: str, make: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """States of the swaps that three increments of blocks leave, the first of which comes again at the end."""
+    folder, swaps = scratch(spark, name), _timed(spark, sf)
+    parts = [swaps.where(F.col("block_number") % 3 == k) for k in range(3)]
+    span = 1 + swaps.agg(F.max("block_number")).first()[0] // 8
+    for part in (*parts, parts[0]):
+        index.merge_batch(part, f"{folder}/swaps", derived={f"{folder}/states": make}, span=span)
+    return index.read_table(spark, f"{folder}/states")
+
+
+@_query(_registry.SQL["pool_days"])
+def pool_days_from_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Hours of spans of blocks, kept as increments come and merged to days."""
+    states = _stored_states(spark, sf, partials.pool_states, "pool-states")
+    return _period(partials.pool_period(states, _pools(spark, sf)), "pool", "date")
+
+
+@_query(_registry.SQL["token_days"])
+def token_days_from_states(spark: SparkSession, sf: str) -> DataFrame:
+    pools = _pools(spark, sf)
+    states = _stored_states(spark, sf, lambda swaps: partials.token_states(swaps, pools), "token-states")
+    return _period(partials.token_period(states), "token", "date")
+
+
+@_query(_registry.SQL["pool_totals"])
+def pool_totals_from_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals from days, which come from hours."""
+    hours = partials.pool_states(_timed(spark, sf))
+    return totals_as_text(partials.pool_totals(partials.merge_periods(hours, "pool"), _pools(spark, sf)))
+
+
 @_query(f"""WITH {_AGENT}, f AS (SELECT * FROM a WHERE event_type IN ('click', 'view')), x AS (SELECT * FROM a WHERE event_type IN ('error', 'signup'))
 SELECT 'total' AS change, CAST(event_id AS VARCHAR) AS id, CAST(sum(CASE WHEN event_type = 'click' THEN c ELSE -c END) OVER (PARTITION BY token, usr ORDER BY event_id) AS VARCHAR) AS value FROM f
 UNION ALL SELECT 'tokens', token || ':' || usr, CASE arg_max(event_type, event_id) WHEN 'click' THEN 'TokensFrozen ' ELSE 'TokensUnfrozen ' END || arg_max(c, event_id) FROM f GROUP BY token, usr
