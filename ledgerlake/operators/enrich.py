@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.hexwords import limb_array, times
+from ledgerlake.sources.logs import read_by_address
 
 _TOKEN = ("id", "symbol", "name", "decimals")
 
@@ -48,6 +49,22 @@ def route(logs: DataFrame, rules: DataFrame) -> DataFrame:
     return logs.join(r, on).drop("r_topic", "r_address", "start_block")
 
 
+def route_stored(spark: SparkSession, path: str, rules: DataFrame) -> DataFrame:
+    """``route`` over logs that ``sources.logs.write_logs_by_address`` stored, reading the folders that some rule can match.
+
+    Rules with an address read that address's share of their signature, those without all of it. Only
+    signatures, addresses and first blocks of the rules come to the driver: a manifest's worth.
+    """
+    listed = rules.select("topic0", "address", "start_block").distinct().collect()
+    open_to_all = {r["topic0"] for r in listed if r["address"] is None}
+    named = {r["topic0"] for r in listed} - open_to_all
+    first = {kind: min((r["start_block"] for r in listed if r["topic0"] in kind), default=None) for kind in (frozenset(open_to_all), frozenset(named))}
+    parts = [read_by_address(spark, path, open_to_all, None, first[frozenset(open_to_all)])] if open_to_all else []
+    parts += [read_by_address(spark, path, named, {r["address"] for r in listed if r["topic0"] in named}, first[frozenset(named)])] if named else []
+    logs = parts[0].unionByName(parts[1]) if len(parts) == 2 else (parts or [read_by_address(spark, path, [])])[0]
+    return route(logs, rules)
+
+
 def from_announced_pools(logs: DataFrame, pools: DataFrame) -> DataFrame:
     """Logs of pools that were announced at or before the log's block."""
     first = pools.groupBy(F.col("id").alias("p_id")).agg(F.min("created_block").alias("p_block"))

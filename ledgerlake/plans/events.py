@@ -11,6 +11,7 @@ from ledgerlake.operators import entities, query, rollups, snapshots
 from ledgerlake.operators.upsert import as_entities, upsert_entities
 from ledgerlake.plans.queries import _SWAPS, _period, _pools, _swaps, _timed
 from ledgerlake.plans.registry import ADDRESS, CENTS, TOPIC
+from ledgerlake.plans.registry import SQL as _SQL
 from ledgerlake.plans.registry import query as _query
 from ledgerlake.sources import synth
 
@@ -159,6 +160,13 @@ def parsed_tables(spark: SparkSession, sf: str) -> DataFrame:
     return amm.union_all(*[rows.select(F.lit(name).alias("entity"), "block_number") for name, rows in parsed.items()]).groupBy("entity").agg(F.count("*").alias("events"), F.min("block_number").alias("first_block"), F.max("block_number").alias("last_block"))
 
 
+@_query(_SQL["parsed_tables"])
+def parsed_in_one_pass(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from one scan of the logs."""
+    logs = synth.order_logs(spark, sf, *_ONE_OF_EACH.values(), t.TRANSFER)
+    return defi.parse_once(logs).groupBy(F.col("table").alias("entity")).agg(F.count("*").alias("events"), F.min("block_number").alias("first_block"), F.max("block_number").alias("last_block"))
+
+
 # Security tokens
 
 _ID = f"{ADDRESS(12)} || ':' || {TOPIC('k')} || ':0x0'"

@@ -347,11 +347,14 @@ def swap_values(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query(f"""SELECT handler, count(*) AS logs FROM (SELECT CASE WHEN event_type = 'click' THEN 'onFreeze' ELSE 'onUnfreeze' END AS handler FROM events WHERE event_type = 'click' OR (event_type = 'view' AND user_id % 10 = 3 AND event_id >= 500)) GROUP BY 1""")
 def routed_logs(spark: SparkSession, sf: str) -> DataFrame:
-    """Two manifest rules: one for any address, one for an address from a block on."""
+    return enrich.route(synth.agent_logs(spark, sf), manifest(spark, sf)).groupBy("handler").agg(F.count("*").alias("logs"))
+
+
+def manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Two rules: one for any address, one for an address from a block on."""
     region = synth.table(spark, sf, "region").where("r_regionkey < 2").select("r_regionkey")
     one = F.col("r_regionkey") == 0
-    rules = region.select(F.lit("tokens").alias("source"), F.when(one, "onFreeze").otherwise("onUnfreeze").alias("handler"), F.when(one, t.TOKENS_FROZEN).otherwise(t.TOKENS_UNFROZEN).alias("topic0"), F.when(~one, synth.addr(F.lit(3))).alias("address"), F.when(one, 0).otherwise(500).alias("start_block"))
-    return enrich.route(synth.agent_logs(spark, sf), rules).groupBy("handler").agg(F.count("*").alias("logs"))
+    return region.select(F.lit("tokens").alias("source"), F.when(one, "onFreeze").otherwise("onUnfreeze").alias("handler"), F.when(one, t.TOKENS_FROZEN).otherwise(t.TOKENS_UNFROZEN).alias("topic0"), F.when(~one, synth.addr(F.lit(3))).alias("address"), F.when(one, 0).otherwise(500).alias("start_block"))
 
 
 @_query(f"WITH {_SWAPS} SELECT id, pool FROM s JOIN part ON l_partkey = p_partkey WHERE l_orderkey >= p_partkey")

@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.decode import amm, securities
-from ledgerlake.operators import partials
+from ledgerlake.operators import enrich, partials
 from ledgerlake.plans import registry as _registry
-from ledgerlake.plans.queries import _AGENT, _SWAPS, _period, _pools, _timed, totals_as_text
+from ledgerlake.plans.queries import _AGENT, _SWAPS, _period, _pools, _timed, manifest, totals_as_text
 from ledgerlake.plans.registry import query as _query
 from ledgerlake.sources import synth
+from ledgerlake.sources.logs import write_logs_by_address
 from ledgerlake.streaming import index, state
 
 
@@ -73,6 +74,14 @@ def _stored_states(spark: SparkSession, sf: str, make: Callable[[DataFrame], Dat
     return index.read_table(spark, f"{folder}/states")
 
 
+@_query(_registry.SQL["routed_logs"])
+def routed_stored_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """The manifest's rules over logs stored by signature and by interleaved bits of address and block."""
+    folder = scratch(spark, "logs")
+    write_logs_by_address(synth.agent_logs(spark, sf), folder)
+    return enrich.route_stored(spark, folder, manifest(spark, sf)).groupBy("handler").agg(F.count("*").alias("logs"))
+
+
 @_query(_registry.SQL["pool_days"])
 def pool_days_from_states(spark: SparkSession, sf: str) -> DataFrame:
     """Hours of spans of blocks, kept as increments come and merged to days."""

@@ -16,6 +16,7 @@ RAW_LOG = _struct("address:s topics:a data:s blockNumber:s transactionHash:s log
 LOG = _struct("address:s topics:a data:s block_number:l tx_hash:s log_index:s tx_index:l topic0:s log_order:l")
 #: The same, as stored by signature and block bucket.
 STORED_LOG = _struct("address:s topics:a data:s block_number:l tx_hash:s log_index:s tx_index:l log_order:l topic0:s block_bucket:l")
+ADDRESSED_LOG = _struct("address:s topics:a data:s block_number:l tx_hash:s log_index:s tx_index:l log_order:l topic0:s zone:l")
 
 FACTORY = _struct("id:s poolCount:l txCount:l totalVolumeUSD:s totalValueLockedUSD:s")
 BUNDLE = _struct("id:s ethPriceUSD:s")
