@@ -134,6 +134,27 @@ def pool_extras(collects: DataFrame, mints: DataFrame) -> DataFrame:
     return providers.join(fees, "pool", "full")
 
 
+def provider_sketches(mints: DataFrame, log_k: int = 12) -> DataFrame:
+    """A theta sketch of the liquidity providers of every pool and day, of at most 2^(log_k + 3) bytes or so.
+
+    Days that come anew are sketched alone; sketches are merged over any span by ``merge_providers``.
+    """
+    return mints.withColumn("date", bucket(DAY)).groupBy("pool", "date").agg(F.theta_sketch_agg(F.coalesce("owner", "sender"), log_k).alias("sketch"))
+
+
+def merge_providers(sketches: DataFrame, *by: str, log_k: int = 12) -> DataFrame:
+    """One sketch for each value of ``by``, and the number of distinct ``providers`` it stands for.
+
+    Exact up to 2^log_k of them; beyond, the standard error is 1 / sqrt(2^log_k), 1.6 % at 12.
+    """
+    return sketches.groupBy(*by).agg(F.theta_union_agg("sketch", log_k).alias("sketch")).withColumn("providers", F.theta_sketch_estimate("sketch"))
+
+
+def shared_providers(a: str, b: str) -> Column:
+    """Providers that two sketches have in common, estimated; exact where both are."""
+    return F.theta_sketch_estimate(F.theta_intersection(a, b))
+
+
 def proposal_tally(votes: DataFrame, proposals: DataFrame | None = None) -> DataFrame:
     """Per (contract, proposal): againstVotes, forVotes, abstainVotes, votes, and the latest status."""
     def weight(k: int) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,12 @@ def latest_by_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str] = (
 
 def upsert(old: DataFrame | None, new: DataFrame, keys: Sequence[str] = ("id",), order: Sequence[str] = ("block_number", "log_order")) -> DataFrame:
     """``new`` rows replace whole ``old`` rows of the same key unless they are older. Replaying is harmless."""
-    rows = new if old is None else old.unionByName(new, allowMissingColumns=True)
+    return upsert_all(old, [new], keys, order)
+
+
+def upsert_all(old: DataFrame | None, batches: Sequence[DataFrame], keys: Sequence[str] = ("id",), order: Sequence[str] = ("block_number", "log_order")) -> DataFrame:
+    """What upserting the batches one after another gives, by one aggregate and one shuffle: the newest row wins whatever the batches' order."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [x for x in (old, *batches) if x is not None])
     return latest_by_key(rows, keys, order)
 
 

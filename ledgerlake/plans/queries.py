@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ledgerlake import topics as t
 from ledgerlake.decode import amm, defi, securities
 from ledgerlake.functions import hexwords as hx
-from ledgerlake.operators import enrich, entities, query, rollups, snapshots
-from ledgerlake.operators.upsert import latest_by_key, upsert, upsert_entities
+from ledgerlake.operators import enrich, entities, feeds, query, rollups, snapshots
+from ledgerlake.operators.upsert import latest_by_key, upsert, upsert_all, upsert_entities
 from ledgerlake.plans.registry import ADDRESS as _A
 from ledgerlake.plans.registry import CENTS as _CENTS
 from ledgerlake.plans.registry import TOPIC as _T
@@ -85,7 +85,7 @@ def upsert_swaps(spark: SparkSession, sf: str) -> DataFrame:
     """Two batches, the second replayed: the last row of each id remains."""
     rows = amm.swaps_v2(synth.swap_v2_logs(spark, sf))
     first, second = (rows.where(F.col("block_number") % 2 == k) for k in (0, 1))
-    return upsert(upsert(upsert(None, first), second), second).select("id", "pool", "amount0", "amount1", "sender")
+    return upsert_all(None, [first, second, second]).select("id", "pool", "amount0", "amount1", "sender")
 
 
 @_query(f"WITH {_SWAPS} SELECT pool AS id, {_A('t0')} AS token0, {_A('t1')} AS token1, CAST(fee AS BIGINT) AS fee_tier, CAST(p_partkey AS BIGINT) AS created_block FROM pl")
@@ -158,6 +158,14 @@ def liquidity_providers(spark: SparkSession, sf: str) -> DataFrame:
     return rollups.pool_extras(amm.collects(logs), amm.mints(logs)).select("pool", F.col("liquidityProviderCount").alias("providers"))
 
 
+@_query(f"""SELECT {_A('l_partkey')} AS pool, CAST(year(o_orderdate) AS BIGINT) AS year, count(DISTINCT l_suppkey) AS providers FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag <> 'R' GROUP BY 1, 2""")
+def provider_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily sketches of providers, merged to years; below 4,096 providers a sketch counts exactly."""
+    mints = enrich.with_block_time(amm.mints(synth.liquidity_logs(spark, sf)), synth.blocks(spark, sf))
+    years = rollups.provider_sketches(mints).withColumn("year", F.year(F.timestamp_seconds("date")).cast("bigint"))
+    return rollups.merge_providers(years, "pool", "year").select("pool", "year", F.col("providers").cast("bigint").alias("providers"))
+
+
 @_query(f"""SELECT CAST(o_custkey % 50 AS VARCHAR) AS proposal, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN c ELSE 0 END) AS VARCHAR) AS against_votes, CAST(sum(CASE WHEN o_orderstatus = 'O' THEN c ELSE 0 END) AS VARCHAR) AS for_votes,
 CAST(sum(CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN c ELSE 0 END) AS VARCHAR) AS abstain_votes, count(*) AS votes FROM (SELECT *, {_CENTS('o_totalprice')} AS c FROM orders) GROUP BY 1""")
 def proposal_tally(spark: SparkSession, sf: str) -> DataFrame:
@@ -315,8 +323,8 @@ def market_days(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query(f"""WITH x AS (SELECT 'swap' AS kind, {_SWAP_ID} AS id, l_orderkey AS b, l_linenumber AS o FROM lineitem UNION ALL SELECT CASE WHEN l_returnflag = 'R' THEN 'burn' ELSE 'mint' END, {_SWAP_ID}, l_orderkey, l_linenumber FROM lineitem) SELECT kind, id, b AS block_number FROM x ORDER BY b DESC, o DESC, kind, id LIMIT 300""")
 def activity_feed(spark: SparkSession, sf: str) -> DataFrame:
-    logs = synth.liquidity_logs(spark, sf)
-    return rollups.activity(amm.swaps_v2(synth.swap_v2_logs(spark, sf)), amm.mints(logs), amm.burns(logs), 300).select("kind", "id", "block_number")
+    logs = synth.swap_v2_logs(spark, sf).unionByName(synth.liquidity_logs(spark, sf))
+    return feeds.newest_activity(logs, 300).select("kind", "id", "block_number")
 
 
 @_query(f"""WITH {_AGENT} SELECT kind, token, count(*) AS events FROM (SELECT token, CASE event_type WHEN 'click' THEN 'TokensFrozen' WHEN 'view' THEN 'TokensUnfrozen' ELSE 'AddressFrozen' END AS kind FROM a WHERE event_type <> 'purchase') GROUP BY ROLLUP (kind, token)""")

@@ -57,3 +57,30 @@ def test_increments_and_a_replay_read_their_own_spans(spark, tmp_path):
     assert kept.count() > 60
     assert rows_of(partials.pool_totals(kept, pools)) == rows_of(rollups.pool_totals(every, pools))
     assert rows_of(partials.pool_period(kept, pools)) == rows_of(rollups.pool_period(every, pools))
+
+
+def test_provider_sketches(spark):
+    """Exact while small, within five standard errors beyond, and the same in any grouping."""
+    mints = spark.range(60_000).select((F.col("id") % 2).cast("string").alias("pool"), (F.col("id") * 997 % (86_400 * 9)).alias("timestamp"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("o"), (F.col("id") % 40_000).cast("string"))).alias("owner"), F.concat(F.lit("s"), (F.col("id") % 50).cast("string")).alias("sender"))
+    exact = {r["pool"]: r["n"] for r in mints.groupBy("pool").agg(F.count_distinct(F.coalesce("owner", "sender")).alias("n")).collect()}
+    days = rollups.provider_sketches(mints)
+    assert days.count() == 18
+    for merged in (rollups.merge_providers(days, "pool"), rollups.merge_providers(rollups.merge_providers(days.withColumn("week", F.col("date") > 86_400 * 4), "pool", "week"), "pool")):
+        for r in merged.collect():
+            assert abs(r["providers"] / exact[r["pool"]] - 1) < 5 / 64
+    few = rollups.merge_providers(rollups.provider_sketches(mints.where("id < 900")), "pool")
+    counts = {r["pool"]: r["n"] for r in mints.where("id < 900").groupBy("pool").agg(F.count_distinct(F.coalesce("owner", "sender")).alias("n")).collect()}
+    assert {r["pool"]: r["providers"] for r in few.collect()} == counts
+    pair = few.groupBy().pivot("pool", ["0", "1"]).agg(F.first("sketch")).select(rollups.shared_providers("`0`", "`1`").alias("n")).first()["n"]
+    own = [{r[0] for r in mints.where(f"id < 900 AND pool = '{p}'").select(F.coalesce("owner", "sender")).distinct().collect()} for p in "01"]
+    assert pair == len(own[0] & own[1])
+
+
+def test_batches_upserted_at_once(spark):
+    from ledgerlake.operators.upsert import upsert_all
+
+    rng = random.Random(9)
+    parts = [spark.createDataFrame(swaps_of(rng, 60), SWAPS) for _ in range(3)]
+    one_by_one = upsert(upsert(upsert(None, parts[0]), parts[1]), parts[2])
+    assert rows_of(upsert_all(parts[0], [parts[2], parts[1], parts[1]])) == rows_of(one_by_one)
+    assert upsert_all(None, parts)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
