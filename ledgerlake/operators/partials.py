@@ -20,15 +20,21 @@ from ledgerlake.operators.rollups import DAY, HOUR, _magnitude, _total, _usd_tot
 _LIMBS = range(5)
 
 
-def _first_and_last(place: Column) -> list[Column]:
-    return [F.min(place).alias("first"), F.max(place).alias("last")]
+def state_columns(amounts: Sequence[str]) -> list[Column]:
+    """The aggregates that make a state of rows with a ``price``."""
+    place = F.when(F.col("price").isNotNull(), F.struct("block_number", "log_order", "id", "price"))
+    limbs = [x.alias(f"{a}_{j}") for a in amounts for j, x in enumerate(limb_sums(_magnitude(a)))]
+    return [F.count("*").alias("txCount"), _usd_total("amountUSD").alias("volumeUSD"), F.min(place).alias("first"), F.max(place).alias("last"), F.max("price").alias("high"), F.min("price").alias("low"), F.min("block_number").alias("block_number"), *limbs]
+
+
+def merged_columns(states: DataFrame) -> list[Column]:
+    """The aggregates that make one state of several."""
+    limbs = [F.sum(c).cast("decimal(38,0)").alias(c) for c in states.columns if c.rsplit("_", 1)[-1].isdigit()]
+    return [F.sum("txCount").alias("txCount"), _total(F.col("volumeUSD"), F.col("volumeUSD").isNull()).alias("volumeUSD"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("high").alias("high"), F.min("low").alias("low"), F.min("block_number").alias("block_number"), *limbs]
 
 
 def _states(rows: DataFrame, keys: Sequence[str], amounts: Sequence[str], priced_at: Column) -> DataFrame:
-    priced = rows.withColumn("hour", bucket(HOUR)).withColumn("price", priced_at)
-    place = F.when(F.col("price").isNotNull(), F.struct("block_number", "log_order", "id", "price"))
-    limbs = [x.alias(f"{a}_{j}") for a in amounts for j, x in enumerate(limb_sums(_magnitude(a)))]
-    return priced.groupBy(*keys, "hour").agg(F.count("*").alias("txCount"), _usd_total("amountUSD").alias("volumeUSD"), *_first_and_last(place), F.max("price").alias("high"), F.min("price").alias("low"), F.min("block_number").alias("block_number"), *limbs)
+    return rows.withColumn("hour", bucket(HOUR)).withColumn("price", priced_at).groupBy(*keys, "hour").agg(*state_columns(amounts))
 
 
 def pool_states(swaps: DataFrame) -> DataFrame:
@@ -43,9 +49,7 @@ def token_states(swaps: DataFrame, pools: DataFrame) -> DataFrame:
 
 def merge_states(states: DataFrame, *by: str) -> DataFrame:
     """One state for each value of ``by``, in the same columns; merging merged states gives what merging all of them would."""
-    limbs = [c for c in states.columns if c.rsplit("_", 1)[-1].isdigit()]
-    sums = [F.sum(c).cast("decimal(38,0)").alias(c) for c in limbs]
-    return states.groupBy(*by).agg(F.sum("txCount").alias("txCount"), _total(F.col("volumeUSD"), F.col("volumeUSD").isNull()).alias("volumeUSD"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("high").alias("high"), F.min("low").alias("low"), F.min("block_number").alias("block_number"), *sums)
+    return states.groupBy(*by).agg(*merged_columns(states))
 
 
 def merge_periods(states: DataFrame, key: str, seconds: int = DAY, label: str = "date") -> DataFrame:
@@ -53,19 +57,19 @@ def merge_periods(states: DataFrame, key: str, seconds: int = DAY, label: str =
     return merge_states(states.withColumn(label, bucket(seconds, "hour")), key, label)
 
 
-def _prices(states: DataFrame) -> DataFrame:
+def with_prices(states: DataFrame) -> DataFrame:
     return states.withColumns({"open": F.col("first.price"), "close": F.col("last.price")})
 
 
 def pool_period(states: DataFrame, pools: DataFrame, seconds: int = DAY, label: str = "date") -> DataFrame:
     """What ``rollups.pool_period`` gives over the swaps of all states."""
-    merged = with_fees(_prices(merge_periods(states, "pool", seconds, label)), pools)
+    merged = with_fees(with_prices(merge_periods(states, "pool", seconds, label)), pools)
     return merged.select("pool", label, "txCount", "volumeUSD", "open", "high", "low", "close", "feesUSD", F.concat_ws("-", "pool", F.col(label).cast("string")).alias("id"))
 
 
 def token_period(states: DataFrame, seconds: int = DAY, label: str = "date") -> DataFrame:
     """What ``rollups.token_period`` gives over the swaps of all states."""
-    merged = _prices(merge_periods(states, "token", seconds, label))
+    merged = with_prices(merge_periods(states, "token", seconds, label))
     return merged.select("token", label, "txCount", "volumeUSD", "open", "high", "low", "close", F.concat_ws("-", "token", F.col(label).cast("string")).alias("id"))
 
 

@@ -54,12 +54,12 @@ def pool_totals(swaps: DataFrame, pools: DataFrame) -> DataFrame:
     return sums.join(_fees(pools), "pool", "left").select(F.col("pool").alias("id"), "txCount", "volumeToken0", "volumeToken1", "volumeUSD", _fees_usd())
 
 
-def by_token(swaps: DataFrame, pools: DataFrame) -> DataFrame:
-    """Two rows per swap, one for either token: token, amount, and what the swap carries."""
+def by_token(swaps: DataFrame, pools: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Two rows per swap, one for either token: token, amount, what the swap carries, and the columns to ``keep``."""
     sides = pools.select(F.col("id").alias("pool"), "token0", "token1")
-    rows = swaps.select("id", "pool", "timestamp", "amount0", "amount1", "amountUSD", "block_number", "log_order").join(sides, "pool")
+    rows = swaps.select("id", "pool", "timestamp", "amount0", "amount1", "amountUSD", "block_number", "log_order", *keep).join(sides, "pool")
     side = F.explode(F.array(F.struct(F.col("token0").alias("token"), F.col("amount0").alias("amount"), F.col("amount1").alias("other")), F.struct(F.col("token1").alias("token"), F.col("amount1").alias("amount"), F.col("amount0").alias("other"))))
-    return rows.select("id", "pool", "timestamp", "amountUSD", "block_number", "log_order", side.alias("s")).select("*", "s.token", "s.amount", "s.other").drop("s")
+    return rows.select("id", "pool", "timestamp", "amountUSD", "block_number", "log_order", *keep, side.alias("s")).select("*", "s.token", "s.amount", "s.other").drop("s")
 
 
 def token_totals(swaps: DataFrame, pools: DataFrame) -> DataFrame:
@@ -116,7 +116,11 @@ def pair_period(swaps: DataFrame, syncs: DataFrame, seconds: int = DAY, label: s
 
 def factory_period(pool_rows: DataFrame, label: str = "date") -> DataFrame:
     """All pools of a period, from the pools' own rows (hours and pools are added up, swaps are not read again)."""
-    return pool_rows.groupBy(label).agg(F.sum("txCount").alias("txCount"), _total(F.col("volumeUSD"), F.col("volumeUSD").isNull()).alias("volumeUSD"), F.try_sum("feesUSD").alias("feesUSD"))
+    return pool_rows.groupBy(label).agg(*factory_columns())
+
+
+def factory_columns() -> list[Column]:
+    return [F.sum("txCount").alias("txCount"), _total(F.col("volumeUSD"), F.col("volumeUSD").isNull()).alias("volumeUSD"), F.try_sum("feesUSD").alias("feesUSD")]
 
 
 def tick_liquidity(mints: DataFrame, burns: DataFrame) -> DataFrame:

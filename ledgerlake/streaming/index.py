@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerlake.operators.rollups import HOUR, ohlc, price, with_fees
+from ledgerlake.operators import partials
+from ledgerlake.operators.rollups import DAY, HOUR, by_token, factory_columns, ohlc, price, with_fees
 from ledgerlake.operators.upsert import latest_by_key, upsert
 from ledgerlake.sources.logs import known_events, normalise
 from ledgerlake.topics import ALL
@@ -116,9 +117,11 @@ def index_stream(raw: DataFrame, tables: Mapping[str, Table | Callable[[DataFram
 
     def each(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        for name, t in specs.items():
-            merge_batch(t.decode(batch), f"{out}/{name}", t.keys, t.by, {f"{out}/{n}": f for n, f in t.derived.items()}, t.order, buckets, t.span)
-        batch.unpersist()
+        try:
+            for name, t in specs.items():
+                merge_batch(t.decode(batch), f"{out}/{name}", t.keys, t.by, {f"{out}/{n}": f for n, f in t.derived.items()}, t.order, buckets, t.span)
+        finally:
+            batch.unpersist()
 
     writer = logs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
     return writer.trigger(processingTime=f"{seconds} seconds").start() if seconds else writer.trigger(availableNow=True).start()
@@ -142,3 +145,26 @@ def rollup_stream(swaps: DataFrame, pools: DataFrame, seconds: int = HOUR, label
     rows = ohlc(swaps.withColumn("window", F.window("at", f"{seconds} seconds")), ["pool", "window"], price())
     timed = rows.withColumn(label, F.unix_timestamp("window.start")).drop("window")
     return with_fees(timed, pools).withColumn("id", F.concat_ws("-", "pool", F.col(label).cast("string")))
+
+
+def day_stream(swaps: DataFrame, pools: DataFrame, kind: str = "pool", label: str = "date") -> DataFrame:
+    """Days of pools, tokens or the factory (``kind``) as a stream, by two stateful operators in a row.
+
+    The first keeps a mergeable state for each key and hour; an hour that the watermark has closed goes on to the
+    second, which keeps one for each key and day. So a day's state gets 24 rows a key, not its swaps, and late swaps
+    within the watermark are in both. For append mode: a day comes once, when it is closed, in the columns of
+    ``rollups.pool_period``, ``token_period`` or ``factory_period``. ``swaps`` as from ``watermarked``; ``pools`` is a static table.
+    """
+    rows = by_token(swaps, pools, ("at",)) if kind == "token" else swaps
+    key, amounts = ("token", ["amount"]) if kind == "token" else ("pool", ["amount0", "amount1"])
+    priced = rows.withColumn("price", price("amount", "other") if kind == "token" else price())
+    hours = priced.groupBy(key, F.window("at", f"{HOUR} seconds")).agg(*partials.state_columns(amounts))
+    days = hours.groupBy(key, F.window(F.window_time("window"), f"{DAY} seconds").alias("day")).agg(*partials.merged_columns(hours))
+    timed = partials.with_prices(days.withColumn(label, F.unix_timestamp("day.start")))
+    if kind == "token":
+        return timed.select("token", label, "txCount", "volumeUSD", "open", "high", "low", "close", F.concat_ws("-", "token", F.col(label).cast("string")).alias("id"))
+    full = with_fees(timed, pools).select("pool", "day", label, "txCount", "volumeUSD", "open", "high", "low", "close", "feesUSD", F.concat_ws("-", "pool", F.col(label).cast("string")).alias("id"))
+    if kind == "pool":
+        return full.drop("day")
+    every = full.groupBy(F.window(F.window_time("day"), f"{DAY} seconds").alias("all_day")).agg(*factory_columns())
+    return every.select(F.unix_timestamp("all_day.start").alias(label), "txCount", "volumeUSD", "feesUSD")

@@ -84,3 +84,26 @@ def test_batches_upserted_at_once(spark):
     one_by_one = upsert(upsert(upsert(None, parts[0]), parts[1]), parts[2])
     assert rows_of(upsert_all(parts[0], [parts[2], parts[1], parts[1]])) == rows_of(one_by_one)
     assert upsert_all(None, parts)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_days_by_two_stateful_operators(spark, tmp_path):
+    """Closed days of pools, tokens and the factory equal the batch's, late swaps within the watermark included."""
+    rng = random.Random(10)
+    rows = [(f"s{k}", f"p{rng.randint(0, 2)}", t := rng.randint(0, 3 * 86_400 - 1), str(rng.randint(1, 99)), str(rng.randint(-99, 99)), f"{rng.randint(0, 99)}.5", t // 10, k) for k in range(300)]
+    rows.sort(key=lambda r: r[2] + rng.randint(0, 3 * 3600))  # up to three hours late
+    for k, part in enumerate((rows[:100], rows[100:200], rows[200:], [("end", "p0", 9 * 86_400, "1", "1", "1", 10**6, 0)])):
+        spark.createDataFrame(part, SWAPS).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    pools = spark.createDataFrame([(f"p{k}", f"t{k % 2}", "t9", 3000) for k in range(3)], "id string, token0 string, token1 string, feeTier long")
+    every = spark.createDataFrame(rows, SWAPS)
+    pool_days = rollups.pool_period(every, pools)
+    want = {"pool": pool_days, "token": rollups.token_period(every, pools), "factory": rollups.factory_period(pool_days)}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        for kind, batch in want.items():
+            stream = index.watermarked(spark.readStream.schema(SWAPS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*")), "4 hours")
+            query = index.day_stream(stream, pools, kind).writeStream.format("memory").queryName(f"days_{kind}").outputMode("append").trigger(availableNow=True).start()
+            query.awaitTermination(120)
+            assert query.exception() is None and rows_of(spark.table(f"days_{kind}")) == rows_of(batch), kind
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
