@@ -686,6 +686,6 @@ def test_the_shared_folder_is_asked_for_on_a_cluster(spark):
 def test_every_query_is_registered():
     import __spark_entry__ as entry
 
-    assert {k.split("_")[0] for k in q.queries()} == {f"op{n}" for n in range(1, 11)}
+    assert {k.split("_")[0] for k in q.queries()} == {f"op{n}" for n in range(1, 14)}
     assert {*q.queries(), "pipeline"} <= entry.queries().keys()
     assert set(q.oracle_sql()) <= set(q.queries())
