@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import hexwords as hx
-from ledgerlake.operators.query import clamp
+from ledgerlake.operators.query import clamp, list_rows, suffix_of
+from ledgerlake.operators.upsert import as_documents
 
 # Entity types of each domain, and the singleton that holds its statistics.
 CATALOGUE: dict[str, tuple[tuple[str, ...], str | None]] = {
@@ -73,7 +74,7 @@ def typed(entities: DataFrame, entity_type: str, schema: str) -> DataFrame:
 
 def as_variant(entities: DataFrame) -> DataFrame:
     """Documents of any type as VARIANT, for types without a declared schema; malformed text is null."""
-    return entities.withColumn("data", F.try_parse_json("data"))
+    return as_documents(entities)
 
 
 def get_by_field(entities: DataFrame, entity_type: str, field: str, value: str) -> DataFrame:
@@ -99,3 +100,28 @@ def domain_statistics(entities: DataFrame, stat: str, spec: Mapping[str, tuple[s
 def get_statistics(entities: DataFrame, stat: str) -> DataFrame:
     """The stored singleton of a domain's statistics, or no row."""
     return get_entity(entities, stat, "1")
+
+
+def at_path(path: str) -> Column:
+    """A field of a VARIANT document by its dotted path, as text; null where the document lacks it."""
+    return F.try_variant_get("data", F.lit("$." + path), "string")
+
+
+def list_documents(documents: DataFrame, entity_type: str, first: Any = None, order: str | None = None, direction: str = "asc", conditions: Mapping[str, Any] | None = None) -> DataFrame:
+    """VARIANT documents of a type, filtered and ordered by paths that nobody has declared; id and data.
+
+    Conditions are those of ``query.where`` (suffixes _gte _lte _gt _lt, otherwise equality; numbers by value,
+    text as text), ties go by id, and a document without a field that is asked for is dropped. Only the paths that
+    are named are taken out of the documents, in the scan's own projection.
+    """
+    named = [key[: len(key) - len(s)] if (s := suffix_of(key)) else key for key in conditions or {}]
+    paths = list(dict.fromkeys([*named, *([order] if order else [])]))
+    columns = {p: f"path_{k}" for k, p in enumerate(paths)}
+    rows = documents.where(F.col("entity_type") == entity_type).select("id", "data", *[at_path(p).alias(c) for p, c in columns.items()])
+    asked = {columns[n] + suffix_of(key): value for n, (key, value) in zip(named, (conditions or {}).items(), strict=True)}
+    return list_rows(rows, first, columns.get(order, "id"), direction, asked).select("id", "data")
+
+
+def document_schemas(documents: DataFrame) -> DataFrame:
+    """entity_type, documents, schema: what fields the documents of each type have, found in one pass."""
+    return documents.groupBy("entity_type").agg(F.count("*").alias("documents"), F.schema_of_variant_agg("data").alias("schema"))

@@ -26,6 +26,11 @@ def compare(a: Column, b: Any, op: str) -> Column:
     return F.when(x.isNotNull() & y.isNotNull(), test(x, y)).otherwise(test(a.cast("string"), right.cast("string")))
 
 
+def suffix_of(key: str) -> str:
+    """The comparison that a condition's key ends with; empty for equality."""
+    return next((s for s in _SUFFIXES if key.endswith(s)), "")
+
+
 def where(rows: DataFrame, conditions: Mapping[str, Any] | None) -> DataFrame:
     """AND of conditions; a suffix _gte _lte _gt _lt compares, anything else is a field that must be equal.
 
@@ -33,7 +38,7 @@ def where(rows: DataFrame, conditions: Mapping[str, Any] | None) -> DataFrame:
     """
     out = []
     for key, value in (conditions or {}).items():
-        suffix = next((s for s in _SUFFIXES if key.endswith(s)), "")
+        suffix = suffix_of(key)
         name = key[: len(key) - len(suffix)]
         out.append(F.coalesce(compare(F.col(name), value, suffix[1:] or "eq"), F.lit(False)) if name in rows.columns else F.lit(False))
     return rows.where(reduce(lambda a, b: a & b, out)) if out else rows

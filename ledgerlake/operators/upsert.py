@@ -43,6 +43,19 @@ def upsert_entities(old: DataFrame | None, new: DataFrame) -> DataFrame:
     return upsert(old, new, ("entity_type", "id"))
 
 
+def as_documents(entities: DataFrame) -> DataFrame:
+    """Entities with their document as VARIANT, for types without a declared schema; malformed text is null."""
+    return entities.withColumn("data", F.try_parse_json("data"))
+
+
+def upsert_documents(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """``upsert_entities`` for VARIANT documents; equal orders are settled by the document's text."""
+    rows = new if old is None else old.unionByName(new)
+    order = F.struct("block_number", "log_order", F.to_json("data").alias("text"))
+    best = F.max_by(F.struct("data", "block_number", "log_order"), order).alias("r")
+    return rows.groupBy("entity_type", "id").agg(best).select("id", "r.data", "r.block_number", "r.log_order", "entity_type")
+
+
 def write_entities(entities: DataFrame, path: str) -> None:
     """One folder per entity type, so that get and list read their own type only. Types that ``entities`` does not hold stay as they are."""
     entities.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("entity_type").parquet(path)
@@ -51,24 +64,28 @@ def write_entities(entities: DataFrame, path: str) -> None:
 def upsert_stored_entities(new: DataFrame, path: str) -> None:
     """Upsert ``new`` into the entities stored at ``path``: types that it holds are read, merged and replaced, others are not touched.
 
-    The merged types are complete in a folder beside them before any is replaced, so a job that dies in the
+    Documents are stored as they come, as text or (``as_documents``) as VARIANT, one or the other at a path. The
+    merged types are complete in a folder beside them before any is replaced, so a job that dies in the
     middle loses nothing; the next upsert puts a complete one in place first. Upserting rows again changes nothing.
     """
+    kind = new.schema["data"].dataType.simpleString()
+    merge = upsert_documents if kind == "variant" else upsert_entities
     spark, staged = new.sparkSession, f"{path.rstrip('/')}/_staged"
     at = spark._jvm.org.apache.hadoop.fs.Path(staged)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def put_in_place() -> None:
         if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{staged}/_SUCCESS")):
-            write_entities(read_entities(spark, staged), path)
+            write_entities(read_entities(spark, staged, kind), path)
         fs.delete(at, True)
 
     put_in_place()
     types = [r[0] for r in new.select("entity_type").distinct().collect()]  # names of types, not rows
-    old = read_entities(spark, path).where(F.col("entity_type").isin(types)) if types and fs.exists(at.getParent()) else None
-    upsert_entities(old, new).write.partitionBy("entity_type").parquet(staged)
+    old = read_entities(spark, path, kind).where(F.col("entity_type").isin(types)) if types and fs.exists(at.getParent()) else None
+    merge(old, new).write.partitionBy("entity_type").parquet(staged)
     put_in_place()
 
 
-def read_entities(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("id string, data string, block_number long, log_order long, entity_type string").parquet(path)
+def read_entities(spark: SparkSession, path: str, data: str = "string") -> DataFrame:
+    """Stored entities; ``data`` is "variant" where documents were stored as such."""
+    return spark.read.schema(f"id string, data {data}, block_number long, log_order long, entity_type string").parquet(path)

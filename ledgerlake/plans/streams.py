@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.decode import amm, securities
-from ledgerlake.operators import enrich, partials
+from ledgerlake.operators import enrich, entities, partials
+from ledgerlake.operators.upsert import as_documents, read_entities, upsert_stored_entities
 from ledgerlake.plans import registry as _registry
 from ledgerlake.plans.queries import _AGENT, _SWAPS, _period, _pools, _timed, manifest, totals_as_text
 from ledgerlake.plans.registry import query as _query
@@ -82,6 +83,17 @@ def routed_stored_logs(spark: SparkSession, sf: str) -> DataFrame:
     return enrich.route_stored(spark, folder, manifest(spark, sf)).groupBy("handler").agg(F.count("*").alias("logs"))
 
 
+@_query("""SELECT CAST(c_custkey AS VARCHAR) AS id, CAST(round(c_acctbal * 100) AS BIGINT)::VARCHAR AS stake, c_mktsegment AS segment FROM customer WHERE c_mktsegment = 'BUILDING' AND round(c_acctbal * 100) >= 1000 ORDER BY round(c_acctbal * 100) DESC, 1 LIMIT 1000""")
+def stored_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """VARIANT documents upserted on disk, twice those of one type, then filtered and ordered by their paths."""
+    folder, rows = scratch(spark, "documents"), as_documents(synth.entities(spark, sf))
+    upsert_stored_entities(rows, folder)
+    upsert_stored_entities(rows.where("entity_type = 'Delegator'"), folder)
+    stored = read_entities(spark, folder, "variant")
+    found = entities.list_documents(stored, "Validator", 1000, "stake", "desc", {"segment": "BUILDING", "stake_gte": "1000"})
+    return found.select("id", entities.at_path("stake").alias("stake"), entities.at_path("segment").alias("segment"))
+
+
 @_query(_registry.SQL["pool_days"])
 def pool_days_from_states(spark: SparkSession, sf: str) -> DataFrame:
     """Hours of spans of blocks, kept as increments come and merged to days."""

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from ledgerlake import topics as t
 from ledgerlake.decode import defi
-from ledgerlake.operators import enrich
+from ledgerlake.operators import enrich, entities
+from ledgerlake.operators.upsert import as_documents, read_entities, upsert_stored_entities
 from ledgerlake.plans.events import _ONE_OF_EACH
 from ledgerlake.sources import logs as lg
 from ledgerlake.sources import synth
@@ -68,3 +69,18 @@ def test_an_address_leaves_most_files_unread(spark, tmp_path):
     both = rules.union(rules.withColumn("address", F.lit(None).cast("string")).withColumn("topic0", F.lit(t.SYNC)).withColumn("handler", F.lit("any")))
     assert rows_of(enrich.route_stored(spark, sorted_at, both)) == rows_of(enrich.route(rows, both))
     assert enrich.route_stored(spark, sorted_at, rules.limit(0)).count() == 0
+
+
+def test_documents_of_unknown_fields(spark, tmp_path):
+    path = str(tmp_path / "d")
+    kind = "entity_type string, id string, data string, block_number long, log_order long"
+    docs = lambda *r: as_documents(spark.createDataFrame(list(r), kind))
+    upsert_stored_entities(docs(("A", "1", '{"n": 10, "o": {"k": "x"}}', 1, 0), ("A", "2", '{"n": "9", "o": {"k": "y"}}', 1, 0), ("A", "3", '{"o": 5}', 1, 0), ("A", "4", "junk", 1, 0), ("B", "1", '{"z": [1]}', 1, 0)), path)
+    upsert_stored_entities(docs(("A", "2", '{"n": 90.5, "o": {"k": "y"}}', 2, 0), ("A", "5", '{"n": "text"}', 2, 0)), path)
+    stored = read_entities(spark, path, "variant")
+    ids = lambda **k: [r["id"] for r in entities.list_documents(stored, "A", **k).collect()]
+    assert ids(order="n", direction="DESC") == ["2", "1", "5", "3", "4"] and ids() == ["1", "2", "3", "4", "5"] and ids(first=2) == ["1", "2"]
+    assert ids(conditions={"n_gt": 9}) == ["1", "2", "5"] and ids(conditions={"o.k": "y"}) == ["2"] and ids(conditions={"o.k": "y", "n_lt": "90"}) == []
+    assert ids(conditions={"missing": 1}) == [] and ids(conditions={"n_gte": "90.5"}) == ["2", "5"]
+    schemas = {r["entity_type"]: (r["documents"], r["schema"]) for r in entities.document_schemas(stored).collect()}
+    assert schemas["A"][0] == 5 and "n: " in schemas["A"][1] and schemas["B"] == (1, "OBJECT<z: ARRAY<BIGINT>>")
