@@ -2,8 +2,8 @@
 
 The parser reads variable-length EBML ids and sizes, descends into the master elements, and turns
 SimpleBlocks and Blocks (without lacing, or with Xiph, EBML or fixed-size lacing) into a packet
-table: track, timestamp, key flag, the cluster and the byte range of every frame. Cues are read
-beside it. The writer stores bytes losslessly as 8-bit PCM frames and uses each kind of lacing.
+table: track, timestamp (each frame of a lace has its own), key flag (a block in a group is a key frame unless
+it refers to another), the cluster and the byte range of every frame. Cues are read beside it. The writer stores bytes losslessly as 8-bit PCM frames and uses each kind of lacing.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 # Element ids of the Matroska specification.
 EBML, SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_POSITIONS = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0xE1, 0x1F43B675, 0xA0, 0x1C53BB6B, 0xBB, 0xB7
 DOC_TYPE, SCALE, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC, RATE, CHANNELS, DEPTH = 0x4282, 0x2AD7B1, 0xD7, 0x73C5, 0x83, 0x86, 0xB5, 0x9F, 0x6264
-TIMESTAMP, SIMPLE_BLOCK, BLOCK, CUE_TIME, CUE_TRACK, CUE_CLUSTER = 0xE7, 0xA3, 0xA1, 0xB3, 0xF7, 0xF1
+TIMESTAMP, SIMPLE_BLOCK, BLOCK, CUE_TIME, CUE_TRACK, CUE_CLUSTER, REFERENCE, DURATION = 0xE7, 0xA3, 0xA1, 0xB3, 0xF7, 0xF1, 0xFB, 0x23E383
 MASTERS = {EBML, SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_POSITIONS}
 #: Elements that stand directly in a segment: they end a cluster of unknown size.
 TOP_LEVEL = {INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469}
@@ -86,7 +86,7 @@ def write_matroska(payload: bytes, frame: int = 1024, lace: int = 8, blocks: int
     head = element(EBML, element(0x4286, 1) + element(0x42F7, 1) + element(0x42F2, 4) + element(0x42F3, 8) + element(DOC_TYPE, "matroska") + element(0x4287, 4) + element(0x4285, 2))
     info = element(INFO, element(SCALE, 1_000_000) + element(0x4D80, "packets") + element(0x5741, "packets"))
     audio = element(AUDIO, element(RATE, struct.pack(">d", rate)) + element(CHANNELS, 1) + element(DEPTH, 8))
-    body = info + element(TRACKS, element(TRACK, element(TRACK_NUMBER, 1) + element(TRACK_UID, 1) + element(TRACK_TYPE, 2) + element(0x9C, 1) + element(CODEC, "A_PCM/INT/LIT") + audio))
+    body = info + element(TRACKS, element(TRACK, element(TRACK_NUMBER, 1) + element(TRACK_UID, 1) + element(TRACK_TYPE, 2) + element(0x9C, 1) + element(DURATION, frame * 1_000_000_000 // rate) + element(CODEC, "A_PCM/INT/LIT") + audio))
     parts, cues, size = [body], b"", len(body)
     for k, at in enumerate(range(0, len(payload), frame * lace * blocks)):
         base = at * 1000 // rate
@@ -144,6 +144,16 @@ def _unsigned(body: bytes) -> int:
     return value
 
 
+def _nanoseconds(track: dict, length: int) -> int:
+    """How long a frame lasts: the track's default, or else what its bytes of plain samples take; 0 where neither is known."""
+    if "duration" in track:
+        return track["duration"]
+    bits, rate = track.get("depth", 0) * track.get("channels", 1), track.get("rate", 0)
+    if not track.get("codec", "").startswith("A_PCM") or not bits or not 0 < rate < float("inf"):
+        return 0
+    return int(length * 8 * 1_000_000_000 / (bits * rate))
+
+
 #: Master elements lie this deep at most; a file that nests deeper is broken.
 DEEPEST = 16
 
@@ -158,13 +168,16 @@ def parse_matroska(data: bytes) -> Media:
 
 def _parse(data: bytes) -> Media:
     out = Media()
-    now = {"cluster": 0, "time": 0, "segment": 0, "cue": [0, 0, 0]}
+    now = {"cluster": 0, "time": 0, "segment": 0, "cue": [0, 0, 0], "reference": False}
+    numbered: dict[int, dict] = {}
 
     def block(at: int, end: int, key: bool | None) -> None:
         track, width = read_vint(data, at)
         relative, flags = struct.unpack_from(">hB", data, at + width)
+        told, before = numbered.get(track, {}), 0
         for start, n in _frames(data, at + width + 3, end, flags):
-            out.packets.append((track, now["time"] + relative, bool(flags & 0x80) if key is None else key, now["cluster"], start, n))
+            out.packets.append((track, now["time"] + relative + before // max(1, out.scale), bool(flags & 0x80) if key is None else key, now["cluster"], start, n))
+            before += _nanoseconds(told, n)
 
     def walk(at: int, end: int, parent: int, deep: int = 0) -> int:
         if deep > DEEPEST:
@@ -187,12 +200,19 @@ def _parse(data: bytes) -> Media:
                 out.tracks.append({})
             elif ident == CUE_POINT:
                 now["cue"] = [0, 0, 0]
+            elif ident == BLOCK_GROUP:
+                now["reference"] = False
             if ident in MASTERS:
+                first = len(out.packets)
                 stop = walk(start, stop, ident, deep + 1)
+                if ident == BLOCK_GROUP and now["reference"]:  # wherever in the group it stands
+                    out.packets[first:] = [(*p[:2], False, *p[3:]) for p in out.packets[first:]]
                 if ident == CUE_POSITIONS:
                     out.cues.append((now["cue"][0], now["cue"][1], now["segment"] + now["cue"][2]))
             elif ident in (SIMPLE_BLOCK, BLOCK):
-                block(start, stop, None if ident == SIMPLE_BLOCK else False)
+                block(start, stop, None if ident == SIMPLE_BLOCK else True)
+            elif ident == REFERENCE:
+                now["reference"] = True
             elif ident == TIMESTAMP:
                 now["time"] = _unsigned(body())
             elif ident in (CUE_TIME, CUE_TRACK, CUE_CLUSTER):
@@ -202,9 +222,11 @@ def _parse(data: bytes) -> Media:
             elif ident == DOC_TYPE:
                 out.doc_type = body().rstrip(b"\0").decode("ascii", "replace")
             elif parent in (TRACK, AUDIO) and out.tracks:
-                name = {TRACK_NUMBER: "number", TRACK_TYPE: "type", CODEC: "codec", RATE: "rate", CHANNELS: "channels", DEPTH: "depth"}.get(ident)
+                name = {TRACK_NUMBER: "number", TRACK_TYPE: "type", CODEC: "codec", RATE: "rate", CHANNELS: "channels", DEPTH: "depth", DURATION: "duration"}.get(ident)
                 if name:
                     out.tracks[-1][name] = body().decode("ascii", "replace") if ident == CODEC else struct.unpack(">d" if stop - start == 8 else ">f", body())[0] if ident == RATE else _unsigned(body())
+                    if name == "number":
+                        numbered[out.tracks[-1]["number"]] = out.tracks[-1]
             at = stop
         return at
 

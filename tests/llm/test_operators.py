@@ -649,10 +649,20 @@ def test_matroska_packets(spark):
     payload = bytes(range(256)) * 1100
     m = matroska.parse_matroska(matroska.write_matroska(payload, frame=700, lace=5, blocks=4))
     assert b"".join(matroska.write_matroska(payload, frame=700, lace=5, blocks=4)[s : s + n] for *_, s, n in m.packets) == payload
-    assert m.doc_type == "matroska" and m.tracks == [{"number": 1, "type": 2, "codec": "A_PCM/INT/LIT", "rate": 8000.0, "channels": 1, "depth": 8}]
+    assert m.doc_type == "matroska" and m.tracks == [{"number": 1, "type": 2, "codec": "A_PCM/INT/LIT", "rate": 8000.0, "channels": 1, "depth": 8, "duration": 87_500_000}]
     assert [c for _, _, c in m.cues] == m.clusters
     times = [t for _, t, *_ in m.packets]
-    assert times == sorted(times) and times[-1] >= 1000 * (len(payload) - 5 * 700) // 8000
+    assert times == sorted(times) and times[-1] >= 1000 * (len(payload) - 700) // 8000 - 1
+    laced = matroska.parse_matroska(matroska.write_matroska(bytes(8192)))
+    assert [t for _, t, *_ in laced.packets] == [128 * k for k in range(8)]
+    # without a default duration, plain samples say how long they last; a reference before or after its block ends its key flag
+    audio = matroska.element(matroska.AUDIO, matroska.element(matroska.RATE, b"\x45\xfa\x00\x00") + matroska.element(matroska.CHANNELS, 2) + matroska.element(matroska.DEPTH, 16))
+    tracks = [matroska.element(matroska.TRACK, matroska.element(matroska.TRACK_NUMBER, 2) + (matroska.element(matroska.CODEC, "A_PCM/INT/LIT") if pcm else b"") + audio) for pcm in (True, False)]
+    lace = matroska.element(matroska.BLOCK, b"\x82\x00\x05\x04\x01" + bytes(2 * 640))
+    groups = [matroska.element(matroska.BLOCK_GROUP, x) for x in (lace, lace + matroska.element(matroska.REFERENCE, 1), matroska.element(matroska.REFERENCE, 1) + lace)]
+    for track, steps in zip(tracks, (20, 0), strict=True):
+        m = matroska.parse_matroska(matroska.element(matroska.SEGMENT, matroska.element(matroska.TRACKS, track) + matroska.element(matroska.CLUSTER, b"".join(groups))))
+        assert [p[1:3] for p in m.packets] == [(5, True), (5 + steps, True), (5, False), (5 + steps, False), (5, False), (5 + steps, False)]
     # a cluster and a segment of unknown size, a block group, an element to skip
     block = matroska.element(matroska.BLOCK, b"\x82\x00\x05\x00abc")
     body = matroska.element(matroska.TIMESTAMP, 7) + matroska.element(matroska.BLOCK_GROUP, block + matroska.element(0x9B, 3)) + matroska.element(0xEC, b"xx")
