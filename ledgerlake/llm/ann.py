@@ -173,7 +173,8 @@ def nearest(table: DataFrame, ident: str = "vec_id", vector: str = "embedding",
     result. The sample of ``sample_rows`` (of 40 MB at most) shapes the trees only; every vector is
     indexed. ``leaves`` are taken for each query, by default 16 for every level of the trees, doubled
     until a block of 64 queries finds a share of ``recall`` of its true neighbours, which are sought
-    by brute force. A leaf is dealt into blocks of about ``block_rows``.
+    by brute force. A leaf is dealt into blocks of about ``block_rows``. A query whose leaves hold fewer than ``k``
+    other vectors is compared with all of them, so it gets ``k`` rows wherever there are as many.
     """
     vectors = staged(distinct_vectors(table, ident, vector, k + 1).withColumn("key", F.unhex(F.sha2("vec", 256))))
     plain = table.select(F.col(ident).cast("long").alias("query_id"), vector).where(F.col("query_id") % every == 0)
@@ -237,26 +238,41 @@ def _nearest_of_width(vectors: DataFrame, queries: DataFrame, width: int, n: int
                         hits += [(i, t, leaf, b, own) for b in range(tree.blocks(leaf, n, block_rows))]
                 yield dealt(batch, hits)
 
-    def rerank(asked: pa.Table, held: pa.Table) -> pa.Table:
+    found_table = "qkey binary, score double, vec_id long"
+
+    def scored(q: np.ndarray, keys: list[bytes], c: np.ndarray, ids: list[list[int]]) -> pa.Table:
         out: list[tuple] = []
-        if asked.num_rows and held.num_rows:
-            q, c = _rows(asked.column("qvec")), _rows(held.column("vec"))
-            keys, ids = asked.column("qkey").to_pylist(), held.column("ids").to_pylist()
-            least = np.array([x[0] for x in ids])
-            norms = np.sqrt((c * c).sum(1))
-            for at in range(0, len(q), 256):
-                rough = (q[at : at + 256] @ c.T) / norms[None, :]
-                for j, line in enumerate(rough):
-                    # a margin over rounding, then the measure itself on the original vectors
-                    enough = np.partition(line, -(k + 1))[-(k + 1)] if len(line) > k + 1 else -np.inf
-                    near = np.flatnonzero(line >= enough - 1e-9 * np.abs(line).max())
-                    one = q[at + j]
-                    exact = (c[near] * one).sum(1) / (np.sqrt((one * one).sum()) * norms[near])
-                    for x in np.lexsort((least[near], -exact))[: k + 1]:
-                        out += [(keys[at + j], float(exact[x]), i) for i in ids[near[x]]]
+        least = np.array([x[0] for x in ids])
+        norms = np.sqrt((c * c).sum(1))
+        for at in range(0, len(q) if len(c) else 0, 256):
+            rough = (q[at : at + 256] @ c.T) / norms[None, :]
+            for j, line in enumerate(rough):
+                # a margin over rounding, then the measure itself on the original vectors
+                enough = np.partition(line, -(k + 1))[-(k + 1)] if len(line) > k + 1 else -np.inf
+                near = np.flatnonzero(line >= enough - 1e-9 * np.abs(line).max())
+                one = q[at + j]
+                exact = (c[near] * one).sum(1) / (np.sqrt((one * one).sum()) * norms[near])
+                for x in np.lexsort((least[near], -exact))[: k + 1]:
+                    out += [(keys[at + j], float(exact[x]), i) for i in ids[near[x]]]
         a, b, i = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"qkey": pa.array(a, pa.binary()), "score": pa.array(b, pa.float64()), "vec_id": pa.array(i, pa.int64())})
 
+    def rerank(asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not asked.num_rows or not held.num_rows:
+            return scored(np.empty((0, 1)), [], np.empty((0, 1)), [])
+        return scored(_rows(asked.column("qvec")), asked.column("qkey").to_pylist(), _rows(held.column("vec")), held.column("ids").to_pylist())
+
+    def against_all(block: list) -> DataFrame:
+        """Scores of a block of queries against every vector, a few from each batch of them."""
+        q, keys = np.frombuffer(b"".join(r["vec"] for r in block), "<f8").reshape(len(block), -1), [bytes(r["qkey"]) for r in block]
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if len(batch):
+                    yield from scored(q, keys, _rows(batch.column("vec")), batch.column("ids").to_pylist()).to_batches()
+
+        return vectors.select("vec", "ids").mapInArrow(scan, found_table)
+
     if leaves is None:
         some = [r["vec"] for r in queries.select("qkey", "vec").distinct().orderBy("qkey").limit(64).collect()]
         block = np.frombuffer(b"".join(some), "<f8").reshape(-1, width // 8)
@@ -265,8 +281,26 @@ def _nearest_of_width(vectors: DataFrame, queries: DataFrame, width: int, n: int
     spot = "tree int, leaf long, held_block int, asked_block int"
     asked = queries.groupBy("qkey").agg(F.first("vec").alias("qvec")).mapInArrow(look, f"{spot}, qkey binary, qvec binary")
     held = vectors.select("vec", "ids", "key").mapInArrow(index, f"{spot}, vec binary, ids array<long>")
-    hits = asked.groupBy(*place).cogroup(held.groupBy(*place)).applyInArrow(rerank, "qkey binary, score double, vec_id long")
-    # at most leaves * blocks * (k + 1)^2 rows per distinct query vector
-    best = hits.groupBy("qkey").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k + 1).alias("best"))
-    own = queries.join(best, "qkey").select("query_id", F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("best"))
-    return own.select("query_id", F.posexplode("best").alias("r", "b")).select("query_id", (F.col("r") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.s")).alias("score"))
+    hits = asked.groupBy(*place).cogroup(held.groupBy(*place)).applyInArrow(rerank, found_table)
+
+    def best_of(scores: DataFrame) -> DataFrame:
+        # at most leaves * blocks * (k + 1)^2 rows per distinct query vector
+        return scores.groupBy("qkey").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k + 1).alias("best"))
+
+    def own(asking: DataFrame, scores: DataFrame) -> DataFrame:
+        empty = F.array().cast("array<struct<s:double,vec_id:bigint>>")
+        return asking.join(best_of(scores), "qkey", "left").select("query_id", "qkey", "vec", F.slice(F.filter(F.coalesce("best", empty), lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("best"))
+
+    found = staged(own(queries, hits))
+    short = found.where(F.size("best") < k).select("query_id", "qkey", "vec")
+    # the leaves of these hold too few vectors, or the table does: they are compared with all, a bounded block at a time
+    blocks = -(-short.count() // 2048)
+    of_block = F.pmod(F.xxhash64("qkey"), F.lit(max(1, blocks)))
+    parts = [found.where(F.size("best") == k)]
+    for b in range(blocks):
+        asking = short.where(of_block == b)
+        block = asking.select("qkey", "vec").distinct().collect()
+        if block:
+            parts.append(own(asking, against_all(block)))
+    every_one = reduce(DataFrame.unionByName, parts)
+    return every_one.select("query_id", F.posexplode("best").alias("r", "b")).select("query_id", (F.col("r") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.s")).alias("score"))
