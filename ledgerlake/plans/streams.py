@@ -11,15 +11,15 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.decode import amm, securities
-from ledgerlake.operators import enrich, entities, partials
+from ledgerlake.decode import amm, defi, securities
+from ledgerlake.operators import enrich, entities, partials, rollups
 from ledgerlake.operators.upsert import as_documents, read_entities, upsert_stored_entities
 from ledgerlake.plans import registry as _registry
 from ledgerlake.plans.queries import _AGENT, _SWAPS, _period, _pools, _timed, manifest, totals_as_text
 from ledgerlake.plans.registry import query as _query
 from ledgerlake.sources import synth
 from ledgerlake.sources.logs import write_logs_by_address
-from ledgerlake.streaming import index, state
+from ledgerlake.streaming import index, progress, state
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -115,6 +115,29 @@ def pool_totals_from_states(spark: SparkSession, sf: str) -> DataFrame:
     return totals_as_text(partials.pool_totals(partials.merge_periods(hours, "pool"), _pools(spark, sf)))
 
 
+@_query(_registry.SQL["pool_days"])
+def streamed_pool_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Days by two stateful operators, swaps in no order; a mark far in the future, in the last file, closes every day but its own."""
+    folder, late = scratch(spark, "days"), 400_000
+    swaps = _timed(spark, sf).select("id", "pool", "timestamp", "amount0", "amount1", "amountUSD", "block_number", "log_order")
+    stream = as_stream(swaps, f"{folder}/in")
+    mark = F.lit(swaps.agg(F.max("timestamp")).first()[0] + (late + 3) * rollups.DAY)
+    spark.range(1).select(F.lit("mark").alias("id"), F.lit("mark").alias("pool"), mark.cast("bigint").alias("timestamp"), *[F.lit("1").alias(c) for c in ("amount0", "amount1", "amountUSD")], F.lit(0).cast("bigint").alias("block_number"), F.lit(0).cast("bigint").alias("log_order")).write.mode("append").parquet(f"{folder}/in")
+    days = run_to_the_end(index.day_stream(index.watermarked(stream, f"{late} days"), _pools(spark, sf)), folder)
+    return _period(days, "pool", "date")
+
+
+@_query("""WITH l AS (SELECT o_orderkey AS b FROM orders), m AS (SELECT max(b) AS top, max(b) // 8 AS step FROM l), s AS (SELECT unnest(range(0, top + 1, step + 1)) AS f, top, step FROM m)
+SELECT CAST(f AS BIGINT) AS first_block, CAST(least(f + step, top) AS BIGINT) AS last_block, (SELECT count(*) FROM l WHERE b BETWEEN f AND f + step) AS events, CAST(top - least(f + step, top) AS BIGINT) AS lag FROM s""")
+def indexed_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """Progress of an index run over votes in steps of blocks, and of a second run that finds nothing new."""
+    folder, logs = scratch(spark, "progress"), synth.vote_logs(spark, sf)
+    step = logs.agg(F.max("block_number")).first()[0] // 8
+    for _ in range(2):
+        progress.index_new_blocks(logs, f"{folder}/progress", "votes", lambda part: index.merge_batch(defi.votes(part), f"{folder}/votes", ("contract", "tx_hash", "log_index"), span=step + 1), step=step)
+    return progress.read_progress(spark, f"{folder}/progress").select("first_block", "last_block", "events", "lag")
+
+
 @_query(f"""WITH {_AGENT}, f AS (SELECT * FROM a WHERE event_type IN ('click', 'view')), x AS (SELECT * FROM a WHERE event_type IN ('error', 'signup'))
 SELECT 'total' AS change, CAST(event_id AS VARCHAR) AS id, CAST(sum(CASE WHEN event_type = 'click' THEN c ELSE -c END) OVER (PARTITION BY token, usr ORDER BY event_id) AS VARCHAR) AS value FROM f
 UNION ALL SELECT 'tokens', token || ':' || usr, CASE arg_max(event_type, event_id) WHEN 'click' THEN 'TokensFrozen ' ELSE 'TokensUnfrozen ' END || arg_max(c, event_id) FROM f GROUP BY token, usr
