@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 from ledgerlake import topics as t
 from ledgerlake.decode import defi
 from ledgerlake.operators import enrich, entities
-from ledgerlake.operators.upsert import as_documents, read_entities, upsert_stored_entities
+from ledgerlake.operators.upsert import as_documents, read_entities, upsert, upsert_stored_entities
 from ledgerlake.plans.events import _ONE_OF_EACH
+from ledgerlake.sources import bucketed, synth
 from ledgerlake.sources import logs as lg
-from ledgerlake.sources import synth
 
 
 def rows_of(df):
@@ -84,3 +84,40 @@ def test_documents_of_unknown_fields(spark, tmp_path):
     assert ids(conditions={"missing": 1}) == [] and ids(conditions={"n_gte": "90.5"}) == ["2", "5"]
     schemas = {r["entity_type"]: (r["documents"], r["schema"]) for r in entities.document_schemas(stored).collect()}
     assert schemas["A"][0] == 5 and "n: " in schemas["A"][1] and schemas["B"] == (1, "OBJECT<z: ARRAY<BIGINT>>")
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def on_table(df):
+    """Whether an exchange stands between the table in buckets and the join."""
+    return "Bucketed: true" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bucketed_tables_stay_where_they_are(spark, tmp_path):
+    name = lambda k: f"t_{k}_{abs(hash(str(tmp_path)))}"
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(500).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("id"), (F.col("id") % 50).alias("block_number"), F.lit(0).cast("bigint").alias("log_order"), F.concat(F.lit("p"), (F.col("id") % 7).cast("string")).alias("pool"), F.lit(None).cast("bigint").alias("timestamp"))
+        batch = rows.where("block_number % 3 = 0").select("id", (F.col("block_number") + F.when(F.col("block_number") % 2 == 0, 1).otherwise(-1)).alias("block_number"), "log_order", F.lit("px").alias("pool"), "timestamp").unionByName(rows.limit(3)).unionByName(rows.limit(1).withColumn("id", F.lit("new")))
+        table = bucketed.write_bucketed(rows, name("swaps"), ["id"], 4, f"{tmp_path}/swaps")
+        merged = bucketed.upsert_bucketed(table, batch, 4)
+        assert rows_of(merged) == rows_of(upsert(rows, batch)) and exchanges(merged) == 1 and not on_table(merged)  # the batch's own
+        stored = bucketed.merge_into(spark, name("swaps"), batch, ["id"], 4, name("next"), f"{tmp_path}/next")
+        assert rows_of(stored) == rows_of(merged) and len(list((tmp_path / "next").glob("*.parquet"))) == 4
+        assert rows_of(bucketed.upsert_bucketed(stored, batch, 4)) == rows_of(stored)
+        blocks = bucketed.write_bucketed(spark.range(50).select(F.col("id").alias("number"), (F.col("id") * 10).alias("timestamp")), name("blocks"), ["number"], 4, f"{tmp_path}/blocks")
+        by_block = bucketed.write_bucketed(rows, name("by_block"), ["block_number"], 4, f"{tmp_path}/by_block")
+        timed = enrich.with_block_time(by_block, blocks)
+        assert exchanges(timed) == 0 and timed.where("timestamp = block_number * 10").count() == 500
+        tokens = spark.createDataFrame([("t0", "S0", "N0", 18), ("t1", "S1", "N1", 6)], "id string, symbol string, name string, decimals long")
+        pools = spark.range(6).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("id"), F.lit("t0").alias("token0"), F.lit("t1").alias("token1"), F.lit(500).cast("bigint").alias("feeTier"))
+        by_pool = bucketed.write_bucketed(rows, name("by_pool"), ["pool"], 4, f"{tmp_path}/by_pool")
+        full = enrich.with_pools(by_pool, pools, tokens)
+        plan = full._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.split("\n") if "Exchange" in x and "pool_id" in x] and "Bucketed: true" in plan
+        assert rows_of(full.select("id", "pool.token0.symbol")) == rows_of(enrich.with_pools(rows, pools, tokens).select("id", "pool.token0.symbol"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
