@@ -110,6 +110,38 @@ WITH RECURSIVE bytes AS (
 SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM formed f LEFT JOIN ends e ON e.word = f.word
 """
 
+def _op13_sql(k: int = 4, share: float = 0.8, slack: int = 4, gap: int = 12) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    templates = ", ".join(f"({n}, {quoted(label)}, {quoted(text)})" for n, (label, text) in enumerate(licenses.TEMPLATES))
+    words = rf"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.BETWEEN}'), lambda x: x <> '')"
+    found = []
+    for phrase, label in licenses.PHRASES.items():
+        here = " AND ".join(f"w[i + {j}] = {quoted(x)}" for j, x in enumerate(phrase.split(), 1))
+        found.append(f"list_transform(list_filter(range(0, len(w)), lambda i: {here}), lambda i: {{'i': i, 'l': {quoted(label)}}})")
+    return rf"""
+WITH t AS (SELECT template, label, {words} AS w FROM (VALUES {templates}) x(template, label, text)
+), d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents
+), b AS (SELECT r, doc_id, len(w) AS n, list_concat(list_concat({found[0]}, {found[1]}), {found[2]}) AS f FROM d
+), tg AS (SELECT template, label, len(w) AS n, p, array_to_string(w[p + 1:p + {k}], ' ') AS g FROM (SELECT *, unnest(range(0, len(w) - {k - 1})) AS p FROM t)
+), dg AS (SELECT r, a, array_to_string(w[a + 1:a + {k}], ' ') AS g FROM (SELECT *, unnest(range(0, len(w) - {k - 1})) AS a FROM d)
+), hits AS (SELECT r, template, label, n, a, p, a - p AS diagonal FROM dg JOIN tg USING (g)
+), diagonals AS (SELECT r, template, diagonal, min(a) AS lo, max(a) AS hi FROM hits GROUP BY ALL
+), steps AS (
+  SELECT *, lag(diagonal) OVER w AS before, max(hi) OVER (PARTITION BY r, template ORDER BY diagonal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top,
+    min(lo) OVER (PARTITION BY r, template ORDER BY diagonal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM diagonals WINDOW w AS (PARTITION BY r, template ORDER BY diagonal)
+), spans AS (
+  SELECT r, template, diagonal, sum(CASE WHEN diagonal - before > {slack} OR lo > top + {k + gap} OR hi + {k + gap} < low THEN 1 ELSE 0 END) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM steps
+), covered AS (
+  SELECT DISTINCT r, template, label, n, span, unnest(range(p, p + {k})) AS c FROM hits JOIN spans USING (r, template, diagonal)
+), scored AS (SELECT r, label, count(*) / n AS score FROM covered GROUP BY r, template, label, n, span
+), own AS (SELECT r, max(score) AS score, list(label) FILTER (score >= {share}) AS l FROM scored GROUP BY r)
+SELECT doc_id, CAST(b.n AS BIGINT) AS n_words, CAST(len(f) AS BIGINT) AS n_base, CAST(list_min(list_transform(f, lambda x: x.i)) AS BIGINT) AS first_word, CAST(list_max(list_transform(f, lambda x: x.i)) AS BIGINT) AS last_word,
+  coalesce(array_to_string(list_sort(list_distinct(list_transform(f, lambda x: x.l))), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(list_transform(f, lambda x: x.l), coalesce(own.l, [])))), ','), '') AS labels, coalesce(own.score, 0.0)::DOUBLE AS score
+FROM b LEFT JOIN own ON own.r = b.r
+"""
+
+
 OP6_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -136,4 +168,4 @@ FROM words LEFT JOIN kept USING (r)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substring_dedup": OP6_SQL, "op12_spelling_variants": OP12_SQL}
+    return {"op6_substring_dedup": OP6_SQL, "op12_spelling_variants": OP12_SQL, "op13_license_scan": _op13_sql()}

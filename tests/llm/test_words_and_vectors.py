@@ -253,7 +253,7 @@ def test_license_scan_has_no_python(spark, sf_dir):
     assert not re.search("Python|Pandas|Arrow|Cartesian", plan) and plan.count("Exchange hashpartitioning") == 1
 
 
-@pytest.mark.parametrize("name", ["op12_spelling_variants"])
+@pytest.mark.parametrize("name", ["op12_spelling_variants", "op13_license_scan"])
 def test_sql(spark, sf_dir, name):
     import duckdb
 
