@@ -33,18 +33,22 @@ def merged_columns(states: DataFrame) -> list[Column]:
     return [F.sum("txCount").alias("txCount"), _total(F.col("volumeUSD"), F.col("volumeUSD").isNull()).alias("volumeUSD"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("high").alias("high"), F.min("low").alias("low"), F.min("block_number").alias("block_number"), *limbs]
 
 
-def _states(rows: DataFrame, keys: Sequence[str], amounts: Sequence[str], priced_at: Column) -> DataFrame:
-    return rows.withColumn("hour", bucket(HOUR)).withColumn("price", priced_at).groupBy(*keys, "hour").agg(*state_columns(amounts))
+def _states(rows: DataFrame, keys: Sequence[str], amounts: Sequence[str], priced_at: Column, span: int | None) -> DataFrame:
+    spans = [F.floor(F.col("block_number") / span).alias("span")] if span else []
+    return rows.withColumn("hour", bucket(HOUR)).withColumn("price", priced_at).groupBy(*keys, "hour", *spans).agg(*state_columns(amounts)).drop("span")
 
 
-def pool_states(swaps: DataFrame) -> DataFrame:
-    """A state for every pool and hour of ``swaps``, which have unix seconds in ``timestamp`` and text in ``amountUSD``."""
-    return _states(swaps, ["pool"], ["amount0", "amount1"], price())
+def pool_states(swaps: DataFrame, span: int | None = None) -> DataFrame:
+    """A state for every pool and hour of ``swaps``, which have unix seconds in ``timestamp`` and text in ``amountUSD``.
 
+    Give ``span`` where the states are kept by spans of so many blocks: an hour's states then never hold blocks of two spans.
+    """
+    return _states(swaps, ["pool"], ["amount0", "amount1"], price(), span)
 
-def token_states(swaps: DataFrame, pools: DataFrame) -> DataFrame:
-    """A state for every token and hour; a swap counts for both of its tokens."""
-    return _states(by_token(swaps, pools), ["token"], ["amount"], price("amount", "other"))
+
+def token_states(swaps: DataFrame, pools: DataFrame, span: int | None = None) -> DataFrame:
+    """A state for every token and hour; a swap counts for both of its tokens. ``span`` as above."""
+    return _states(by_token(swaps, pools), ["token"], ["amount"], price("amount", "other"), span)
 
 
 def merge_states(states: DataFrame, *by: str) -> DataFrame:

@@ -55,6 +55,12 @@ def as_stream(rows: DataFrame, folder: str, batches: int = 3) -> DataFrame:
     """``rows`` written to files, and read as a stream of about so many batches, in no order of blocks."""
     spark = rows.sparkSession
     rows.repartition(max(batches, spark.sparkContext.defaultParallelism // 2)).write.parquet(folder)
+def written(rows: DataFrame, folder: str) -> DataFrame:
+    """``rows`` from files, for what reads them several times: logs are decoded once."""
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
     files = len(spark.read.parquet(folder).inputFiles())
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", math.ceil(files / batches)).parquet(folder)
 
@@ -66,13 +72,18 @@ def run_to_the_end(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def _stored_states(spark: SparkSession, sf: str, make: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """States of the swaps that three increments of blocks leave, the first of which comes again at the end."""
-    folder, swaps = scratch(spark, name), _timed(spark, sf)
-    parts = [swaps.where(F.col("block_number") % 3 == k) for k in range(3)]
-    span = 1 + swaps.agg(F.max("block_number")).first()[0] // 8
+def _stored_states(spark: SparkSession, sf: str, make: Callable[[DataFrame, int], DataFrame], name: str) -> DataFrame:
+    """States of the swaps that three increments of blocks leave, the first of which comes again at the end.
+
+    Increments are ranges that end inside a span, so one span gets rows of two of them.
+    """
+    folder = scratch(spark, name)
+    swaps = written(_timed(spark, sf), f"{folder}/in")
+    top = swaps.agg(F.max("block_number")).first()[0]
+    span = 1 + top // 8
+    parts = [swaps.where(F.floor(F.col("block_number") * 3 / (top + 1)) == k) for k in range(3)]
     for part in (*parts, parts[0]):
-        index.merge_batch(part, f"{folder}/swaps", derived={f"{folder}/states": make}, span=span)
+        index.merge_batch(part, f"{folder}/swaps", derived={f"{folder}/states": lambda rows: make(rows, span)}, span=span)
     return index.read_table(spark, f"{folder}/states")
 
 
@@ -117,7 +128,7 @@ def pool_days_from_states(spark: SparkSession, sf: str) -> DataFrame:
 @_query(_registry.SQL["token_days"])
 def token_days_from_states(spark: SparkSession, sf: str) -> DataFrame:
     pools = _pools(spark, sf)
-    states = _stored_states(spark, sf, lambda swaps: partials.token_states(swaps, pools), "token-states")
+    states = _stored_states(spark, sf, lambda swaps, span: partials.token_states(swaps, pools, span), "token-states")
     return _period(partials.token_period(states), "token", "date")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlake.operators import partials
 from ledgerlake.operators.rollups import DAY, HOUR, by_token, factory_columns, ohlc, price, with_fees
-from ledgerlake.operators.upsert import latest_by_key, upsert
+from ledgerlake.operators.upsert import upsert
 from ledgerlake.sources.logs import known_events, normalise
 from ledgerlake.topics import ALL
 
@@ -93,13 +93,12 @@ def merge_batch(batch: DataFrame, path: str, keys: Sequence[str] = ("id",), by:
     the batch falls into are read and written.
     """
     spark, bucket = batch.sparkSession, _bucket(by or keys, buckets, span)
-    newest = latest_by_key(batch, keys, order)
-    touched = [r["bucket"] for r in newest.select(bucket).distinct().collect()]  # a few numbers
+    touched = [r["bucket"] for r in batch.select(bucket).distinct().collect()]  # a few numbers
     if not touched:
         return
     _finish(spark, path)
     old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).drop("bucket") if _has_rows(spark, path) else None
-    _replace(upsert(old, newest, keys, order), path, bucket)
+    _replace(upsert(old, batch, keys, order), path, bucket)
     for name, make in (derived or {}).items():
         own = spark.read.parquet(path).where(F.col("bucket").isin(touched)).drop("bucket")
         _replace(make(own), name, bucket)
