@@ -18,7 +18,7 @@ from ledgerlake.plans import registry as _registry
 from ledgerlake.plans.queries import _AGENT, _SWAPS, _period, _pools, _timed, manifest, totals_as_text
 from ledgerlake.plans.registry import query as _query
 from ledgerlake.sources import synth
-from ledgerlake.sources.bucketed import merge_into, write_bucketed
+from ledgerlake.sources.bucketed import buckets_for, merge_into, write_bucketed
 from ledgerlake.sources.logs import write_logs_by_address
 from ledgerlake.streaming import index, progress, state
 
@@ -92,8 +92,8 @@ def bucketed_upserts(spark: SparkSession, sf: str) -> DataFrame:
     """Two batches and a replay into tables in buckets of the id, which stay where they are."""
     rows, folder = amm.swaps_v2(synth.swap_v2_logs(spark, sf)), scratch(spark, "buckets")
     first, second = (rows.where(F.col("block_number") % 2 == k) for k in (0, 1))
-    names = [f"swaps_{uuid.uuid4().hex}" for _ in range(3)]
-    write_bucketed(latest_by_key(first, ("id",)), names[0], ["id"], 8, f"{folder}/0")
+    names, buckets = [f"swaps_{uuid.uuid4().hex}" for _ in range(3)], buckets_for(rows)
+    write_bucketed(latest_by_key(first, ("id",)), names[0], ["id"], buckets, f"{folder}/0")
     for k, batch in ((1, second), (2, second)):
         merge_into(spark, names[k - 1], batch, ["id"], 8, names[k], f"{folder}/{k}")
     return spark.table(names[2]).select("id", "pool", "amount0", "amount1", "sender")

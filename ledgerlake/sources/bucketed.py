@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from ledgerlake.operators.upsert import latest_by_key
 
 
+def buckets_for(rows: DataFrame, each: int = 500_000, least: int = 8) -> int:
+    """Buckets of about ``each`` rows for a table that will hold ``rows``, so that a task's memory does not grow with the table."""
+    return max(least, -(-rows.count() // each))
+
+
 def write_bucketed(rows: DataFrame, name: str, by: Sequence[str], buckets: int, path: str | None = None) -> DataFrame:
     """Store ``rows`` as table ``name`` in sorted buckets of ``by``, at ``path`` if given, and read it back.
 
