@@ -23,6 +23,10 @@ from ledgerlake.sources.logs import write_logs_by_address
 from ledgerlake.streaming import index, progress, state
 
 
+#: Changes of the state are stored instead of whole snapshots, and no write reads first to count rows.
+_ON_DISK = {"changelogCheckpointing__enabled": "true", "boundedMemoryUsage": "true", "trackTotalNumberOfRows": "false"}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under the one that the cluster names in spark.checkpoint.dir; under a temporary one in local mode only."""
     sc = spark.sparkContext
@@ -51,24 +55,25 @@ def session(spark: SparkSession, **conf: str) -> Iterator[None]:
             spark.conf.unset(n) if v is None else spark.conf.set(n, v)
 
 
-def as_stream(rows: DataFrame, folder: str, batches: int = 3) -> DataFrame:
-    """``rows`` written to files, and read as a stream of about so many batches, in no order of blocks."""
-    spark = rows.sparkSession
-    rows.repartition(max(batches, spark.sparkContext.defaultParallelism // 2)).write.parquet(folder)
 def written(rows: DataFrame, folder: str) -> DataFrame:
     """``rows`` from files, for what reads them several times: logs are decoded once."""
     rows.write.parquet(folder)
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 
+def as_stream(rows: DataFrame, folder: str, batches: int = 3) -> DataFrame:
+    """``rows`` written to files, and read as a stream of about so many batches, in no order of blocks."""
+    spark = rows.sparkSession
+    rows.repartition(max(batches, spark.sparkContext.defaultParallelism)).write.parquet(folder)
     files = len(spark.read.parquet(folder).inputFiles())
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", math.ceil(files / batches)).parquet(folder)
 
 
 def run_to_the_end(stream: DataFrame, folder: str) -> DataFrame:
-    """The rows that an append stream has written once all that is available is processed."""
-    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    """The rows that an append stream has written once all that is available is processed. Its state is kept on disk, in bounded memory: it grows with the rows."""
+    with session(stream.sparkSession, spark__sql__streaming__stateStore__providerClass=state.ROCKSDB, **{f"spark__sql__streaming__stateStore__rocksdb__{k}": v for k, v in _ON_DISK.items()}):
+        query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
@@ -145,7 +150,7 @@ def streamed_pool_days(spark: SparkSession, sf: str) -> DataFrame:
     folder, late = scratch(spark, "days"), 400_000
     swaps = _timed(spark, sf).select("id", "pool", "timestamp", "amount0", "amount1", "amountUSD", "block_number", "log_order")
     stream = as_stream(swaps, f"{folder}/in")
-    mark = F.lit(swaps.agg(F.max("timestamp")).first()[0] + (late + 3) * rollups.DAY)
+    mark = F.lit(spark.read.parquet(f"{folder}/in").agg(F.max("timestamp")).first()[0] + (late + 3) * rollups.DAY)
     spark.range(1).select(F.lit("mark").alias("id"), F.lit("mark").alias("pool"), mark.cast("bigint").alias("timestamp"), *[F.lit("1").alias(c) for c in ("amount0", "amount1", "amountUSD")], F.lit(0).cast("bigint").alias("block_number"), F.lit(0).cast("bigint").alias("log_order")).write.mode("append").parquet(f"{folder}/in")
     days = run_to_the_end(index.day_stream(index.watermarked(stream, f"{late} days"), _pools(spark, sf)), folder)
     return _period(days, "pool", "date")
@@ -170,8 +175,7 @@ def streamed_freezes(spark: SparkSession, sf: str) -> DataFrame:
     """Accounts, tokens and running totals from keyed state, over batches in no order."""
     folder = scratch(spark, "freezes")
     actions = as_stream(securities.transfer_agent_actions(synth.agent_logs(spark, sf)), f"{folder}/in")
-    with session(spark, spark__sql__streaming__stateStore__providerClass=state.ROCKSDB):
-        changes = run_to_the_end(state.freeze_changes(actions, horizon=1 << 40), folder)
+    changes = run_to_the_end(state.freeze_changes(actions, horizon=1 << 40), folder)
     now = state.current_freezes(changes)
     parts = [
         now["totals"].select(F.lit("total").alias("change"), F.col("block_number").cast("string").alias("id"), F.col("total").alias("value")),
@@ -185,7 +189,7 @@ def streamed_freezes(spark: SparkSession, sf: str) -> DataFrame:
 def streamed_announced_swaps(spark: SparkSession, sf: str) -> DataFrame:
     """Swaps of pools that a second stream announces, both in no order."""
     folder = scratch(spark, "announced")
-    logs = as_stream(synth.swap_v2_logs(spark, sf), f"{folder}/logs")
+    logs = as_stream(synth.swap_v2_logs(spark, sf).select("address", "block_number"), f"{folder}/logs")
     pools = as_stream(amm.pools(synth.pool_logs(spark, sf)).select("id", "created_block"), f"{folder}/pools")
     found = run_to_the_end(state.announced_stream(logs, pools, late=1 << 31, span=1 << 31), folder)
     return found.groupBy("address").agg(F.count("*").alias("events"))
