@@ -12,7 +12,20 @@ from ledgerlake import topics as t
 from ledgerlake.sources.logs import normalise, read_stored, write_logs
 
 
+#: HotSpot interprets methods of more bytes of code than this, and Spark compiles a stage of many columns to a single one.
+_LONGEST_METHOD = 8_000
+
+
+def short_methods(spark: SparkSession) -> None:
+    """Let Spark split the code of stages whose one method the JVM would not compile.
+
+    This sets the session's own setting, and leaves it so: plans read it when they run, not when they are built.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", str(_LONGEST_METHOD))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_methods(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
