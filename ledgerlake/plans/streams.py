@@ -100,7 +100,7 @@ def bucketed_upserts(spark: SparkSession, sf: str) -> DataFrame:
     names, buckets = [f"swaps_{uuid.uuid4().hex}" for _ in range(3)], buckets_for(rows)
     write_bucketed(latest_by_key(first, ("id",)), names[0], ["id"], buckets, f"{folder}/0")
     for k, batch in ((1, second), (2, second)):
-        merge_into(spark, names[k - 1], batch, ["id"], 8, names[k], f"{folder}/{k}")
+        merge_into(spark, names[k - 1], batch, ["id"], buckets, names[k], f"{folder}/{k}")
     return spark.table(names[2]).select("id", "pool", "amount0", "amount1", "sender")
 
 
@@ -187,7 +187,7 @@ def streamed_freezes(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query(f"WITH {_SWAPS} SELECT pool AS address, count(*) AS events FROM s JOIN part ON l_partkey = p_partkey WHERE l_orderkey >= p_partkey GROUP BY pool")
 def streamed_announced_swaps(spark: SparkSession, sf: str) -> DataFrame:
-    """Swaps of pools that a second stream announces, both in no order."""
+    """Swaps of pools that a second stream announces, both in no order. Logs wait in state with the columns that the result needs."""
     folder = scratch(spark, "announced")
     logs = as_stream(synth.swap_v2_logs(spark, sf).select("address", "block_number"), f"{folder}/logs")
     pools = as_stream(amm.pools(synth.pool_logs(spark, sf)).select("id", "created_block"), f"{folder}/pools")
