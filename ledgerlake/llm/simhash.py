@@ -341,19 +341,23 @@ def exact_links(texts: DataFrame, shingle: int, wide_bits: int, ratio: float) ->
     return tasks.groupBy("component", "low", "high").applyInArrow(decide, "vertex long, rep long")
 
 
+def rows_of_block(n: int) -> int:
+    """An eighth of all ``n`` rows, from 4,000 to 250,000: a row is copied to its block's pairs, so between 32,000 and two million rows copies grow with the rows; beyond, a task's memory bounds the block."""
+    return int(np.clip(n // 8, 4_000, 250_000))
+
+
 def wide_links(vertex: DataFrame, bits: int, wide_bits: int, ratio: float, block_rows: int | None = None) -> DataFrame:
     """Links (vertex, rep) between vertices (fp, wide, size): rings around the empty set, then vantage points in each block.
 
     A ring spans a factor of 1 / ``ratio`` in size, so a set meets its own ring and the two beside it.
-    A ring is dealt into blocks of about ``block_rows`` (by default a 32nd of all rows, from 4,000 to
-    250,000), and every pair of blocks is a task of its own: a source whose texts have one length
+    A ring is dealt into blocks of about ``block_rows`` (``rows_of_block`` by default), and every pair of blocks is a task of its own: a source whose texts have one length
     fills many tasks, none of which holds more than two blocks.
     """
     step = float(np.log(1 / ratio))
     ringed = vertex.select("vertex", "fp", "wide", F.col("size").cast("long").alias("size"), F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / step + 1e-9).alias("ring"))
     # one number a ring, and rings grow with the logarithm of the longest text
     counts = {r["ring"]: r["n"] for r in ringed.groupBy("ring").agg(F.count("*").alias("n")).collect()}
-    rows = block_rows or int(np.clip(sum(counts.values()) // 32, 4_000, 250_000))
+    rows = block_rows or rows_of_block(sum(counts.values()))
     blocks = {ring: -(-n // rows) for ring, n in counts.items()}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
