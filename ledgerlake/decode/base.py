@@ -29,12 +29,24 @@ def take(logs: DataFrame, *columns: Column | str) -> DataFrame:
     told = " ".join(str(c) for c in columns)
     cut = sorted(set(re.findall(r"_[wt]\d", told)))
     if cut:
-        logs = logs.withColumn("_digits", hx.digits(F.col("data"))).withColumns({n: hx.cut_word(F.col("_digits"), int(n[2])) if n[1] == "w" else hx.topic_word(topic(int(n[2]))) for n in cut})
+        logs = logs.withColumn("_digits", hx.strip0x(F.col("data"))).withColumns({n: hx.cut_word(F.col("_digits"), int(n[2])) if n[1] == "w" else hx.topic_word(topic(int(n[2]))) for n in cut})
     unsigned, signed = ({f"_{k}{n}": n for n in cut if f"_{k}{n}" in told} for k in "us")
-    return hx.with_digits(logs, unsigned, signed).select(*columns)
+    nets = sorted(set(re.findall(r"_over_w(\d)_w(\d)", told)))
+    for i, j in nets:  # digits for differences of wide words only
+        wide = {f"_wide{i}{j}_{k}": F.expr(f"CASE WHEN NOT {hx.both_small(word(i), word(j))} THEN {word(k)} END") for k in (i, j)}
+        logs, unsigned = logs.withColumns(wide), unsigned | {f"_digits{i}{j}_{k}": f"_wide{i}{j}_{k}" for k in (i, j)}
+    rows = hx.with_digits(logs, unsigned, signed)
+    for i, j in nets:
+        sides = hx.apart(word(i), word(j), *[f"_digits{i}{j}_{k}" for k in (i, j)])
+        rows = rows.withColumns({n: F.expr(f"CASE WHEN _wide{i}{j}_{i} IS NOT NULL THEN {x} END") for n, x in zip(_sides(i, j), sides, strict=True)})
+    return rows.select(*columns)
 
 
-def word(i: int) -> str:
+def _sides(i: int | str, j: int | str) -> tuple[str, str]:
+    return f"_over_w{i}_w{j}", f"_under_w{i}_w{j}"
+
+
+def word(i: int | str) -> str:
     """The name of data word i in a selection by ``take``."""
     return f"_w{i}"
 
@@ -57,7 +69,7 @@ def sint(i: int) -> Column:
 
 def net(i: int, j: int) -> Column:
     """Word i less word j."""
-    return hx.net_uint256(word(i), word(j), f"_u{word(i)}", f"_u{word(j)}")
+    return hx.net_uint256(word(i), word(j), "", "", _sides(i, j))
 
 
 def small_int(i: int) -> Column:

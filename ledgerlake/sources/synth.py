@@ -62,24 +62,31 @@ def store(spark: SparkSession, sf_dir: str, folder: str, *makers: Callable[...,
         _STORED[f"{make.__name__} {sf_dir}"] = path
 
 
+def sixteen(x: Column) -> Column:
+    """16 hex digits of a BIGINT, of its two's complement where negative. Padding text digit by digit costs as much as all else here."""
+    x = x.cast("bigint")
+    # one more bit in front makes sixteen digits, the first of which goes again
+    padded = F.substring(F.hex(x.bitwiseOR(F.lit(1 << 60))).cast("binary"), 2, 15).cast("string")
+    return F.lower(F.when((x >= 0) & (x < 1 << 60), F.concat(F.lit("0"), padded)).otherwise(F.hex(x)))
+
+
 def word(x: Column) -> Column:
     """64 hex digits of a BIGINT, in two's complement where negative."""
-    digits = F.lower(F.hex(x.cast("bigint")))
-    return F.when(x < 0, F.concat(F.lit("f" * 48), F.lpad(digits, 16, "0"))).otherwise(F.lpad(digits, 64, "0"))
+    return F.concat(F.when(x < 0, F.lit("f" * 48)).otherwise(F.lit("0" * 48)), sixteen(x))
 
 
 def wide_word(high: Column, low: Column) -> Column:
     """64 hex digits of high * 2^64 + low."""
-    return F.concat(F.lpad(F.lower(F.hex(high.cast("bigint"))), 48, "0"), F.lpad(F.lower(F.hex(low.cast("bigint"))), 16, "0"))
+    return F.concat(F.lit("0" * 32), sixteen(high), sixteen(low))
 
 
 def huge_word(x: Column) -> Column:
     """64 hex digits of x * 2^128."""
-    return F.concat(F.lpad(F.lower(F.hex(x.cast("bigint"))), 32, "0"), F.lit("0" * 32))
+    return F.concat(F.lit("0" * 16), sixteen(x), F.lit("0" * 32))
 
 
 def addr(x: Column) -> Column:
-    return F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(x.cast("bigint"))), 40, "0"))
+    return F.concat(F.lit("0x" + "0" * 24), sixteen(x))
 
 
 def topic(x: Column) -> Column:
