@@ -40,7 +40,9 @@ def _swaps(spark: SparkSession, sf: str) -> DataFrame:
 def _timed(spark: SparkSession, sf: str) -> DataFrame:
     """Swaps with unix time from the blocks and a value in USD."""
     usd = (F.regexp_replace("amount1", "-", "").cast("decimal(28,0)") / 100).cast("decimal(28,2)").cast("string")
-    return enrich.with_block_time(_swaps(spark, sf), synth.blocks(spark, sf)).withColumn("amountUSD", usd)
+    # what a rollup reads; the columns left out come last or follow from the block in settling equal orders, so the same rows win
+    swaps = amm.swaps_v2(synth.swap_v2_logs(spark, sf)).select("id", "pool", "amount0", "amount1", "block_number", "log_order")
+    return enrich.with_block_time(upsert(None, swaps), synth.blocks(spark, sf)).withColumn("amountUSD", usd)
 
 
 def _pools(spark: SparkSession, sf: str) -> DataFrame:
