@@ -127,7 +127,9 @@ def tick_liquidity(mints: DataFrame, burns: DataFrame) -> DataFrame:
     """Per pool and tick: liquidityGross, liquidityNet (plus at the lower end, minus at the upper; reversed for burns), price0."""
     columns = ["pool", "tickLower", "tickUpper", "amount"]
     both = mints.select(*columns, F.lit(1).alias("sign")).unionByName(burns.select(*columns, F.lit(-1).alias("sign"))).where("tickLower IS NOT NULL AND tickUpper IS NOT NULL")
-    ends = both.select("pool", "sign", "amount", F.explode(F.array(F.struct(F.col("tickLower").alias("tick"), F.lit(1).alias("end")), F.struct(F.col("tickUpper").alias("tick"), F.lit(-1).alias("end")))).alias("e"))
+    # a position's liquidity is summed once, and its sum goes to its two ends
+    positions = both.groupBy("pool", "tickLower", "tickUpper", "sign").agg(sum_digits("amount").alias("amount"))
+    ends = positions.select("pool", "sign", "amount", F.explode(F.array(F.struct(F.col("tickLower").alias("tick"), F.lit(1).alias("end")), F.struct(F.col("tickUpper").alias("tick"), F.lit(-1).alias("end")))).alias("e"))
     return ends.groupBy("pool", F.col("e.tick").alias("tick")).agg(sum_digits("amount").alias("liquidityGross"), sum_digits("IF(sign * e.end < 0, concat('-', amount), amount)").alias("liquidityNet")).withColumn("price0", F.pow(F.lit(1.0001), F.col("tick").cast("double")))
 
 
