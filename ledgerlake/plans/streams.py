@@ -19,7 +19,7 @@ from ledgerlake.plans.queries import _AGENT, _SWAPS, _period, _pools, _timed, ma
 from ledgerlake.plans.registry import query as _query
 from ledgerlake.sources import synth
 from ledgerlake.sources.bucketed import buckets_for, merge_into, write_bucketed
-from ledgerlake.sources.logs import write_logs_by_address
+from ledgerlake.sources.logs import read_stored, write_logs, write_logs_by_address
 from ledgerlake.streaming import index, progress, state
 
 
@@ -159,9 +159,14 @@ def streamed_pool_days(spark: SparkSession, sf: str) -> DataFrame:
 @_query("""WITH l AS (SELECT o_orderkey AS b FROM orders), m AS (SELECT max(b) AS top, max(b) // 8 AS step FROM l), s AS (SELECT unnest(range(0, top + 1, step + 1)) AS f, top, step FROM m)
 SELECT CAST(f AS BIGINT) AS first_block, CAST(least(f + step, top) AS BIGINT) AS last_block, (SELECT count(*) FROM l WHERE b BETWEEN f AND f + step) AS events, CAST(top - least(f + step, top) AS BIGINT) AS lag FROM s""")
 def indexed_steps(spark: SparkSession, sf: str) -> DataFrame:
-    """Progress of an index run over votes in steps of blocks, and of a second run that finds nothing new."""
-    folder, logs = scratch(spark, "progress"), synth.vote_logs(spark, sf)
-    step = logs.agg(F.max("block_number")).first()[0] // 8
+    """Progress of an index run over votes in steps of blocks, and of a second run that finds nothing new.
+
+    Logs are stored by block first, so that a step reads its own and encodes none.
+    """
+    folder, made = scratch(spark, "progress"), synth.vote_logs(spark, sf)
+    step = made.agg(F.max("block_number")).first()[0] // 8
+    write_logs(made, f"{folder}/logs", step + 1)
+    logs = read_stored(spark, f"{folder}/logs").drop("block_bucket")
     for _ in range(2):
         progress.index_new_blocks(logs, f"{folder}/progress", "votes", lambda part: index.merge_batch(defi.votes(part), f"{folder}/votes", ("contract", "tx_hash", "log_index"), span=step + 1), step=step)
     return progress.read_progress(spark, f"{folder}/progress").select("first_block", "last_block", "events", "lag")

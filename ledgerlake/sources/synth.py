@@ -164,7 +164,7 @@ def pool_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @stored
 def vote_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     support = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
-    rows = table(spark, sf_dir, "orders")
+    rows = spread(table(spark, sf_dir, "orders"))
     return normalise(raw(rows, addr(F.lit(9)), [F.lit(t.VOTE_CAST), topic(F.col("o_custkey"))], [word(F.col("o_custkey") % 50), word(support), word(cents(F.col("o_totalprice")))], F.col("o_orderkey"), topic(F.col("o_orderkey")), F.lit(0)))
 
 
