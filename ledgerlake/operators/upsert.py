@@ -9,26 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def latest_by_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ("block_number", "log_order")) -> DataFrame:
+def latest_by_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ("block_number", "log_order"), hot: bool = True) -> DataFrame:
     """The row with the greatest ``order`` of every key; equal orders are settled by the other columns, left to right.
 
     An aggregate with map-side combination: a hot key sends one row per task, which a window would
-    not. The row itself is what is compared, so that it travels once.
+    not. The row itself is what is compared, so that it travels once. ``hot=False`` is for keys of which few come
+    twice, as ids of logs: rows are shuffled as they come, and sorted once, by a hash first. A sort looks at eight bytes of
+    its first column, in which ids of a kind are all alike.
     """
     rest = [c for c in rows.columns if c not in keys and c not in order]
     best = F.max(F.struct(*order, *rest)).alias("r")
-    return rows.groupBy(*keys).agg(best).select(*[F.col(k) if k in keys else F.col(f"r.{k}").alias(k) for k in rows.columns])
+    groups = rows.groupBy(*keys) if hot else rows.repartition(*keys).groupBy(F.xxhash64(*keys), *keys)
+    return groups.agg(best).select(*[F.col(k) if k in keys else F.col(f"r.{k}").alias(k) for k in rows.columns])
 
 
-def upsert(old: DataFrame | None, new: DataFrame, keys: Sequence[str] = ("id",), order: Sequence[str] = ("block_number", "log_order")) -> DataFrame:
+def upsert(old: DataFrame | None, new: DataFrame, keys: Sequence[str] = ("id",), order: Sequence[str] = ("block_number", "log_order"), hot: bool = True) -> DataFrame:
     """``new`` rows replace whole ``old`` rows of the same key unless they are older. Replaying is harmless."""
-    return upsert_all(old, [new], keys, order)
+    return upsert_all(old, [new], keys, order, hot)
 
 
-def upsert_all(old: DataFrame | None, batches: Sequence[DataFrame], keys: Sequence[str] = ("id",), order: Sequence[str] = ("block_number", "log_order")) -> DataFrame:
+def upsert_all(old: DataFrame | None, batches: Sequence[DataFrame], keys: Sequence[str] = ("id",), order: Sequence[str] = ("block_number", "log_order"), hot: bool = True) -> DataFrame:
     """What upserting the batches one after another gives, by one aggregate and one shuffle: the newest row wins whatever the batches' order."""
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [x for x in (old, *batches) if x is not None])
-    return latest_by_key(rows, keys, order)
+    return latest_by_key(rows, keys, order, hot)
 
 
 def as_entities(rows: DataFrame, entity_type: str, ident: str = "id") -> DataFrame:

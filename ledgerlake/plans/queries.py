@@ -34,7 +34,7 @@ _SWAPS = f"""s AS (
 
 
 def _swaps(spark: SparkSession, sf: str) -> DataFrame:
-    return upsert(None, amm.swaps_v2(synth.swap_v2_logs(spark, sf)))
+    return upsert(None, amm.swaps_v2(synth.swap_v2_logs(spark, sf)), hot=False)
 
 
 def _timed(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,7 +42,7 @@ def _timed(spark: SparkSession, sf: str) -> DataFrame:
     usd = (F.regexp_replace("amount1", "-", "").cast("decimal(28,0)") / 100).cast("decimal(28,2)").cast("string")
     # what a rollup reads; the columns left out come last or follow from the block in settling equal orders, so the same rows win
     swaps = amm.swaps_v2(synth.swap_v2_logs(spark, sf)).select("id", "pool", "amount0", "amount1", "block_number", "log_order")
-    return enrich.with_block_time(upsert(None, swaps), synth.blocks(spark, sf)).withColumn("amountUSD", usd)
+    return enrich.with_block_time(upsert(None, swaps, hot=False), synth.blocks(spark, sf)).withColumn("amountUSD", usd)
 
 
 def _pools(spark: SparkSession, sf: str) -> DataFrame:
@@ -275,7 +275,7 @@ SELECT z.pool AS pair, z.period, txns, volume_cents, CAST(r0 AS VARCHAR) AS rese
 
 
 def _pairs(spark: SparkSession, sf: str, seconds: int, label: str) -> DataFrame:
-    syncs = enrich.with_block_time(upsert(None, amm.syncs(synth.sync_logs(spark, sf))), synth.blocks(spark, sf))
+    syncs = enrich.with_block_time(upsert(None, amm.syncs(synth.sync_logs(spark, sf)), hot=False), synth.blocks(spark, sf))
     x = rollups.pair_period(_timed(spark, sf), syncs, seconds, label)
     return x.select("pair", F.col(label).alias("period"), "txns", (F.col("volumeUSD") * 100).cast("decimal(38,0)").cast("string").alias("volume_cents"), "reserve0", "reserve1")
 
