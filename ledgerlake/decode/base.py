@@ -24,22 +24,29 @@ def take(logs: DataFrame, *columns: Column | str) -> DataFrame:
     """A selection in which ``word``, ``uint``, ``sint`` and their like may stand.
 
     Words are cut and their decimal digits computed as columns below it, once each, for those that the
-    selection names and no others: building and analysing all of them would take most of a second.
+    selection names and no others: building and analysing all of them would take most of a second. Columns without
+    words are made at the bottom, so that topics and data, which are long, are not copied from level to level.
     """
-    told = " ".join(str(c) for c in columns)
-    cut = sorted(set(re.findall(r"_[wt]\d", told)))
-    if cut:
-        logs = logs.withColumn("_digits", hx.strip0x(F.col("data"))).withColumns({n: hx.cut_word(F.col("_digits"), int(n[2])) if n[1] == "w" else hx.topic_word(topic(int(n[2]))) for n in cut})
-    unsigned, signed = ({f"_{k}{n}": n for n in cut if f"_{k}{n}" in told} for k in "us")
-    nets = sorted(set(re.findall(r"_over_w(\d)_w(\d)", told)))
-    for i, j in nets:  # digits for differences of wide words only
-        wide = {f"_wide{i}{j}_{k}": F.expr(f"CASE WHEN NOT {hx.both_small(word(i), word(j))} THEN {word(k)} END") for k in (i, j)}
-        logs, unsigned = logs.withColumns(wide), unsigned | {f"_digits{i}{j}_{k}": f"_wide{i}{j}_{k}" for k in (i, j)}
-    rows = hx.with_digits(logs, unsigned, signed)
+    chosen = [F.col(c) if isinstance(c, str) else c for c in columns]
+    told = {k: str(c) for k, c in enumerate(chosen) if re.search(r"_[wt]\d", str(c))}
+    every = " ".join(told.values())
+    cut = sorted(set(re.findall(r"_[wt]\d", every)))
+    if not cut:
+        return logs.select(*chosen)
+    plain = [k for k in range(len(chosen)) if k not in told]
+    names = dict(zip(plain, logs.select(*[chosen[k] for k in plain]).columns, strict=True))
+    read = [c for c in logs.columns if re.search(rf"\b{c}\b", every)]
+    words = [(hx.word(F.col("data"), int(n[2])) if n[1] == "w" else hx.topic_word(topic(int(n[2])))).alias(n) for n in cut]
+    rows = logs.select(*read, *[chosen[k].alias(f"_c{k}") for k in plain], *words)
+    unsigned, signed = ({f"_{k}{n}": n for n in cut if f"_{k}{n}" in every} for k in "us")
+    nets = sorted(set(re.findall(r"_over_w(\d)_w(\d)", every)))
+    for i, j in nets:  # limbs for differences of wide words only
+        rows = rows.withColumns({f"_wide{i}{j}_{k}": F.expr(f"CASE WHEN NOT {hx.both_small(word(i), word(j))} THEN {hx.limbs(word(k))} END") for k in (i, j)})
+    rows = hx.with_digits(rows, unsigned, signed)
     for i, j in nets:
-        sides = hx.apart(word(i), word(j), *[f"_digits{i}{j}_{k}" for k in (i, j)])
+        sides = hx.apart(word(i), word(j), *[hx.joined(f"_wide{i}{j}_{k}") for k in (i, j)])
         rows = rows.withColumns({n: F.expr(f"CASE WHEN _wide{i}{j}_{i} IS NOT NULL THEN {x} END") for n, x in zip(_sides(i, j), sides, strict=True)})
-    return rows.select(*columns)
+    return rows.select(*[c if k in told else F.col(f"_c{k}").alias(names[k]) for k, c in enumerate(chosen)])
 
 
 def _sides(i: int | str, j: int | str) -> tuple[str, str]:
@@ -83,7 +90,7 @@ def word_address(i: int, on_short: str = hx.ZERO_ADDRESS, whole: bool = True) ->
 def where_event(logs: DataFrame, signatures: str | tuple[str, ...], topics: int = 1) -> DataFrame:
     """Logs of the signatures that have at least ``topics`` topics."""
     wanted = (signatures,) if isinstance(signatures, str) else signatures
-    return logs.where(F.col("topic0").isin(*wanted) & (F.size("topics") >= topics))
+    return logs.where(F.col("topic0").isin(*wanted) & hx.has_topics(topics))
 
 
 def by_kind(kinds: Mapping[str, str]) -> Column:
@@ -104,7 +111,7 @@ def enough(minimum: Mapping[str, int]) -> Column:
     """Each signature with its own least number of topics."""
     out = F.lit(False)
     for signature, n in minimum.items():
-        out = out | ((F.col("topic0") == signature) & (F.size("topics") >= n))
+        out = out | ((F.col("topic0") == signature) & hx.has_topics(n))
     return out
 
 

@@ -29,7 +29,7 @@ def normalise(raw: DataFrame) -> DataFrame:
 
     Logs without topics are dropped. ``log_index`` stays raw hex for ids, ``log_order`` sorts.
     """
-    return raw.where(F.size("topics") > 0).select(
+    return raw.where(hx.has_topics(1)).select(
         "address",
         "topics",
         F.coalesce("data", F.lit("")).alias("data"),
