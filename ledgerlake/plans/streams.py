@@ -23,8 +23,9 @@ from ledgerlake.sources.logs import read_stored, write_logs, write_logs_by_addre
 from ledgerlake.streaming import index, progress, state
 
 
-#: Changes of the state are stored instead of whole snapshots, and no write reads first to count rows.
-_ON_DISK = {"changelogCheckpointing__enabled": "true", "boundedMemoryUsage": "true", "trackTotalNumberOfRows": "false"}
+#: A store puts its buffer on disk when a batch ends: stores share the bounded memory, and what idle ones keep of it leaves so little to the others
+#: that they write files of a few rows and wait until these are merged. No write reads first to count rows.
+_ON_DISK = {"changelogCheckpointing__enabled": "false", "boundedMemoryUsage": "true", "trackTotalNumberOfRows": "false"}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -62,16 +63,31 @@ def written(rows: DataFrame, folder: str) -> DataFrame:
 
 
 def as_stream(rows: DataFrame, folder: str, batches: int = 3) -> DataFrame:
-    """``rows`` written to files, and read as a stream of about so many batches, in no order of blocks."""
+    """``rows`` written to files, and read as a stream of about so many batches, in no order of blocks.
+
+    A batch has a file for every core; the last one has room for one file more, that comes later.
+    """
     spark = rows.sparkSession
-    rows.repartition(max(batches, spark.sparkContext.defaultParallelism)).write.parquet(folder)
+    rows.repartition(batches * max(2, spark.sparkContext.defaultParallelism) - 1).write.parquet(folder)
     files = len(spark.read.parquet(folder).inputFiles())
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", math.ceil(files / batches)).parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", math.ceil((files + 1) / batches)).parquet(folder)
+
+
+def stores_for(spark: SparkSession, folder: str, each: int = 500_000) -> int:
+    """Partitions of the state of a stream over the files at ``folder``: of about ``each`` rows, and one for every core at least.
+
+    A stream keeps the number that it starts with, and every batch loads and commits all of its stores, with rows or without.
+    """
+    return max(spark.sparkContext.defaultParallelism, -(-spark.read.parquet(folder).count() // each))
 
 
-def run_to_the_end(stream: DataFrame, folder: str) -> DataFrame:
-    """The rows that an append stream has written once all that is available is processed. Its state is kept on disk, in bounded memory: it grows with the rows."""
-    with session(stream.sparkSession, spark__sql__streaming__stateStore__providerClass=state.ROCKSDB, **{f"spark__sql__streaming__stateStore__rocksdb__{k}": v for k, v in _ON_DISK.items()}):
+def run_to_the_end(stream: DataFrame, folder: str, stores: int | None = None) -> DataFrame:
+    """The rows that an append stream has written once all that is available is processed. Its state is kept on disk, in bounded memory: it grows with the rows.
+
+    ``stores``: partitions of each operator's state, by default as many as of any shuffle.
+    """
+    own = {} if stores is None else {"spark__sql__shuffle__partitions": str(stores)}
+    with session(stream.sparkSession, spark__sql__streaming__stateStore__providerClass=state.ROCKSDB, **own, **{f"spark__sql__streaming__stateStore__rocksdb__{k}": v for k, v in _ON_DISK.items()}):
         query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -151,8 +167,9 @@ def streamed_pool_days(spark: SparkSession, sf: str) -> DataFrame:
     swaps = _timed(spark, sf).select("id", "pool", "timestamp", "amount0", "amount1", "amountUSD", "block_number", "log_order")
     stream = as_stream(swaps, f"{folder}/in")
     mark = F.lit(spark.read.parquet(f"{folder}/in").agg(F.max("timestamp")).first()[0] + (late + 3) * rollups.DAY)
-    spark.range(1).select(F.lit("mark").alias("id"), F.lit("mark").alias("pool"), mark.cast("bigint").alias("timestamp"), *[F.lit("1").alias(c) for c in ("amount0", "amount1", "amountUSD")], F.lit(0).cast("bigint").alias("block_number"), F.lit(0).cast("bigint").alias("log_order")).write.mode("append").parquet(f"{folder}/in")
-    days = run_to_the_end(index.day_stream(index.watermarked(stream, f"{late} days"), _pools(spark, sf)), folder)
+    spark.range(1).select(F.lit("mark").alias("id"), F.lit("mark").alias("pool"), mark.cast("bigint").alias("timestamp"), *[F.lit("1").alias(c) for c in ("amount0", "amount1", "amountUSD")], F.lit(0).cast("bigint").alias("block_number"), F.lit(0).cast("bigint").alias("log_order")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    pools = written(_pools(spark, sf), f"{folder}/pools")  # every batch reads them
+    days = run_to_the_end(index.day_stream(index.watermarked(stream, f"{late} days"), pools), folder, stores_for(spark, f"{folder}/in"))
     return _period(days, "pool", "date")
 
 
