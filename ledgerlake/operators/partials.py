@@ -38,17 +38,18 @@ def _states(rows: DataFrame, keys: Sequence[str], amounts: Sequence[str], priced
     return rows.withColumn("hour", bucket(HOUR)).withColumn("price", priced_at).groupBy(*keys, "hour", *spans).agg(*state_columns(amounts)).drop("span")
 
 
-def pool_states(swaps: DataFrame, span: int | None = None) -> DataFrame:
+def pool_states(swaps: DataFrame, span: int | None = None, amounts: Sequence[str] = ("amount0", "amount1")) -> DataFrame:
     """A state for every pool and hour of ``swaps``, which have unix seconds in ``timestamp`` and text in ``amountUSD``.
 
     Give ``span`` where the states are kept by spans of so many blocks: an hour's states then never hold blocks of two spans.
+    ``amounts`` are those whose sums are kept, five decimals each; totals read them, hours and days none.
     """
-    return _states(swaps, ["pool"], ["amount0", "amount1"], price(), span)
+    return _states(swaps, ["pool"], amounts, price(), span)
 
 
-def token_states(swaps: DataFrame, pools: DataFrame, span: int | None = None) -> DataFrame:
-    """A state for every token and hour; a swap counts for both of its tokens. ``span`` as above."""
-    return _states(by_token(swaps, pools), ["token"], ["amount"], price("amount", "other"), span)
+def token_states(swaps: DataFrame, pools: DataFrame, span: int | None = None, amounts: Sequence[str] = ("amount",)) -> DataFrame:
+    """A state for every token and hour; a swap counts for both of its tokens. ``span`` and ``amounts`` as above."""
+    return _states(by_token(swaps, pools), ["token"], amounts, price("amount", "other"), span)
 
 
 def merge_states(states: DataFrame, *by: str) -> DataFrame:

@@ -37,12 +37,12 @@ def _swaps(spark: SparkSession, sf: str) -> DataFrame:
     return upsert(None, amm.swaps_v2(synth.swap_v2_logs(spark, sf)), hot=False)
 
 
-def _timed(spark: SparkSession, sf: str) -> DataFrame:
-    """Swaps with unix time from the blocks and a value in USD."""
+def _timed(spark: SparkSession, sf: str, upserted: bool = True) -> DataFrame:
+    """Swaps with unix time from the blocks and a value in USD; ``upserted=False`` leaves it to the reader to keep the last of each id."""
     usd = (F.regexp_replace("amount1", "-", "").cast("decimal(28,0)") / 100).cast("decimal(28,2)").cast("string")
     # what a rollup reads; the columns left out come last or follow from the block in settling equal orders, so the same rows win
     swaps = amm.swaps_v2(synth.swap_v2_logs(spark, sf)).select("id", "pool", "amount0", "amount1", "block_number", "log_order")
-    return enrich.with_block_time(upsert(None, swaps, hot=False), synth.blocks(spark, sf)).withColumn("amountUSD", usd)
+    return enrich.with_block_time(upsert(None, swaps, hot=False) if upserted else swaps, synth.blocks(spark, sf)).withColumn("amountUSD", usd)
 
 
 def _pools(spark: SparkSession, sf: str) -> DataFrame:

@@ -56,9 +56,10 @@ def session(spark: SparkSession, **conf: str) -> Iterator[None]:
             spark.conf.unset(n) if v is None else spark.conf.set(n, v)
 
 
-def written(rows: DataFrame, folder: str) -> DataFrame:
-    """``rows`` from files, for what reads them several times: logs are decoded once."""
-    rows.write.parquet(folder)
+def written(rows: DataFrame, folder: str, *by: str) -> DataFrame:
+    """``rows`` from files, for what reads them several times: logs are decoded once. Columns ``by`` of few values are folders."""
+    with session(rows.sparkSession, spark__sql__maxConcurrentOutputFileWriters="8" if by else "0"):  # folders are written side by side, without a sort
+        rows.write.partitionBy(*by).parquet(folder)
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 
@@ -96,15 +97,16 @@ def run_to_the_end(stream: DataFrame, folder: str, stores: int | None = None) ->
 def _stored_states(spark: SparkSession, sf: str, make: Callable[[DataFrame, int], DataFrame], name: str) -> DataFrame:
     """States of the swaps that three increments of blocks leave, the first of which comes again at the end.
 
-    Increments are ranges that end inside a span, so one span gets rows of two of them.
+    Increments are ranges that end inside a span, so one span gets rows of two of them. Each is a folder, and reads no
+    other's rows; merging keeps the last swap of each id, so they come as they are decoded.
     """
     folder = scratch(spark, name)
-    swaps = written(_timed(spark, sf), f"{folder}/in")
-    top = swaps.agg(F.max("block_number")).first()[0]
+    top = synth.swap_v2_logs(spark, sf).agg(F.max("block_number")).first()[0]
     span = 1 + top // 8
-    parts = [swaps.where(F.floor(F.col("block_number") * 3 / (top + 1)) == k) for k in range(3)]
+    swaps = written(_timed(spark, sf, upserted=False).withColumn("part", F.floor(F.col("block_number") * 3 / (top + 1)).cast("int")), f"{folder}/in", "part")
+    parts = [swaps.where(F.col("part") == k).drop("part") for k in range(3)]
     for part in (*parts, parts[0]):
-        index.merge_batch(part, f"{folder}/swaps", derived={f"{folder}/states": lambda rows: make(rows, span)}, span=span)
+        index.merge_batch(part, f"{folder}/swaps", derived={f"{folder}/states": lambda rows: make(rows, span)}, span=span, hot=False)
     return index.read_table(spark, f"{folder}/states")
 
 
@@ -142,14 +144,14 @@ def stored_documents(spark: SparkSession, sf: str) -> DataFrame:
 @_query(_registry.SQL["pool_days"])
 def pool_days_from_states(spark: SparkSession, sf: str) -> DataFrame:
     """Hours of spans of blocks, kept as increments come and merged to days."""
-    states = _stored_states(spark, sf, partials.pool_states, "pool-states")
+    states = _stored_states(spark, sf, lambda swaps, span: partials.pool_states(swaps, span, amounts=()), "pool-states")
     return _period(partials.pool_period(states, _pools(spark, sf)), "pool", "date")
 
 
 @_query(_registry.SQL["token_days"])
 def token_days_from_states(spark: SparkSession, sf: str) -> DataFrame:
-    pools = _pools(spark, sf)
-    states = _stored_states(spark, sf, lambda swaps, span: partials.token_states(swaps, pools, span), "token-states")
+    pools = written(_pools(spark, sf), scratch(spark, "pools"))  # every increment reads them
+    states = _stored_states(spark, sf, lambda swaps, span: partials.token_states(swaps, pools, span, amounts=()), "token-states")
     return _period(partials.token_period(states), "token", "date")
 
 

@@ -23,6 +23,7 @@ from ledgerlake.sources.logs import known_events, normalise
 from ledgerlake.topics import ALL
 
 BUCKETS = 64
+_FEW = 4
 _PENDING = "_pending"  # Spark's readers pass over names that begin like this
 
 
@@ -72,36 +73,45 @@ def _bucket(by: Sequence[str], buckets: int, span: int | None = None) -> Column:
 
 
 def _finish(spark: SparkSession, path: str) -> None:
-    """Put complete pending partitions in their places; doing so twice gives the same table."""
+    """Put complete pending partitions in their places, folder by folder, without reading them; one that was cut short in this goes on with the folders that are left."""
     pending = f"{path}/{_PENDING}"
-    if _exists(spark, f"{pending}/_SUCCESS"):
-        spark.read.parquet(pending).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
     fs, at = _folder(spark, pending)
+    if _exists(spark, f"{pending}/_SUCCESS"):
+        for folder in (s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith("bucket=")):
+            place = spark._jvm.org.apache.hadoop.fs.Path(at.getParent(), folder.getName())
+            fs.delete(place, True)
+            if not fs.rename(folder, place):
+                raise OSError(f"cannot rename {folder} to {place}")
     fs.delete(at, True)
 
 
-def _replace(rows: DataFrame, path: str, bucket: Column) -> None:
-    """Replace the partitions of ``rows``, which are computed in full before the table is touched."""
-    rows.withColumn("bucket", bucket).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{_PENDING}")
+def _replace(rows: DataFrame, path: str, bucket: Column, few: bool) -> None:
+    """Replace the partitions of ``rows``, which are computed in full before the table is touched.
+
+    Where a batch falls into ``few`` of them, every task writes a file into each, and rows need no shuffle of their own for it.
+    """
+    dealt = rows.withColumn("bucket", bucket)
+    (dealt if few else dealt.hint("rebalance", "bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{_PENDING}")
     _finish(rows.sparkSession, path)
 
 
-def merge_batch(batch: DataFrame, path: str, keys: Sequence[str] = ("id",), by: Sequence[str] = (), derived: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None, order: Sequence[str] = ("block_number", "log_order"), buckets: int = BUCKETS, span: int | None = None) -> None:
+def merge_batch(batch: DataFrame, path: str, keys: Sequence[str] = ("id",), by: Sequence[str] = (), derived: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None, order: Sequence[str] = ("block_number", "log_order"), buckets: int = BUCKETS, span: int | None = None, hot: bool = True) -> None:
     """Upsert a batch into the table at ``path``, then recompute the ``derived`` tables (path -> function) there.
 
     A replayed batch changes nothing; an older row never replaces a newer one. Only partitions that
-    the batch falls into are read and written.
+    the batch falls into are read and written. ``hot`` as in ``upsert``.
     """
     spark, bucket = batch.sparkSession, _bucket(by or keys, buckets, span)
     touched = [r["bucket"] for r in batch.select(bucket).distinct().collect()]  # a few numbers
     if not touched:
         return
+    few = len(touched) <= _FEW
     _finish(spark, path)
     old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).drop("bucket") if _has_rows(spark, path) else None
-    _replace(upsert(old, batch, keys, order), path, bucket)
+    _replace(upsert(old, batch, keys, order, hot), path, bucket, few)
     for name, make in (derived or {}).items():
         own = spark.read.parquet(path).where(F.col("bucket").isin(touched)).drop("bucket")
-        _replace(make(own), name, bucket)
+        _replace(make(own), name, bucket, few)
 
 
 def index_stream(raw: DataFrame, tables: Mapping[str, Table | Callable[[DataFrame], DataFrame]], out: str, checkpoint: str, seconds: float | None = None, topics: Sequence[str] = ALL, buckets: int = BUCKETS) -> StreamingQuery:
