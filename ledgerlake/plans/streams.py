@@ -26,6 +26,8 @@ from ledgerlake.streaming import index, progress, state
 #: A store puts its buffer on disk when a batch ends: stores share the bounded memory, and what idle ones keep of it leaves so little to the others
 #: that they write files of a few rows and wait until these are merged. No write reads first to count rows.
 _ON_DISK = {"changelogCheckpointing__enabled": "false", "boundedMemoryUsage": "true", "trackTotalNumberOfRows": "false"}
+#: A join keeps its two sides' rows and counts in one store a partition instead of four.
+_JOINS = {"spark__sql__streaming__join__stateFormatVersion": "3"}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -63,23 +65,26 @@ def written(rows: DataFrame, folder: str, *by: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 
-def as_stream(rows: DataFrame, folder: str, batches: int = 3) -> DataFrame:
+def as_stream(rows: DataFrame, folder: str, batches: int = 3, key: str | None = None) -> DataFrame:
     """``rows`` written to files, and read as a stream of about so many batches, in no order of blocks.
 
-    A batch has a file for every core; the last one has room for one file more, that comes later.
+    A batch has a file for every core; the last one has room for one file more, that comes later. Files are sorted by
+    ``key``, if given: a store that is asked for keys in their order finds most of them in the block that it has just read.
     """
     spark = rows.sparkSession
-    rows.repartition(batches * max(2, spark.sparkContext.defaultParallelism) - 1).write.parquet(folder)
+    dealt = rows.repartition(batches * max(2, spark.sparkContext.defaultParallelism) - 1)
+    (dealt.sortWithinPartitions(key) if key else dealt).write.parquet(folder)
     files = len(spark.read.parquet(folder).inputFiles())
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", math.ceil((files + 1) / batches)).parquet(folder)
 
 
 def stores_for(spark: SparkSession, folder: str, each: int = 500_000) -> int:
-    """Partitions of the state of a stream over the files at ``folder``: of about ``each`` rows, and one for every core at least.
+    """Partitions of the state of a stream over the files at ``folder``: of ``each`` rows at most or so, and as many for every core.
 
     A stream keeps the number that it starts with, and every batch loads and commits all of its stores, with rows or without.
     """
-    return max(spark.sparkContext.defaultParallelism, -(-spark.read.parquet(folder).count() // each))
+    cores = spark.sparkContext.defaultParallelism
+    return cores * max(1, -(-spark.read.parquet(folder).count() // (each * cores)))
 
 
 def run_to_the_end(stream: DataFrame, folder: str, stores: int | None = None) -> DataFrame:
@@ -88,7 +93,7 @@ def run_to_the_end(stream: DataFrame, folder: str, stores: int | None = None) ->
     ``stores``: partitions of each operator's state, by default as many as of any shuffle.
     """
     own = {} if stores is None else {"spark__sql__shuffle__partitions": str(stores)}
-    with session(stream.sparkSession, spark__sql__streaming__stateStore__providerClass=state.ROCKSDB, **own, **{f"spark__sql__streaming__stateStore__rocksdb__{k}": v for k, v in _ON_DISK.items()}):
+    with session(stream.sparkSession, spark__sql__streaming__stateStore__providerClass=state.ROCKSDB, **own, **_JOINS, **{f"spark__sql__streaming__stateStore__rocksdb__{k}": v for k, v in _ON_DISK.items()}):
         query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -213,7 +218,7 @@ def streamed_freezes(spark: SparkSession, sf: str) -> DataFrame:
 def streamed_announced_swaps(spark: SparkSession, sf: str) -> DataFrame:
     """Swaps of pools that a second stream announces, both in no order. Logs wait in state with the columns that the result needs."""
     folder = scratch(spark, "announced")
-    logs = as_stream(synth.swap_v2_logs(spark, sf).select("address", "block_number"), f"{folder}/logs")
-    pools = as_stream(amm.pools(synth.pool_logs(spark, sf)).select("id", "created_block"), f"{folder}/pools")
-    found = run_to_the_end(state.announced_stream(logs, pools, late=1 << 31, span=1 << 31), folder)
+    logs = as_stream(synth.swap_v2_logs(spark, sf).select("address", "block_number"), f"{folder}/logs", key="address")
+    pools = as_stream(amm.pools(synth.pool_logs(spark, sf)).select("id", "created_block"), f"{folder}/pools", key="id")
+    found = run_to_the_end(state.announced_stream(logs, pools, late=1 << 31, span=1 << 31), folder, stores_for(spark, f"{folder}/logs"))
     return found.groupBy("address").agg(F.count("*").alias("events"))
